@@ -1,3 +1,3 @@
 """Imports every query module so that the registry is filled."""
 
-from registry import pitch, signals  # noqa: F401
+from registry import catalog, pitch, requests, signals  # noqa: F401

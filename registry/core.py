@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+CHECKS: dict[str, tuple[str, tuple[str, ...]]] = {}
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -33,12 +33,16 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     def register(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_views(sql, uses)
+            CHECKS[name] = (sql, uses)
         return fn
 
     return register
 
 
+def oracle() -> dict[str, str]:
+    return {name: with_views(sql, uses) for name, (sql, uses) in CHECKS.items()}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
