@@ -1,3 +1,3 @@
 """Imports every query module so that the registry is filled."""
 
-from registry import catalog, pitch, requests, signals, state  # noqa: F401
+from registry import catalog, jobs, pitch, requests, signals, state, streams  # noqa: F401

@@ -14,11 +14,11 @@ DEFAULT_KEY = 1
 
 
 def song_f0(spark, sf):
-    return p.voiced_median(v.f0v(spark, sf), v.sig_len(spark, sf))
+    return p.voiced_median(v.frames(spark, sf), v.sig_len(spark, sf))
 
 
 def references(spark, sf):
-    per_class = v.f0v(spark, sf).select(F.pmod("signal_id", F.lit(5)).alias("signal_id"), "hz")
+    per_class = v.frames(spark, sf).select(F.pmod("signal_id", F.lit(5)).alias("signal_id"), "hz")
     return p.voiced_median(per_class).select(F.col("signal_id").alias("reference_id"), "median_hz")
 
 
@@ -97,7 +97,7 @@ JOIN (SELECT signal_id, {r6('max(hz)')} AS top_hz, count(*) FILTER (WHERE hz > 0
   FROM f0v GROUP BY signal_id) USING (signal_id)""", ("ev", "f0v"))
 def profile_incremental(spark, sf):
     path = F.concat(F.lit("user_"), F.col("signal_id"), F.lit(".wav"))
-    frames = v.f0v(spark, sf).select("signal_id", path.alias("path"), "hz")
+    frames = v.frames(spark, sf).select("signal_id", path.alias("path"), "hz")
     current = v.events(spark, sf).groupBy(F.col("user_id").alias("signal_id")).agg(F.max("t").alias("mtime")).select(
         "signal_id", path.alias("path"), "mtime")
     # what an earlier run left: unchanged for even users, newer or older than now for odd ones

@@ -67,11 +67,16 @@ def events(spark, sf) -> DataFrame:
     return table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-def f0v(spark, sf) -> DataFrame:
-    ev = events(spark, sf).select(
+def frames(spark, sf) -> DataFrame:
+    """Pitch frames without their numbers, for statistics that need no order."""
+    return events(spark, sf).select(
         F.col("user_id").alias("signal_id"), "t", "event_id",
         F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("value") * 10).alias("hz"),
     )
+
+
+def f0v(spark, sf) -> DataFrame:
+    ev = frames(spark, sf)
     return numbered_within(ev, ["signal_id"], ["t", "event_id"], F.floor(F.col("t") / DAY_US), "frame_no").select(
         "signal_id", "frame_no", "hz"
     )
@@ -98,10 +103,14 @@ sql_view("ref_profile", """SELECT signal_id % 5 AS reference_id,
 
 
 def requests(spark, sf, stream: str = "user_id") -> DataFrame:
+    return as_requests(events(spark, sf), "t", stream)
+
+
+def as_requests(ev: DataFrame, time: str, stream: str = "user_id") -> DataFrame:
     spelled = F.when(F.pmod("event_id", F.lit(2)) == 0, "  SUNNY Day ").otherwise("sunny day")
-    return events(spark, sf).select(
+    return ev.select(
         F.col("event_id").alias("request_id"), F.col(stream).alias("stream"), spelled.alias("query"),
-        F.lit("m").alias("model"), F.lit(False).alias("flag"), "t",
+        F.lit("m").alias("model"), F.lit(False).alias("flag"), time,
         F.rint(F.col("value") * 20e6).cast("bigint").alias("dur"), (F.col("event_type") != "error").alias("ok"),
     )
 
@@ -115,8 +124,12 @@ def sends(spark, sf) -> DataFrame:
 
 
 def results(spark, sf) -> DataFrame:
+    return as_results(events(spark, sf))
+
+
+def as_results(ev: DataFrame) -> DataFrame:
     """What came back; sends with the largest values never return."""
-    return events(spark, sf).where(F.col("value") < 200).select(
+    return ev.where(F.col("value") < 200).select(
         F.col("event_id").alias("attempt_id"),
         (F.col("t") + F.rint(F.col("value") * 20e6).cast("bigint")).alias("returned"), _result().alias("result"),
     )
@@ -136,9 +149,13 @@ def method_attempts(spark, sf) -> DataFrame:
     ).select("message_id", "size", "m.method", F.get(outcomes, F.pmod(F.col("message_id") * 7 + F.col("m.r") * F.expr("message_id div 3"), F.lit(3)).cast("int")).alias("outcome"))
 
 
-def files(spark, sf) -> DataFrame:
+def file_name() -> Column:
     prefix = F.when(F.col("event_type").isin("view", "click"), "other_").otherwise("sing_")
-    return events(spark, sf).select(F.concat(prefix, F.col("event_id"), F.lit(".wav")).alias("name"), F.col("t").alias("mtime"))
+    return F.concat(prefix, F.col("event_id"), F.lit(".wav"))
+
+
+def files(spark, sf) -> DataFrame:
+    return events(spark, sf).select(file_name().alias("name"), F.col("t").alias("mtime"))
 
 
 sql_view("files", """SELECT CASE WHEN event_type IN ('view', 'click') THEN 'other_' ELSE 'sing_' END || event_id || '.wav' AS name,
@@ -148,10 +165,14 @@ _STATES = {"view": "waiting", "signup": "waiting", "click": "scanned", "error":
 
 
 def polls(spark, sf) -> DataFrame:
+    return as_polls(events(spark, sf))
+
+
+def as_polls(ev: DataFrame) -> DataFrame:
     """One session per user and day; a day of log time stands for ten minutes of polling."""
     day = F.col("t") - F.pmod("t", F.lit(DAY_US))
     named = F.create_map(*[F.lit(v) for kv in _STATES.items() for v in kv])
-    return events(spark, sf).select(
+    return ev.select(
         F.concat_ws("-", "user_id", F.expr(f"t div {DAY_US}")).alias("session"), day.alias("start"),
         (day + F.expr(f"(t % {DAY_US}) div 144")).alias("t"), F.col("event_id").alias("seq"),
         F.try_element_at(named, F.col("event_type")).alias("state"), F.col("ts").cast("timestamp").alias("ts"),
@@ -165,7 +186,11 @@ sql_view("polls", f"""SELECT user_id || '-' || (t // {DAY_US}) AS session, t - t
 
 
 def sections(spark, sf) -> DataFrame:
-    return events(spark, sf).select(F.col("user_id").alias("key"), F.col("props").alias("value"), F.col("t").alias("ts"), F.col("event_id").alias("seq"))
+    return as_sections(events(spark, sf))
+
+
+def as_sections(ev: DataFrame) -> DataFrame:
+    return ev.select(F.col("user_id").alias("key"), F.col("props").alias("value"), F.col("t").alias("ts"), F.col("event_id").alias("seq"))
 
 
 # ---- provider payloads: ten parts make one answer, with gaps and oddities

@@ -104,7 +104,7 @@ def transpose_pitch(f0: DataFrame, keys: DataFrame) -> DataFrame:
     shift = keys.select("signal_id", "n_semitones")
     factor = F.pow(F.lit(2.0), F.coalesce("n_semitones", F.lit(0)) / F.lit(12.0))
     hz = F.when(F.col("hz") > 0, F.col("hz") * factor).otherwise(F.lit(0.0))
-    return f0.join(shift, "signal_id", "left").select("signal_id", "frame_no", hz.alias("hz"))
+    return f0.join(shift, "signal_id", "left").withColumn("hz", hz).select(*f0.columns)
 
 
 def profile_incremental(current: DataFrame, history: DataFrame, frames: DataFrame) -> DataFrame:

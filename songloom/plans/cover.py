@@ -10,6 +10,7 @@ from songloom.operators.pitch import AUTO_KEY_MAX, auto_key, key_priority, trans
 from songloom.operators.signals import (
     mix_tracks, peak_normalize, residual_track, trim_silence,
 )
+from songloom.session import materialized
 
 
 def two_stem_job(
@@ -40,31 +41,31 @@ def two_stem_job(
     blocks, the ``keys`` and the instrumental's transposed ``f0``.
     """
     flags = requests.select("signal_id", "with_instrumental", "trim")
-    vocal = separate(songs)
-    stems = residual_track(songs, vocal).join(flags, "signal_id")
-    vocals = stems.drop("residual")
-    alone, mixed = vocals.where(~F.col("with_instrumental")), vocals.where("with_instrumental")
     blocks = ["signal_id", "ch", "block_no", "start_idx", "sr", "samples"]
 
+    # the user functions run once; what they give is read several times below
+    vocal = materialized(separate(songs).select(*blocks), "vocals")
+    stems = materialized(residual_track(songs, vocal).join(flags, "signal_id"), "stems")
+    vocals = stems.drop("residual")
+
     medians = voiced_median(f0, lengths).join(requests.select("signal_id", "reference_id"), "signal_id")
     autos = auto_key(medians, references, offset=offset, limit=limit)
-    keys = key_priority(requests, autos, model_keys or {}, default_key)
+    keys = materialized(key_priority(requests, autos, model_keys or {}, default_key), "keys")
     moved = keys.select("signal_id", "n_semitones")
 
-    trimmed = trim_silence(alone.where("trim").select(*blocks)).unionByName(
-        alone.where(~F.col("trim")).select(*blocks)
-    )
-    solo = peak_normalize(convert(trimmed, moved)).select(*blocks)
-    sung = peak_normalize(convert(mixed.select(*blocks), moved)).select(*blocks)
-    instrumental = stems.where("with_instrumental").select(
-        "signal_id", "ch", "block_no", "start_idx", "sr", F.col("residual").alias("samples")
-    )
+    cut = F.col("trim") & ~F.col("with_instrumental")
+    prepared = trim_silence(vocals.where(cut).select(*blocks)).unionByName(vocals.where(~cut).select(*blocks))
+    converted = materialized(convert(prepared, moved).select(*blocks), "converted")
+    sung = peak_normalize(converted).join(flags, "signal_id")
+
+    instrumental = stems.where("with_instrumental").select(*blocks[:-1], F.col("residual").alias("samples"))
     if shift is not None:
         instrumental = shift(instrumental, moved)
-    together = mix_tracks(sung, instrumental).select(*blocks)
+    together = mix_tracks(sung.where("with_instrumental").select(*blocks), instrumental).select(*blocks)
     with_band = f0.join(requests.where("with_instrumental").select("signal_id"), "signal_id", "left_semi")
     return {
-        "audio": solo.unionByName(together), "keys": keys, "f0": transpose_pitch(with_band, moved),
+        "audio": sung.where(~F.col("with_instrumental")).select(*blocks).unionByName(together),
+        "keys": keys, "f0": transpose_pitch(with_band, moved),
     }
 
 

@@ -52,3 +52,14 @@ def checkpointed(df):
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def materialized(df, name: str):
+    """Write ``df`` once as a Parquet table in the shared folder and read that.
+
+    For results of costly user functions that several later steps read: they
+    run once, and a lost executor re-reads files instead of running them again.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

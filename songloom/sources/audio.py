@@ -62,7 +62,7 @@ def encode_wav(blocks: DataFrame) -> DataFrame:
     )
     out = "signal_id string, sr int, n_samples bigint, n_bytes bigint, wav binary"
 
-    def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import io
         import wave
 
@@ -94,18 +94,21 @@ def audio_export(blocks: DataFrame) -> DataFrame:
 def write_wav_files(encoded: DataFrame, folder: str) -> None:
     """Write each encoded signal as ``<folder>/<signal_id>.wav`` from the tasks.
 
-    ``folder`` must be reachable by every executor. Files are replaced as a
-    whole, so a repeated task leaves the same result.
+    ``folder`` is a path or URI every executor can reach. A file is written
+    under a name of its own and then moved, so a repeated task leaves the same
+    result.
     """
     def save(rows) -> None:
-        import os
+        import uuid
 
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
         for row in rows:
-            target = os.path.join(folder, f"{row.signal_id}.wav")
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "wb") as f:
-                f.write(row.wav)
-            os.replace(part, target)
+            part = f"{root}/.{row.signal_id}-{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as out:
+                out.write(row.wav)
+            store.move(part, f"{root}/{row.signal_id}.wav")
 
     encoded.select("signal_id", "wav").foreachPartition(save)
