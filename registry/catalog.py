@@ -108,7 +108,7 @@ def keyword_topk(spark, sf):
 @query("keyword_topk_hot_words", "SELECT query, CAST(rank AS INTEGER) AS rank, song_id, score FROM ranked WHERE rank <= 5", ("ranked",))
 def keyword_topk_hot_words(spark, sf):
     """The same result with a low limit for hot words, so both paths are used."""
-    return c.keyword_topk(v.searches(spark, sf), v.songs(spark, sf), hot_df=250)
+    return c.keyword_topk(v.searches(spark, sf), v.songs(spark, sf), hot_df=12)
 
 
 @query("first_hit", """SELECT s.query, r.song_id, r.song_id IS NOT NULL AS found

@@ -42,44 +42,51 @@ def keyword_topk(
 ) -> DataFrame:
     """Best ``limit`` songs per query by number of distinct query words matched, ties by id.
 
-    ``queries(query)``, ``songs(song_id, name)``. Words in more than ``hot_df``
-    songs would pair every query that uses them with a large share of the
-    catalog. They are scored on word sets instead: songs are grouped by the set
-    of hot words they hold and only the ``limit`` smallest ids per set can ever
-    rank through hot words alone, so that part joins sets, not songs. Songs
-    that share a rarer word are joined on it and scored on all their words.
-    The union holds every possible winner, so the result is exact.
+    ``queries(query)``, ``songs(song_id, name)``. Songs with the same set of
+    words always score alike, so only the ``limit`` smallest ids per word set
+    can rank and the join runs on word sets; queries are joined by their word
+    set as well.
+
+    A word in more than ``hot_df`` sets would still pair its queries with a
+    large share of the catalog. Through hot words alone a song scores by its
+    hot words, so again only the ``limit`` smallest ids per set of hot words
+    can rank: that part joins sets of hot words. Sets that share a rarer word
+    are joined on it and scored on all their words. The union holds every
+    possible winner, so the result is exact.
     """
     asked = queries.select("query").distinct().withColumn("_q", tokens(F.col("query")))
+    query_words = asked.select("_q").distinct().select("_q", F.explode("_q").alias("_word"))
+
+    smallest = lambda key: F.row_number().over(W.partitionBy(key).orderBy("song_id"))
     titled = songs.select("song_id", tokens(F.col("name")).alias("_s"))
-    postings = titled.select("song_id", "_s", F.explode("_s").alias("_word"))
+    sets = (
+        titled.withColumn("_n", smallest("_s")).where(F.col("_n") <= limit)
+        .groupBy("_s").agg(F.collect_list("song_id").alias("_ids"))
+    )
+    postings = sets.select("_s", "_ids", F.explode("_s").alias("_word"))
     hot_words = postings.groupBy("_word").count().where(F.col("count") > hot_df).select("_word")
-    query_words = asked.select("query", "_q", F.explode("_q").alias("_word"))
 
     rare = (
-        postings.join(hot_words, "_word", "left_anti")
-        .join(query_words.join(hot_words, "_word", "left_anti"), "_word")
-        .select("query", "song_id", F.size(F.array_intersect("_q", "_s")).alias("score"))
+        postings.join(hot_words, "_word", "left_anti").join(query_words, "_word")
+        .select("_q", F.explode("_ids").alias("song_id"), F.size(F.array_intersect("_q", "_s")).alias("score"))
     )
 
     hot_sets = (
         postings.join(hot_words, "_word", "left_semi")
-        .groupBy("song_id").agg(F.array_sort(F.collect_list("_word")).alias("_set"))
+        .groupBy("_s").agg(F.array_sort(F.collect_list("_word")).alias("_hot"), F.any_value("_ids").alias("_ids"))
+        .select("_hot", F.explode("_ids").alias("song_id"))
+        .withColumn("_n", smallest("_hot")).where(F.col("_n") <= limit)
+        .groupBy("_hot").agg(F.collect_list("song_id").alias("_ids"))
     )
-    smallest = W.partitionBy("_set").orderBy("song_id")
-    holders = hot_sets.withColumn("_n", F.row_number().over(smallest)).where(F.col("_n") <= limit).drop("_n")
     hot = (
-        holders.select("song_id", "_set", F.explode("_set").alias("_word"))
-        .join(query_words.join(hot_words, "_word", "left_semi"), "_word")
-        .select("query", "song_id", F.size(F.array_intersect("_q", "_set")).alias("score"))
+        hot_sets.select("_hot", "_ids", F.explode("_hot").alias("_word")).join(query_words, "_word")
+        .select("_q", F.explode("_ids").alias("song_id"), F.size(F.array_intersect("_q", "_hot")).alias("score"))
     )
 
-    best = rare.unionByName(hot).groupBy("query", "song_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query").orderBy(F.desc("score"), F.asc("song_id"))
-    return (
-        best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-        .select("query", "rank", "song_id", "score")
-    )
+    best = rare.unionByName(hot).groupBy("_q", "song_id").agg(F.max("score").alias("score"))
+    order = W.partitionBy("_q").orderBy(F.desc("score"), F.asc("song_id"))
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return asked.join(ranked, "_q").select("query", "rank", "song_id", "score")
 
 
 def first_hit(queries: DataFrame, songs: DataFrame, hot_df: int = 10_000) -> DataFrame:
