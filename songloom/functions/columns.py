@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# Characters that count as blank at the ends of a text.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(c: Column) -> Column:
+    """Text without blanks of any kind at its ends."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def text(c: Column) -> Column:
     """Missing becomes the empty string, then surrounding blanks go."""
-    return F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    return strip(F.coalesce(c.cast("string"), F.lit("")))
 
 
 def blank_to_null(c: Column) -> Column:

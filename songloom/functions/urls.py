@@ -65,7 +65,9 @@ def url_join(base: Column, ref: Column) -> Column:
     ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
     tail = F.substring(ref, F.length(ref_path) + 1, F.length(ref))
     return (
-        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
+        F.when(ref == "", base)
+        .when(ref.startswith("#"), F.concat(F.substring_index(base, "#", 1), ref))
+        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
         .when(ref.startswith("//"), F.concat(scheme, ref))
         .when(ref.startswith("/"), F.concat(origin, _collapse_dots(ref_path), tail))
         .when(ref_path == "", F.concat(origin, base_path, tail))

@@ -33,7 +33,7 @@ def catalog_union(*catalogs: DataFrame) -> DataFrame:
 
 def tokens(c: Column) -> Column:
     """Distinct lower-case words of a text, sorted."""
-    words = F.split(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\s+")
+    words = F.split(F.lower(text(c)), r"(?U)\s+")
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from songloom.functions.columns import seconds_to_micros
+from songloom.functions.columns import seconds_to_micros, strip
 from songloom.session import checkpointed
 
 # Reuse window in seconds.
@@ -32,7 +32,7 @@ NEVER = -(2**62)
 
 def request_key() -> list[Column]:
     return [
-        F.col("stream"), F.lower(F.trim(F.col("query"))).alias("query"), F.col("model"), F.col("flag"),
+        F.col("stream"), F.lower(strip(F.col("query"))).alias("query"), F.col("model"), F.col("flag"),
     ]
 
 

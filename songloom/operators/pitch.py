@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from songloom.functions.columns import blank_to_null, clamp, half_even
+from songloom.functions.columns import blank_to_null, clamp, half_even, text
 from songloom.functions.ordering import exact_median
 
 # Voicing gate and key limits.
@@ -76,7 +76,7 @@ def key_priority(
     becomes a literal map; a large one can be given as ``(model, key)`` rows.
     A request whose automatic key is null falls through to the default.
     """
-    keyed = requests.withColumn("_model", F.trim(F.coalesce("model", F.lit(""))))
+    keyed = requests.withColumn("_model", text(F.col("model")))
     if isinstance(model_keys, DataFrame):
         manual = model_keys.select(F.col("model").alias("_model"), F.col("key").alias("_manual"))
         keyed = keyed.join(manual, "_model", "left")

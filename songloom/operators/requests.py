@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from songloom.functions.columns import text
+from songloom.functions.columns import strip
 from songloom.functions.urls import query_value, url_query
 
 # Command patterns, in matching order.
@@ -75,7 +75,6 @@ def command_route(messages: DataFrame, compat: bool = False) -> DataFrame:
         .when(F.col("command") == "163cookie", F.regexp_extract(msg, _jvm(COMMAND_PATTERNS["163cookie"]), 2))
         .otherwise(F.lit(""))
     )
-    strip = lambda c: F.regexp_replace(c, _FLAGS + r"^\s+|\s+$", "")
     return (
         messages.withColumn("command", command)
         .withColumn("model", F.when(F.col("command") == "翻唱", strip(model)).otherwise(F.lit("")))
@@ -120,7 +119,7 @@ def request_params(requests: DataFrame) -> DataFrame:
 def kv_value(s: Column, key: str) -> Column:
     """Value of ``key`` in ``k=v; k=v`` text; the whole text where the key is absent."""
     found = F.regexp_extract(s, rf"{key}=([^;]+)", 1)
-    return F.when(found != "", F.trim(found)).otherwise(s)
+    return F.when(found != "", strip(found)).otherwise(s)
 
 
 def kv_pairs(s: Column, separator: str = "&") -> Column:
