@@ -9,7 +9,7 @@ it when its measured size allows and splits skewed signals otherwise.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.functions.columns import clamp, half_even
@@ -43,8 +43,12 @@ def long_form(blocks: DataFrame, value: str = "samples", out: str = "value", *ke
 
 
 def block_peak(col: str = "samples") -> Column:
-    """Largest magnitude inside one block, computed in a wider type than int16."""
-    return F.array_max(F.transform(F.col(col), lambda x: F.abs(x.cast("double"))))
+    """Largest magnitude inside one block, computed in a wider type than int16.
+
+    From the two extremes, which generated code finds without a lambda.
+    """
+    high, low = F.array_max(col).cast("double"), F.array_min(col).cast("double")
+    return F.greatest(F.abs(high), F.abs(low))
 
 
 def _with_signal(blocks: DataFrame, per_signal: DataFrame) -> DataFrame:
@@ -178,13 +182,13 @@ def _paired(first: DataFrame, second: DataFrame) -> DataFrame:
     """
     other = second.select("signal_id", "ch", "block_no", F.col("samples").cast(SAMPLES).alias("_raw"))
     joined = first.join(other, ["signal_id", "ch", "block_no"], "left")
-    fitted = F.transform(
-        F.sequence(F.lit(0), F.size("samples") - 1),
-        lambda i: F.coalesce(F.get(F.col("_raw"), i), F.lit(0.0)),
-    )
-    empty = F.array().cast(SAMPLES)
+    size = F.size("samples")
+    fitted = F.slice(F.concat("_raw", F.array_repeat(F.lit(0.0), size)), F.lit(1), size)
     return joined.withColumn(
-        "other", F.when(F.size("samples") > 0, fitted).otherwise(empty)
+        "other",
+        F.when(F.size("_raw") == size, F.col("_raw"))
+        .when(F.col("_raw").isNull(), F.array_repeat(F.lit(0.0), size))
+        .otherwise(fitted),
     ).drop("_raw")
 
 
@@ -330,11 +334,15 @@ def frame_signal(chunks: DataFrame, frame: int, trim: int) -> DataFrame:
 
 def spectrum_frames(frames: DataFrame) -> DataFrame:
     """Magnitude spectrum of each frame, one array of ``n/2 + 1`` bins per row."""
-    @F.pandas_udf("array<double>")
-    def magnitudes(samples: pd.Series) -> pd.Series:
+
+    @F.arrow_udf("array<double>")
+    def magnitudes(samples: pa.Array) -> pa.Array:
         import numpy as np
 
-        return samples.map(lambda s: np.abs(np.fft.rfft(np.asarray(s, dtype=np.float64))))
+        edges, values = np.asarray(samples.offsets), np.asarray(samples.values)
+        spectra = [np.abs(np.fft.rfft(values[a:b])) for a, b in zip(edges[:-1], edges[1:])]
+        sizes = np.cumsum([0] + [len(x) for x in spectra])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(spectra or [values[:0]])))
 
     return frames.withColumn("magnitude", magnitudes(F.col("samples").cast(SAMPLES))).drop("samples")
 
@@ -354,20 +362,28 @@ def resample_linear(blocks: DataFrame, target_sr: int) -> DataFrame:
     start, size = F.col("start_idx").cast("bigint"), F.size("samples")
     first = F.ceil(start * t / s).cast("bigint")
     stop = F.ceil((start + size) * t / s).cast("bigint")
-    joined = typed.join(heads, ["signal_id", "ch", "block_no"], "left").withColumn("_first", first).withColumn("_stop", stop)
-    ext = F.concat("samples", F.array(F.coalesce("_next", F.element_at("samples", -1))))
 
-    def at(j: Column) -> Column:
-        num = j * s
-        i = (F.floor(num / t) - start).cast("int")
-        frac = F.pmod(num, t) / t
-        left = F.get(F.col("_ext"), i)
-        return left + (F.get(F.col("_ext"), i + 1) - left) * frac
+    @F.arrow_udf("array<double>")
+    def interpolate(
+        samples: pa.Array, following: pa.Array, begin: pa.Array, first: pa.Array, stop: pa.Array, sr: pa.Array
+    ) -> pa.Array:
+        import numpy as np
 
+        edges, values = np.asarray(samples.offsets), np.asarray(samples.values)
+        out = []
+        for row, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            known = np.append(values[a:b], following[row].as_py())
+            at = np.arange(first[row].as_py(), stop[row].as_py(), dtype=np.int64) * sr[row].as_py()
+            left = at // target_sr - begin[row].as_py()
+            out.append(known[left] + (known[left + 1] - known[left]) * (at % target_sr / target_sr))
+        sizes = np.cumsum([0] + [len(x) for x in out])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out or [values[:0]])))
+
+    joined = typed.join(heads, ["signal_id", "ch", "block_no"], "left")
+    after = F.coalesce("_next", F.element_at("samples", -1))
     return (
-        joined.where(F.col("_first") < F.col("_stop"))
-        .withColumn("_ext", ext)
-        .withColumn("_out", F.transform(F.sequence(F.col("_first"), F.col("_stop") - 1), at))
+        joined.withColumn("_first", first).withColumn("_stop", stop).where(F.col("_first") < F.col("_stop"))
+        .withColumn("_out", interpolate("samples", after, start, "_first", "_stop", s))
         .select(
             "signal_id", "ch", "block_no", F.col("_first").alias("start_idx"),
             F.lit(target_sr).alias("sr"), F.col("_out").alias("samples"),

@@ -17,6 +17,7 @@ def spark():
     session = build_session(
         "songloom-tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
         spark__driver__memory="6g", spark__ui__showConsoleProgress="false",
+        spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
     )
     session.sparkContext.setLogLevel("OFF")

@@ -52,3 +52,20 @@ def test_shared_folder_comes_from_the_session(spark, blocks):
     assert shared_dir(spark) == named and fresh_path(spark, "x").startswith(named)
     df = materialized(blocks({1: [[1.0, 2.0]]}), "t")
     assert named in df.inputFiles()[0] and long_form(df).count() == 2
+
+
+def test_bucketed_tracks_pair_without_a_shuffle(spark, blocks, samples):
+    from songloom.operators.signals import align_tracks
+    from songloom.sources.blocks import load_blocks, save_blocks
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        save_blocks(blocks({1: [[1.0, 2.0, 3.0]], 2: [[4.0]]}, block=2), "track_first", 4)
+        save_blocks(blocks({1: [[5.0]], 2: [[6.0, 7.0]]}, block=2), "track_second", 4)
+        df = align_tracks(load_blocks(spark, "track_first"), load_blocks(spark, "track_second"))
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert samples(df) == {(1, 0): [5.0, 0.0, 0.0], (2, 0): [6.0]}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS track_first")
+        spark.sql("DROP TABLE IF EXISTS track_second")
