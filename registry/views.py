@@ -77,7 +77,7 @@ def frames(spark, sf) -> DataFrame:
 
 def f0v(spark, sf) -> DataFrame:
     ev = frames(spark, sf)
-    return numbered_within(ev, ["signal_id"], ["t", "event_id"], F.floor(F.col("t") / DAY_US), "frame_no").select(
+    return numbered_within(ev, ["signal_id"], ["t", "event_id"], "frame_no").select(
         "signal_id", "frame_no", "hz"
     )
 

@@ -4,37 +4,50 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from songloom.session import checkpointed
+
+
+def range_slices(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows in contiguous, sorted slices of ``order``, numbered in ``_slice``.
+
+    Range partitioning cuts by share of rows, so a hot key covers as many
+    slices as it fills, and only the first key of a slice can have rows in the
+    slice before. ``order`` should be unique per row. The result is
+    checkpointed: every later pass, also one repeated after the loss of an
+    executor, sees the same slices.
+    """
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return checkpointed(ranged.sortWithinPartitions(*order).withColumn("_slice", F.spark_partition_id()))
 
 
 def numbered_within(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str, start: int = 0
+    df: DataFrame, keys: list[str], order: list[str], out: str, start: int = 0, partitions: int | None = None
 ) -> DataFrame:
-    """Row number per key in ``order``, computed per (key, bucket).
+    """Row number per key in ``order``, without gathering a key in one task.
 
-    ``bucket`` must be non-decreasing in the first order column (for instance a
-    day). Rows are numbered inside their bucket and shifted by the count of
-    rows in earlier buckets, so a hot key is split over its buckets and only
-    the per-bucket counts are scanned per key.
+    Rows are numbered inside their slice and shifted by the key's rows in
+    earlier slices; at most one key per slice needs the shift.
     """
-    tagged = df.withColumn("_bucket", bucket)
-    counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(k).alias(f"_o_{k}") for k in keys],
-        F.col("_bucket").alias("_o_bucket"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+    sliced = range_slices(df, keys + order, partitions)
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        counts.withColumn("_before", F.sum("_n").over(earlier)).where(F.col("_before") > 0)
+        .select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_slice").alias("_o_slice"), "_before")
     )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    numbered = tagged.withColumn("_rn", F.row_number().over(inside))
-    cond = reduce(
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    numbered = sliced.withColumn("_rn", F.row_number().over(inside))
+    same = reduce(
         lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col("_bucket").eqNullSafe(F.col("_o_bucket"))],
+        [F.col("_slice") == F.col("_o_slice")] + [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys],
     )
+    # at most one row per slice, so the hint is bounded by the partition count
     return (
-        numbered.join(offsets, cond)
-        .withColumn(out, (F.col("_rn") - 1 + start + F.col("_before")).cast("bigint"))
-        .drop("_rn", "_before", "_bucket", "_o_bucket", *[f"_o_{k}" for k in keys])
+        numbered.join(F.broadcast(offsets), same, "left")
+        .withColumn(out, (F.col("_rn") - 1 + start + F.coalesce("_before", F.lit(0))).cast("bigint"))
+        .select(*df.columns, out)
     )
 
 

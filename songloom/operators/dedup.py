@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.functions.columns import seconds_to_micros, strip
-from songloom.session import checkpointed
+from songloom.functions.ordering import range_slices
 
 # Reuse window in seconds.
 DEDUP_WINDOW_S = 600
@@ -45,10 +45,7 @@ def _sliced(requests: DataFrame, window_us: int, partitions: int | None) -> Data
         (F.col("t") + F.col("dur") + F.when(F.col("ok"), F.lit(window_us)).otherwise(F.lit(0)))
         .cast("bigint").alias("_expiry"),
     )
-    order = ["_key", "_t", "request_id"]
-    ranged = keyed.repartitionByRange(partitions, *order) if partitions else keyed.repartitionByRange(*order)
-    # both passes below must see the same slices, also after losing an executor
-    return checkpointed(ranged.sortWithinPartitions(*order).withColumn("_slice", F.spark_partition_id()))
+    return range_slices(keyed, ["_key", "_t", "request_id"], partitions)
 
 
 def _slice_steps(slices: DataFrame) -> DataFrame:
@@ -61,30 +58,53 @@ def _slice_steps(slices: DataFrame) -> DataFrame:
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        rows = pd.concat(frames, ignore_index=True)
-        keys = rows["_key"].to_numpy()
-        for key, entering in dict([(keys[-1], False), (keys[0], True)]).items():
-            mine = np.flatnonzero(keys == key)
-            t = rows["_t"].to_numpy()[mine]
-            expiry = rows["_expiry"].to_numpy()[mine]
-            n = len(t)
-            nxt = np.maximum(np.searchsorted(t, expiry, side="left"), np.arange(n) + 1).tolist()
-            last = list(range(n))
-            for i in range(n - 1, -1, -1):
-                if nxt[i] < n:
-                    last[i] = last[nxt[i]]
-            last = np.asarray(last)
-            ends = np.flatnonzero(np.append(last[1:] != last[:-1], True)) if entering else np.array([0])
-            final = last[ends]
-            yield pd.DataFrame({
-                "_key": key, "_slice": rows["_slice"].iat[0], "_upto": t[ends], "_leave": expiry[final],
-                "_leader": rows["request_id"].to_numpy()[mine][final],
-                "_leader_ok": rows["ok"].to_numpy()[mine][final], "_first": entering,
+        def row(key, slice_no, upto, leave, leader, ok, first):
+            return pd.DataFrame({
+                "_key": key, "_slice": slice_no, "_upto": upto, "_leave": leave, "_leader": leader,
+                "_leader_ok": ok, "_first": first,
             })
 
+        head, parts, slice_no = None, [], None  # rows of the slice's first key
+        tail, tail_from, run = None, None, None  # current run of its last key
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch["_key"].to_numpy()
+            columns = [batch[c].to_numpy() for c in ("_t", "_expiry", "request_id", "ok")]
+            if head is None:
+                head, slice_no = keys[0], int(batch["_slice"].iat[0])
+            other = np.flatnonzero(keys != head)
+            n_head = int(other[0]) if len(other) else len(keys)
+            if n_head:
+                parts.append([c[:n_head] for c in columns])
+            if n_head == len(keys):
+                continue
+            before = np.flatnonzero(keys != keys[-1])
+            i = int(before[-1]) + 1 if len(before) else 0
+            t, expiry, ids, oks = columns
+            if keys[-1] != tail:
+                tail, tail_from, run = keys[-1], int(t[i]), None
+            while i < len(t):
+                i = i if run is None else max(i, int(np.searchsorted(t[i:], run[0], side="left")) + i)
+                if i < len(t):
+                    run = (int(expiry[i]), int(ids[i]), bool(oks[i]))
+                    i += 1
+        if head is None:
+            return
+        t, expiry, ids, oks = (np.concatenate(c) for c in zip(*parts))
+        n = len(t)
+        nxt = np.maximum(np.searchsorted(t, expiry, side="left"), np.arange(n) + 1).tolist()
+        last = list(range(n))
+        for i in range(n - 1, -1, -1):
+            if nxt[i] < n:
+                last[i] = last[nxt[i]]
+        last = np.asarray(last)
+        ends = np.flatnonzero(np.append(last[1:] != last[:-1], True))
+        final = last[ends]
+        yield row(head, slice_no, t[ends], expiry[final], ids[final], oks[final], True)
+        if tail is not None:
+            yield row(tail, slice_no, [tail_from], *([x] for x in run), False)
+
     return slices.mapInPandas(
         summarise,
         "_key string, _slice int, _upto bigint, _leave bigint, _leader bigint, _leader_ok boolean, _first boolean",

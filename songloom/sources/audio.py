@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from songloom.operators.signals import pcm16_value
 
 BLOCK_SAMPLES = 65536
+FILE_SAMPLES = 2**28
 BLOCK_SCHEMA = "signal_id string, ch int, block_no bigint, start_idx bigint, sr int, samples array<smallint>"
 
 
@@ -50,13 +51,20 @@ def float_blocks_to_pcm(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("samples", F.transform("samples", pcm16_value))
 
 
-def encode_wav(blocks: DataFrame) -> DataFrame:
+def encode_wav(blocks: DataFrame, max_samples: int = FILE_SAMPLES) -> DataFrame:
     """One WAV per signal: ``signal_id, sr, n_samples, n_bytes, wav BINARY``.
 
-    A WAV is one byte string, so its samples meet in one row; what crosses the
-    shuffle is the packed PCM of each block, interleaved per block first.
+    A WAV is one byte string, so its samples meet in one row. The format ends
+    at 4 GiB and a row at 2; a signal longer than ``max_samples`` goes on in
+    files named ``<signal>-2``, ``<signal>-3`` and so on, so that no group
+    grows with the signal.
     """
-    chans = blocks.groupBy("signal_id", "block_no").agg(
+    # whole blocks only: a block belongs to the file its first sample falls in
+    file_no = F.floor(F.col("start_idx") / max_samples)
+    name = F.when(file_no == 0, F.col("signal_id").cast("string")).otherwise(
+        F.concat_ws("-", F.col("signal_id").cast("string"), (file_no + 1).cast("string"))
+    )
+    chans = blocks.groupBy(name.alias("signal_id"), "block_no").agg(
         F.min("start_idx").alias("start_idx"), F.max("sr").alias("sr"),
         F.array_sort(F.collect_list(F.struct("ch", "samples"))).alias("_chs"),
     )
@@ -81,7 +89,7 @@ def encode_wav(blocks: DataFrame) -> DataFrame:
                 wav.writeframes(data.tobytes())
                 total += len(data)
         raw = buf.getvalue()
-        return pd.DataFrame([(str(key[0]), sr, total, len(raw), raw)], columns=["signal_id", "sr", "n_samples", "n_bytes", "wav"])
+        return pd.DataFrame([(key[0], sr, total, len(raw), raw)], columns=["signal_id", "sr", "n_samples", "n_bytes", "wav"])
 
     return chans.groupBy("signal_id").applyInPandas(write, out)
 

@@ -16,8 +16,9 @@ def test_exact_median_and_numbering(spark):
     df = spark.createDataFrame(rows, "k long, i long, x double")
     got = {r.k: (r.n_values, r["median"]) for r in exact_median(df, "k", "x").collect()}
     assert got == {k: (len(v), pytest.approx(statistics.median(v))) for k, v in groups.items()}
-    numbered = numbered_within(df, ["k"], ["i"], F.floor(F.col("i") / 7), "n", start=1).collect()
-    assert len(numbered) == len(rows) and all(r.n == r.i + 1 for r in numbered)
+    for partitions in (None, 40):
+        numbered = numbered_within(df, ["k"], ["i"], "n", start=1, partitions=partitions).collect()
+        assert len(numbered) == len(rows) and all(r.n == r.i + 1 for r in numbered)
 
 
 def test_voicing_gates(spark):

@@ -24,6 +24,13 @@ def test_wav_round_trip(spark, blocks, samples, tmp_path):
     assert {(r.block_no, r.start_idx) for r in back.where("signal_id = '1'").collect()} == {(0, 0), (1, 3)}
 
 
+def test_long_signals_go_on_in_numbered_files(spark, blocks, samples, tmp_path):
+    encoded = audio.encode_wav(blocks({7: [list(range(11))], 8: [[1, 2]]}, block=2, kind="smallint"), max_samples=4)
+    assert {r.signal_id: r.n_samples for r in encoded.collect()} == {"7": 4, "7-2": 4, "7-3": 3, "8": 2}
+    audio.write_wav_files(encoded, str(tmp_path))
+    assert samples(audio.audio_scan(spark, str(tmp_path)))["7-3", 0] == [8, 9, 10]
+
+
 def test_other_wav_kinds_are_refused(spark, tmp_path):
     with wave.open(str(tmp_path / "x.wav"), "wb") as w:
         w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000), w.writeframes(b"\x00\x01")
