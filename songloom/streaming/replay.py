@@ -1,21 +1,41 @@
-"""Run a streaming DataFrame over everything available and read its result."""
+"""Run a streaming DataFrame over everything available."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from songloom.session import fresh_path
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+@contextmanager
+def _state_partitions(spark: SparkSession):
+    """State partitions of a new query: as configured, but no more than there are cores.
+
+    Every partition commits its own state files per batch. The number is fixed
+    by the checkpoint when the query starts, so the session gets its value back.
+    """
+    configured = spark.conf.get(_PARTITIONS)
+    spark.conf.set(_PARTITIONS, str(min(int(configured), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_PARTITIONS, configured)
+
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drive ``stream`` through a Parquet sink in the shared folder and read it back."""
     spark = stream.sparkSession
     base = fresh_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode)
-        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True).start()
-    )
+    with _state_partitions(spark):
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode)
+            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+            .trigger(availableNow=True).start()
+        )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
