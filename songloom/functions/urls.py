@@ -51,25 +51,34 @@ def _collapse_dots(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.concat(folded, closing), "/"))
 
 
+def url_base(base: Column) -> Column:
+    """The parts of a base URL that joining needs, as a struct."""
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"^(.*/)", 1)
+    return F.struct(
+        base.alias("url"), origin.alias("origin"), F.concat(F.substring_index(origin, ":", 1), F.lit(":")).alias("scheme"),
+        path.alias("path"), F.when(folder == "", F.lit("/")).otherwise(folder).alias("folder"),
+    )
+
+
 def url_join(base: Column, ref: Column) -> Column:
-    """Join a reference to a base URL by the usual URL rules.
+    """Join a reference to a base, given as :func:`url_base`, by the usual URL rules.
 
     Absolute references stay as they are; ``//host``, ``/rooted``, ``?query``
     and relative forms resolve against the base.
     """
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
-    base_path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    origin = base["origin"]
     ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
     tail = F.substring(ref, F.length(ref_path) + 1, F.length(ref))
+    rooted = F.when(ref.startswith("/"), ref_path).otherwise(F.concat(base["folder"], ref_path))
+    dotted = ref_path.rlike(r"(^|/)\.\.?(/|$)") | base["folder"].rlike(r"/\.\.?/")
     return (
-        F.when(ref == "", base)
-        .when(ref.startswith("#"), F.concat(F.substring_index(base, "#", 1), ref))
+        F.when(ref == "", base["url"])
+        .when(ref.startswith("#"), F.concat(F.substring_index(base["url"], "#", 1), ref))
         .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(scheme, ref))
-        .when(ref.startswith("/"), F.concat(origin, _collapse_dots(ref_path), tail))
-        .when(ref_path == "", F.concat(origin, base_path, tail))
-        .otherwise(F.concat(origin, _collapse_dots(F.concat(folder, ref_path)), tail))
+        .when(ref.startswith("//"), F.concat(base["scheme"], ref))
+        .when(ref_path == "", F.concat(origin, base["path"], tail))
+        .when(dotted, F.concat(origin, _collapse_dots(rooted), tail))
+        .otherwise(F.concat(origin, rooted, tail))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from songloom.functions.columns import blank_to_null, text
-from songloom.functions.urls import has_audio_extension, url_host, url_join
+from songloom.functions.urls import has_audio_extension, url_base, url_host, url_join
 
 # Quality order (prefix, extension), best first.
 QUALITIES = (("F000", ".flac"), ("M800", ".mp3"), ("M500", ".mp3"), ("C400", ".m4a"))
@@ -124,17 +124,19 @@ def best_url_by_quality(answers: DataFrame) -> DataFrame:
     named = F.get(F.filter("servers", lambda s: s.isNotNull() & (s != "")), 0)
     server = F.coalesce(secure, named)
 
-    def resolve(c: Column) -> Column:
+    def answer(c: Column) -> Column:
         mine = F.filter("files", lambda f: f["filename"] == c["candidate"])
         purl = blank_to_null(F.try_element_at(mine, F.lit(-1))["purl"])
-        joined = url_join(F.col("_server"), purl)
-        usable = F.when(joined.rlike(r"^https?://[^/?#]"), joined)
-        url = F.when(purl.rlike("^https?://"), purl).otherwise(usable)
-        return F.struct(c["rank"].alias("rank"), url.alias("url"))
-
-    tried = F.transform(_quality_names(F.col("song_id"), F.col("media_id")), resolve)
-    first = F.get(F.filter(tried, lambda t: t["url"].isNotNull()), 0)
-    return answers.withColumn("_server", server).withColumn("_hit", first).select(
+        return F.struct(c["rank"].alias("rank"), purl.alias("purl"), purl.rlike("^https?://").alias("absolute"))
+
+    def resolve(c: Column) -> Column:
+        url = F.when(c["absolute"], c["purl"]).otherwise(url_join(F.col("_server"), c["purl"]))
+        return F.struct(c["rank"].alias("rank"), url.alias("url"), c["absolute"].alias("absolute"))
+
+    # one step per array: a later step reads what an earlier one computed
+    tried = F.transform(F.transform(_quality_names(F.col("song_id"), F.col("media_id")), answer), resolve)
+    usable = F.filter(tried, lambda c: c["absolute"] | c["url"].rlike(r"^https?://[^/?#]"))
+    return answers.withColumn("_server", url_base(server)).withColumn("_hit", F.get(usable, 0)).select(
         "song_id", F.col("_hit.url").alias("url"), F.col("_hit.rank").alias("rank")
     )
 

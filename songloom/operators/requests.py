@@ -94,8 +94,12 @@ def request_params(requests: DataFrame) -> DataFrame:
     ``bad_param`` names the first parameter that must be a number and is not;
     the two key settings fall back to their defaults instead.
     """
-    parsed = requests.withColumn("_q", url_query(F.col("url")))
-    value = lambda k: query_value(F.col("_q"), k)
+    names = (*PARAM_TEXT, *PARAM_INT, *PARAM_FLOAT, *PARAM_LENIENT_INT, "trim", "with_instrumental", "auto_key")
+    # read each key once; the typed columns below use the result several times
+    parsed = requests.withColumn("_q", url_query(F.col("url"))).select(
+        "request_id", *[query_value(F.col("_q"), k).alias(f"_v_{k}") for k in names]
+    )
+    value = lambda k: F.col(f"_v_{k}")
     number = lambda k, t: value(k).try_cast(t)
     columns: dict[str, Column] = {}
     for k, d in PARAM_TEXT.items():
@@ -138,15 +142,18 @@ def kv_extract(urls: DataFrame) -> DataFrame:
     )
 
 
-def callback_state(line: Column) -> Column:
-    """State named by the quoted arguments of a login callback.
+def callback_args(line: Column) -> Column:
+    """Quoted arguments of a login callback, in order."""
+    call = F.regexp_extract(F.coalesce(line, F.lit("")), r"ptuiCB\((.*)\)", 1)
+    return F.regexp_extract_all(call, F.lit(r"'((?:\\.|[^'])*)'"), F.lit(1))
+
+
+def callback_state(args: Column) -> Column:
+    """State named by the callback's first argument.
 
     A success must carry its two credentials in the third argument.
     """
-    call = F.regexp_extract(F.coalesce(line, F.lit("")), r"ptuiCB\((.*)\)", 1)
-    args = F.regexp_extract_all(call, F.lit(r"'((?:\\.|[^'])*)'"), F.lit(1))
-    code = F.get(args, 0)
-    link = F.coalesce(F.get(args, 2), F.lit(""))
+    code, link = F.get(args, 0), F.coalesce(F.get(args, 2), F.lit(""))
     complete = link.rlike(r"[?&]uin=\d+") & link.rlike(r"[?&]ptsigx=[^&]+")
     named = F.create_map(*[F.lit(v) for kv in CALLBACK_STATES.items() for v in kv])
     return (
@@ -160,7 +167,8 @@ def callback_state_counts(lines: DataFrame) -> DataFrame:
     """Callbacks per session and state. ``lines(session, line)``."""
     states = ("waiting", "scanned", "expired", "success", "error")
     return (
-        lines.select("session", callback_state(F.col("line")).alias("_s"))
+        lines.select("session", callback_args(F.col("line")).alias("_a"))
+        .select("session", callback_state(F.col("_a")).alias("_s"))
         .groupBy("session").agg(*[F.count(F.when(F.col("_s") == s, 1)).alias(s) for s in states])
     )
 

@@ -58,7 +58,7 @@ def test_callback_states(spark):
         "ptuiCB('0')": "error", "ptuiCB()": "error", "": "error", "ptuiCB('it\\'s','0')": "waiting",
     }
     df = spark.createDataFrame([(k,) for k in lines], "line string")
-    got = {x.line: x.s for x in df.select("line", r.callback_state(F.col("line")).alias("s")).collect()}
+    got = {x.line: x.s for x in df.select("line", r.callback_state(r.callback_args(F.col("line"))).alias("s")).collect()}
     assert got == lines
 
 
