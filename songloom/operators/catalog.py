@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from songloom.functions.columns import blank_to_null, text
 from songloom.functions.urls import has_audio_extension, url_base, url_host, url_join
+from songloom.session import sized
 
 # Quality order (prefix, extension), best first.
 QUALITIES = (("F000", ".flac"), ("M800", ".mp3"), ("M500", ".mp3"), ("C400", ".m4a"))
@@ -64,7 +65,8 @@ def keyword_topk(
         .groupBy("_s").agg(F.collect_list("song_id").alias("_ids"))
     )
     postings = sets.select("_s", "_ids", F.explode("_s").alias("_word"))
-    hot_words = postings.groupBy("_word").count().where(F.col("count") > hot_df).select("_word")
+    # at most (words in all sets) / hot_df rows; small enough to spare the postings a shuffle on hot words
+    hot_words = sized(postings.groupBy("_word").count().where(F.col("count") > hot_df).select("_word"), "hot-words")
 
     rare = (
         postings.join(hot_words, "_word", "left_anti").join(query_words, "_word")

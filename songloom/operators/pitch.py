@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from songloom.functions.columns import blank_to_null, clamp, half_even, text
 from songloom.functions.ordering import exact_median
+from songloom.session import sized
 
 # Voicing gate and key limits.
 MIN_VOICED_FRAMES = 50
@@ -56,7 +57,7 @@ def auto_key(
         .when(~(F.col("_ref") > 0), "reference_unvoiced")
         .otherwise("ok")
     )
-    return songs.join(ref, by, "left").select(
+    return songs.join(sized(ref, "references"), by, "left").select(
         "signal_id",
         F.when(ok, semitones(F.col("_ref"), F.col("median_hz"), offset, limit)).alias("n_semitones"),
         reason.alias("reason"),
@@ -104,7 +105,7 @@ def transpose_pitch(f0: DataFrame, keys: DataFrame) -> DataFrame:
     shift = keys.select("signal_id", "n_semitones")
     factor = F.pow(F.lit(2.0), F.coalesce("n_semitones", F.lit(0)) / F.lit(12.0))
     hz = F.when(F.col("hz") > 0, F.col("hz") * factor).otherwise(F.lit(0.0))
-    return f0.join(shift, "signal_id", "left").withColumn("hz", hz).select(*f0.columns)
+    return f0.join(sized(shift, "keys"), "signal_id", "left").withColumn("hz", hz).select(*f0.columns)
 
 
 def profile_incremental(current: DataFrame, history: DataFrame, frames: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def profile_incremental(current: DataFrame, history: DataFrame, frames: DataFram
         *version, "median_hz", F.lit(False).alias("recomputed")
     )
     misses = current.select(*version).join(history.select(*version), version, "left_anti")
-    wanted = frames.join(misses.select("path"), "path", "left_semi").select(
+    wanted = frames.join(sized(misses.select("path"), "misses"), "path", "left_semi").select(
         F.col("path").alias("signal_id"), "hz"
     )
     fresh = voiced_median(wanted).select(

@@ -3,8 +3,8 @@
 A block table holds ``signal_id, ch, block_no, start_idx, sr, samples``: one
 row per channel and bounded run of samples. Per-sample work stays inside the
 row (higher-order functions); only one small row per signal crosses a shuffle.
-Joins back to that row carry no broadcast hint: adaptive execution broadcasts
-it when its measured size allows and splits skewed signals otherwise.
+Joins back to that row carry no broadcast hint: the planner broadcasts it when
+its measured size allows, and adaptive execution splits skewed signals otherwise.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.functions.columns import clamp, half_even
+from songloom.session import sized
 
 # Loudness, silence and mixing constants.
 TARGET_PEAK = 0.89
@@ -52,7 +53,8 @@ def block_peak(col: str = "samples") -> Column:
 
 
 def _with_signal(blocks: DataFrame, per_signal: DataFrame) -> DataFrame:
-    return blocks.join(per_signal, "signal_id")
+    """Blocks with their signal's row; samples are shuffled only if that table is large."""
+    return blocks.join(sized(per_signal, "per-signal"), "signal_id")
 
 
 def _cut_array(col, lo: Column, length: Column) -> Column:

@@ -18,6 +18,8 @@ def build_session(app: str = "songloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # one row per signal of a large collection still fits
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # call sites of column expressions are not recorded: plans build twice as fast
         "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -65,3 +67,19 @@ def materialized(df, name: str):
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df, name: str):
+    """``df`` with a size the planner can rely on, for the small side of a join.
+
+    The planner's estimate for an aggregate follows its input, so over a large
+    input even one row per signal is planned as a shuffled join, and adaptive
+    execution finds out only after the large side has been written for it.
+    Where the estimate is above the broadcast limit the result is therefore
+    written first (it is small next to its input) and read back: the planner
+    then sees its true size and broadcasts it or, beyond the limit, shuffles.
+    """
+    state = df.sparkSession._jsparkSession.sessionState()
+    limit = state.conf().autoBroadcastJoinThreshold()
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if limit < 0 or estimate <= limit else materialized(df, name)

@@ -64,10 +64,6 @@ def encode_wav(blocks: DataFrame, max_samples: int = FILE_SAMPLES) -> DataFrame:
     name = F.when(file_no == 0, F.col("signal_id").cast("string")).otherwise(
         F.concat_ws("-", F.col("signal_id").cast("string"), (file_no + 1).cast("string"))
     )
-    chans = blocks.groupBy(name.alias("signal_id"), "block_no").agg(
-        F.min("start_idx").alias("start_idx"), F.max("sr").alias("sr"),
-        F.array_sort(F.collect_list(F.struct("ch", "samples"))).alias("_chs"),
-    )
     out = "signal_id string, sr int, n_samples bigint, n_bytes bigint, wav binary"
 
     def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -76,22 +72,22 @@ def encode_wav(blocks: DataFrame, max_samples: int = FILE_SAMPLES) -> DataFrame:
 
         import numpy as np
 
-        pdf = pdf.sort_values("start_idx")
-        channels = len(pdf["_chs"].iat[0])
+        pdf = pdf.sort_values(["start_idx", "ch"])
+        channels = pdf["ch"].nunique()
         sr = int(pdf["sr"].iat[0])
         buf, total = io.BytesIO(), 0
         with wave.open(buf, "wb") as wav:
             wav.setnchannels(channels)
             wav.setsampwidth(2)
             wav.setframerate(sr)
-            for parts in pdf["_chs"]:
-                data = np.stack([np.asarray(p["samples"], dtype="<i2") for p in parts], axis=1)
+            for _, parts in pdf.groupby("start_idx", sort=True):
+                data = np.stack([np.asarray(p, dtype="<i2") for p in parts["samples"]], axis=1)
                 wav.writeframes(data.tobytes())
                 total += len(data)
         raw = buf.getvalue()
         return pd.DataFrame([(key[0], sr, total, len(raw), raw)], columns=["signal_id", "sr", "n_samples", "n_bytes", "wav"])
 
-    return chans.groupBy("signal_id").applyInPandas(write, out)
+    return blocks.select(name.alias("signal_id"), "ch", "start_idx", "sr", "samples").groupBy("signal_id").applyInPandas(write, out)
 
 
 def audio_export(blocks: DataFrame) -> DataFrame:
