@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from songloom.functions.columns import blank_to_null, text
 from songloom.functions.urls import has_audio_extension, url_base, url_host, url_join
-from songloom.session import sized
+from songloom.session import materialized, sized
 
 # Quality order (prefix, extension), best first.
 QUALITIES = (("F000", ".flac"), ("M800", ".mp3"), ("M500", ".mp3"), ("C400", ".m4a"))
@@ -60,9 +60,11 @@ def keyword_topk(
 
     smallest = lambda key: F.row_number().over(W.partitionBy(key).orderBy("song_id"))
     titled = songs.select("song_id", tokens(F.col("name")).alias("_s"))
-    sets = (
+    # written once: three steps below read it, and songs may be costly to derive
+    sets = materialized(
         titled.withColumn("_n", smallest("_s")).where(F.col("_n") <= limit)
-        .groupBy("_s").agg(F.collect_list("song_id").alias("_ids"))
+        .groupBy("_s").agg(F.collect_list("song_id").alias("_ids")),
+        "word-sets",
     )
     postings = sets.select("_s", "_ids", F.explode("_s").alias("_word"))
     # at most (words in all sets) / hot_df rows; small enough to spare the postings a shuffle on hot words

@@ -39,37 +39,38 @@ def _names(people: Column) -> Column:
     return F.array_join(F.filter(named, lambda n: n != ""), ", ")
 
 
-def _entries(payloads: DataFrame, path: str, schema: str) -> DataFrame:
-    """One parsed row per object of the JSON array at ``path``."""
-    listed = F.from_json(F.get_json_object("payload", path), "array<string>")
-    return payloads.select(F.explode(_objects(listed)).alias("_e")).select(F.from_json("_e", schema).alias("s"))
-
+def _entries(payloads: DataFrame, path: str, schema: str, song_id, name) -> DataFrame:
+    """One parsed row ``s`` per song object with an id and a name at ``path``.
 
-def _known(songs: DataFrame) -> DataFrame:
-    return songs.where((F.col("song_id") != "") & (F.col("name") != ""))
+    Entries are parsed and filtered inside the array: a filter on the exploded
+    rows would be pushed below the parse and parse every entry again.
+    """
+    listed = F.from_json(F.get_json_object("payload", path), "array<string>")
+    parsed = F.transform(_objects(listed), lambda e: F.from_json(e, schema))
+    known = F.filter(parsed, lambda s: (song_id(s) != "") & (name(s) != ""))
+    return payloads.select(F.explode(known).alias("s"))
 
 
 def songs_from_json_163(payloads: DataFrame) -> DataFrame:
     """Songs of the first provider. ``payloads(payload_id, payload)``."""
-    return _known(_entries(payloads, "$.result.songs", _SONG_163).select(
-        _text(F.col("s.id")).alias("song_id"),
-        _text(F.col("s.name")).alias("name"),
-        _names(F.col("s.artists")).alias("artists"),
-        _text(F.get_json_object("s.album", "$.name")).alias("album"),
-        F.lit("163").alias("platform"),
-    ))
+    song_id, name = lambda s: _text(s["id"]), lambda s: _text(s["name"])
+    s = F.col("s")
+    return _entries(payloads, "$.result.songs", _SONG_163, song_id, name).select(
+        song_id(s).alias("song_id"), name(s).alias("name"), _names(s["artists"]).alias("artists"),
+        _text(F.get_json_object(s["album"], "$.name")).alias("album"), F.lit("163").alias("platform"),
+    )
 
 
 def songs_from_json_qq(payloads: DataFrame) -> DataFrame:
     """Songs of the second provider, with its fallback keys and media id."""
-    return _known(_entries(payloads, "$.req_1.data.body.song.list", _SONG_QQ).select(
-        _either(F.col("s.mid"), F.col("s.songmid")).alias("song_id"),
-        _either(F.col("s.name"), F.col("s.songname")).alias("name"),
-        _names(F.col("s.singer")).alias("artists"),
-        _text(F.get_json_object("s.album", "$.name")).alias("album"),
-        F.lit("qq").alias("platform"),
-        _either(F.get_json_object("s.file", "$.media_mid"), F.col("s.strMediaMid")).alias("media_id"),
-    ))
+    song_id = lambda s: _either(s["mid"], s["songmid"])
+    name = lambda s: _either(s["name"], s["songname"])
+    s = F.col("s")
+    return _entries(payloads, "$.req_1.data.body.song.list", _SONG_QQ, song_id, name).select(
+        song_id(s).alias("song_id"), name(s).alias("name"), _names(s["singer"]).alias("artists"),
+        _text(F.get_json_object(s["album"], "$.name")).alias("album"), F.lit("qq").alias("platform"),
+        _either(F.get_json_object(s["file"], "$.media_mid"), s["strMediaMid"]).alias("media_id"),
+    )
 
 
 def _is_good(provider: Column, payload: Column) -> Column:
