@@ -33,8 +33,8 @@ def build_session(app: str = "songloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local runs, tests) a scratch folder is
-    created and set as the checkpoint folder of this session.
+    Only a local session that names none (tests) gets a scratch folder, set as
+    its checkpoint folder; a cluster without a shared folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(scratch)
     return spark.sparkContext.getCheckpointDir() or scratch

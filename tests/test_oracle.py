@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from registry.core import QUERIES, oracle
 from tests.conftest import SMALL
 from tools.check import compare, connect
 
-ORACLE = entry.oracle_sql()
+ORACLE = oracle()
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +15,9 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    ok, note = compare(spark, con, SMALL, entry.queries()[name], ORACLE.get(name))
+    ok, note = compare(spark, con, SMALL, QUERIES[name], ORACLE.get(name))
     assert ok, note
 
 
@@ -27,4 +28,4 @@ def test_entry(spark):
 
 
 def test_every_query_is_checked():
-    assert set(ORACLE) == set(entry.queries())
+    assert set(ORACLE) == set(QUERIES)
