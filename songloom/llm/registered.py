@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from songloom.llm.bpe import bpe_decode, bpe_encode, token_count
 from songloom.llm.shared import sha
+from songloom.llm.simhash import hex_digits, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,3 +38,9 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", token_count(F.col("ids")).alias("n_tokens"), sha(F.col("ids")).alias("ids_sha256"),
         sha(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
