@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from songloom.llm.bpe import bpe_decode, bpe_encode, token_count
+from songloom.llm.lines import drop_shared_lines
 from songloom.llm.shared import sha
 from songloom.llm.simhash import hex_digits, near_duplicates
 
@@ -44,3 +45,27 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_shared_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return done.select("doc_id", "lines.n_lines", "lines.n_dropped", sha(F.col("lines.kept")).alias("kept_sha256"))
+
+
+SQL["op4_shared_lines"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), shared AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(s.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN shared s ON k.key = s.key GROUP BY doc_id
+"""
