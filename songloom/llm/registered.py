@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from songloom.llm.bpe import bpe_decode, bpe_encode, token_count
 from songloom.llm.lines import drop_shared_lines
 from songloom.llm.shared import sha
+from songloom.llm.sharding import lpt_shards
 from songloom.llm.simhash import hex_digits, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,12 @@ SELECT doc_id, count(*) AS n_lines, count(s.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL), '')) AS kept_sha256
 FROM keyed k LEFT JOIN shared s ON k.key = s.key GROUP BY doc_id
 """
+
+
+@query
+def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = lpt_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
