@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.llm.shared import whole_text, worker_value
 
 # A pre-token of more characters is encoded each time and not remembered.
 REMEMBERED_CHARS = 32
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -78,29 +79,20 @@ def model_bytes(ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
     return model, np.array([-1, *(r for _, r in ordered)], dtype=np.int64)
 
 
-class Codec:
-    """Encodes and decodes in one worker; built once per worker from the rank file."""
+class Encoder:
+    """Encodes in one worker; built once per worker from the rank file."""
 
     def __init__(self, path: str, pattern: str):
         import regex
         import sentencepiece
 
-        ranks = read_ranks(path)
-        model, self.rank_of = model_bytes(ranks)
+        self.whole = read_ranks(path)
+        model, self.rank_of = model_bytes(self.whole)
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.split = regex.compile(pattern).findall
-        self.chars = {b: c for b, c in enumerate(byte_characters())}
-        self.whole = ranks
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for piece in range(1, self.processor.get_piece_size()):
-            self.tokens[self.rank_of[piece]] = self._unmapped(self.processor.id_to_piece(piece))
+        self.chars = dict(enumerate(byte_characters()))
         self.known: dict[str, bytes] = {}
 
-    def _unmapped(self, piece: str) -> bytes:
-        if not hasattr(self, "byte_of"):
-            self.byte_of = {c: b for b, c in self.chars.items()}
-        return bytes(map(self.byte_of.__getitem__, piece))
-
     def _learn(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of new pre-tokens, packed."""
         found, open_parts = {}, []
@@ -129,12 +121,20 @@ class Codec:
         known.update((p, ids) for p, ids in fresh.items() if len(p) <= REMEMBERED_CHARS)
         return b"".join([known[p] if p in known else fresh[p] for p in parts])
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def token_bytes(path: str) -> list[bytes]:
+    """Bytes of each id: the inverse of the ranks, empty for ids without a token."""
+    ranks = read_ranks(path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
 
 
-def _codec(path: str, pattern: str) -> Codec:
-    return worker_value(("bpe", path, pattern), lambda: Codec(path, pattern))
+def _binary(values: pa.Array, one) -> pa.Array:
+    """``one`` of each value, taken out of Arrow a few at a time so that a batch is never held twice."""
+    out = [pa.array([one(x) for x in values.slice(at, 256).to_pylist()], pa.binary()) for at in range(0, len(values), 256)]
+    return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -146,22 +146,22 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out
     replaced; rows are kept as they are, repeated ones too. ``path`` names the
     rank file, which every worker reads where it is installed.
     """
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(path, pattern)
+    @F.arrow_udf("binary")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = worker_value(("bpe", path, pattern), lambda: Encoder(path, pattern))
         for texts in batches:
-            yield pd.Series([codec.encode(t) for t in texts], dtype=object)
+            yield _binary(texts, encoder.encode)
 
     return docs.withColumn(out, encode(whole_text(docs, text)))
 
 
-def bpe_decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that packed ids stand for; null ids give no bytes."""
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(path, pattern)
+    @F.arrow_udf("binary")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens = worker_value(("bpe tokens", path), lambda: token_bytes(path))
         for packed in batches:
-            yield pd.Series([codec.decode(x) for x in packed], dtype=object)
+            yield _binary(packed, lambda x: b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())))
 
     return docs.withColumn(out, decode(F.coalesce(F.col(ids), F.lit(b""))))
 

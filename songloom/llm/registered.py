@@ -35,7 +35,7 @@ def tokenizer() -> tuple[str, str]:
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = bpe_decode(bpe_encode(docs, *tokenizer()), *tokenizer())
+    coded = bpe_decode(bpe_encode(docs, *tokenizer()), tokenizer()[0])
     return coded.select(
         "doc_id", token_count(F.col("ids")).alias("n_tokens"), sha(F.col("ids")).alias("ids_sha256"),
         sha(F.col("decoded")).alias("decoded_sha256"),
