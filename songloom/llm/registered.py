@@ -11,6 +11,7 @@ from songloom.llm.lines import drop_shared_lines
 from songloom.llm.shared import sha
 from songloom.llm.sharding import lpt_shards
 from songloom.llm.simhash import hex_digits, near_duplicates
+from songloom.llm.substrings import without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +80,33 @@ def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", sha(F.col("kept")).alias("kept_sha256"))
+
+
+SQL["op3_repeated_passages"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS body
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM words)
+), firsts AS (
+  SELECT body, min(doc_id) AS first_id FROM windows GROUP BY body
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS pos
+  FROM windows JOIN firsts USING (body) WHERE doc_id > first_id
+), gone AS (
+  SELECT doc_id, count(*) AS n, list(pos) AS at FROM covered GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words) AS each_word
+  WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = each_word.doc_id AND c.pos = each_word.pos)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
