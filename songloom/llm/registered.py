@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from songloom.llm.balltree import integer_vectors, nearest_by_inner_product
 from songloom.llm.bpe import bpe_decode, bpe_encode, token_count
 from songloom.llm.lines import drop_shared_lines
 from songloom.llm.shared import sha
@@ -110,3 +111,23 @@ WITH words AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return nearest_by_inner_product(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+SQL["op9_ball_tree"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
