@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from songloom.llm.balltree import integer_vectors, nearest_by_inner_product
 from songloom.llm.bpe import bpe_decode, bpe_encode, token_count
+from songloom.llm.langid import fit_languages, identified, part_of
 from songloom.llm.lines import drop_shared_lines
 from songloom.llm.shared import sha
 from songloom.llm.sharding import lpt_shards
@@ -131,3 +132,13 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
 """
+
+
+@query
+def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = part_of(F.col("doc_id"), 4) == 2
+    model = fit_languages(docs.where(~held_out))
+    return identified(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
