@@ -11,6 +11,7 @@ from songloom.llm.bpe import bpe_decode, bpe_encode, token_count
 from songloom.llm.kneser_ney import fit_bigrams, scored
 from songloom.llm.langid import fit_languages, identified, part_of
 from songloom.llm.lines import drop_shared_lines
+from songloom.llm.pii import BASE, personal_data, written
 from songloom.llm.shared import sha
 from songloom.llm.sharding import lpt_shards
 from songloom.llm.simhash import hex_digits, near_duplicates
@@ -154,3 +155,11 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score", "perplexity",
     )
+
+
+@query
+def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, BASE), sha(written(base)).alias("base_sha256"), written(F.col("spans")).alias("spans"))
