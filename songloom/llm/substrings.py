@@ -218,7 +218,7 @@ def _remove(lengths: list[int]):
 
 
 def without_repeats(
-    docs: DataFrame, window: int = 13, groups_per_partition: int = 4, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, window: int = 13, groups_per_partition: int = 2, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``(doc_id, n_words, n_removed, removed, kept)``: each text without repeated passages.
 
@@ -232,8 +232,8 @@ def without_repeats(
     """
     if window < 1:
         raise ValueError("window must be one or more")
-    parts = shuffle_parts(docs.sparkSession) * groups_per_partition
-    lengths, buckets = ladder(window), parts
+    buckets = shuffle_parts(docs.sparkSession)
+    lengths, parts = ladder(window), buckets * groups_per_partition
     key = F.col(doc_id).cast("long")
     own = docs.select(
         F.pmod(F.xxhash64(F.coalesce(key, F.lit(-1))), F.lit(parts)).cast("int").alias("g"), key.alias("id"),
