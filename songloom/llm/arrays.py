@@ -14,6 +14,8 @@ LONG_WORD = 256
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+# everything of ASCII but letters and digits
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -33,10 +35,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without ASCII blanks."""
+def word_spans(raw: bytes, blanks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without ASCII blanks, or without other bytes that count as blank."""
     blank = np.ones(len(raw) + 2, dtype=bool)
-    blank[1:-1] = _BLANK[np.frombuffer(raw, np.uint8)]
+    blank[1:-1] = blanks[np.frombuffer(raw, np.uint8)]
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     return edges[::2], edges[1::2]
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from songloom.llm.balltree import integer_vectors, nearest_by_inner_product
 from songloom.llm.bpe import bpe_decode, bpe_encode, token_count
+from songloom.llm.decontamination import with_leaks
 from songloom.llm.kneser_ney import fit_bigrams, scored
 from songloom.llm.langid import fit_languages, identified, part_of
 from songloom.llm.lines import drop_shared_lines
@@ -163,3 +164,12 @@ def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, BASE), sha(written(base)).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query
+def op5_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    marked = with_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return marked.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", "leak.item_id", F.col("leak.start").alias("start_word"), F.col("leak.end").alias("end_word"), "leak.distance"
+    )
