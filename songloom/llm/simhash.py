@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from songloom.llm.arrays import U, mixed
 from songloom.llm.components import components
 from songloom.llm.shared import whole_text
 from songloom.session import materialized
@@ -25,31 +26,38 @@ from songloom.session import materialized
 BITS = 3
 SEGMENTS = 8
 SHINGLE = 3
+# Views of the near-copy stage: shingle length and number of fingerprints.
+VIEWS = ((3, 1), (5, 4))
 # Fingerprints that a task compares at once; a larger bucket is dealt out as pairs of parts.
 BUCKET = 2_000
 # The most bits that the first 1, 2, .. segments of a chain may differ in.
 BUDGET = np.array([(k + 1) * BITS // SEGMENTS for k in range(SEGMENTS)])
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles, zero without words."""
+def fingerprint(text: str, shingle: int = SHINGLE, kinds: int = 1) -> list[int]:
+    """64-bit SimHashes of a text's word shingles, zero without words.
+
+    The first takes the XXH64 of a shingle as it is, any further one a remixed hash.
+    """
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return [0] * kinds
     whole, size = b" ".join(words), min(shingle, len(words))
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words])[: len(words) - size + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    total, counts = len(starts), np.zeros(64, dtype=np.int64)
-    stops = (ends[size - 1:] - 1).tolist()
+    lengths = np.array([len(w) + 1 for w in words])
+    ends = lengths.cumsum()
+    starts, stops = (ends - lengths)[: len(words) - size + 1].tolist(), (ends[size - 1:] - 1).tolist()
+    digest, total = xxhash.xxh64_intdigest, len(starts)
+    counts = np.zeros((kinds, 64), dtype=np.int64)
     for at in range(0, total, 65_536):  # the bits of very long texts are counted in pieces
         hashes = np.array(
             [digest(whole[s:e], 42) for s, e in zip(starts[at:at + 65_536], stops[at:at + 65_536])], dtype="<u8"
         )
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+        for kind in range(kinds):
+            own = hashes if not kind else mixed(hashes + U(kind))
+            counts[kind] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -60,7 +68,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+            yield pd.Series(np.array([fingerprint(t, shingle)[0] for t in texts], dtype=np.uint64).view(np.int64))
 
     return docs.select(F.col(doc_id).alias("doc_id"), hashed(whole_text(docs, text)).alias("fp"))
 
@@ -117,7 +125,7 @@ class Forest:
 def _bucket_links(table: pa.Table) -> pa.Table:
     """Links that join the fingerprints of one bucket, at most one less than those; never all pairs."""
     fps = np.unique(table["fp"].to_numpy()).view(np.uint64)
-    start = int(table["key"][0].as_py()) >> 35
+    start = int(table["key"][0].as_py()) >> 35 & 7
     forest, out = Forest(len(fps)), []
     for at in range(0, len(fps), 256):
         some = fps[at:at + 256]
@@ -127,18 +135,21 @@ def _bucket_links(table: pa.Table) -> pa.Table:
                 out.append((i, j))
     signed = fps.view(np.int64)
     pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-    return pa.table({"fp_a": signed[pairs[:, 0]], "fp_b": signed[pairs[:, 1]]})
+    view = np.full(len(pairs), table["key"][0].as_py() >> 40, dtype=np.int32)
+    return pa.table({"view": view, "fp_a": signed[pairs[:, 0]], "fp_b": signed[pairs[:, 1]]})
 
 
 def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``(fp_a, fp_b)``: links that connect all fingerprints of ``distinct(fp)`` within three bits.
+    """``(view, fp_a, fp_b)``: links that connect all fingerprints of ``distinct(view, fp)`` within three bits.
 
-    Fingerprints meet in 24 buckets of 32 equal bits, four billion places per
-    kind, so buckets hold near copies and little else. A bucket of more than
-    ``bucket`` fingerprints is cut into parts, and every two parts meet in a
-    task of their own, so any size is compared in full.
+    Only fingerprints of one view (a small number) meet. They meet in 24 buckets
+    of 32 equal bits, four billion places per kind, so buckets hold near copies
+    and little else. A bucket of more than ``bucket`` fingerprints is cut into
+    parts, and every two parts meet in a task of their own, so any size is
+    compared in full.
     """
-    keyed = materialized(distinct.select("fp", F.explode(_keys(F.col("fp"))).alias("key")), "keys")
+    keys = F.transform(_keys(F.col("fp")), lambda k: k + F.shiftleft(F.col("view").cast("long"), 40))
+    keyed = materialized(distinct.select("fp", F.explode(keys).alias("key")), "keys")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     met = keyed.join(sizes.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"))
     parts = F.ceil(F.col("_n") / bucket).cast("int")
@@ -148,7 +159,7 @@ def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
         lambda j: F.least(j, own).cast("long") * 1_000_000 + F.greatest(j, own),
     )
     dealt = met.select("fp", "key", F.explode(cells).alias("cell"))
-    return dealt.groupBy("key", "cell").applyInArrow(_bucket_links, "fp_a long, fp_b long").distinct()
+    return dealt.groupBy("key", "cell").applyInArrow(_bucket_links, "view int, fp_a long, fp_b long").distinct()
 
 
 def near_duplicates(
@@ -167,7 +178,7 @@ def near_duplicates(
         marked.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("first_id")), "distinct-fingerprints"
     )
     # fingerprints are the nodes; the least id of a component is found afterwards
-    links = fingerprint_links(distinct.select("fp"), bucket)
+    links = fingerprint_links(distinct.select(F.lit(0).alias("view"), "fp"), bucket)
     member = components(links.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
     named = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("component")
@@ -177,11 +188,37 @@ def near_duplicates(
     return marked.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` without near copies: of each component the row of the least id stays, of equal ids any one.
+def near_copies(docs: DataFrame, views: tuple[tuple[int, int], ...] = VIEWS) -> DataFrame:
+    """``(node, component)``: ids of documents that are near copies of others, and the least id of each component.
+
+    ``views`` lists shingle lengths and how many fingerprints of each are taken.
+    Two documents are linked if in some view at most three bits differ: one
+    fingerprint alone misses most copies with several edits, since its distance
+    scatters; each further one gives them another chance. Null ids take no part.
+    """
+    @F.pandas_udf("array<long>")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            fps = [[fp for shingle, kinds in views for fp in fingerprint(t, shingle, kinds)] for t in texts]
+            yield pd.Series([np.array(x, dtype=np.uint64).view(np.int64) for x in fps], dtype=object)
+
+    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), hashed(whole_text(docs)).alias("fps"))
+    marked = materialized(own.select("doc_id", F.posexplode("fps").alias("view", "fp")), "fingerprints")
+    first = materialized(marked.groupBy("view", "fp").agg(F.min("doc_id").alias("first_id")), "first-of-fingerprints")
+    equal = marked.join(first, ["view", "fp"]).where(F.col("doc_id") != F.col("first_id")).select(
+        F.col("doc_id").alias("a"), F.col("first_id").alias("b")
+    )
+    named = lambda side: first.select("view", F.col("fp").alias(f"fp_{side}"), F.col("first_id").alias(side))
+    near = fingerprint_links(first.select("view", "fp")).join(named("a"), ["view", "fp_a"]).join(named("b"), ["view", "fp_b"])
+    return components(equal.union(near.select("a", "b")))
+
+
+def one_of_each(docs: DataFrame, views: tuple[tuple[int, int], ...] = VIEWS) -> DataFrame:
+    """``docs`` without near copies (see :func:`near_copies`): of each component the row of the least id stays.
 
-    Rows with a null id are kept only if no other row is in their component.
+    Of rows with equal ids any one stays; rows with a null id all stay.
     """
-    found = near_duplicates(docs, shingle=shingle)
-    leaders = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaders, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    gone = near_copies(docs, views).where(F.col("node") != F.col("component")).select(F.col("node").alias("_id"))
+    left = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return left.withColumn("_alone", alone).dropDuplicates(["doc_id", "_alone"]).drop("_alone")

@@ -7,7 +7,7 @@ import xxhash
 
 from songloom.llm.components import components
 from songloom.llm.registered import QUERIES
-from songloom.llm.simhash import fingerprint_links, near_duplicates, one_of_each
+from songloom.llm.simhash import fingerprint_links, near_copies, near_duplicates, one_of_each
 from tests.conftest import SMALL
 
 
@@ -63,9 +63,11 @@ def test_links_of_planted_fingerprints(spark):
                 at ^= 1 << bit
     fps = {i: f for i, f in enumerate(sorted(fps))}
     signed = {i: f - (f >> 63 << 64) for i, f in fps.items()}
-    table = spark.createDataFrame([(f,) for f in signed.values()], "fp long")
+    table = spark.createDataFrame([(k, f) for f in signed.values() for k in (0, 5)], "view int, fp long")
     for bucket in (2_000, 3):
-        links = [tuple(r) for r in fingerprint_links(table, bucket).collect()]
+        both = [tuple(r) for r in fingerprint_links(table, bucket).collect()]
+        links = [r[1:] for r in both if r[0] == 5]
+        assert sorted(links) == sorted(r[1:] for r in both if r[0] == 0)
         for a, b in links:
             assert ((a ^ b) % 2**64).bit_count() <= 3
         of = {f: i for i, f in signed.items()}
@@ -95,5 +97,22 @@ def test_odd_rows(spark):
     got = sorted([(r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()], key=str)
     assert got == sorted([(4, 2), (2, 2), (7, 2), (3, 3), (9, 3), (9, 3), (5, 5), (6, 5), (None, 3), (None, None)], key=str)
     kept = sorted([r["doc_id"] for r in one_of_each(docs).collect()], key=str)
-    assert kept == sorted([2, 3, 5, None], key=str)
-    assert near_duplicates(docs.limit(0)).count() == 0
+    assert kept == sorted([2, 3, 5, None, None], key=str)
+    assert near_duplicates(docs.limit(0)).count() == 0 and one_of_each(docs.limit(0)).count() == 0
+
+
+def test_near_copies_are_linked_and_others_not(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows, near = [], set()
+    for k in range(60):
+        words = [word() for _ in range(400)]
+        copy = list(words)
+        for at in rng.sample(range(400), rng.randint(0, 2)):
+            copy[at] = word()
+        half = words[:200] + [word() for _ in range(200)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(copy)), (3 * k + 2, " ".join(half))]
+    found = dict(near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    linked = [k for k in range(60) if found.get(3 * k + 1) == 3 * k]
+    assert len(linked) >= 54
+    assert not any(i % 3 == 2 for i in found)
