@@ -271,7 +271,7 @@ def fit_bigrams(docs: DataFrame, text: str = "text") -> Model:
     ``spark.checkpoint.dir``, which must be mounted where the workers run.
     """
     spark = docs.sparkSession
-    folder, buckets = _mounted(spark), 4 * shuffle_parts(spark)
+    folder, buckets = _mounted(spark), shuffle_parts(spark)
     pairs = docs.select(whole_text(docs, text).alias("text")).mapInArrow(_count_pairs(buckets), PAIRS)
     words = pairs.groupBy("bucket").applyInArrow(_sum_pairs(folder, buckets), WORDS)
     totals = words.groupBy("bucket").applyInArrow(_sum_words(folder), TOTALS)
