@@ -53,11 +53,11 @@ def model_route(spark, sf):
 
 def linear_model(model_id):
     """Stand-in for a real model: one factor and one shift per model."""
-    scale, shift = 1.0 + model_id, model_id / 8.0
+    scale, shift = (1.0, 0.0) if model_id is None else (1.0 + model_id, model_id / 8.0)
 
     def apply(batch):
         out = batch.copy()
-        out["embedding"] = [[x * scale + shift for x in row] for row in batch["embedding"]]
+        out["embedding"] = [row * scale + shift for row in batch["embedding"]]
         return out
 
     return apply
@@ -72,6 +72,18 @@ def batch_apply_model(spark, sf):
         "model_id", "vec_id", F.col("_p").cast("bigint").alias("pos"), F.round("_v", 6).alias("value"))
 
 
+@query("batch_apply_model_null", """SELECT CASE WHEN vec_id % 7 <> 0 THEN label END AS model_id, count(*) AS n,
+  (round(sum(CASE WHEN vec_id % 7 <> 0 THEN x * (1 + label) + label / 8e0 ELSE x END), 4) + 0e0) AS total FROM emb GROUP BY 1""", ("emb",))
+def batch_apply_model_null(spark, sf):
+    """Every seventh row has no model."""
+    rows = table(spark, sf, "embeddings").select(
+        F.when(F.pmod("vec_id", F.lit(7)) != 0, F.col("label")).alias("model_id"), "vec_id",
+        F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    applied = m.batch_apply_model(rows, linear_model, "model_id int, vec_id bigint, embedding array<double>", spread_by="vec_id")
+    values = applied.select("model_id", F.explode("embedding").alias("x"))
+    return values.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("total"))
+
+
 @query("songs_from_json_163", "SELECT song_id, name, artists, album, platform FROM songs_163", ("songs_163",))
 def songs_from_json_163(spark, sf):
     return pl.songs_from_json_163(pl.good_payloads(v.payload_a(spark, sf), "163"))
@@ -83,10 +95,13 @@ def songs_from_json_qq(spark, sf):
 
 
 @query("payload_status_split", """SELECT p AS payload_id, provider,
-  CASE WHEN provider = '163' AND p % 9 = 0 OR provider = 'qq' AND p % 8 IN (0, 2) THEN 'error' ELSE 'ok' END AS status
+  CASE WHEN provider = '163' AND p % 9 = 0 OR provider = 'qq' AND p % 8 IN (0, 2) OR p % 5 > 0 AND p % 11 = 5 THEN 'error' ELSE 'ok' END AS status
 FROM (SELECT DISTINCT p_partkey // 10 AS p FROM part) CROSS JOIN (VALUES ('163'), ('qq')) x(provider)""")
 def payload_status_split(spark, sf):
-    return pl.payload_status_split(v.payload_a(spark, sf).unionByName(v.payload_b(spark, sf)))
+    """Some answers are broken: cut JSON, an error page, a list, nothing at all."""
+    broken = F.get(F.array(F.col("payload"), F.expr("left(payload, 40)"), F.lit("<html>busy</html>"), F.lit("[1]"), F.lit(None)), F.pmod("payload_id", F.lit(5)).cast("int"))
+    both = v.payload_a(spark, sf).unionByName(v.payload_b(spark, sf))
+    return pl.payload_status_split(both.withColumn("payload", F.when(F.pmod("payload_id", F.lit(11)) == 5, broken).otherwise(F.col("payload"))))
 
 
 @query("catalog_union", "SELECT song_id, name, artists, album, platform, media_id FROM songs", ("songs",))
@@ -96,22 +111,46 @@ def catalog_union(spark, sf):
 
 sql_view("song_words", "SELECT DISTINCT song_id, unnest(string_split_regex(lower(trim(name)), '\\s+')) AS w FROM songs", ("songs",))
 sql_view("query_words", "SELECT DISTINCT query, unnest(string_split_regex(lower(trim(query)), '\\s+')) AS w FROM searches", ("searches",))
-sql_view("ranked", """SELECT query, song_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, song_id) AS rank
-FROM (SELECT query, song_id, CAST(count(*) AS INTEGER) AS score FROM query_words JOIN song_words USING (w) GROUP BY query, song_id)""", ("song_words", "query_words"))
+sql_view("ranked", """SELECT query, song_id, platform, media_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, song_id) AS rank
+FROM (SELECT query, song_id, CAST(count(*) AS INTEGER) AS score FROM query_words JOIN song_words USING (w) GROUP BY query, song_id)
+JOIN songs USING (song_id)""", ("songs", "song_words", "query_words"))
+_TOP = "SELECT query, CAST(rank AS INTEGER) AS rank, song_id, platform, media_id, score FROM ranked WHERE rank <= 5"
 
 
-@query("keyword_topk", "SELECT query, CAST(rank AS INTEGER) AS rank, song_id, score FROM ranked WHERE rank <= 5", ("ranked",))
+@query("keyword_topk", _TOP, ("ranked",))
 def keyword_topk(spark, sf):
     return c.keyword_topk(v.searches(spark, sf), v.songs(spark, sf))
 
 
-@query("keyword_topk_hot_words", "SELECT query, CAST(rank AS INTEGER) AS rank, song_id, score FROM ranked WHERE rank <= 5", ("ranked",))
+_COMMON = "(SELECT song_id, platform, media_id, 'the ' || name AS name FROM songs)"
+
+
+@query("keyword_topk_hot_words", f"""SELECT query, CAST(rank AS INTEGER) AS rank, song_id, platform, media_id, score FROM (
+  SELECT 'the ' || query AS query, song_id, platform, media_id, CAST(count(DISTINCT w) AS INTEGER) AS score,
+    row_number() OVER (PARTITION BY query ORDER BY count(DISTINCT w) DESC, song_id) AS rank
+  FROM (SELECT DISTINCT query, unnest(['the', w]) AS w FROM query_words)
+  JOIN (SELECT DISTINCT song_id, platform, media_id, unnest(string_split_regex(lower(name), '\\s+')) AS w FROM {_COMMON} c) USING (w)
+  GROUP BY query, song_id, platform, media_id) WHERE rank <= 5""", ("songs", "query_words"))
 def keyword_topk_hot_words(spark, sf):
-    """The same result with a low limit for hot words, so both paths are used."""
-    return c.keyword_topk(v.searches(spark, sf), v.songs(spark, sf), hot_df=12)
+    """One word is in every title and in every search."""
+    the = lambda col: F.concat(F.lit("the "), col)
+    return c.keyword_topk(v.searches(spark, sf).select(the("query").alias("query")), v.songs(spark, sf).withColumn("name", the("name")))
+
+
+@query("keyword_topk_repeated", """SELECT query, CAST(rank AS INTEGER) AS rank, song_id, platform, media_id, score FROM (
+  SELECT query, song_id, platform, media_id, CAST(count(*) AS INTEGER) AS score,
+    row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, song_id, platform) AS rank
+  FROM query_words JOIN (SELECT DISTINCT ltrim(song_id, 'q') AS song_id, platform, media_id,
+    unnest(string_split_regex(lower(name), '\\s+')) AS w FROM songs) USING (w)
+  GROUP BY query, song_id, platform, media_id) WHERE rank <= 5""", ("songs", "query_words"))
+def keyword_topk_repeated(spark, sf):
+    """Answers repeat songs, with names spelled differently, and both providers use the same ids."""
+    songs = v.songs(spark, sf).withColumn("song_id", F.ltrim("song_id", F.lit("q")))
+    again = songs.withColumn("name", F.explode(F.array("name", F.upper("name"), F.concat(F.lit(" "), "name"))))
+    return c.keyword_topk(v.searches(spark, sf), songs.unionByName(again))
 
 
-@query("first_hit", """SELECT s.query, r.song_id, r.song_id IS NOT NULL AS found
+@query("first_hit", """SELECT s.query, r.song_id, r.platform, r.media_id, r.song_id IS NOT NULL AS found
 FROM searches s LEFT JOIN ranked r ON r.query = s.query AND r.rank = 1""", ("searches", "ranked"))
 def first_hit(spark, sf):
     return c.first_hit(v.searches(spark, sf), v.songs(spark, sf))

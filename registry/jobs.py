@@ -17,11 +17,21 @@ def _pcm_signals(spark, sf):
     return s.float_to_pcm16(v.sig2(spark, sf)).withColumn("signal_id", F.concat(F.lit("s"), "signal_id"))
 
 
-@query("audio_export", """SELECT 's' || signal_id AS signal_id, 20 AS sr, count(*) // 2 AS n_samples, 44 + 2 * count(*) AS n_bytes FROM sig2 GROUP BY signal_id""", ("sig2",))
+@query("audio_export", """SELECT 's' || signal_id AS signal_id, 0 AS part, 20 AS sr, count(*) // 2 AS n_samples, 44 + 2 * count(*) AS n_bytes FROM sig2 GROUP BY signal_id""", ("sig2",))
 def audio_export(spark, sf):
     return audio.audio_export(_pcm_signals(spark, sf))
 
 
+@query("audio_export_parts", """SELECT signal_id || c AS signal_id, idx // 64 // 2 AS part, 20 AS sr, count(*) // 4 AS n_samples, 44 + 2 * count(*) AS n_bytes
+FROM sig2 CROSS JOIN (VALUES ('', 1), ('-2', 1), ('', 2), ('-2', 2)) x(c, k) GROUP BY 1, 2 HAVING count(*) > 0""", ("sig2",))
+def audio_export_parts(spark, sf):
+    """Four channels, parts of two blocks, and ids that look like those of a second part."""
+    pcm = s.float_to_pcm16(v.sig2(spark, sf))
+    four = pcm.withColumn("ch", F.explode(F.array(F.col("ch"), F.col("ch") + 2)))
+    named = four.withColumn("signal_id", F.explode(F.array(F.col("signal_id").cast("string"), F.concat("signal_id", F.lit("-2")))))
+    return audio.encode_wav(named, max_samples=4 * 128).drop("wav")
+
+
 @query("audio_scan", f"""SELECT 's' || signal_id AS signal_id, ch, idx, 20 AS sr, {PCM.format(x='value')} AS value FROM sig2""", ("sig2",))
 def audio_scan(spark, sf):
     """Write all signals as files, then read the folder back in blocks of 100 samples."""
@@ -65,7 +75,7 @@ sql_view("cover_keys", """SELECT x.signal_id, x.signal_id % 2 = 0 AS band, x.sig
   FROM (SELECT DISTINCT signal_id FROM sig) x LEFT JOIN auto_keys a USING (signal_id)""", ("sig", "auto_keys"))
 sql_view("stems", """SELECT signal_id, idx, part, CASE WHEN peak > 1 THEN rest / peak * 99e-2 ELSE rest END AS rest FROM (
   SELECT *, max(abs(rest)) OVER (PARTITION BY signal_id) AS peak FROM (
-    SELECT signal_id, idx, greatest(-1e0, least(1e0, whole * 8e-1)) AS part, whole - greatest(-1e0, least(1e0, whole * 8e-1)) AS rest
+    SELECT signal_id, idx, greatest(-1e0, least(1e0, whole * 8e-1 * 1035e-3)) AS part, whole - greatest(-1e0, least(1e0, whole * 8e-1 * 1035e-3)) AS rest
     FROM (SELECT *, value * CASE WHEN idx < 64 THEN 3e-3 ELSE 3e0 END AS whole FROM sig)))""", ("sig",))
 sql_view("sung", f"""SELECT signal_id, idx, band, rest, CASE WHEN top > 0 AND 89e-2 * 32767e0 / top < 1
     THEN round_even(pcm * (89e-2 * 32767e0 / top), 0) ELSE pcm END AS pcm FROM (
@@ -96,3 +106,35 @@ def two_stem_job(spark, sf):
 @query("two_stem_job_audio", """SELECT signal_id, idx - min(idx) OVER (PARTITION BY signal_id) AS idx, CAST(pcm AS SMALLINT) AS pcm FROM produced""", ("produced",))
 def two_stem_job_audio(spark, sf):
     return s.long_form(_job(spark, sf)["audio"], "samples", "pcm")
+
+
+def _many(spark, sf):
+    """Each song is asked for one to four times; requests are numbered by song and turn."""
+    base = cover_requests(spark, sf)
+    turns = F.explode(F.sequence(F.lit(0), F.pmod("signal_id", F.lit(4)).cast("int")))
+    return base.withColumn("turn", turns).withColumn("request_id", F.col("signal_id") * 10 + F.col("turn")).withColumn(
+        "model", F.when(F.col("turn") > 0, F.lit("m3.pth")).otherwise(F.col("model"))
+    ).drop("turn")
+
+
+@query("two_stem_job_many_requests", """SELECT k.signal_id * 10 + t.turn AS signal_id,
+  CASE WHEN t.turn > 0 THEN 4 ELSE k.n END AS n_semitones, CASE WHEN t.turn > 0 THEN 'manual' ELSE k.source END AS source, count(*) AS n_out
+FROM cover_keys k JOIN produced p ON p.signal_id = k.signal_id JOIN (VALUES (0), (1), (2), (3)) t(turn) ON t.turn <= k.signal_id % 4
+GROUP BY ALL""", ("cover_keys", "produced"))
+def two_stem_job_many_requests(spark, sf):
+    job = cover_job(
+        recordings(spark, sf), _many(spark, sf), v.frames(spark, sf), pitch.references(spark, sf),
+        separate, convert, model_keys=pitch.MODEL_KEYS, default_key=pitch.DEFAULT_KEY, lengths=v.sig_len(spark, sf),
+    )
+    return cover_report(job).drop("peak_pcm")
+
+
+@query("two_stem_job_stereo", """SELECT k.signal_id, k.n AS n_semitones, k.source, count(*) * CASE WHEN k.band THEN 1 ELSE 2 END AS n_out, max(abs(p.pcm)) AS peak_pcm
+FROM cover_keys k JOIN produced p ON p.signal_id = k.signal_id GROUP BY k.signal_id, k.n, k.source, k.band""", ("cover_keys", "produced"))
+def two_stem_job_stereo(spark, sf):
+    """Two equal channels: the mix with the band has one again."""
+    job = cover_job(
+        s.duplicate_mono(recordings(spark, sf)), cover_requests(spark, sf), v.frames(spark, sf), pitch.references(spark, sf),
+        separate, convert, model_keys=pitch.MODEL_KEYS, default_key=pitch.DEFAULT_KEY, lengths=v.sig_len(spark, sf),
+    )
+    return cover_report(job)

@@ -128,6 +128,27 @@ def callback_state_counts(spark, sf):
     return r.callback_state_counts(callback_lines(spark, sf))
 
 
+@query("kv_cookie", """SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'uid=7; id= ; x' WHEN page_id % 4 = 2 THEN 'p' || page_id
+  ELSE CAST(page_id AS VARCHAR) END AS value FROM pages""")
+def kv_cookie(spark, sf):
+    """The key is also the end of another key, in the value, blank, or missing."""
+    key = F.col("page_id").cast("string")
+    text = F.get(F.array(
+        F.concat(F.lit("uid=5; id="), key), F.concat(F.lit("a=id=3;\tid = "), key, F.lit(" ;id=9")),
+        F.concat(F.lit("p"), key), F.lit("uid=7; id= ; x"),
+    ), F.pmod("page_id", F.lit(4)).cast("int"))
+    return table(spark, sf, "pages").select("page_id", r.kv_value(text, "id").alias("value"))
+
+
+@query("poll_states", """SELECT CASE CAST(value AS BIGINT) % 6 WHEN 0 THEN 'expired' WHEN 1 THEN 'waiting' WHEN 2 THEN 'scanned' WHEN 3 THEN 'success'
+  ELSE 'error' END AS state, count(*) AS n FROM events GROUP BY 1""")
+def poll_states(spark, sf):
+    """Codes 800 to 803, others and none."""
+    k = F.pmod(F.expr("cast(rint(value) as bigint)"), F.lit(6))
+    code = F.when(k < 5, k + 800)
+    return table(spark, sf, "events").select(r.poll_state(code).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 def configs(spark, sf):
     k = lambda n: F.pmod("c_custkey", F.lit(n))
     return table(spark, sf, "customer").select(
@@ -139,6 +160,17 @@ def configs(spark, sf):
 
 
 @query("config_validate", """SELECT c_custkey AS config_id, s.field, s.value, s.violation FROM customer, LATERAL (SELECT unnest([
+  {'field': 'port', 'value': '7898', 'violation': NULL},
+  {'field': 'auto_start', 'value': 'true', 'violation': NULL},
+  {'field': 'default_model', 'value': '', 'violation': NULL},
+  {'field': 'uvr_model', 'value': 'HP2_all_vocals', 'violation': NULL},
+  {'field': 'uvr_weights_dir', 'value': '', 'violation': NULL},
+  {'field': 'sample_audio', 'value': '', 'violation': NULL},
+  {'field': 'voice_cache_dir', 'value': '', 'violation': NULL},
+  {'field': 'voice_mode', 'value': 'preset', 'violation': NULL},
+  {'field': 'rvc_after_tts', 'value': 'true', 'violation': NULL},
+  {'field': 'command_enabled', 'value': 'true', 'violation': NULL},
+  {'field': 'tool_enabled', 'value': 'true', 'violation': NULL},
   {'field': 'f0_method', 'value': 'rmvpe', 'violation': NULL}, {'field': 'f0_up_key', 'value': '0', 'violation': NULL},
   {'field': 'index_rate', 'value': CASE WHEN c_custkey % 2 = 0 THEN CAST((c_custkey % 3) * 25e-2 AS VARCHAR) ELSE '0.5' END, 'violation': NULL},
   {'field': 'filter_radius', 'value': '3', 'violation': NULL}, {'field': 'resample_sr', 'value': '0', 'violation': NULL},

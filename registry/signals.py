@@ -95,7 +95,7 @@ def mix_tracks(spark, sf):
   {r6('CASE WHEN peak > 1 THEN rest / peak * 99e-2 ELSE rest END')} AS residual
 FROM (SELECT *, max(abs(rest)) OVER (PARTITION BY signal_id) AS peak FROM (
   SELECT signal_id, idx, part, whole - part AS rest FROM (
-    SELECT a.signal_id, a.idx, a.value * 3e0 AS whole, greatest(-1e0, least(1e0, coalesce(b.value * 25e-1, 0e0))) AS part
+    SELECT a.signal_id, a.idx, a.value * 3e0 AS whole, greatest(-1e0, least(1e0, coalesce(b.value * 25e-1, 0e0) * 1035e-3)) AS part
     FROM sig a LEFT JOIN track_b b ON a.signal_id = b.signal_id AND a.idx = b.idx)))""", ("sig", "track_b"))
 def residual_track(spark, sf):
     split = s.residual_track(v.scaled(v.sig(spark, sf), 3.0), v.scaled(v.track_b(spark, sf), 2.5))
@@ -129,7 +129,63 @@ def chunk_overlap(spark, sf):
 
 @query("stitch_chunks", "SELECT signal_id, idx, value FROM sig", ("sig",))
 def stitch_chunks(spark, sf):
-    return _long(s.stitch_chunks(_chunks(spark, sf), MARGIN))
+    return _long(s.stitch_chunks(_chunks(spark, sf)))
+
+
+@query("stitch_chunks_wide_margin", "SELECT signal_id, idx, value FROM sig", ("sig",))
+def stitch_chunks_wide_margin(spark, sf):
+    """The margin asked for is wider than a chunk."""
+    return _long(s.stitch_chunks(s.chunk_overlap(v.sig(spark, sf), 40, 90)))
+
+
+@query("reblock", "SELECT signal_id, idx // 37 AS block_no, count(*) AS n, min(idx) AS start_idx, " + r6("sum(value)") + " AS total FROM sig GROUP BY ALL", ("sig",))
+def reblock(spark, sf):
+    """Chunks put together again have irregular blocks."""
+    even = s.reblock(s.stitch_chunks(_chunks(spark, sf)), 37)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return even.select("signal_id", "block_no", F.size("samples").cast("bigint").alias("n"), "start_idx", round6(total).alias("total"))
+
+
+@query("residual_of_stitched", f"""SELECT signal_id, idx, {r6('whole - part')} AS residual FROM (
+  SELECT a.signal_id, a.idx, a.value AS whole, greatest(-1e0, least(1e0, coalesce(b.value, 0e0) * 1035e-3)) AS part
+  FROM sig a LEFT JOIN track_b b ON a.signal_id = b.signal_id AND a.idx = b.idx)""", ("sig", "track_b"))
+def residual_of_stitched(spark, sf):
+    """Chunked and put together again, then paired with a track in other blocks."""
+    split = s.residual_track(s.stitch_chunks(_chunks(spark, sf)), v.track_b(spark, sf))
+    return _long(split.withColumn("samples", F.col("residual")), out="residual", rounded=True)
+
+
+@query("align_trimmed", f"""SELECT a.signal_id, a.idx, coalesce(t.value, 0e0) AS value FROM sig a LEFT JOIN (
+  SELECT x.signal_id, x.idx - b.start_idx AS idx, x.value FROM sig x
+  JOIN ({_bounds_sql('5e-1', 'sig')}) b ON x.signal_id = b.signal_id AND x.idx >= b.start_idx AND x.idx < b.end_idx) t
+  ON t.signal_id = a.signal_id AND t.idx = a.idx""", ("sig",))
+def align_trimmed(spark, sf):
+    """A trimmed track starts anew in the middle of its first block."""
+    return _long(s.align_tracks(v.sig(spark, sf), s.trim_silence(v.sig(spark, sf), threshold_factor=0.5)))
+
+
+_MIXED = """SELECT signal_id, idx, {pcm} AS pcm
+FROM (SELECT *, max(abs(m)) OVER (PARTITION BY signal_id) AS peak FROM ({sums}))"""
+_SCALED = PCM.format(x="CASE WHEN peak > 1 THEN m * (1e0 / peak) ELSE m END")
+_SLOWER = """(SELECT g.signal_id, g.j AS idx, l.value + (coalesce(r.value, l.value) - l.value) * ((g.j * 48) % 20 / 20e0) AS value
+  FROM (SELECT signal_id, unnest(range(0, CAST(ceil(n * 20 / 48e0) AS BIGINT))) AS j FROM (SELECT signal_id, max(idx) + 1 AS n FROM track_b GROUP BY signal_id)) g
+  JOIN track_b l ON l.signal_id = g.signal_id AND l.idx = (g.j * 48) // 20
+  LEFT JOIN track_b r ON r.signal_id = g.signal_id AND r.idx = (g.j * 48) // 20 + 1)"""
+
+
+@query("mix_tracks_rates", _MIXED.format(pcm=_SCALED, sums=f"""SELECT a.signal_id, a.idx, a.value + coalesce(b.value, 0e0) * 85e-2 AS m
+  FROM sig a LEFT JOIN {_SLOWER} b ON a.signal_id = b.signal_id AND a.idx = b.idx"""), ("sig", "track_b"))
+def mix_tracks_rates(spark, sf):
+    """The second track has another sample rate."""
+    return _long(s.mix_tracks(v.sig(spark, sf), v.track_b(spark, sf).withColumn("sr", F.lit(48))), out="pcm")
+
+
+@query("mix_tracks_stereo", _MIXED.format(pcm=_SCALED, sums="""SELECT a.signal_id, a.idx, a.value + coalesce(b.value, 0e0) * 85e-2 AS m
+  FROM (SELECT signal_id, idx, sum(value) / 2 AS value FROM sig2 GROUP BY ALL) a
+  LEFT JOIN track_b b ON a.signal_id = b.signal_id AND a.idx = b.idx"""), ("sig2", "track_b"))
+def mix_tracks_stereo(spark, sf):
+    """The first track has two channels."""
+    return _long(s.mix_tracks(v.sig2(spark, sf), v.track_b(spark, sf)), out="pcm")
 
 
 HOP = FRAME - 2 * TRIM

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from songloom.session import checkpointed, sized
+from songloom.session import checkpointed, materialized
 
 
 def range_slices(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
@@ -76,7 +76,7 @@ def exact_median(df: DataFrame, key: str, value: str, bins_per_unit: float = 16.
         F.col(key).alias("_k"), F.col("_bin").alias("_b"), "_before", "_total"
     )
     values = (
-        binned.join(sized(middle, "middle-bins"), (F.col(key) == F.col("_k")) & (F.col("_bin") == F.col("_b")))
+        binned.join(materialized(middle, "middle-bins"), (F.col(key) == F.col("_k")) & (F.col("_bin") == F.col("_b")))
         .groupBy(key, "_bin", "_v", "_before", "_total")
         .agg(F.count(F.lit(1)).alias("_c"))
     )

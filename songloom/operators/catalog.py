@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from songloom.functions.columns import blank_to_null, text
 from songloom.functions.urls import has_audio_extension, url_base, url_host, url_join
-from songloom.session import materialized, sized
+from songloom.session import materialized
 
 # Quality order (prefix, extension), best first.
 QUALITIES = (("F000", ".flac"), ("M800", ".mp3"), ("M500", ".mp3"), ("C400", ".m4a"))
@@ -38,67 +38,52 @@ def tokens(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 
-def keyword_topk(
-    queries: DataFrame, songs: DataFrame, limit: int = SEARCH_LIMIT, hot_df: int = 10_000
-) -> DataFrame:
-    """Best ``limit`` songs per query by number of distinct query words matched, ties by id.
+def keyword_topk(queries: DataFrame, songs: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """Best ``limit`` songs per query by number of distinct query words matched, ties by id, then platform.
 
-    ``queries(query)``, ``songs(song_id, name)``. Songs with the same set of
-    words always score alike, so only the ``limit`` smallest ids per word set
-    can rank and the join runs on word sets; queries are joined by their word
-    set as well.
+    ``queries(query)``, ``songs(song_id, name)`` and, if known, ``platform`` and
+    ``media_id``; a song is a platform and an id, listed once however often it
+    occurs (of several media ids the least).
 
-    A word in more than ``hot_df`` sets would still pair its queries with a
-    large share of the catalog. Through hot words alone a song scores by its
-    hot words, so again only the ``limit`` smallest ids per set of hot words
-    can rank: that part joins sets of hot words. Sets that share a rarer word
-    are joined on it and scored on all their words. The union holds every
-    possible winner, so the result is exact.
+    Titles are first reduced to words that some query holds. Songs of one
+    reduced word set score alike for every query, so only the ``limit`` smallest
+    songs of a set can rank: sets are joined with the words of queries, and no
+    row stands for a song beyond those. The same steps serve every word, rare
+    or frequent, and the result is exact.
     """
     asked = queries.select("query").distinct().withColumn("_q", tokens(F.col("query")))
     query_words = asked.select("_q").distinct().select("_q", F.explode("_q").alias("_word"))
-
-    smallest = lambda key: F.row_number().over(W.partitionBy(key).orderBy("song_id"))
-    titled = songs.select("song_id", tokens(F.col("name")).alias("_s"))
-    # written once: three steps below read it, and songs may be costly to derive
+    known = lambda c: F.coalesce(F.col(c), F.lit("")) if c in songs.columns else F.lit("")
+    titled = songs.select(
+        "song_id", known("platform").alias("platform"), known("media_id").alias("media_id"), tokens(F.col("name")).alias("_s")
+    ).groupBy("song_id", "platform", "_s").agg(F.min("media_id").alias("media_id"))
+    song = F.struct("song_id", "platform", "media_id").alias("song")
+    vocabulary = materialized(query_words.select("_word").distinct(), "query-words")
+    # titles are words in order, so the reduced set is a list of its words
+    reduced = titled.select(song, F.posexplode("_s").alias("_at", "_word"), "_s").join(vocabulary, "_word", "left_semi")
+    sets = reduced.groupBy("song", "_s").agg(F.array_sort(F.collect_list("_word")).alias("_set")).select("song", "_set").distinct()
+    smallest = F.row_number().over(W.partitionBy("_set").orderBy("song"))
     sets = materialized(
-        titled.withColumn("_n", smallest("_s")).where(F.col("_n") <= limit)
-        .groupBy("_s").agg(F.collect_list("song_id").alias("_ids")),
-        "word-sets",
-    )
-    postings = sets.select("_s", "_ids", F.explode("_s").alias("_word"))
-    # at most (words in all sets) / hot_df rows; small enough to spare the postings a shuffle on hot words
-    hot_words = sized(postings.groupBy("_word").count().where(F.col("count") > hot_df).select("_word"), "hot-words")
-
-    rare = (
-        postings.join(hot_words, "_word", "left_anti").join(query_words, "_word")
-        .select("_q", F.explode("_ids").alias("song_id"), F.size(F.array_intersect("_q", "_s")).alias("score"))
+        sets.withColumn("_n", smallest).where(F.col("_n") <= limit)
+        .groupBy("_set").agg(F.collect_list("song").alias("_songs")), "word-sets",
     )
-
-    hot_sets = (
-        postings.join(hot_words, "_word", "left_semi")
-        .groupBy("_s").agg(F.array_sort(F.collect_list("_word")).alias("_hot"), F.any_value("_ids").alias("_ids"))
-        .select("_hot", F.explode("_ids").alias("song_id"))
-        .withColumn("_n", smallest("_hot")).where(F.col("_n") <= limit)
-        .groupBy("_hot").agg(F.collect_list("song_id").alias("_ids"))
-    )
-    hot = (
-        hot_sets.select("_hot", "_ids", F.explode("_hot").alias("_word")).join(query_words, "_word")
-        .select("_q", F.explode("_ids").alias("song_id"), F.size(F.array_intersect("_q", "_hot")).alias("score"))
-    )
-
-    best = rare.unionByName(hot).groupBy("_q", "song_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("_q").orderBy(F.desc("score"), F.asc("song_id"))
+    met = sets.select("_set", "_songs", F.explode("_set").alias("_word")).join(query_words, "_word")
+    scored = met.groupBy("_q", "_set").agg(F.count(F.lit(1)).cast("int").alias("score"), F.any_value("_songs").alias("_songs"))
+    # a song with several titles counts by its best one
+    best = scored.select("_q", "score", F.explode("_songs").alias("song")).groupBy(
+        "_q", F.col("song.song_id").alias("song_id"), F.col("song.platform").alias("platform")
+    ).agg(F.max("score").alias("score"), F.min("song.media_id").alias("media_id"))
+    order = W.partitionBy("_q").orderBy(F.desc("score"), F.asc("song_id"), F.asc("platform"))
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return asked.join(ranked, "_q").select("query", "rank", "song_id", "score")
+    return asked.join(ranked, "_q").select("query", "rank", "song_id", "platform", "media_id", "score")
 
 
-def first_hit(queries: DataFrame, songs: DataFrame, hot_df: int = 10_000) -> DataFrame:
-    """Best song per query; queries without one are kept and marked."""
-    top = keyword_topk(queries, songs, limit=1, hot_df=hot_df).select("query", "song_id")
+def first_hit(queries: DataFrame, songs: DataFrame) -> DataFrame:
+    """Best song per query, with platform and media id; queries without one are kept and marked."""
+    top = keyword_topk(queries, songs, limit=1).drop("rank", "score")
     return (
         queries.select("query").distinct().join(top, "query", "left")
-        .select("query", "song_id", F.col("song_id").isNotNull().alias("found"))
+        .select("query", "song_id", "platform", "media_id", F.col("song_id").isNotNull().alias("found"))
     )
 
 

@@ -69,10 +69,13 @@ def delivery_fallback(attempts: DataFrame, max_bytes: int = FALLBACK_MAX_BYTES)
     """Method that settles each message. ``attempts(message_id, method, outcome, size)``.
 
     The first method in order that did not fail settles it; ``unknown`` is never
-    retried. Files over the gate have no second method.
+    retried. Files over the gate have no second method; methods outside the order
+    settle nothing.
     """
     rank = method_rank(F.col("method"))
-    allowed = attempts.withColumn("_rank", rank).where((F.col("_rank") == 1) | (F.col("size") <= max_bytes))
+    allowed = attempts.withColumn("_rank", rank).where(
+        (F.col("_rank") == 1) | F.col("_rank").isNotNull() & (F.col("size") <= max_bytes)
+    )
     settled = F.struct((F.col("outcome") == "failed").alias("failed"), F.when(F.col("outcome") == "failed", -F.col("_rank")).otherwise(F.col("_rank")).alias("order"))
     return (
         allowed.groupBy("message_id")

@@ -52,7 +52,7 @@ def batch_apply_model(
 
     Rows are range-partitioned by model and ``spread_by`` and sorted, so a
     partition holds few models and a hot model spans several partitions
-    instead of filling one.
+    instead of filling one. Rows without a model go to ``load(None)``.
     """
     order = [model_col] + ([spread_by] if spread_by else [])
     laid_out = (
@@ -62,7 +62,8 @@ def batch_apply_model(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held_id, held = None, None
         for batch in batches:
-            for model_id, part in batch.groupby(model_col, sort=False):
+            for model_id, part in batch.groupby(model_col, sort=False, dropna=False):
+                model_id = None if pd.isna(model_id) else model_id
                 if held is None or model_id != held_id:
                     held_id, held = model_id, load(model_id)
                 yield held(part)

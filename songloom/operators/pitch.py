@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from songloom.functions.columns import blank_to_null, clamp, half_even, text
 from songloom.functions.ordering import exact_median
-from songloom.session import sized
+from songloom.session import materialized
 
 # Voicing gate and key limits.
 MIN_VOICED_FRAMES = 50
@@ -22,8 +22,10 @@ def voiced_median(f0: DataFrame, lengths: DataFrame | None = None, min_voiced: i
 
     ``lengths(signal_id, sample_count, sr)`` adds the half-second gate.
     """
-    signals = f0.groupBy("signal_id").agg(F.count(F.when(F.col("hz") > 0, 1)).alias("voiced"))
-    medians = exact_median(f0.where(F.col("hz") > 0), "signal_id", "hz", out="_median")
+    # a NaN compares as greater than every number, and is no voice
+    sung = (F.col("hz") > 0) & ~F.isnan("hz")
+    signals = f0.groupBy("signal_id").agg(F.count(F.when(sung, 1)).alias("voiced"))
+    medians = exact_median(f0.where(sung), "signal_id", "hz", out="_median")
     joined = signals.join(medians.select("signal_id", "_median"), "signal_id", "left")
     enough = F.col("voiced") >= min_voiced
     if lengths is not None:
@@ -57,7 +59,7 @@ def auto_key(
         .when(~(F.col("_ref") > 0), "reference_unvoiced")
         .otherwise("ok")
     )
-    return songs.join(sized(ref, "references"), by, "left").select(
+    return songs.join(materialized(ref, "references"), by, "left").select(
         "signal_id",
         F.when(ok, semitones(F.col("_ref"), F.col("median_hz"), offset, limit)).alias("n_semitones"),
         reason.alias("reason"),
@@ -101,11 +103,11 @@ def key_priority(
 
 
 def transpose_pitch(f0: DataFrame, keys: DataFrame) -> DataFrame:
-    """Shift pitch tracks by ``keys(signal_id, n_semitones)``; unvoiced stays 0."""
+    """Shift pitch tracks by ``keys(signal_id, n_semitones)``; unvoiced frames, NaN among them, are 0."""
     shift = keys.select("signal_id", "n_semitones")
     factor = F.pow(F.lit(2.0), F.coalesce("n_semitones", F.lit(0)) / F.lit(12.0))
-    hz = F.when(F.col("hz") > 0, F.col("hz") * factor).otherwise(F.lit(0.0))
-    return f0.join(sized(shift, "keys"), "signal_id", "left").withColumn("hz", hz).select(*f0.columns)
+    hz = F.when((F.col("hz") > 0) & ~F.isnan("hz"), F.col("hz") * factor).otherwise(F.lit(0.0))
+    return f0.join(materialized(shift, "keys"), "signal_id", "left").withColumn("hz", hz).select(*f0.columns)
 
 
 def profile_incremental(current: DataFrame, history: DataFrame, frames: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def profile_incremental(current: DataFrame, history: DataFrame, frames: DataFram
         *version, "median_hz", F.lit(False).alias("recomputed")
     )
     misses = current.select(*version).join(history.select(*version), version, "left_anti")
-    wanted = frames.join(sized(misses.select("path"), "misses"), "path", "left_semi").select(
+    wanted = frames.join(materialized(misses.select("path"), "misses"), "path", "left_semi").select(
         F.col("path").alias("signal_id"), "hz"
     )
     fresh = voiced_median(wanted).select(

@@ -30,8 +30,12 @@ TRUE_WORDS = ("1", "true", "True", "yes")
 NOT_TRIM_WORDS = ("0", "false", "False", "no")
 # Callback codes.
 CALLBACK_STATES = {"0": "success", "65": "expired", "67": "scanned"}
-# Configuration defaults (manual key, retrieval and cache section) and lower bounds.
+POLL_STATES = {800: "expired", 801: "waiting", 802: "scanned", 803: "success"}
+# Configuration defaults and lower bounds.
 CONFIG_DEFAULTS = {
+    "port": 7898, "auto_start": True, "default_model": "", "uvr_model": "HP2_all_vocals", "uvr_weights_dir": "",
+    "sample_audio": "", "voice_cache_dir": "", "voice_mode": "preset", "rvc_after_tts": True, "command_enabled": True,
+    "tool_enabled": True,
     "f0_method": "rmvpe", "f0_up_key": 0, "index_rate": 0.5, "filter_radius": 3, "resample_sr": 0,
     "rms_mix_rate": 0.25, "protect": 0.4, "uvr_agg": 10, "auto_key": False, "auto_key_offset": 0,
     "auto_key_max": 5, "voice_cache_retention_days": 5, "default_platform": "163", "search_limit": 5,
@@ -121,9 +125,12 @@ def request_params(requests: DataFrame) -> DataFrame:
 
 
 def kv_value(s: Column, key: str) -> Column:
-    """Value of ``key`` in ``k=v; k=v`` text; the whole text where the key is absent."""
-    found = F.regexp_extract(s, rf"{key}=([^;]+)", 1)
-    return F.when(found != "", strip(found)).otherwise(s)
+    """Value of ``key`` in ``k=v; k=v`` text; the whole text where the key is absent or blank."""
+    own = F.filter(F.split(s, ";"), lambda p: strip(F.substring_index(p, "=", 1)) == key)
+    values = F.filter(
+        F.transform(own, lambda p: strip(p.substr(F.instr(p, "=") + 1, F.length(p)))), lambda v: v != ""
+    )
+    return F.coalesce(F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0)), s)
 
 
 def kv_pairs(s: Column, separator: str = "&") -> Column:
@@ -173,6 +180,12 @@ def callback_state_counts(lines: DataFrame) -> DataFrame:
     )
 
 
+def poll_state(code: Column) -> Column:
+    """State named by the other provider's poll code; ``error`` for any other code."""
+    named = F.create_map(*[F.lit(v) for kv in POLL_STATES.items() for v in kv])
+    return F.coalesce(F.try_element_at(named, code.cast("int")), F.lit("error"))
+
+
 def config_validate(configs: DataFrame) -> DataFrame:
     """Effective value of every setting per config, and whether it breaks a bound.
 

@@ -3,8 +3,9 @@
 A block table holds ``signal_id, ch, block_no, start_idx, sr, samples``: one
 row per channel and bounded run of samples. Per-sample work stays inside the
 row (higher-order functions); only one small row per signal crosses a shuffle.
-Joins back to that row carry no broadcast hint: the planner broadcasts it when
-its measured size allows, and adaptive execution splits skewed signals otherwise.
+That row is written first and joined back without a hint: the planner knows its
+size and broadcasts it when that allows; adaptive execution splits skewed signals
+otherwise.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.functions.columns import clamp, half_even
-from songloom.session import sized
+from songloom.session import materialized
 
 # Loudness, silence and mixing constants.
 TARGET_PEAK = 0.89
@@ -23,11 +24,14 @@ PCM_HEADROOM = 0.99
 SILENCE_FACTOR = 0.01
 SILENCE_PAD_SECONDS = 0.05
 INSTRUMENTAL_GAIN = 0.85
+COMPENSATE = 1.035
 # Separation chunk layout.
 CHUNK_SAMPLES = 4 * 44100
 CHUNK_MARGIN = 44100
 N_FFT = 6144
 HOP = 1024
+# Samples of a block in the regular layout.
+BLOCK = 65536
 
 SAMPLES = "array<double>"
 
@@ -53,8 +57,8 @@ def block_peak(col: str = "samples") -> Column:
 
 
 def _with_signal(blocks: DataFrame, per_signal: DataFrame) -> DataFrame:
-    """Blocks with their signal's row; samples are shuffled only if that table is large."""
-    return blocks.join(sized(per_signal, "per-signal"), "signal_id")
+    """Blocks with their signal's row, written first; samples are shuffled only if that table is large."""
+    return blocks.join(materialized(per_signal, "per-signal"), "signal_id")
 
 
 def _cut_array(col, lo: Column, length: Column) -> Column:
@@ -176,14 +180,53 @@ def trim_silence(
     return cut(blocks, silence_bounds(blocks, threshold_factor, pad_seconds))
 
 
-def _paired(first: DataFrame, second: DataFrame) -> DataFrame:
+def reblock(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The same samples in blocks of ``size``: block k holds the samples from ``k * size`` on, only the last is shorter.
+
+    Pieces meet by block, so a group is one block whatever the signal's length.
+    Blocks must not overlap; gaps are closed up only if no sample lies between.
+    """
+    length, kind = F.size("samples"), blocks.schema["samples"].dataType
+    first, last = F.floor(F.col("start_idx") / size), F.floor((F.col("start_idx") + length - 1) / size)
+    pieces = (
+        blocks.where(length > 0).withColumn("_cell", F.explode(F.sequence(first, last)))
+        .withColumn("_lo", F.greatest(F.col("_cell") * size - F.col("start_idx"), F.lit(0)).cast("int"))
+        .withColumn("_len", (F.least((F.col("_cell") + 1) * size - F.col("start_idx"), length) - F.col("_lo")).cast("int"))
+        .select(
+            "signal_id", "ch", F.col("_cell").alias("block_no"), "sr",
+            F.struct(
+                (F.col("start_idx") + F.col("_lo")).cast("bigint").alias("at"),
+                _cut_array("samples", F.col("_lo"), F.col("_len")).alias("part"),
+            ).alias("_piece"),
+        )
+    )
+    return pieces.groupBy("signal_id", "ch", "block_no").agg(
+        F.max("sr").alias("sr"), F.sort_array(F.collect_list("_piece")).alias("_p")
+    ).select(
+        "signal_id", "ch", "block_no", F.col("_p")[0]["at"].alias("start_idx"), "sr",
+        F.flatten(F.transform("_p", lambda p: p["part"])).cast(kind).alias("samples"),
+    )
+
+
+def _paired(first: DataFrame, second: DataFrame, regular: bool = False) -> DataFrame:
     """Blocks of ``first`` with the samples of ``second`` at the same place.
 
-    Both sides share block size; missing samples are zeros and surplus ones
-    are dropped, so the second track takes the first one's length.
+    Missing samples are zeros and surplus ones are dropped, so the second track
+    takes the first one's length. Both are brought to one regular layout first.
+    Tables known to share one (as :func:`reblock` and the file scan write it)
+    may pass ``regular`` and are joined as they are; blocks of one number that
+    start at different places are then an error.
     """
-    other = second.select("signal_id", "ch", "block_no", F.col("samples").cast(SAMPLES).alias("_raw"))
+    if not regular:
+        first, second = reblock(first), reblock(second)
+    other = second.select(
+        "signal_id", "ch", "block_no", F.col("samples").cast(SAMPLES).alias("_raw"), F.col("start_idx").alias("_at")
+    )
     joined = first.join(other, ["signal_id", "ch", "block_no"], "left")
+    agrees = F.col("_at").isNull() | (F.col("_at") == F.col("start_idx"))
+    joined = joined.withColumn("_raw", F.when(agrees, F.col("_raw")).otherwise(
+        F.raise_error(F.lit("the tracks have different block layouts")).cast(SAMPLES)
+    )).drop("_at")
     size = F.size("samples")
     fitted = F.slice(F.concat("_raw", F.array_repeat(F.lit(0.0), size)), F.lit(1), size)
     return joined.withColumn(
@@ -194,38 +237,62 @@ def _paired(first: DataFrame, second: DataFrame) -> DataFrame:
     ).drop("_raw")
 
 
-def align_tracks(first: DataFrame, second: DataFrame) -> DataFrame:
+def align_tracks(first: DataFrame, second: DataFrame, regular: bool = False) -> DataFrame:
     """The second track padded with zeros or truncated to the first one's length."""
-    return _paired(first, second).drop("samples").withColumnRenamed("other", "samples")
+    return _paired(first, second, regular).drop("samples").withColumnRenamed("other", "samples")
 
 
-def _over_peak(blocks: DataFrame) -> DataFrame:
-    peaks = peak_stats(blocks)
-    return _with_signal(blocks, peaks)
+def _mono_like(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tracks mixed down to one channel, the second at the first one's sample rate, in one regular layout."""
+    first, second = downmix_mono(reblock(first)), downmix_mono(reblock(second))
+    rates = materialized(first.groupBy("signal_id").agg(F.max("sr").cast("bigint").alias("target_sr")), "rates")
+    timed = second.join(rates, "signal_id")
+    as_is = timed.where(F.col("sr") == F.col("target_sr")).drop("target_sr")
+    changed = resample_linear(timed.where(F.col("sr") != F.col("target_sr")), None)
+    return first, reblock(as_is.unionByName(changed.select(*as_is.columns)))
 
 
-def mix_tracks(vocal: DataFrame, instrumental: DataFrame, gain: float = INSTRUMENTAL_GAIN) -> DataFrame:
-    """Add the scaled second track, scale back if over full scale, to 16-bit PCM."""
-    pairs = _paired(pcm_to_float(vocal), pcm_to_float(instrumental))
-    summed = pairs.withColumn(
+def mix_tracks(
+    vocal: DataFrame, instrumental: DataFrame, gain: float = INSTRUMENTAL_GAIN, regular: bool = False
+) -> DataFrame:
+    """Add the scaled second track, scale back if over full scale, to 16-bit PCM.
+
+    Both tracks are mixed down to one channel and the second is resampled to the
+    first one's rate. ``regular`` says that both have one channel, one rate and
+    one regular layout already; they are then paired as they are. The sum is
+    written once with the peak of each block and then only scaled.
+    """
+    first, second = pcm_to_float(vocal), pcm_to_float(instrumental)
+    if not regular:
+        first, second = _mono_like(first, second)
+    summed = _paired(first, second, True).withColumn(
         "samples", F.zip_with("samples", "other", lambda a, b: a + b * gain)
     ).drop("other")
+    summed = materialized(summed.withColumn("_peak", block_peak()), "mixed")
+    peaks = summed.groupBy("signal_id").agg(F.coalesce(F.max("_peak"), F.lit(0.0)).alias("peak"))
     ratio = F.when(F.col("peak") > 1.0, F.lit(1.0) / F.col("peak")).otherwise(F.lit(1.0))
     return (
-        _over_peak(summed)
+        _with_signal(summed, peaks)
         .withColumn("_ratio", ratio)
         .withColumn("samples", map_samples(lambda x: pcm16_value(x * F.col("_ratio"))))
-        .drop("peak", "_ratio")
+        .drop("peak", "_peak", "_ratio")
     )
 
 
-def residual_track(whole: DataFrame, part: DataFrame) -> DataFrame:
-    """Whole minus the clipped part; ``samples`` is the part, ``residual`` the rest."""
-    pairs = _paired(whole.withColumn("samples", F.col("samples").cast(SAMPLES)), part)
-    split = pairs.withColumn("_part", F.transform("other", lambda x: clamp(x, -1.0, 1.0))).withColumn(
+def residual_track(
+    whole: DataFrame, part: DataFrame, compensate: float = COMPENSATE, regular: bool = False
+) -> DataFrame:
+    """Whole minus the raised and clipped part; ``samples`` is the part, ``residual`` the rest.
+
+    The pair is formed and written once, with the peak of each block's rest.
+    """
+    pairs = _paired(whole.withColumn("samples", F.col("samples").cast(SAMPLES)), part, regular)
+    raised = F.transform("other", lambda x: clamp(x * compensate, -1.0, 1.0))
+    split = pairs.withColumn("_part", raised).withColumn(
         "residual", F.zip_with("samples", "_part", lambda w, p: w - p)
-    )
-    peaks = split.groupBy("signal_id").agg(F.max(block_peak("residual")).alias("peak"))
+    ).drop("samples", "other")
+    split = materialized(split.withColumn("_peak", block_peak("residual")), "residual")
+    peaks = split.groupBy("signal_id").agg(F.max("_peak").alias("peak"))
     fixed = F.when(
         F.col("peak") > 1.0, F.transform("residual", lambda x: x / F.col("peak") * PCM_HEADROOM)
     ).otherwise(F.col("residual"))
@@ -272,22 +339,25 @@ def chunk_overlap(blocks: DataFrame, outer: int = CHUNK_SAMPLES, margin: int = C
     )
 
 
-def stitch_chunks(chunks: DataFrame, margin: int = CHUNK_MARGIN, outer: int | None = None) -> DataFrame:
-    """Undo :func:`chunk_overlap`: drop inner margins and put chunks end to end."""
-    if outer is not None:
-        margin = min(margin, outer)
-    ends = chunks.groupBy("signal_id").agg(F.max("chunk_start").alias("_last"))
-    lead = F.when(F.col("chunk_start") == 0, F.lit(0)).otherwise(F.lit(margin))
-    tail = F.when(F.col("chunk_start") == F.col("_last"), F.lit(0)).otherwise(F.lit(margin))
+def stitch_chunks(chunks: DataFrame) -> DataFrame:
+    """Undo :func:`chunk_overlap`: drop inner margins and put chunks end to end.
+
+    Chunks stand on a regular grid, whose step is the second chunk's start; each
+    keeps what lies before the next one. A block that a chunk ends in comes back
+    in two parts with its number; :func:`reblock` makes the layout regular.
+    """
+    start = F.col("chunk_start")
+    ends = chunks.groupBy("signal_id").agg(F.max(start).alias("_last"), F.min(F.when(start > 0, start)).alias("_step"))
+    stop = F.when(start == F.col("_last"), F.col("chunk_hi")).otherwise(start + F.col("_step"))
     size = F.size("samples")
-    lo = F.greatest(F.col("chunk_lo") + lead - F.col("start_idx"), F.lit(0))
-    hi = F.least(F.col("chunk_hi") - tail - F.col("start_idx"), size)
+    lo = F.greatest(start - F.col("start_idx"), F.lit(0))
+    hi = F.least(stop - F.col("start_idx"), size)
     return (
         _with_signal(chunks, ends)
         .withColumn("_lo", lo.cast("int")).withColumn("_len", (hi - lo).cast("int"))
         .where(F.col("_len") > 0)
         .select(
-            "signal_id", "ch", (F.col("start_idx") + F.col("_lo")).alias("start_idx"), "sr",
+            "signal_id", "ch", "block_no", (F.col("start_idx") + F.col("_lo")).alias("start_idx"), "sr",
             _cut_array("samples", F.col("_lo"), F.col("_len")).alias("samples"),
         )
     )
@@ -349,8 +419,8 @@ def spectrum_frames(frames: DataFrame) -> DataFrame:
     return frames.withColumn("magnitude", magnitudes(F.col("samples").cast(SAMPLES))).drop("samples")
 
 
-def resample_linear(blocks: DataFrame, target_sr: int) -> DataFrame:
-    """Change the sample rate by linear interpolation.
+def resample_linear(blocks: DataFrame, target_sr: int | None) -> DataFrame:
+    """Change the sample rate by linear interpolation; None: to the rate in the column ``target_sr``.
 
     Each block produces the output samples whose left neighbour it holds; the
     right neighbour may be the head of the next block, fetched by an equi-join
@@ -360,24 +430,24 @@ def resample_linear(blocks: DataFrame, target_sr: int) -> DataFrame:
     heads = typed.select(
         "signal_id", "ch", (F.col("block_no") - 1).alias("block_no"), F.col("samples")[0].alias("_next")
     )
-    t, s = F.lit(target_sr).cast("bigint"), F.col("sr").cast("bigint")
+    t, s = (F.col("target_sr") if target_sr is None else F.lit(target_sr)).cast("bigint"), F.col("sr").cast("bigint")
     start, size = F.col("start_idx").cast("bigint"), F.size("samples")
     first = F.ceil(start * t / s).cast("bigint")
     stop = F.ceil((start + size) * t / s).cast("bigint")
 
     @F.arrow_udf("array<double>")
     def interpolate(
-        samples: pa.Array, following: pa.Array, begin: pa.Array, first: pa.Array, stop: pa.Array, sr: pa.Array
+        samples: pa.Array, following: pa.Array, begin: pa.Array, first: pa.Array, stop: pa.Array, sr: pa.Array, to: pa.Array
     ) -> pa.Array:
         import numpy as np
 
         edges, values = np.asarray(samples.offsets), np.asarray(samples.values)
         out = []
         for row, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            known = np.append(values[a:b], following[row].as_py())
+            known, rate = np.append(values[a:b], following[row].as_py()), to[row].as_py()
             at = np.arange(first[row].as_py(), stop[row].as_py(), dtype=np.int64) * sr[row].as_py()
-            left = at // target_sr - begin[row].as_py()
-            out.append(known[left] + (known[left + 1] - known[left]) * (at % target_sr / target_sr))
+            left = at // rate - begin[row].as_py()
+            out.append(known[left] + (known[left + 1] - known[left]) * (at % rate / rate))
         sizes = np.cumsum([0] + [len(x) for x in out])
         return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out or [values[:0]])))
 
@@ -385,10 +455,10 @@ def resample_linear(blocks: DataFrame, target_sr: int) -> DataFrame:
     after = F.coalesce("_next", F.element_at("samples", -1))
     return (
         joined.withColumn("_first", first).withColumn("_stop", stop).where(F.col("_first") < F.col("_stop"))
-        .withColumn("_out", interpolate("samples", after, start, "_first", "_stop", s))
+        .withColumn("_out", interpolate("samples", after, start, "_first", "_stop", s, t))
         .select(
             "signal_id", "ch", "block_no", F.col("_first").alias("start_idx"),
-            F.lit(target_sr).alias("sr"), F.col("_out").alias("samples"),
+            t.cast("int").alias("sr"), F.col("_out").alias("samples"),
         )
     )
 

@@ -60,28 +60,28 @@ def checkpointed(df):
     return df.checkpoint()
 
 
+_WRITTEN: list[str] = []
+
+
 def materialized(df, name: str):
     """Write ``df`` once as a Parquet table in the shared folder and read that.
 
     For results of costly user functions that several later steps read: they
     run once, and a lost executor re-reads files instead of running them again.
+    Also for summaries that are joined back to what they sum up: the planner
+    then knows their true size, and the large side is not read for them twice.
+    :func:`clear_written` removes the folders when their results are no longer needed.
     """
     path = fresh_path(df.sparkSession, name)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df, name: str):
-    """``df`` with a size the planner can rely on, for the small side of a join.
-
-    The planner's estimate for an aggregate follows its input, so over a large
-    input even one row per signal is planned as a shuffled join, and adaptive
-    execution finds out only after the large side has been written for it.
-    Where the estimate is above the broadcast limit the result is therefore
-    written first (it is small next to its input) and read back: the planner
-    then sees its true size and broadcasts it or, beyond the limit, shuffles.
-    """
-    state = df.sparkSession._jsparkSession.sessionState()
-    limit = state.conf().autoBroadcastJoinThreshold()
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if limit < 0 or estimate <= limit else materialized(df, name)
+def clear_written(spark: SparkSession) -> int:
+    """Remove the folders that :func:`materialized` wrote in this process; DataFrames that read them end with it."""
+    removed = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        removed += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return removed

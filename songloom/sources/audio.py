@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from songloom.operators.signals import pcm16_value
+from songloom.session import materialized
 
 BLOCK_SAMPLES = 65536
+# Samples of all channels together in one file: half a GiB, so a file fits into a row with room to spare.
 FILE_SAMPLES = 2**28
 BLOCK_SCHEMA = "signal_id string, ch int, block_no bigint, start_idx bigint, sr int, samples array<smallint>"
 
@@ -52,19 +54,17 @@ def float_blocks_to_pcm(blocks: DataFrame) -> DataFrame:
 
 
 def encode_wav(blocks: DataFrame, max_samples: int = FILE_SAMPLES) -> DataFrame:
-    """One WAV per signal: ``signal_id, sr, n_samples, n_bytes, wav BINARY``.
+    """WAV files of signals: ``signal_id, part, sr, n_samples, n_bytes, wav BINARY``.
 
     A WAV is one byte string, so its samples meet in one row. The format ends
-    at 4 GiB and a row at 2; a signal longer than ``max_samples`` goes on in
-    files named ``<signal>-2``, ``<signal>-3`` and so on, so that no group
-    grows with the signal.
+    at 4 GiB and a row at 2, so a signal is cut into parts of about
+    ``max_samples`` samples, all channels counted, numbered from 0; nothing is
+    left out and no group grows with the signal.
     """
-    # whole blocks only: a block belongs to the file its first sample falls in
-    file_no = F.floor(F.col("start_idx") / max_samples)
-    name = F.when(file_no == 0, F.col("signal_id").cast("string")).otherwise(
-        F.concat_ws("-", F.col("signal_id").cast("string"), (file_no + 1).cast("string"))
-    )
-    out = "signal_id string, sr int, n_samples bigint, n_bytes bigint, wav binary"
+    # whole blocks only: a block belongs to the part its first sample falls in
+    channels = materialized(blocks.groupBy("signal_id").agg(F.countDistinct("ch").alias("_channels")), "channels")
+    part = F.floor(F.col("start_idx") * F.col("_channels") / max_samples)
+    out = "signal_id string, part bigint, sr int, n_samples bigint, n_bytes bigint, wav binary"
 
     def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import io
@@ -85,9 +85,11 @@ def encode_wav(blocks: DataFrame, max_samples: int = FILE_SAMPLES) -> DataFrame:
                 wav.writeframes(data.tobytes())
                 total += len(data)
         raw = buf.getvalue()
-        return pd.DataFrame([(key[0], sr, total, len(raw), raw)], columns=["signal_id", "sr", "n_samples", "n_bytes", "wav"])
+        return pd.DataFrame([(key[0], key[1], sr, total, len(raw), raw)], columns=["signal_id", "part", "sr", "n_samples", "n_bytes", "wav"])
 
-    return blocks.select(name.alias("signal_id"), "ch", "start_idx", "sr", "samples").groupBy("signal_id").applyInPandas(write, out)
+    return blocks.join(channels, "signal_id").select(
+        F.col("signal_id").cast("string").alias("signal_id"), part.alias("part"), "ch", "start_idx", "sr", "samples"
+    ).groupBy("signal_id", "part").applyInPandas(write, out)
 
 
 def audio_export(blocks: DataFrame) -> DataFrame:
@@ -98,6 +100,8 @@ def audio_export(blocks: DataFrame) -> DataFrame:
 def write_wav_files(encoded: DataFrame, folder: str) -> None:
     """Write each encoded signal as ``<folder>/<signal_id>.wav`` from the tasks.
 
+    Further parts of a signal go to ``<folder>/part=<n>/<signal_id>.wav``, a
+    folder of its own for each part, so no part takes the name of a signal.
     ``folder`` is a path or URI every executor can reach. A file is written
     under a name of its own and then moved, so a repeated task leaves the same
     result.
@@ -108,11 +112,12 @@ def write_wav_files(encoded: DataFrame, folder: str) -> None:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        store.create_dir(root, recursive=True)
         for row in rows:
-            part = f"{root}/.{row.signal_id}-{uuid.uuid4().hex}"
-            with store.open_output_stream(part) as out:
+            place = f"{root}/part={row.part}" if row.part else root
+            store.create_dir(place, recursive=True)
+            started = f"{place}/.{row.signal_id}-{uuid.uuid4().hex}"
+            with store.open_output_stream(started) as out:
                 out.write(row.wav)
-            store.move(part, f"{root}/{row.signal_id}.wav")
+            store.move(started, f"{place}/{row.signal_id}.wav")
 
-    encoded.select("signal_id", "wav").foreachPartition(save)
+    encoded.select("signal_id", "part", "wav").foreachPartition(save)

@@ -76,7 +76,9 @@ def songs_from_json_qq(payloads: DataFrame) -> DataFrame:
 def _is_good(provider: Column, payload: Column) -> Column:
     code = lambda path: F.get_json_object(payload, path)
     clean = lambda c: c.isNull() | (c == "0")
-    return F.when(
+    # anything but a JSON object (a broken text, an error page, nothing) is no answer
+    is_object = F.coalesce(F.get_json_object(payload, "$").startswith("{"), F.lit(False))
+    return is_object & F.when(
         provider == "163", F.coalesce(code("$.code") == str(OK_CODE_163), F.lit(False))
     ).otherwise(clean(code("$.code")) & clean(code("$.req_1.code")))
 

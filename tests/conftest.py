@@ -34,7 +34,7 @@ def blocks(spark):
             for ch, samples in enumerate(channels):
                 for no, start in enumerate(range(0, max(len(samples), 1), block)):
                     rows.append((signal_id, ch, no, start, sr, [cast(x) for x in samples[start:start + block]]))
-        return spark.createDataFrame(rows, f"signal_id long, ch int, block_no long, start_idx long, sr int, samples array<{kind}>")
+        return spark.createDataFrame(rows, f"signal_id {'string' if rows and isinstance(rows[0][0], str) else 'long'}, ch int, block_no long, start_idx long, sr int, samples array<{kind}>")
 
     return make
 

@@ -60,8 +60,7 @@ def test_payload_status(spark):
     assert [got[i] for i in range(len(cases))] == [w for *_, w in cases]
 
 
-@pytest.mark.parametrize("hot_df", [1, 5, 10**6])
-def test_ranking_matches_scan_of_all_pairs(spark, hot_df):
+def test_ranking_matches_scan_of_all_pairs(spark):
     rnd = random.Random(2)
     vocab = ["love", "love", "love", "the", "the", "sun", "rain", "blue", "moon", "river", "night"]
     songs = [(f"{rnd.randrange(10**6):06d}", " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(1, 5)))) for _ in range(300)]
@@ -73,9 +72,9 @@ def test_ranking_matches_scan_of_all_pairs(spark, hot_df):
         want |= {(q, k, i, -sc) for k, (sc, i) in enumerate(scored[:4], 1)}
     qdf = spark.createDataFrame([(q,) for q in queries], "query string")
     sdf = spark.createDataFrame(songs, "song_id string, name string")
-    got = c.keyword_topk(qdf, sdf, limit=4, hot_df=hot_df).collect()
-    assert {tuple(r) for r in got} == want
-    first = {r.query: (r.song_id, r.found) for r in c.first_hit(qdf, sdf, hot_df=hot_df).collect()}
+    got = c.keyword_topk(qdf, sdf, limit=4).collect()
+    assert {(r.query, r.rank, r.song_id, r.score) for r in got} == want
+    first = {r.query: (r.song_id, r.found) for r in c.first_hit(qdf, sdf).collect()}
     assert first["nothing here"] == (None, False) and set(first) == set(queries)
     assert {(q, s) for q, (s, f) in first.items() if f} == {(q, i) for q, k, i, _ in want if k == 1}
 
@@ -112,3 +111,16 @@ def test_url_chain(spark):
     df = spark.createDataFrame(rows, "song_id string, url_1 string, url_2 string, url_3 string")
     got = {r.song_id: (r.url, r.rank) for r in c.url_fallback_chain(df).collect()}
     assert got == {"1": ("u1", 1), "2": ("u2", 2), "3": ("h/x.ogg?y", 3), "4": (None, None), "5": (None, None)}
+
+
+def test_repeated_songs_take_one_place(spark):
+    songs = [("a", "love", "163")] * 5 + [("b", "love", "163"), ("c", "love me", "qq"), ("a", "Love", "qq")]
+    sdf = spark.createDataFrame(songs, "song_id string, name string, platform string")
+    got = c.keyword_topk(spark.createDataFrame([("love",)], "query string"), sdf).orderBy("rank").collect()
+    assert [(r.song_id, r.platform) for r in got] == [("a", "163"), ("a", "qq"), ("b", "163"), ("c", "qq")]
+
+
+def test_broken_answers_are_errors(spark):
+    bad = ["{not json", "<html></html>", None, "[1]", "", "7"]
+    df = spark.createDataFrame([(i, k, b) for i, b in enumerate(bad) for k in ("163", "qq")], "payload_id int, provider string, payload string")
+    assert {r.status for r in p.payload_status_split(df).collect()} == {"error"}

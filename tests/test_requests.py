@@ -49,6 +49,7 @@ def test_key_values(spark):
     df = spark.createDataFrame([("MUSIC_U=ab ; __csrf=c",), ("plain",), ("x=1; MUSIC_U=",)], "s string")
     got = [x.v for x in df.select(r.kv_value(F.col("s"), "MUSIC_U").alias("v")).collect()]
     assert got == ["ab", "plain", "x=1; MUSIC_U="]
+    assert spark.range(1).select(r.kv_value(F.lit("uid=5; id=7"), "id").alias("v")).first().v == "7"
 
 
 def test_callback_states(spark):

@@ -41,17 +41,17 @@ def test_samples_stay_in_place_when_the_signal_table_is_small(stored, broadcast_
 
 @pytest.mark.parametrize("limit", [10, 2000])
 def test_results_do_not_depend_on_the_join(spark, broadcast_limit, stored, samples, limit):
-    trimmed, stitched = samples(s.trim_silence(stored, 0.5)), samples(s.stitch_chunks(s.chunk_overlap(stored, 900, 70), 70))
+    trimmed, stitched = samples(s.trim_silence(stored, 0.5)), samples(s.stitch_chunks(s.chunk_overlap(stored, 900, 70)))
     pitch = spark.range(3000).selectExpr("id % 3 AS k", "cast(id % 977 AS double) AS x")
     medians = sorted(exact_median(pitch, "k", "x").collect())
     songs = spark.range(300).selectExpr("cast(id AS string) song_id", "concat('love ', id % 7, ' ', id % 5) name")
     asked = spark.range(20).selectExpr("concat('Love ', id % 9) query")
-    ranked = sorted(c.keyword_topk(asked, songs, hot_df=10).collect())
+    ranked = sorted(c.keyword_topk(asked, songs).collect())
     broadcast_limit(limit)
     assert samples(s.trim_silence(stored, 0.5)) == trimmed
-    assert samples(s.stitch_chunks(s.chunk_overlap(stored, 900, 70), 70)) == stitched
+    assert samples(s.stitch_chunks(s.chunk_overlap(stored, 900, 70))) == stitched
     assert sorted(exact_median(pitch, "k", "x").collect()) == medians
-    assert sorted(c.keyword_topk(asked, songs, hot_df=10).collect()) == ranked
+    assert sorted(c.keyword_topk(asked, songs).collect()) == ranked
 
 
 def test_no_registered_plan_has_a_nested_loop(spark):

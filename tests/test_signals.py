@@ -66,7 +66,7 @@ def test_mix_keeps_time_alignment(blocks, samples):
 
 
 def test_residual(blocks, samples):
-    split = s.residual_track(blocks({1: [[1.5, -.5, .2]]}), blocks({1: [[-.5, .5, .1]]}))
+    split = s.residual_track(blocks({1: [[1.5, -.5, .2]]}), blocks({1: [[-.5, .5, .1]]}), compensate=1.0)
     rest = samples(split, "residual")[1, 0]
     assert rest == pytest.approx([.99, -.495, .0495])
     assert samples(split)[1, 0] == [-.5, .5, .1]
@@ -100,7 +100,7 @@ def test_chunk_then_stitch_is_identity(blocks, samples):
         chunks = s.chunk_overlap(df, outer, margin)
         spans = {(r.signal_id, r.chunk_start): (r.chunk_lo, r.chunk_hi) for r in chunks.collect()}
         assert spans == {(i, k): v for i, (x,) in signals.items() for k, v in _reference_chunks(len(x), outer, margin).items()}
-        back = samples(s.stitch_chunks(chunks, margin, outer))
+        back = samples(s.stitch_chunks(chunks))
         assert back == {(i, 0): x for i, (x,) in signals.items()}, (outer, margin)
 
 
@@ -138,3 +138,35 @@ def test_rms_frames_across_blocks(blocks):
 def test_long_form_positions(blocks):
     rows = s.long_form(blocks({1: [[1.0, 2.0, 3.0]]}, block=2)).orderBy("idx").collect()
     assert [(r.idx, r.value) for r in rows] == [(0, 1.0), (1, 2.0), (2, 3.0)]
+
+
+def test_pairing_does_not_trust_block_edges(blocks, samples):
+    from pyspark.sql import functions as F
+
+    whole = blocks({1: [[0.0] * 8]}, block=6)
+    moved = blocks({1: [[.1, .2, .3, .4, .5, .6, .7]]}, block=7)
+    split = F.posexplode(F.array(F.slice("samples", 1, 1), F.slice("samples", 2, 6)))
+    moved = moved.select("signal_id", "ch", split.alias("block_no", "samples"), "sr").withColumn("start_idx", F.col("block_no").cast("bigint"))
+    assert samples(s.align_tracks(whole, moved))[1, 0] == [.1, .2, .3, .4, .5, .6, .7, 0.0]
+    with pytest.raises(Exception, match="block layouts"):
+        s.align_tracks(whole, moved, regular=True).collect()
+    assert [len(r.samples) for r in s.reblock(moved, 3).orderBy("block_no").collect()] == [3, 3, 1]
+
+
+def test_raised_part_is_clipped(blocks, samples):
+    split = s.residual_track(blocks({1: [[.5, 1.0]]}), blocks({1: [[.5, 1.0]]}))
+    assert samples(split)[1, 0] == pytest.approx([.5175, 1.0]) and samples(split, "residual")[1, 0] == pytest.approx([-.0175, 0.0])
+
+
+def test_two_requests_of_one_song(spark, blocks):
+    from songloom.plans.cover import two_stem_job
+    from songloom.session import clear_written
+
+    rows = [(i, 1, "cover", "m", "", 0, band, True) for i, band in ((10, True), (11, True), (12, False))]
+    requests = spark.createDataFrame(rows, "request_id long, signal_id long, kind string, model string, sample_audio string, reference_id long, with_instrumental boolean, trim boolean")
+    f0 = spark.createDataFrame([(1, 100.0)] * 3, "signal_id long, hz double")
+    refs = spark.createDataFrame([(0, 200.0)], "reference_id long, median_hz double")
+    job = two_stem_job(blocks({1: [[.5, .25, .5, .5]], 2: [[1.0]]}), requests, f0, refs, lambda b: b, lambda b, k: s.float_to_pcm16(b))
+    got = {r.signal_id: r.n for r in job["audio"].selectExpr("signal_id", "size(samples) n").collect()}
+    assert got == {10: 4, 11: 4, 12: 4} and job["keys"].count() == 3 and job["f0"].count() == 6
+    assert clear_written(spark) > 0
