@@ -52,6 +52,20 @@ def command_route_compat(spark, sf):
     return r.command_route(messages(spark, sf), compat=True)
 
 
+_WRAPPED = (("/翻唱 -v L.pth ", ""), ("!翻唱 ", " -v L.pth"), ("#说 ", ""), ("/翻唱 ", ""), ("", ""))
+
+
+@query("command_route_texts", """SELECT conv_id, turn, ['翻唱', '翻唱', '说', '翻唱', NULL][k + 1] AS command,
+  CASE WHEN k < 2 THEN 'L.pth' ELSE '' END AS model, CASE WHEN k < 4 THEN x ELSE '' END AS query, k < 4 AND x = '' AS missing_arg
+FROM (SELECT *, (conv_id * 5 + turn) % 5 AS k, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM conversations)""")
+def command_route_texts(spark, sf):
+    """Every text of the conversations, with a command around it or none."""
+    k = F.pmod(F.col("conv_id") * 5 + F.col("turn"), F.lit(5)).cast("int")
+    side = lambda n: F.get(F.array(*[F.lit(w[n]) for w in _WRAPPED]), k)
+    text = F.concat(side(0), F.trim(F.regexp_replace("text", r"\s+", " ")), side(1))
+    return r.command_route(table(spark, sf, "conversations").select("conv_id", "turn", text.alias("text")))
+
+
 # ends of request URLs: blank, repeated, badly typed and escaped values
 _ENDS = (
     "&agg=&agg=12&trim=0", "&agg=x1&with_instrumental=true", "&auto_key=yes&auto_key_offset=two&auto_key_max=0",

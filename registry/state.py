@@ -37,6 +37,23 @@ def dedup_window_six_hours(spark, sf):
     return dedup.dedup_window(dedup.dedup_requests(v.requests(spark, sf), window_s=21600))
 
 
+sql_view("req_open", """SELECT event_id AS id, event_type AS stream, t, CASE WHEN event_id % 500 <> 7 THEN event_type <> 'error' END AS ok,
+      CASE WHEN event_id % 500 = 7 THEN 4611686018427387904 ELSE t + CAST(round_even(value * 20e6, 0) AS BIGINT) + CASE WHEN event_type <> 'error' THEN 600000000 ELSE 0 END END AS expiry,
+      row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS rn FROM ev""", ("ev",))
+sql_view("runs_open", """SELECT stream, rn, id, id AS leader_id, expiry, ok, false AS reused FROM req_open WHERE rn = 1
+      UNION ALL SELECT r.stream, r.rn, r.id, CASE WHEN r.t < p.expiry THEN p.leader_id ELSE r.id END,
+        CASE WHEN r.t < p.expiry THEN p.expiry ELSE r.expiry END, CASE WHEN r.t < p.expiry THEN p.ok ELSE r.ok END, r.t < p.expiry
+      FROM runs_open p JOIN req_open r ON r.stream = p.stream AND r.rn = p.rn + 1""", ("req_open",))
+
+
+@query("dedup_unfinished", "SELECT id AS request_id, leader_id, reused, ok FROM runs_open", ("runs_open",))
+def dedup_unfinished(spark, sf):
+    """Some requests have not ended: whatever follows on their key joins them."""
+    requests, open_ = v.requests(spark, sf, "event_type"), F.pmod("request_id", F.lit(500)) == 7
+    requests = requests.withColumn("dur", F.when(~open_, F.col("dur"))).withColumn("ok", F.when(~open_, F.col("ok")))
+    return dedup.dedup_leader(dedup.dedup_requests(requests, partitions=8))
+
+
 @query("dedup_window_hot_keys", _COUNTS.format(tag="type"), ("runs_type",))
 def dedup_window_hot_keys(spark, sf):
     """Five keys hold all rows, so every key runs over several slices."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from registry import state as batch, views as v
 from registry.core import query, table
+from songloom.operators import state
 from songloom.session import fresh_path
 from songloom.streaming import dedup, delivery, replay, retention, sessions, upsert
 
@@ -70,3 +71,15 @@ def stream_sessions(spark, sf):
 def stream_upsert(spark, sf):
     writes = v.as_sections(event_stream(spark, sf).where(F.col("event_id") >= 0))
     return upsert.stream_upsert(writes, fresh_path(spark, "sections")).drop("seq")
+
+
+@query("stream_upsert_compacted", """SELECT user_id AS key, arg_max(props, (t, event_id)) AS value, max(t) AS ts FROM ev GROUP BY user_id""", ("ev",))
+def stream_upsert_compacted(spark, sf):
+    """Half of the events, a snapshot, then the others into the same table."""
+    path = fresh_path(spark, "sections")
+    events = v.events(spark, sf)
+    half = F.pmod("event_id", F.lit(2)) == 0
+    state.upsert_latest(v.as_sections(events.where(half))).write.parquet(f"{path}/batches/batch=0")
+    upsert.compact(spark, path)
+    state.upsert_latest(v.as_sections(events.where(~half))).write.parquet(f"{path}/batches/batch=1")
+    return upsert.read_latest(spark, path).drop("seq")

@@ -26,8 +26,9 @@ from songloom.functions.ordering import range_slices
 # Reuse window in seconds.
 DEDUP_WINDOW_S = 600
 
-KEY = ("stream", "query", "model", "flag")
 NEVER = -(2**62)
+# expiry of a run that has not ended: later than any time
+IN_FLIGHT = 2**62
 
 
 def request_key() -> list[Column]:
@@ -40,10 +41,12 @@ def _sliced(requests: DataFrame, window_us: int, partitions: int | None) -> Data
     keyed = requests.select(
         "request_id", F.col("stream").alias("_stream"),
         F.to_json(F.struct(*request_key())).alias("_key"),
-        F.col("t").cast("bigint").alias("_t"), "ok",
+        F.col("t").cast("bigint").alias("_t"), F.coalesce("ok", F.lit(False)).alias("ok"),
         # earliest time at which a request after this one would start anew
-        (F.col("t") + F.col("dur") + F.when(F.col("ok"), F.lit(window_us)).otherwise(F.lit(0)))
-        .cast("bigint").alias("_expiry"),
+        F.coalesce(
+            (F.col("t") + F.col("dur") + F.when(F.col("ok"), F.lit(window_us)).otherwise(F.lit(0))).cast("bigint"),
+            F.lit(IN_FLIGHT),
+        ).alias("_expiry"),
     )
     return range_slices(keyed, ["_key", "_t", "request_id"], partitions)
 
@@ -146,7 +149,8 @@ def dedup_requests(
 
     ``requests(request_id, stream, query, model, flag, t, dur, ok)`` with ``t``
     and ``dur`` in microseconds. A duplicate carries the outcome of its leader,
-    also when the run it joined failed.
+    also when the run it joined failed. A null ``dur`` is a run still in flight:
+    it never expires, and its outcome is null for all who join it.
     """
     slices = _sliced(requests, seconds_to_micros(window_s), partitions)
     # at most one row per slice, so the hint is bounded by the partition count
@@ -168,7 +172,7 @@ def dedup_requests(
             stops = np.append(starts[1:], len(keys))
             lead = np.empty(len(keys), dtype=np.int64)
             good = np.empty(len(keys), dtype=bool)
-            reused = np.ones(len(keys), dtype=bool)
+            reused, flying = np.ones(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
             for a, b in zip(starts.tolist(), stops.tolist()):
                 if keys[a] != key:
                     if key is None:  # first key of the slice may continue a run
@@ -180,14 +184,15 @@ def dedup_requests(
                 i = a
                 while i < b:
                     j = i + int(np.searchsorted(t[i:b], until, side="left"))
-                    lead[i:j], good[i:j] = leader, leader_ok
+                    lead[i:j], good[i:j], flying[i:j] = leader, leader_ok, until == IN_FLIGHT
                     if j < b:
                         leader, leader_ok, until = int(ids[j]), bool(oks[j]), int(expiry[j])
-                        lead[j], good[j], reused[j] = leader, leader_ok, False
+                        lead[j], good[j], reused[j], flying[j] = leader, leader_ok, False, until == IN_FLIGHT
                         j += 1
                     i = j
             yield pd.DataFrame({
-                "request_id": ids, "stream": batch["_stream"], "leader_id": lead, "reused": reused, "ok": good,
+                "request_id": ids, "stream": batch["_stream"], "leader_id": lead, "reused": reused,
+                "ok": pd.Series(good, dtype=object).mask(flying, None),
             })
 
     # no nulls in the handed-over columns: pandas would turn BIGINT into doubles

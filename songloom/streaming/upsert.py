@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from songloom.operators.state import upsert_latest
 from songloom.streaming.replay import run_batches
@@ -15,21 +16,44 @@ def stream_upsert(writes: DataFrame, table: str, name: str = "upsert") -> DataFr
 
     Each micro-batch is reduced to one row per key and written to its own
     folder, replacing what a repeated batch left there; readers take the latest
-    over all folders. A batch therefore costs its own size, not the table's.
+    over the newest snapshot and the batches after it. A batch therefore costs
+    its own size, not the table's. :func:`compact` may run between batches.
     """
     key_type = writes.schema["key"].dataType.simpleString()
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        upsert_latest(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        upsert_latest(batch).write.mode("overwrite").parquet(f"{table}/batches/batch={batch_id}")
 
     run_batches(writes, name, each)
     return read_latest(writes.sparkSession, table, key_type)
 
 
+def _state(spark: SparkSession, table: str, key_type: str) -> tuple[DataFrame, int]:
+    """Rows that the current state follows from, and the last batch folded into a snapshot (-1: none)."""
+    schema = _SCHEMA.format(key=key_type)
+    batches = spark.read.schema(f"{schema}, batch bigint").parquet(f"{table}/batches")
+    try:
+        snapshots = spark.read.schema(f"{schema}, upto bigint").parquet(f"{table}/snapshots")
+    except AnalysisException:  # none yet
+        return batches.drop("batch"), -1
+    upto = snapshots.agg(F.max("upto")).first()[0]
+    upto = -1 if upto is None else upto
+    newer = batches.where(F.col("batch") > upto).drop("batch")
+    return snapshots.where(F.col("upto") == upto).drop("upto").unionByName(newer), upto
+
+
 def read_latest(spark: SparkSession, table: str, key_type: str = "bigint") -> DataFrame:
-    return upsert_latest(spark.read.schema(_SCHEMA.format(key=key_type)).parquet(table))
+    return upsert_latest(_state(spark, table, key_type)[0])
 
 
-def compact(spark: SparkSession, table: str, target: str, key_type: str = "bigint") -> None:
-    """Write the current state as one snapshot folder under a new table."""
-    read_latest(spark, table, key_type).write.mode("overwrite").parquet(f"{target}/batch=-1")
+def compact(spark: SparkSession, table: str, key_type: str = "bigint") -> int:
+    """Fold all batches so far into a snapshot of the same table, named by the last of them; returns that batch.
+
+    Later reads take the snapshot and newer batches only. A repeated call
+    overwrites its own snapshot; older folders are no longer read.
+    """
+    rows, upto = _state(spark, table, key_type)
+    last = spark.read.schema("batch bigint").parquet(f"{table}/batches").agg(F.max("batch")).first()[0]
+    if last is not None and last > upto:
+        upsert_latest(rows).write.mode("overwrite").parquet(f"{table}/snapshots/upto={last}")
+    return upto if last is None else max(last, upto)

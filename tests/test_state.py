@@ -178,3 +178,19 @@ def test_hash33(spark):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     got = {r.s: (r.a, r.b) for r in df.select("s", hash33(F.col("s")).alias("a"), hash33(F.col("s"), 5381).alias("b")).collect()}
     assert got == {t: (plain(t), plain(t, 5381)) for t in texts}
+
+
+def test_methods_outside_the_order_settle_nothing(spark):
+    from songloom.operators import delivery
+
+    rows = [(1, "text", "sent", 1), (1, "voiceurl", "sent", 1), (2, "text", "sent", 1)]
+    got = delivery.delivery_fallback(spark.createDataFrame(rows, "message_id long, method string, outcome string, size long")).collect()
+    assert [(r.message_id, r.method) for r in got] == [(1, "voiceurl")]
+
+
+def test_nan_frames_have_no_voice(spark):
+    from songloom.operators import pitch
+
+    rows = [(1, 100.0)] * 50 + [(1, float("nan"))] * 60
+    got = pitch.voiced_median(spark.createDataFrame(rows, "signal_id long, hz double")).first()
+    assert (got.voiced, got.median_hz) == (50, 100.0)

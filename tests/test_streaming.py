@@ -79,10 +79,10 @@ def test_sessions(spark, stream):
 
 
 def test_upsert_and_compaction(spark, stream):
-    table, packed = fresh_path(spark, "sections"), fresh_path(spark, "sections")
+    table = fresh_path(spark, "sections")
     out = su.stream_upsert(v.as_sections(stream()), table).where("key >= 0")
     want = state.upsert_latest(v.sections(spark, SMALL))
     cols = ["key", "value", "ts", "seq"]
     assert rows(out, *cols) == rows(want, *cols)
-    su.compact(spark, table, packed)
-    assert rows(su.read_latest(spark, packed).where("key >= 0"), *cols) == rows(want, *cols)
+    assert su.compact(spark, table) >= 0 and su.compact(spark, table) >= 0
+    assert rows(su.read_latest(spark, table).where("key >= 0"), *cols) == rows(want, *cols)
