@@ -64,6 +64,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     characters around a span.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), whole_text(docs, text).alias("_text"))
+    none = F.array().cast("array<struct<value:string,left:string,right:string,kind:string,no:int>>")
     found = []
     for kind, pattern in PATTERNS.items():
         matches = F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))
@@ -74,7 +75,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             F.transform(matches, lambda _: F.lit(kind)).alias("kind"), F.sequence(F.lit(1), n).alias("no"),
         )
         possible = F.col("_text").rlike(NEEDED[kind]) & (F.regexp_count("_text", F.lit(pattern)) > 0)
-        found.append(F.when(possible, spans).otherwise(F.slice(spans, 1, 0)))
+        found.append(F.when(possible, spans).otherwise(none))
     span = F.col("_span")
     rows = base.select("doc_id", "row", F.explode_outer(F.concat(*found)).alias("_span"))
     flat = materialized(rows.select(
