@@ -28,15 +28,14 @@ class Plain:
         self.d2, self.d1 = discounts(of(pairs.values())), discounts(of(self.left.values()))
         self.context = Counter(self.n)
         self.context["<s>"] = len(texts)
+        self.seen, self.taken = sum(self.left.values()), sum(self.d1[min(c, 3) - 1] for c in self.left.values())
 
     @staticmethod
     def tokens(text):
         return [*(text or "").encode().lower().split(), "</s>"]
 
     def single(self, w):
-        seen = sum(self.left.values())
-        taken = sum(self.d1[min(c, 3) - 1] for c in self.left.values())
-        c = self.left[w]
+        seen, taken, c = self.seen, self.taken, self.left[w]
         own = (c - self.d1[min(c, 3) - 1]) / seen if c else 0
         return own + (taken / seen if seen else 1) / (len(self.n) + 1)
 
