@@ -16,8 +16,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from songloom.llm.shared import whole_text, worker_value
+from songloom.llm.shared import worker_value
 
 # A pre-token of more characters is encoded each time and not remembered.
 REMEMBERED_CHARS = 32
@@ -79,6 +80,18 @@ def model_bytes(ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
     return model, np.array([-1, *(r for _, r in ordered)], dtype=np.int64)
 
 
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """Bytes of each id: the inverse of the ranks, empty for ids without a token."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def decode_ids(packed: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
 class Encoder:
     """Encodes in one worker; built once per worker from the rank file."""
 
@@ -87,6 +100,7 @@ class Encoder:
         import sentencepiece
 
         self.whole = read_ranks(path)
+        self.tokens = token_bytes(self.whole)
         model, self.rank_of = model_bytes(self.whole)
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.split = regex.compile(pattern).findall
@@ -122,46 +136,51 @@ class Encoder:
         return b"".join([known[p] if p in known else fresh[p] for p in parts])
 
 
-def token_bytes(path: str) -> list[bytes]:
-    """Bytes of each id: the inverse of the ranks, empty for ids without a token."""
-    ranks = read_ranks(path)
-    tokens = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    return tokens
-
-
 def _binary(values: pa.Array, one) -> pa.Array:
     """``one`` of each value, taken out of Arrow a few at a time so that a batch is never held twice."""
     out = [pa.array([one(x) for x in values.slice(at, 256).to_pylist()], pa.binary()) for at in range(0, len(values), 256)]
     return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def bpe_encode(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """``docs`` with the ids of each whole text in ``out``.
 
     The ids are packed as little-endian unsigned 32-bit integers; :func:`unpacked_ids`
     gives an array. Each match of ``pattern`` is encoded on its own, without
     special tokens. A null or empty text gets no ids; a column named ``out`` is
     replaced; rows are kept as they are, repeated ones too. ``path`` names the
-    rank file, which every worker reads where it is installed.
+    rank file, which every worker reads where it is installed. ``decoded`` names
+    a column for the bytes that the ids stand for, for callers that check the
+    round trip: it is then made in the same pass, by the same worker.
     """
-    @F.arrow_udf("binary")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    added = [out] + ([decoded] if decoded else [])
+    rows = docs.drop(*added).withColumn(text, F.col(text).cast("string"))
+    names, place = rows.columns, rows.columns.index(text)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_value(("bpe", path, pattern), lambda: Encoder(path, pattern))
-        for texts in batches:
-            yield _binary(texts, encoder.encode)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # small batches go back, so none is held twice
+                part = batch.slice(at, 256)
+                ids = [encoder.encode(t or "") for t in part.column(place).to_pylist()]
+                columns = [*part.columns, pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([decode_ids(x, encoder.tokens) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names + added)
 
-    return docs.withColumn(out, encode(whole_text(docs, text)))
+    schema = StructType([*rows.schema.fields, *[StructField(c, BinaryType()) for c in added]])
+    return rows.mapInArrow(encode, schema)
 
 
 def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that packed ids stand for; null ids give no bytes."""
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = worker_value(("bpe tokens", path), lambda: token_bytes(path))
+        tokens = worker_value(("bpe tokens", path), lambda: token_bytes(read_ranks(path)))
         for packed in batches:
-            yield _binary(packed, lambda x: b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())))
+            yield _binary(packed, lambda x: decode_ids(x, tokens))
 
     return docs.withColumn(out, decode(F.coalesce(F.col(ids), F.lit(b""))))
 

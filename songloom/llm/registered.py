@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from songloom.llm.balltree import integer_vectors, nearest_by_inner_product
-from songloom.llm.bpe import bpe_decode, bpe_encode, token_count
+from songloom.llm.bpe import bpe_encode, token_count
 from songloom.llm.decontamination import with_leaks
 from songloom.llm.kneser_ney import fit_bigrams, scored
 from songloom.llm.langid import fit_languages, identified, part_of
@@ -41,7 +41,7 @@ def tokenizer() -> tuple[str, str]:
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = bpe_decode(bpe_encode(docs, *tokenizer()), tokenizer()[0])
+    coded = bpe_encode(docs, *tokenizer(), decoded="decoded")
     return coded.select(
         "doc_id", token_count(F.col("ids")).alias("n_tokens"), sha(F.col("ids")).alias("ids_sha256"),
         sha(F.col("decoded")).alias("decoded_sha256"),

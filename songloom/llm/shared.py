@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def worker_value(key: tuple, build: Callable):
     """A value kept for the life of a Python worker, which outlives the functions it is sent.
 
-    At most eight values are kept, so a long-lived worker stays bounded.
+    At most two values are kept, so a long-lived worker stays bounded.
     """
     store = sys.modules.setdefault("songloom_worker_values", types.ModuleType("songloom_worker_values")).__dict__
     kept = store.setdefault("kept", {})
     if key not in kept:
-        while len(kept) >= 8:
+        while len(kept) >= 2:
             kept.pop(next(iter(kept)))
         kept[key] = build()
     return kept[key]
