@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -60,17 +59,30 @@ def fingerprint(text: str, shingle: int = SHINGLE, kinds: int = 1) -> list[int]:
     return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of each row as a signed long of the same bits.
+def fingerprints(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", views: tuple[tuple[int, int], ...] = ((SHINGLE, 1),)
+) -> DataFrame:
+    """``(doc_id, view, fp)``: the fingerprints of each row, as signed longs of the same bits.
 
-    A null or empty text, or one without words, has fingerprint zero.
+    ``views`` lists shingle lengths and how many fingerprints of each are taken;
+    views are numbered from 0. A null or empty text, or one without words, has
+    fingerprint zero in all.
     """
-    @F.pandas_udf("long")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(np.array([fingerprint(t, shingle)[0] for t in texts], dtype=np.uint64).view(np.int64))
+    n = sum(kinds for _, kinds in views)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # few texts at a time are taken out of Arrow
+                part = batch.slice(at, 256)
+                fps = [fp for t in part.column(1).to_pylist() for shingle, kinds in views for fp in fingerprint(t, shingle, kinds)]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), n))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(rows), pa.array(np.tile(np.arange(n, dtype=np.int32), part.num_rows)),
+                    pa.array(np.array(fps, dtype=np.uint64).view(np.int64)),
+                ], ["doc_id", "view", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), hashed(whole_text(docs, text)).alias("fp"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(docs, text).alias("text"))
+    return rows.mapInArrow(hashed, "doc_id long, view int, fp long")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -173,10 +185,8 @@ def near_duplicates(
     component but connects the others, and gets its component too, null only
     if all ids of the component are null.
     """
-    marked = materialized(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    distinct = materialized(
-        marked.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("first_id")), "distinct-fingerprints"
-    )
+    marked = materialized(fingerprints(docs, doc_id, text, ((shingle, 1),)).drop("view"), "fingerprints")
+    distinct = materialized(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     # fingerprints are the nodes; the least id of a component is found afterwards
     links = fingerprint_links(distinct.select(F.lit(0).alias("view"), "fp"), bucket)
     member = components(links.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
@@ -196,14 +206,7 @@ def near_copies(docs: DataFrame, views: tuple[tuple[int, int], ...] = VIEWS) ->
     fingerprint alone misses most copies with several edits, since its distance
     scatters; each further one gives them another chance. Null ids take no part.
     """
-    @F.pandas_udf("array<long>")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            fps = [[fp for shingle, kinds in views for fp in fingerprint(t, shingle, kinds)] for t in texts]
-            yield pd.Series([np.array(x, dtype=np.uint64).view(np.int64) for x in fps], dtype=object)
-
-    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), hashed(whole_text(docs)).alias("fps"))
-    marked = materialized(own.select("doc_id", F.posexplode("fps").alias("view", "fp")), "fingerprints")
+    marked = materialized(fingerprints(docs.where(F.col("doc_id").isNotNull()), views=views), "fingerprints")
     first = materialized(marked.groupBy("view", "fp").agg(F.min("doc_id").alias("first_id")), "first-of-fingerprints")
     equal = marked.join(first, ["view", "fp"]).where(F.col("doc_id") != F.col("first_id")).select(
         F.col("doc_id").alias("a"), F.col("first_id").alias("b")
