@@ -212,7 +212,12 @@ def near_copies(docs: DataFrame, views: tuple[tuple[int, int], ...] = VIEWS) ->
         F.col("doc_id").alias("a"), F.col("first_id").alias("b")
     )
     named = lambda side: first.select("view", F.col("fp").alias(f"fp_{side}"), F.col("first_id").alias(side))
-    near = fingerprint_links(first.select("view", "fp")).join(named("a"), ["view", "fp_a"]).join(named("b"), ["view", "fp_b"])
+    # one view after the other: a step then holds the keys of one fingerprint per text
+    by_view = [
+        materialized(fingerprint_links(first.where(F.col("view") == k).select("view", "fp")), "near-fingerprints")
+        for k in range(sum(kinds for _, kinds in views))
+    ]
+    near = reduce(DataFrame.union, by_view).join(named("a"), ["view", "fp_a"]).join(named("b"), ["view", "fp_b"])
     return components(equal.union(near.select("a", "b")))
 
 
