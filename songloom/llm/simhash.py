@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.llm.arrays import U, mixed
 from songloom.llm.components import components
+from songloom.llm.minhash import near_links
 from songloom.llm.shared import whole_text
 from songloom.session import materialized
 
 BITS = 3
 SEGMENTS = 8
 SHINGLE = 3
-# Views of the near-copy stage: shingle length and number of fingerprints.
+# Views that the near-copy stage once linked by, which tests still name: shingle length and number of fingerprints.
 VIEWS = ((3, 1), (5, 4))
 # Fingerprints that a task compares at once; a larger bucket is dealt out as pairs of parts.
 BUCKET = 2_000
@@ -198,35 +199,22 @@ def near_duplicates(
     return marked.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, views: tuple[tuple[int, int], ...] = VIEWS) -> DataFrame:
+def near_copies(docs: DataFrame) -> DataFrame:
     """``(node, component)``: ids of documents that are near copies of others, and the least id of each component.
 
-    ``views`` lists shingle lengths and how many fingerprints of each are taken.
-    Two documents are linked if in some view at most three bits differ: one
-    fingerprint alone misses most copies with several edits, since its distance
-    scatters; each further one gives them another chance. Null ids take no part.
+    Two documents are linked if their five-word shingles have a Jaccard similarity
+    of 0.8 or more (see :mod:`songloom.llm.minhash`): the distance of fingerprints
+    scatters too much for that. Null ids take no part.
     """
-    marked = materialized(fingerprints(docs.where(F.col("doc_id").isNotNull()), views=views), "fingerprints")
-    first = materialized(marked.groupBy("view", "fp").agg(F.min("doc_id").alias("first_id")), "first-of-fingerprints")
-    equal = marked.join(first, ["view", "fp"]).where(F.col("doc_id") != F.col("first_id")).select(
-        F.col("doc_id").alias("a"), F.col("first_id").alias("b")
-    )
-    named = lambda side: first.select("view", F.col("fp").alias(f"fp_{side}"), F.col("first_id").alias(side))
-    # one view after the other: a step then holds the keys of one fingerprint per text
-    by_view = [
-        materialized(fingerprint_links(first.where(F.col("view") == k).select("view", "fp")), "near-fingerprints")
-        for k in range(sum(kinds for _, kinds in views))
-    ]
-    near = reduce(DataFrame.union, by_view).join(named("a"), ["view", "fp_a"]).join(named("b"), ["view", "fp_b"])
-    return components(equal.union(near.select("a", "b")))
+    return components(near_links(docs))
 
 
-def one_of_each(docs: DataFrame, views: tuple[tuple[int, int], ...] = VIEWS) -> DataFrame:
+def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies (see :func:`near_copies`): of each component the row of the least id stays.
 
     Of rows with equal ids any one stays; rows with a null id all stay.
     """
-    gone = near_copies(docs, views).where(F.col("node") != F.col("component")).select(F.col("node").alias("_id"))
+    gone = near_copies(docs).where(F.col("node") != F.col("component")).select(F.col("node").alias("_id"))
     left = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
     alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     return left.withColumn("_alone", alone).dropDuplicates(["doc_id", "_alone"]).drop("_alone")
