@@ -1,8 +1,11 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, mapped into memory by the workers.
-
-Counting deals bigrams into buckets, each summed in one task; a context's bigrams
-are spread over sixteen buckets, so a frequent word fills none. What a bucket
-learns about words goes on to the words' own buckets. Every bucket becomes two
+"""Interpolated modified Kneser-Ney model of any order: counted in Spark, mapped into memory by the workers.
+
+Counting deals n-grams into buckets by their last two words, each summed in one
+task; the followers of a word are spread over sixteen buckets, so a frequent word
+fills none. What a bucket learns about the n-grams one word shorter (how many
+different words come before, what follows) goes on to their own buckets, down to
+single words. Lower orders count different words before, except n-grams that
+begin a text, which nothing comes before: these count as often as seen. Every bucket becomes two
 sorted arrays in the shared folder (hashes, counts); scoring maps them and
 searches them in order, so the model takes no worker's memory.
 """
@@ -82,31 +85,63 @@ def _chunks(values: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[str]
         yield start, texts
 
 
-PAIRS = "bucket int, first binary, runs binary, second binary, n binary"
-WORDS = "bucket int, word binary, n binary, before binary, one binary, two binary, more binary, found array<long>"
-TOTALS = "words long, tokens long, before long, w array<long>, p array<long>"
+GRAMS = "bucket int, words binary, at binary, n binary"
+COLUMNS = ("n", "left", "total", "one", "two", "more")
+SHORTER = "bucket int, words binary, at binary, " + ", ".join(f"{c} binary" for c in COLUMNS) + ", found array<long>"
+TOTALS = "words long, tokens long, before long, found array<long>"
+
+
+def _kind(k: int) -> str:
+    return {1: "word", 2: "pair"}.get(k, f"gram{k}")
+
+
+def gram_hash(grams: list[np.ndarray]) -> np.ndarray:
+    out = grams[0]
+    for g in grams[1:]:
+        out = pair_hash(out, g)
+    return out
+
+
+def _bucket(grams: list[np.ndarray], buckets: int) -> np.ndarray:
+    return _pair_bucket(grams[-2], grams[-1], buckets) if len(grams) > 1 else _word_bucket(grams[0], buckets)
+
+
+def _packed(grams: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """The different words of some n-grams, and where each n-gram has them."""
+    words, at = np.unique(np.concatenate(grams), return_inverse=True)
+    return words.tobytes(), _narrow(at)
+
+
+def _unpacked(table: pa.Table, k: int) -> list[np.ndarray]:
+    parts = [np.frombuffer(w, "<u8")[_wide(a)].reshape(k, -1) for w, a in zip(table["words"].to_pylist(), table["at"].to_pylist())]
+    return list(np.concatenate(parts, axis=1))
+
+
+def _ending(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """The tokens before each, farthest first, and the tokens."""
+    out = [tokens]
+    for _ in range(order - 1):
+        out.insert(0, _before(out[0], sizes))
+    return out
 
 
-def _count_pairs(buckets: int):
+def _count_grams(buckets: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _chunks(batch.column(0)):
-                tokens, sizes = token_arrays(texts)
-                first = _before(tokens, sizes)
-                _, place, n = np.unique(pair_hash(first, tokens), return_index=True, return_counts=True)
-                first, second = first[place], tokens[place]
-                bucket = _pair_bucket(first, second, buckets)
-                order = np.lexsort((first, bucket))
-                first, second, n, bucket = first[order], second[order], n[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = []
+                grams = _ending(*token_arrays(texts), order)
+                _, place, n = np.unique(gram_hash(grams), return_index=True, return_counts=True)
+                grams = [g[place] for g in grams]
+                bucket = _bucket(grams, buckets)
+                order_of = np.lexsort((grams[0], grams[-2], bucket))
+                grams, n, bucket = [g[order_of] for g in grams], n[order_of], bucket[order_of]
+                cuts, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     own = slice(cuts[k], cuts[k + 1])
-                    heads, runs = np.unique(first[own], return_counts=True)
-                    rows.append((k, heads.tobytes(), _narrow(runs), second[own].tobytes(), _narrow(n[own])))
+                    rows.append((k, *_packed([g[own] for g in grams]), _narrow(n[own])))
                 if rows:
-                    kinds = [pa.int32(), *[pa.binary()] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "first", "runs", "second", "n"])
+                    kinds = [pa.int32(), *[pa.binary()] * 3]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "words", "at", "n"])
 
     return run
 
@@ -124,51 +159,70 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.array([*[(counts == k).sum() for k in (1, 2, 3, 4)], (counts >= 3).sum()], dtype=np.int64)
 
 
-def _sum_pairs(folder: str, buckets: int):
+def _small(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _sum_grams(folder: str, buckets: int, k: int, order: int):
+    """Sum the n-grams of ``k`` words in a bucket, write them, and tell what they say about those one word shorter."""
     def run(table: pa.Table) -> pa.Table:
-        blobs = lambda c: table[c].to_pylist()
-        first = np.concatenate([np.repeat(np.frombuffer(f, "<u8"), _wide(r)) for f, r in zip(blobs("first"), blobs("runs"))])
-        second = np.concatenate([np.frombuffer(s, "<u8") for s in blobs("second")])
-        n = np.concatenate([_wide(x) for x in blobs("n")])
-        key, place, of = np.unique(pair_hash(first, second), return_index=True, return_inverse=True)
-        n = np.bincount(of, weights=n).astype(np.int64)
-        first, second = first[place], second[place]
-        name = f"pair-{table['bucket'][0].as_py()}"
-        _write(folder, f"{name}-hash", key)
-        _write(folder, f"{name}-n", n.astype(np.uint32) if n.max() < 1 << 32 else n)
-        # what the bucket knows about single words
-        words, of = np.unique(np.concatenate([second, first]), return_inverse=True)
-        as_second, as_first = of[: len(second)], of[len(second):]
-        sums = lambda places, weights=None: np.bincount(places, weights, len(words)).astype(np.int64)
+        grams = _unpacked(table, k)
+        key, place, of = np.unique(gram_hash(grams), return_index=True, return_inverse=True)
+        grams = [g[place] for g in grams]
+        summed = {
+            c: np.bincount(of, np.concatenate([_wide(x) for x in table[c].to_pylist()]), len(key)).astype(np.int64)
+            for c in (COLUMNS if k < order else ("n",))
+        }
+        n = summed["n"]
+        counts = n if k == order else np.where(grams[0] == U(BEGIN), n, summed["left"])
+        # with two marks in front an n-gram only carries the count of the one with a single mark
+        real = ~((grams[0] == U(BEGIN)) & (grams[1] == U(BEGIN)))
+        name = f"{_kind(k)}-{table['bucket'][0].as_py()}"
+        _write(folder, f"{name}-hash", key[real])
+        _write(folder, f"{name}-n", _small(np.stack([counts, *([summed[c] for c in COLUMNS[2:]] if k < order else [])], axis=1)[real]))
+        found = np.zeros((order, 5), dtype=np.int64)
+        if k < order:
+            found += np.sum([x for x in table["found"].to_pylist() if x] or [found.ravel()], axis=0).reshape(order, 5)
+        found[k - 1] = _levels(counts[real])
+        shorter = [np.concatenate([b, a[real]]) for b, a in zip(grams[1:], grams[:-1])]
+        of_real, m = counts[real], len(n)
+        _, place, of = np.unique(gram_hash(shorter), return_index=True, return_inverse=True)
+        shorter = [g[place] for g in shorter]
+        sums = lambda places, weights=None: np.bincount(places, weights, len(place)).astype(np.int64)
+        after = of[m:]
         columns = [
-            sums(as_second, n), sums(as_second), *[sums(as_first[keep]) for keep in (n == 1, n == 2, n >= 3)],
+            sums(of[:m], n), sums(of[:m][real]), sums(after, of_real), *[sums(after[keep]) for keep in (of_real == 1, of_real == 2, of_real >= 3)],
         ]
-        bucket, found = _word_bucket(words, buckets), _levels(n)
-        cuts, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            own = slice(cuts[k], cuts[k + 1])
-            rows.append((k, words[own].tobytes(), *[_narrow(c[own]) for c in columns], found.tolist()))
-            found = np.zeros_like(found)  # told once
-        kinds = [pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "word", "n", "before", "one", "two", "more", "found"])
+        bucket = _bucket(shorter, buckets)
+        order_of = np.lexsort((shorter[-1], shorter[0], bucket))
+        shorter, columns, bucket = [g[order_of] for g in shorter], [c[order_of] for c in columns], bucket[order_of]
+        cuts, rows, told = np.searchsorted(bucket, np.arange(buckets + 1)), [], found.ravel().tolist()
+        for j in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[j], cuts[j + 1])
+            rows.append((j, *_packed([g[own] for g in shorter]), *[_narrow(c[own]) for c in columns], told))
+            told = []  # told once
+        kinds = [pa.int32(), *[pa.binary()] * 8, pa.list_(pa.int64())]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "words", "at", *COLUMNS, "found"])
 
     return run
 
 
-def _sum_words(folder: str):
+def _sum_words(folder: str, order: int):
     def run(table: pa.Table) -> pa.Table:
-        words, of = np.unique(np.concatenate([np.frombuffer(w, "<u8") for w in table["word"].to_pylist()]), return_inverse=True)
+        words, of = np.unique(_unpacked(table, 1)[0], return_inverse=True)
         columns = [
-            np.bincount(of, np.concatenate([_wide(x) for x in table[c].to_pylist()]), len(words)).astype(np.int64)
-            for c in ("n", "before", "one", "two", "more")
+            np.bincount(of, np.concatenate([_wide(x) for x in table[c].to_pylist()]), len(words)).astype(np.int64) for c in COLUMNS
         ]
         name = f"word-{table['bucket'][0].as_py()}"
         _write(folder, f"{name}-hash", words)
-        _write(folder, f"{name}-n", np.stack(columns, axis=1))
+        _write(folder, f"{name}-n", _small(np.stack(columns, axis=1)))
         n, before = columns[:2]
-        row = [(n > 0).sum(), n.sum(), before.sum(), _levels(before).tolist(), np.sum(table["found"].to_pylist(), axis=0).tolist()]
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
-        return pa.table([pa.array([x], t) for x, t in zip(row, kinds)], names=["words", "tokens", "before", "w", "p"])
+        found = np.zeros((order, 5), dtype=np.int64)
+        found += np.sum([x for x in table["found"].to_pylist() if x] or [found.ravel()], axis=0).reshape(order, 5)
+        found[0] = _levels(before)
+        row = [(n > 0).sum(), n.sum(), before.sum(), found.ravel().tolist()]
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+        return pa.table([pa.array([x], t) for x, t in zip(row, kinds)], names=["words", "tokens", "before", "found"])
 
     return run
 
@@ -214,46 +268,49 @@ class Mapped:
 
 
 class Model:
-    """Where the arrays are, and the totals and discounts of both levels."""
+    """Where the arrays are, and the totals and discounts of all levels."""
 
-    def __init__(self, folder: str, buckets: int, totals: dict):
-        self.folder, self.buckets = folder, buckets
+    def __init__(self, folder: str, buckets: int, totals: dict, order: int):
+        self.folder, self.buckets, self.order = folder, buckets, order
         self.words, self.tokens, self.before = (int(totals[c] or 0) for c in ("words", "tokens", "before"))
-        self.w, self.p = totals["w"], totals["p"]
-        self.word_discount, self.pair_discount = discounts(self.w), discounts(self.p)
-        taken = self.word_discount[0] * self.w[0] + self.word_discount[1] * self.w[1] + self.word_discount[2] * self.w[4]
+        self.found = totals["found"]
+        self.discounts = [discounts(levels) for levels in self.found]
+        w = self.found[0]
+        taken = self.discounts[0][0] * w[0] + self.discounts[0][1] * w[1] + self.discounts[0][2] * w[4]
         # the share of all unigram probability that goes evenly to every word and one unknown
         self.even = (taken / self.before if self.before else 1.0) / (self.words + 1)
 
     def single(self, before: np.ndarray) -> np.ndarray:
         """Unigram probability from the number of different tokens seen before a word."""
-        taken = np.array([0.0, *self.word_discount])[np.minimum(before, 3)]
+        taken = np.array([0.0, *self.discounts[0]])[np.minimum(before, 3)]
         return (before - taken) / max(1, self.before) + self.even
 
+    def _found(self, mapped: Mapped, grams: list[np.ndarray]) -> np.ndarray:
+        """What is stored of each n-gram: of words six counts, of the longest one, of others five."""
+        k = len(grams)
+        keys, place, of = np.unique(gram_hash(grams), return_index=True, return_inverse=True)
+        bucket = _bucket([g[place] for g in grams], self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        width = 6 if k == 1 else 1 if k == self.order else 5
+        out = np.empty((len(keys), width), dtype=np.int64)
+        out[order] = mapped.find(_kind(k), bucket[order], keys[order], width)
+        return out[of]
+
     def scores(self, mapped: Mapped, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: known tokens, base score and log10 probability."""
-        first = _before(tokens, sizes)
-        words, of = np.unique(np.concatenate([tokens, first, np.array([END], dtype=U)]), return_inverse=True)
-        known = mapped.find("word", _word_bucket(words, self.buckets), words, 5)
-        here, back, ends = of[: len(tokens)], of[len(tokens):-1], known[of[-1], 0]
-        n = known[:, 0].astype(np.float64)
-        n[words == U(BEGIN)] = ends  # every text begins once, as it ends once
-        given = known[:, 2:] @ np.array(self.pair_discount)
-        keys, place, pair_of = np.unique(pair_hash(first, tokens), return_index=True, return_inverse=True)
-        bucket = _pair_bucket(first[place], tokens[place], self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        pairs = np.empty(len(keys), dtype=np.int64)
-        pairs[order] = mapped.find("pair", bucket[order], keys[order], 1)[:, 0]
-        pairs = pairs[pair_of]
-        single = self.single(known[:, 1])[here]
-        total = n[back]
-        taken = np.array([0.0, *self.pair_discount])[np.minimum(pairs, 3)]
-        both = np.where(total > 0, (pairs - taken + given[back] * single) / np.maximum(total, 1), single)
-        count = known[here, 0]
+        grams = _ending(tokens, sizes, self.order)
+        known = self._found(mapped, [tokens])
+        count, p = known[:, 0], self.single(known[:, 1])
+        for k in range(2, self.order + 1):
+            own = self._found(mapped, grams[-k:])[:, 0]
+            given = self._found(mapped, grams[-k:-1])[:, -4:]
+            total, off = given[:, 0], np.array(self.discounts[k - 1])
+            taken = np.array([0.0, *off])[np.minimum(own, 3)]
+            p = np.where(total > 0, (own - taken + (given[:, 1:] @ off) * p) / np.maximum(total, 1), p)
         starts = np.cumsum(sizes) - sizes
         summed = lambda x: np.add.reduceat(x, starts) if len(starts) else x
         base = np.log10((count + 1) / (self.tokens + self.words + 1))
-        return summed((count > 0).astype(np.int64)), summed(base), summed(np.log10(both))
+        return summed((count > 0).astype(np.int64)), summed(base), summed(np.log10(p))
 
 
 def _mounted(spark: SparkSession) -> str:
@@ -264,20 +321,27 @@ def _mounted(spark: SparkSession) -> str:
     return path.path
 
 
-def fit_bigrams(docs: DataFrame, text: str = "text") -> Model:
-    """A model of all texts of ``docs``; a null text is one without words.
+def fit_ngrams(docs: DataFrame, order: int = 3, text: str = "text") -> Model:
+    """A model of all texts of ``docs`` with n-grams of up to ``order`` (2 or more) words; a null text is one without words.
 
     The totals that reach the driver are one row. The arrays lie under
     ``spark.checkpoint.dir``, which must be mounted where the workers run.
     """
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = docs.sparkSession
     folder, buckets = _mounted(spark), shuffle_parts(spark)
-    pairs = docs.select(whole_text(docs, text).alias("text")).mapInArrow(_count_pairs(buckets), PAIRS)
-    words = pairs.groupBy("bucket").applyInArrow(_sum_pairs(folder, buckets), WORDS)
-    totals = words.groupBy("bucket").applyInArrow(_sum_words(folder), TOTALS)
-    both = [F.sum(F.col(c)[k]).alias(f"{c}{k}") for c in "wp" for k in range(5)]
-    row = totals.agg(*[F.sum(c).alias(c) for c in ("words", "tokens", "before")], *both).first().asDict()
-    return Model(folder, buckets, {**row, "w": [row[f"w{k}"] or 0 for k in range(5)], "p": [row[f"p{k}"] or 0 for k in range(5)]})
+    grams = docs.select(whole_text(docs, text).alias("text")).mapInArrow(_count_grams(buckets, order), GRAMS)
+    for k in range(order, 1, -1):
+        grams = grams.groupBy("bucket").applyInArrow(_sum_grams(folder, buckets, k, order), SHORTER)
+    totals = grams.groupBy("bucket").applyInArrow(_sum_words(folder, order), TOTALS)
+    found = [F.sum(F.col("found")[k]).alias(f"found{k}") for k in range(5 * order)]
+    row = totals.agg(*[F.sum(c).alias(c) for c in ("words", "tokens", "before")], *found).first().asDict()
+    return Model(folder, buckets, {**row, "found": [[row[f"found{5 * k + j}"] or 0 for j in range(5)] for k in range(order)]}, order)
+
+
+def fit_bigrams(docs: DataFrame, text: str = "text") -> Model:
+    return fit_ngrams(docs, 2, text)
 
 
 SCORE = "n_tokens long, n_known long, base_score double, score double"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from songloom.llm.balltree import integer_vectors, nearest_by_inner_product
 from songloom.llm.bpe import bpe_encode, token_count
 from songloom.llm.decontamination import with_leaks
-from songloom.llm.kneser_ney import fit_bigrams, scored
+from songloom.llm.kneser_ney import fit_ngrams, scored
 from songloom.llm.langid import fit_languages, identified, part_of
 from songloom.llm.lines import drop_shared_lines
 from songloom.llm.pii import BASE, personal_data, written
@@ -151,7 +151,7 @@ def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     held_out = part_of(F.col("doc_id"), 7) == 2
-    model = fit_bigrams(docs.where(~held_out))
+    model = fit_ngrams(docs.where(~held_out))
     return scored(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score", "perplexity",
