@@ -111,3 +111,12 @@ def planes(values: np.ndarray) -> bytes:
 
 def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Values below 2**32 as 32-bit ones, all first bytes first: small values compress well."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from songloom.llm.alignment import align_tokens
 from songloom.llm.balltree import integer_vectors, nearest_by_inner_product
 from songloom.llm.bpe import bpe_encode, token_count
 from songloom.llm.decontamination import with_leaks
@@ -173,3 +174,12 @@ def op5_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.explode("leaks").alias("leak")).select(
         "doc_id", "leak.item_id", F.col("leak.start").alias("start_word"), F.col("leak.end").alias("end_word"), "leak.distance"
     )
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    done = align_tokens(docs, public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"), public.PATTERN, digest=True)
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
