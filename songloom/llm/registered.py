@@ -12,9 +12,11 @@ from songloom.llm.bpe import bpe_encode, token_count
 from songloom.llm.decontamination import with_leaks
 from songloom.llm.kneser_ney import fit_ngrams, scored
 from songloom.llm.langid import fit_languages, identified, part_of
+from songloom.llm.licenses import license_labels, templates
 from songloom.llm.lines import drop_shared_lines
 from songloom.llm.pii import BASE, personal_data, written
 from songloom.llm.shared import sha
+from songloom.llm.prefix_trie import prefix_trie
 from songloom.llm.sharding import lpt_shards
 from songloom.llm.simhash import hex_digits, near_duplicates
 from songloom.llm.substrings import without_repeats
@@ -183,3 +185,89 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     done = align_tokens(docs, public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"), public.PATTERN, digest=True)
     return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+# crc32 has no SQL function: its eight shifts a byte are two folds over lists
+SQL["op12_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id AS c, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list(t ORDER BY pos) AS ts,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(b) AS BIGINT) FOR b IN string_split(CAST(c AS VARCHAR), '')]),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM turns GROUP BY c
+), rebuilt AS (
+  SELECT o.c, list_concat(coalesce(p.ts, [])[1:o.h], o.ts[o.h + 1:]) AS ts
+  FROM own o LEFT JOIN own p ON p.c = o.c - o.c % 20
+), prefixes AS (
+  SELECT c, len(ts) AS total, d, sha256(CAST(ts[1:d] AS VARCHAR)) AS k, sha256(CAST(ts[1:d - 1] AS VARCHAR)) AS up, ts[d].x AS x
+  FROM (SELECT c, ts, unnest(range(len(ts) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT k, d, min(CASE WHEN d > 0 THEN up END) AS up, min(c) AS c, count(*) AS n, any_value(x) AS x,
+         string_agg(c, ',' ORDER BY c) FILTER (WHERE total = d) AS ends, count(*) FILTER (WHERE total = d) AS n_ends
+  FROM prefixes GROUP BY k, d
+), own_values AS (
+  SELECT k, d, c, n, CAST(n_ends = n AS BIGINT) AS leaf,
+         CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(x, '[^ 	-
+]+')) END AS saved
+  FROM nodes
+), above AS (
+  SELECT p.k, p.d, sum(v.leaf) AS n_leaves, sum(v.saved) AS saved_tokens
+  FROM own_values v JOIN prefixes p ON p.c = v.c AND p.d <= v.d GROUP BY p.k, p.d
+), children AS (
+  SELECT up, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up, d
+)
+SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n.n AS n_convs, coalesce(ch.n, 0) AS n_children,
+       CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN above a ON a.k = n.k AND a.d = n.d
+LEFT JOIN nodes p ON p.k = n.up AND p.d = n.d - 1
+LEFT JOIN children ch ON ch.up = n.k AND ch.d = n.d
+"""
+
+
+@query
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
+
+
+SQL["op13_license_diagonals"] = r"""
+WITH templates(template, label, body, base) AS (VALUES %s
+), grams AS (
+  SELECT template, label, base, len(w) AS size, unnest(range(len(w) - 1)) AS place, w
+  FROM (SELECT *, string_split(body, ' ') AS w FROM templates)
+), places AS (
+  SELECT template, label, base, size, place, w[place + 1] AS a, w[place + 2] AS b FROM grams
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), pairs AS (
+  SELECT r, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM (SELECT r, w, unnest(range(len(w) - 1)) AS pos FROM docs)
+), voted AS (
+  SELECT r, template, label, base, size, pos - place AS diagonal, count(*) AS votes, list(place) AS places
+  FROM pairs JOIN places USING (a, b) GROUP BY ALL
+), merged AS (
+  SELECT *, max({'votes': votes, 'least': -diagonal}) OVER near AS best, flatten(list(places) OVER near) AS together
+  FROM voted WHERE NOT base WINDOW near AS (PARTITION BY r, template ORDER BY diagonal RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)
+), spans AS (
+  SELECT r, label, base, diagonal, 1.0::DOUBLE AS share FROM voted WHERE base AND votes = size - 1
+  UNION ALL
+  SELECT r, label, base, diagonal, len(list_distinct(list_concat(together, [p + 1 FOR p IN together]))) / size AS share
+  FROM merged WHERE best.least = -diagonal AND len(list_distinct(list_concat(together, [p + 1 FOR p IN together]))) >= ceil(size * 0.8)
+), found AS (
+  SELECT r, count(*) FILTER (WHERE base) AS n, min(diagonal) FILTER (WHERE base) AS first_word, max(diagonal) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM spans GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM docs LEFT JOIN found USING (r)
+""" % ",\n".join(f"  ({i}, '{t.label}', '{' '.join(t.words)}', {t.base})" for i, t in enumerate(templates()))
