@@ -137,6 +137,22 @@ def keyword_topk_hot_words(spark, sf):
     return c.keyword_topk(v.searches(spark, sf).select(the("query").alias("query")), v.songs(spark, sf).withColumn("name", the("name")))
 
 
+# white space as Unicode has it
+_SPACE = r"[\s\v\x{85}\p{Z}]+"
+
+
+@query("keyword_topk_documents", rf"""SELECT query, CAST(rank AS INTEGER) AS rank, song_id, platform, media_id, score FROM (
+  SELECT query, song_id, '' AS platform, '' AS media_id, CAST(count(*) AS INTEGER) AS score,
+    row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, song_id) AS rank
+  FROM (SELECT DISTINCT query, w FROM (SELECT text AS query, unnest(string_split_regex(lower(text), '{_SPACE}')) AS w FROM benchmark) WHERE w <> '')
+  JOIN (SELECT DISTINCT song_id, w FROM (SELECT CAST(doc_id AS VARCHAR) AS song_id, unnest(string_split_regex(lower(text), '{_SPACE}')) AS w FROM documents) WHERE w <> '')
+    USING (w) GROUP BY query, song_id) WHERE rank <= 5""")
+def keyword_topk_documents(spark, sf):
+    """Titles of any length with words of any frequency: every benchmark item against every document."""
+    titles = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("song_id"), F.col("text").alias("name"))
+    return c.keyword_topk(table(spark, sf, "benchmark").select(F.col("text").alias("query")), titles)
+
+
 @query("keyword_topk_repeated", """SELECT query, CAST(rank AS INTEGER) AS rank, song_id, platform, media_id, score FROM (
   SELECT query, song_id, platform, media_id, CAST(count(*) AS INTEGER) AS score,
     row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, song_id, platform) AS rank

@@ -24,6 +24,7 @@ def _dedup_views(tag: str, stream: str, window_s: int) -> None:
 _dedup_views("user", "user_id", 600)
 _dedup_views("user6h", "user_id", 21600)
 _dedup_views("type", "event_type", 600)
+_dedup_views("type5d", "event_type", 432000)
 _COUNTS = "SELECT stream, count(*) FILTER (WHERE NOT reused) AS new_runs, count(*) FILTER (WHERE reused) AS reused FROM runs_{tag} GROUP BY stream"
 
 
@@ -37,21 +38,30 @@ def dedup_window_six_hours(spark, sf):
     return dedup.dedup_window(dedup.dedup_requests(v.requests(spark, sf), window_s=21600))
 
 
-sql_view("req_open", """SELECT event_id AS id, event_type AS stream, t, CASE WHEN event_id % 500 <> 7 THEN event_type <> 'error' END AS ok,
+def _open_views(tag: str, stream: str) -> None:
+    sql_view(f"req_{tag}", f"""SELECT event_id AS id, {stream} AS stream, t, CASE WHEN event_id % 500 <> 7 THEN event_type <> 'error' END AS ok,
       CASE WHEN event_id % 500 = 7 THEN 4611686018427387904 ELSE t + CAST(round_even(value * 20e6, 0) AS BIGINT) + CASE WHEN event_type <> 'error' THEN 600000000 ELSE 0 END END AS expiry,
-      row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS rn FROM ev""", ("ev",))
-sql_view("runs_open", """SELECT stream, rn, id, id AS leader_id, expiry, ok, false AS reused FROM req_open WHERE rn = 1
+      row_number() OVER (PARTITION BY {stream} ORDER BY t, event_id) AS rn FROM ev""", ("ev",))
+    sql_view(f"runs_{tag}", f"""SELECT stream, rn, id, id AS leader_id, expiry, ok, false AS reused FROM req_{tag} WHERE rn = 1
       UNION ALL SELECT r.stream, r.rn, r.id, CASE WHEN r.t < p.expiry THEN p.leader_id ELSE r.id END,
         CASE WHEN r.t < p.expiry THEN p.expiry ELSE r.expiry END, CASE WHEN r.t < p.expiry THEN p.ok ELSE r.ok END, r.t < p.expiry
-      FROM runs_open p JOIN req_open r ON r.stream = p.stream AND r.rn = p.rn + 1""", ("req_open",))
+      FROM runs_{tag} p JOIN req_{tag} r ON r.stream = p.stream AND r.rn = p.rn + 1""", (f"req_{tag}",))
+
+
+_open_views("open", "event_type")
+_open_views("open_user", "user_id")
+
+
+def unfinished(requests):
+    """Every five hundredth request has not ended."""
+    open_ = F.pmod("request_id", F.lit(500)) == 7
+    return requests.withColumn("dur", F.when(~open_, F.col("dur"))).withColumn("ok", F.when(~open_, F.col("ok")))
 
 
 @query("dedup_unfinished", "SELECT id AS request_id, leader_id, reused, ok FROM runs_open", ("runs_open",))
 def dedup_unfinished(spark, sf):
     """Some requests have not ended: whatever follows on their key joins them."""
-    requests, open_ = v.requests(spark, sf, "event_type"), F.pmod("request_id", F.lit(500)) == 7
-    requests = requests.withColumn("dur", F.when(~open_, F.col("dur"))).withColumn("ok", F.when(~open_, F.col("ok")))
-    return dedup.dedup_leader(dedup.dedup_requests(requests, partitions=8))
+    return dedup.dedup_leader(dedup.dedup_requests(unfinished(v.requests(spark, sf, "event_type")), partitions=8))
 
 
 @query("dedup_window_hot_keys", _COUNTS.format(tag="type"), ("runs_type",))
@@ -60,6 +70,12 @@ def dedup_window_hot_keys(spark, sf):
     return dedup.dedup_window(dedup.dedup_requests(v.requests(spark, sf, "event_type"), partitions=32))
 
 
+@query("dedup_window_dense", _COUNTS.format(tag="type5d"), ("runs_type5d",))
+def dedup_window_dense(spark, sf):
+    """Five keys and a window longer than a slice: a run reaches over several slices."""
+    return dedup.dedup_window(dedup.dedup_requests(v.requests(spark, sf, "event_type"), window_s=432000, partitions=64))
+
+
 @query("dedup_leader", "SELECT id AS request_id, leader_id, reused, ok FROM runs_user", ("runs_user",))
 def dedup_leader(spark, sf):
     return dedup.dedup_leader(dedup.dedup_requests(v.requests(spark, sf)))

@@ -44,6 +44,13 @@ def stream_dedup_leader(spark, sf):
     return replay.run_available(dedup.stream_dedup_requests(v.as_requests(event_stream(spark, sf), "ts")), "dedup")
 
 
+@query("stream_dedup_unfinished", "SELECT id AS request_id, leader_id, reused, ok FROM runs_open_user", ("runs_open_user",))
+def stream_dedup_unfinished(spark, sf):
+    """Some requests have not ended: whatever follows on their key joins them."""
+    requests = batch.unfinished(v.as_requests(event_stream(spark, sf), "ts"))
+    return replay.run_available(dedup.stream_dedup_requests(requests), "dedup").select("request_id", "leader_id", "reused", "ok")
+
+
 @query("stream_delivery", f"SELECT attempt_id, {batch._OUTCOME} AS outcome, {batch._NOTICE} AS notice FROM attempts", ("attempts",))
 def stream_delivery(spark, sf):
     sent = event_stream(spark, sf).select(F.col("event_id").alias("attempt_id"), F.col("ts").alias("sent_ts"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.functions.columns import blank_to_null, text
 from songloom.functions.urls import has_audio_extension, url_base, url_host, url_join
-from songloom.session import materialized
+from songloom.operators.search import keyword_topk
 
 # Quality order (prefix, extension), best first.
 QUALITIES = (("F000", ".flac"), ("M800", ".mp3"), ("M500", ".mp3"), ("C400", ".m4a"))
@@ -17,7 +17,6 @@ PLATFORM_ALIASES = {
     "qq音乐": "qq", "qqmusic": "qq",
 }
 DEFAULT_PLATFORM = "163"
-SEARCH_LIMIT = 5
 
 SONG_COLUMNS = ("song_id", "name", "artists", "album", "platform", "media_id")
 
@@ -32,52 +31,6 @@ def catalog_union(*catalogs: DataFrame) -> DataFrame:
     return merged.withColumn("media_id", F.coalesce("media_id", F.lit(""))).select(*SONG_COLUMNS)
 
 
-def tokens(c: Column) -> Column:
-    """Distinct lower-case words of a text, sorted."""
-    words = F.split(F.lower(text(c)), r"(?U)\s+")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
-
-
-def keyword_topk(queries: DataFrame, songs: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """Best ``limit`` songs per query by number of distinct query words matched, ties by id, then platform.
-
-    ``queries(query)``, ``songs(song_id, name)`` and, if known, ``platform`` and
-    ``media_id``; a song is a platform and an id, listed once however often it
-    occurs (of several media ids the least).
-
-    Titles are first reduced to words that some query holds. Songs of one
-    reduced word set score alike for every query, so only the ``limit`` smallest
-    songs of a set can rank: sets are joined with the words of queries, and no
-    row stands for a song beyond those. The same steps serve every word, rare
-    or frequent, and the result is exact.
-    """
-    asked = queries.select("query").distinct().withColumn("_q", tokens(F.col("query")))
-    query_words = asked.select("_q").distinct().select("_q", F.explode("_q").alias("_word"))
-    known = lambda c: F.coalesce(F.col(c), F.lit("")) if c in songs.columns else F.lit("")
-    titled = songs.select(
-        "song_id", known("platform").alias("platform"), known("media_id").alias("media_id"), tokens(F.col("name")).alias("_s")
-    ).groupBy("song_id", "platform", "_s").agg(F.min("media_id").alias("media_id"))
-    song = F.struct("song_id", "platform", "media_id").alias("song")
-    vocabulary = materialized(query_words.select("_word").distinct(), "query-words")
-    # titles are words in order, so the reduced set is a list of its words
-    reduced = titled.select(song, F.posexplode("_s").alias("_at", "_word"), "_s").join(vocabulary, "_word", "left_semi")
-    sets = reduced.groupBy("song", "_s").agg(F.array_sort(F.collect_list("_word")).alias("_set")).select("song", "_set").distinct()
-    smallest = F.row_number().over(W.partitionBy("_set").orderBy("song"))
-    sets = materialized(
-        sets.withColumn("_n", smallest).where(F.col("_n") <= limit)
-        .groupBy("_set").agg(F.collect_list("song").alias("_songs")), "word-sets",
-    )
-    met = sets.select("_set", "_songs", F.explode("_set").alias("_word")).join(query_words, "_word")
-    scored = met.groupBy("_q", "_set").agg(F.count(F.lit(1)).cast("int").alias("score"), F.any_value("_songs").alias("_songs"))
-    # a song with several titles counts by its best one
-    best = scored.select("_q", "score", F.explode("_songs").alias("song")).groupBy(
-        "_q", F.col("song.song_id").alias("song_id"), F.col("song.platform").alias("platform")
-    ).agg(F.max("score").alias("score"), F.min("song.media_id").alias("media_id"))
-    order = W.partitionBy("_q").orderBy(F.desc("score"), F.asc("song_id"), F.asc("platform"))
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return asked.join(ranked, "_q").select("query", "rank", "song_id", "platform", "media_id", "score")
-
-
 def first_hit(queries: DataFrame, songs: DataFrame) -> DataFrame:
     """Best song per query, with platform and media id; queries without one are kept and marked."""
     top = keyword_topk(queries, songs, limit=1).drop("rank", "score")

@@ -11,6 +11,11 @@ run starts at the first request at or after the current expiry". A slice is
 therefore summarised by a step function from the expiry that enters it to the
 one that leaves it. Only a slice's first key can continue from the slice
 before, so at most one entry value per slice has to be handed over.
+
+Steps point on: whoever leaves by a step enters a later slice by the first step
+at or after the expiry. The functions are composed in parallel by doubling these
+pointers, so a chain over n slices takes log2(n) joins on step numbers, and no
+task ever folds the slices of a key.
 """
 
 from __future__ import annotations
@@ -18,10 +23,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from songloom.functions.columns import seconds_to_micros, strip
 from songloom.functions.ordering import range_slices
+from songloom.session import materialized
 
 # Reuse window in seconds.
 DEDUP_WINDOW_S = 600
@@ -55,16 +61,18 @@ def _slice_steps(slices: DataFrame) -> DataFrame:
     """Step functions of the first and the last key of every slice.
 
     A row says: an entering expiry up to ``_upto`` makes ``_leader`` the last
-    run started in the slice, and ``_leave`` the expiry that leaves it.
+    run started in the slice, and ``_leave`` the expiry that leaves it. ``_step``
+    numbers the rows in order of slice and time; ``_after`` is the expiry, but not before
+    the last request of the slice. A last key has one row, of what leaves.
     """
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        def row(key, slice_no, upto, leave, leader, ok, first):
+        def row(key, slice_no, at, upto, after, leave, leader, ok, first):
             return pd.DataFrame({
-                "_key": key, "_slice": slice_no, "_upto": upto, "_leave": leave, "_leader": leader,
-                "_leader_ok": ok, "_first": first,
+                "_key": key, "_slice": slice_no, "_step": (slice_no << 32) + np.asarray(at, dtype=np.int64), "_upto": upto,
+                "_after": np.maximum(leave, after), "_leave": leave, "_leader": leader, "_leader_ok": ok, "_first": first,
             })
 
         head, parts, slice_no = None, [], None  # rows of the slice's first key
@@ -104,44 +112,67 @@ def _slice_steps(slices: DataFrame) -> DataFrame:
         last = np.asarray(last)
         ends = np.flatnonzero(np.append(last[1:] != last[:-1], True))
         final = last[ends]
-        yield row(head, slice_no, t[ends], expiry[final], ids[final], oks[final], True)
+        yield row(head, slice_no, ends + 1, t[ends], t[-1], expiry[final], ids[final], oks[final], True)
         if tail is not None:
-            yield row(tail, slice_no, [tail_from], *([x] for x in run), False)
+            yield row(tail, slice_no, [0], [tail_from], tail_from, *([x] for x in run), False)
 
     return slices.mapInPandas(
         summarise,
-        "_key string, _slice int, _upto bigint, _leave bigint, _leader bigint, _leader_ok boolean, _first boolean",
+        "_key string, _slice int, _step bigint, _upto bigint, _after bigint, _leave bigint, "
+        "_leader bigint, _leader_ok boolean, _first boolean",
     )
 
 
-def _slice_entries(steps: DataFrame) -> DataFrame:
-    """Run that is current when each slice's first key begins; at most one row per slice.
+def _following_steps(steps: DataFrame) -> DataFrame:
+    """``(_step, _to)``: the step by which a later slice is entered, for steps whose expiry reaches one.
 
-    The summaries of a key are folded in slice order, holding one run at a time.
+    An as-of join in sorted slices of both sides' times: each looks up in its own
+    slice first, then takes the first step of the slices after it.
     """
-
-    def hand_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, slice_no, run, taken = None, None, None, True
-        for batch in batches:
-            out = []
-            for k, s, upto, leave, leader, ok, first in batch.itertuples(index=False, name=None):
-                if k != key:
-                    key, slice_no, run = k, None, None
-                if s != slice_no:
-                    slice_no, taken = s, False
-                    if first and run is not None:
-                        out.append((s, *run))
-                if not taken and (run is None or run[0] <= upto):
-                    run, taken = (leave, leader, ok), True
-            if out:
-                yield pd.DataFrame(out, columns=["_slice", "_entry", "_entry_leader", "_entry_ok"])
-
-    ordered = steps.repartition("_key").sortWithinPartitions("_key", "_slice", "_upto")
-    return ordered.mapInPandas(
-        hand_over, "_slice int, _entry bigint, _entry_leader bigint, _entry_ok boolean"
+    none = F.lit(None).cast("bigint")
+    entered = steps.where("_first").select("_key", F.col("_upto").alias("_time"), F.col("_step").alias("_place"), F.col("_step").alias("_is"), none.alias("_of"))
+    # at equal times whoever leaves a slice stands behind its steps and before those of the next
+    edge = F.shiftleft(F.shiftright("_step", 32) + 1, 32)
+    leaving = steps.select("_key", F.col("_after").alias("_time"), edge.alias("_place"), none.alias("_is"), F.col("_step").alias("_of"))
+    points = range_slices(entered.unionByName(leaving), ["_key", "_time", "_place"])
+    back = W.partitionBy("_key", "_slice").orderBy(F.desc("_time"), F.desc("_place")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    nearest = points.withColumn("_to", F.last("_is", ignorenulls=True).over(back))
+    later = W.partitionBy("_key").orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    firsts = points.groupBy("_key", "_slice").agg(F.min("_is").alias("_least")).withColumn("_next", F.last("_least", ignorenulls=True).over(later))
+    # at most two keys per slice
+    edges = firsts.select(F.col("_key").alias("_k"), F.col("_slice").alias("_s"), "_next")
+    return (
+        nearest.where("_of IS NOT NULL").join(edges, (F.col("_key") == F.col("_k")) & (F.col("_slice") == F.col("_s")))
+        .select(F.col("_of").alias("_step"), F.coalesce("_to", "_next").alias("_to")).where("_to IS NOT NULL")
     )
 
 
+def _slice_entries(steps: DataFrame) -> DataFrame:
+    """Run that is current when each slice's first key begins; at most one row per slice."""
+    steps = materialized(steps, "steps")
+    spread = steps.groupBy(F.col("_key").alias("_k")).agg(
+        F.countDistinct("_slice").alias("_slices"), F.min("_step").alias("_start")
+    ).where("_slices > 1")
+    # only keys that go on over an edge: at most one per slice
+    starts = materialized(spread, "starts")
+    most = starts.agg(F.max("_slices")).first()[0] or 1
+    going = materialized(steps.join(F.broadcast(starts.select("_k")), F.col("_key") == F.col("_k")).drop("_k"), "going-steps")
+    jumps = [materialized(_following_steps(going), "jumps")] if most > 1 else []
+    while 1 << len(jumps) < most:
+        last = jumps[-1]
+        further = last.select(F.col("_step").alias("_via"), F.col("_to").alias("_far"))
+        jumps.append(materialized(last.join(further, F.col("_to") == F.col("_via")).select("_step", F.col("_far").alias("_to")), "jumps"))
+    reached = starts.select(F.col("_start").alias("_step"))
+    for jump in reversed(jumps):  # from all steps known so far; a path enters a slice once at most
+        reached = materialized(reached.unionByName(reached.join(jump, "_step").select(F.col("_to").alias("_step"))).distinct(), "reached")
+    run = F.struct(F.col("_leave").alias("_entry"), F.col("_leader").alias("_entry_leader"), F.col("_leader_ok").alias("_entry_ok"))
+    passed = going.join(reached, "_step").select("_key", "_slice", run.alias("_run"))
+    slices = going.groupBy("_key", "_slice").agg(F.max("_first").alias("_asks")).unionByName(passed, allowMissingColumns=True)
+    slices = slices.groupBy("_key", "_slice").agg(F.max("_asks").alias("_asks"), F.max("_run").alias("_run"))
+    before = W.partitionBy("_key").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    return slices.withColumn("_before", F.last("_run", ignorenulls=True).over(before)).where("_asks AND _before IS NOT NULL").select("_slice", "_before.*")
+
+
 def dedup_requests(
     requests: DataFrame, window_s: float = DEDUP_WINDOW_S, partitions: int | None = None
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from songloom.functions.columns import blank_to_null, clamp, half_even, text
 from songloom.functions.ordering import exact_median
+from songloom.operators.neighbours import CELL_ENTRIES, PIVOTS, nearest_entries
 from songloom.session import materialized
 
 # Voicing gate and key limits.
@@ -171,48 +172,21 @@ def centroid_index(vectors: DataFrame, label: str = "label") -> DataFrame:
 
 
 def retrieval_blend(
-    vectors: DataFrame, index: DataFrame, rate: float = INDEX_RATE, k: int = 1, tile: int = 256, spread: int = 16
+    vectors: DataFrame, index: DataFrame, rate: float = INDEX_RATE, k: int = 1, tile: int = CELL_ENTRIES, pivots: int = PIVOTS
 ) -> DataFrame:
-    """Blend each vector with the mean of its ``k`` nearest index entries.
-
-    The index ``(entry_id, entry)`` is packed into tiles of about ``tile``
-    entries; each vector meets each tile once and keeps only the tile's ``k``
-    best, so no vector-entry pair is ever a row. Both sides carry a spread key:
-    when the tiles are too large for adaptive execution to broadcast, the join
-    shuffles on (tile, spread) and no key holds more than ``1/spread`` of the
-    vectors.
-    """
-    n_tiles = max(1, -(-index.count() // tile))
-    tiles = (
-        index.withColumn("_tile", F.pmod(F.xxhash64("entry_id"), F.lit(n_tiles)))
-        .groupBy("_tile").agg(F.collect_list(F.struct("entry_id", "entry")).alias("_entries"))
-        .withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    )
-    probes = vectors.select(
-        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("_v"),
-        F.pmod(F.hash("vec_id"), F.lit(spread)).alias("_spread"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_tiles - 1).cast("bigint"))).alias("_tile"),
-    )
-
-    def distance(entry: Column) -> Column:
-        sq = F.zip_with("_v", entry, lambda a, b: (a - b) * (a - b))
-        return F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x)
+    """Blend each vector with the mean of its ``k`` nearest index entries, component by component.
 
-    scored = F.array_sort(
-        F.transform(
-            "_entries",
-            lambda e: F.struct(distance(e["entry"]).alias("d"), e["entry_id"].alias("id"), e["entry"].alias("entry")),
-        )
-    )
-    best = probes.join(tiles, ["_tile", "_spread"]).select("vec_id", "_v", F.slice(scored, 1, k).alias("_best"))
-    if n_tiles > 1:
-        best = best.groupBy("vec_id").agg(
-            F.first("_v").alias("_v"),
-            F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k).alias("_best"),
-        )
+    Vectors ``(vec_id, embedding)`` and entries ``(entry_id, entry)`` are compared
+    by Euclidean distance, ties by id; the search is exact, see :func:`nearest_entries`;
+    at most about ``tile`` entries of a cell meet in one group.
+    Null vectors and those with null or non-finite components have no rows; where
+    no entry is usable, a vector stays as it is.
+    """
+    probes = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("_v"))
+    doubles = index.select("entry_id", F.transform("entry", lambda x: x.cast("double")).alias("entry"))
+    best = nearest_entries(probes, doubles, k, pivots, tile)
     zero = F.transform("_v", lambda _: F.lit(0.0))
     near = F.aggregate("_best", zero, lambda acc, e: F.zip_with(acc, e["entry"], lambda a, b: a + b))
-    blended = F.zip_with(
-        "_v", near, lambda v, s: v * (1.0 - rate) + s / F.size("_best") * rate
-    )
+    mixed = F.zip_with("_v", near, lambda v, s: v * (1.0 - rate) + s / F.size("_best") * rate)
+    blended = F.when(F.size(F.coalesce("_best", F.array())) > 0, mixed).otherwise(F.col("_v"))
     return best.select("vec_id", F.posexplode(blended).alias("pos", "value"))

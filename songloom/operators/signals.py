@@ -34,6 +34,7 @@ HOP = 1024
 BLOCK = 65536
 
 SAMPLES = "array<double>"
+PLACE = ("signal_id", "ch", "block_no")
 
 
 def map_samples(fn, col: str = "samples") -> Column:
@@ -208,7 +209,7 @@ def reblock(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
     )
 
 
-def _paired(first: DataFrame, second: DataFrame, regular: bool = False) -> DataFrame:
+def _paired(first: DataFrame, second: DataFrame, regular: bool = False, place: tuple[str, ...] = PLACE) -> DataFrame:
     """Blocks of ``first`` with the samples of ``second`` at the same place.
 
     Missing samples are zeros and surplus ones are dropped, so the second track
@@ -219,10 +220,8 @@ def _paired(first: DataFrame, second: DataFrame, regular: bool = False) -> DataF
     """
     if not regular:
         first, second = reblock(first), reblock(second)
-    other = second.select(
-        "signal_id", "ch", "block_no", F.col("samples").cast(SAMPLES).alias("_raw"), F.col("start_idx").alias("_at")
-    )
-    joined = first.join(other, ["signal_id", "ch", "block_no"], "left")
+    other = second.select(*place, F.col("samples").cast(SAMPLES).alias("_raw"), F.col("start_idx").alias("_at"))
+    joined = first.join(other, list(place), "left")
     agrees = F.col("_at").isNull() | (F.col("_at") == F.col("start_idx"))
     joined = joined.withColumn("_raw", F.when(agrees, F.col("_raw")).otherwise(
         F.raise_error(F.lit("the tracks have different block layouts")).cast(SAMPLES)
@@ -242,14 +241,59 @@ def align_tracks(first: DataFrame, second: DataFrame, regular: bool = False) ->
     return _paired(first, second, regular).drop("samples").withColumnRenamed("other", "samples")
 
 
-def _mono_like(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tracks mixed down to one channel, the second at the first one's sample rate, in one regular layout."""
-    first, second = downmix_mono(reblock(first)), downmix_mono(reblock(second))
-    rates = materialized(first.groupBy("signal_id").agg(F.max("sr").cast("bigint").alias("target_sr")), "rates")
-    timed = second.join(rates, "signal_id")
-    as_is = timed.where(F.col("sr") == F.col("target_sr")).drop("target_sr")
-    changed = resample_linear(timed.where(F.col("sr") != F.col("target_sr")), None)
-    return first, reblock(as_is.unionByName(changed.select(*as_is.columns)))
+def _mono_blocks(blocks: DataFrame, rate: Column, size: int = BLOCK) -> DataFrame:
+    """One channel at the given rate in regular blocks, in one exchange of samples.
+
+    A block is cut into what the output blocks need of it: the samples under
+    their grid and, if the rate changes, one more on the right. The pieces of an output
+    block meet as they are, channels and all; there they are averaged, then interpolated.
+    """
+    s, t = F.col("sr").cast("bigint"), rate.cast("bigint")
+    start, length, kept = F.col("start_idx").cast("bigint"), F.size("samples"), s == t
+    first = F.when(kept, start).otherwise(F.greatest(F.ceil((start - 1) * t / s), F.lit(0)).cast("bigint"))
+    last = F.when(kept, start + length - 1).otherwise((F.ceil((start + length) * t / s) - 1).cast("bigint"))
+    head = F.col("_cell") * size
+    # the samples under an output block
+    need_from = F.when(kept, head).otherwise(F.expr("_cell * {0} * sr div _rate".format(size)))
+    need_to = F.when(kept, head + size).otherwise(F.expr("((_cell + 1) * {0} - 1) * sr div _rate + 2".format(size)))
+    lo = F.greatest(need_from, start) - start
+    pieces = (
+        blocks.where(length > 0).withColumn("_rate", t)
+        .withColumn("_cell", F.explode(F.sequence(F.floor(first / size), F.floor(last / size))))
+        .withColumn("_lo", lo.cast("int"))
+        .withColumn("_len", (F.least(need_to, start + length) - start - F.col("_lo")).cast("int"))
+        .where(F.col("_len") > 0)
+        .select(
+            "signal_id", F.col("_cell").alias("block_no"), "sr", "_rate",
+            F.struct("ch", (start + F.col("_lo")).alias("at"), _cut_array(F.col("samples").cast(SAMPLES), F.col("_lo"), F.col("_len")).alias("part")).alias("_piece"),
+        )
+    )
+    met = pieces.groupBy("signal_id", "block_no").agg(
+        F.max("sr").cast("bigint").alias("sr"), F.max("_rate").alias("_rate"), F.sort_array(F.collect_list("_piece")).alias("_p")
+    )
+    channels = F.array_distinct(F.transform("_p", lambda p: p["ch"]))
+    whole = F.transform("_chs", lambda c: F.flatten(F.transform(F.filter("_p", lambda p: p["ch"].eqNullSafe(c)), lambda p: p["part"])))
+    total = F.aggregate(
+        F.slice("_whole", 2, F.greatest(F.size("_whole") - 1, F.lit(0))), F.col("_whole")[0], lambda acc, c: F.zip_with(acc, c, lambda a, b: a + b)
+    )
+    mono = met.withColumn("_chs", channels).withColumn("_whole", whole).withColumn("_begin", F.col("_p")[0]["at"]).select(
+        "signal_id", "block_no", "sr", "_rate", "_begin", F.transform(total, lambda x: x / F.size("_chs")).alias("_mono")
+    )
+    stop = F.least((F.col("block_no") + 1) * size, F.ceil((F.col("_begin") + F.size("_mono")) * F.col("_rate") / F.col("sr")).cast("bigint"))
+
+    def interpolated(j: Column) -> Column:
+        place = j * F.col("sr")
+        left = ((place - place % F.col("_rate")) / F.col("_rate")).cast("bigint") - F.col("_begin")
+        here = F.get("_mono", left.cast("int"))
+        after = F.coalesce(F.get("_mono", left.cast("int") + 1), here)
+        return here + (after - here) * (place % F.col("_rate") / F.col("_rate"))
+
+    changed = F.transform(F.sequence(F.col("block_no") * size, stop - 1), interpolated)
+    return mono.select(
+        "signal_id", F.lit(0).alias("ch"), "block_no",
+        F.when(F.col("sr") == F.col("_rate"), F.col("_begin")).otherwise(F.col("block_no") * size).cast("bigint").alias("start_idx"),
+        F.col("_rate").cast("int").alias("sr"), F.when(F.col("sr") == F.col("_rate"), F.col("_mono")).otherwise(changed).alias("samples"),
+    )
 
 
 def mix_tracks(
@@ -258,14 +302,18 @@ def mix_tracks(
     """Add the scaled second track, scale back if over full scale, to 16-bit PCM.
 
     Both tracks are mixed down to one channel and the second is resampled to the
-    first one's rate. ``regular`` says that both have one channel, one rate and
+    first one's rate, each in a single exchange of its samples. ``regular`` says that both have one channel, one rate and
     one regular layout already; they are then paired as they are. The sum is
     written once with the peak of each block and then only scaled.
     """
     first, second = pcm_to_float(vocal), pcm_to_float(instrumental)
+    place = PLACE
     if not regular:
-        first, second = _mono_like(first, second)
-    summed = _paired(first, second, True).withColumn(
+        rates = first.groupBy("signal_id").agg(F.max("sr").alias("_target"))
+        second = _with_signal(second, rates)
+        first, second = _mono_blocks(first, F.col("sr")), _mono_blocks(second, F.col("_target"))
+        place = ("signal_id", "block_no")  # what both are grouped by already
+    summed = _paired(first, second, True, place).withColumn(
         "samples", F.zip_with("samples", "other", lambda a, b: a + b * gain)
     ).drop("other")
     summed = materialized(summed.withColumn("_peak", block_peak()), "mixed")

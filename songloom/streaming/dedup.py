@@ -2,20 +2,90 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from songloom.functions.columns import seconds_to_micros
-from songloom.operators.dedup import DEDUP_WINDOW_S, request_key
+from songloom.operators.dedup import DEDUP_WINDOW_S, IN_FLIGHT, NEVER, request_key
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = "request_id bigint, stream bigint, leader_id bigint, reused boolean, ok boolean"
-_STATE = (
-    "t array<bigint>, id array<bigint>, dur array<bigint>, good array<boolean>, "
-    "until bigint, leader bigint, leader_ok boolean"
-)
+_WAITING = "t bigint, request_id bigint, expiry bigint, ok boolean"
+_RUN = "until bigint, leader bigint, leader_ok boolean"
+_NO_RUN = (NEVER, 0, False)
+
+
+def decided(t: np.ndarray, ids: np.ndarray, expiry: np.ndarray, ok: np.ndarray, run: tuple) -> tuple[pd.DataFrame, tuple]:
+    """Leaders of requests in time order after the run ``(until, leader, ok)``, and the run that is then current.
+
+    From run to run: each takes all requests before its expiry at once.
+    """
+    n, i = len(t), 0
+    leader, good = np.empty(n, dtype=np.int64), np.empty(n, dtype=object)
+    reused = np.ones(n, dtype=bool)
+    until, lead, fine = run
+    while i < n:
+        j = i + int(np.searchsorted(t[i:], until, side="left"))
+        leader[i:j], good[i:j] = lead, None if until == IN_FLIGHT else fine
+        if j < n:
+            until, lead, fine = int(expiry[j]), int(ids[j]), bool(ok[j])
+            leader[j], good[j], reused[j] = lead, None if until == IN_FLIGHT else fine, False
+            j += 1
+        i = j
+    return pd.DataFrame({"request_id": ids, "leader_id": leader, "reused": reused, "ok": good}), (until, lead, fine)
+
+
+class SingleRun(StatefulProcessor):
+    """The rule for one key: requests wait in a list until the watermark has passed them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.run = handle.getValueState("run", _RUN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, pd.concat(list(rows)), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, None, timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _advance(self, key, new: pd.DataFrame | None, times) -> Iterator[pd.DataFrame]:
+        mark = times.getCurrentWatermarkInMs() * 1000
+        held = list(self.waiting.get())
+        old = [np.array([r[k] for r in held], dtype=kind) for k, kind in enumerate((np.int64, np.int64, np.int64, bool))]
+        if new is not None:
+            old = [np.concatenate([a, new[c].to_numpy(dtype=a.dtype)]) for a, c in zip(old, ("t", "request_id", "expiry", "ok"))]
+        order = np.lexsort((old[1], old[0]))
+        t, ids, expiry, ok = (a[order] for a in old)
+        run = self.run.get()
+        run = _NO_RUN if run is None else tuple(run)
+        cut = int(np.searchsorted(t, mark, side="left"))
+        out, run = decided(t[:cut], ids[:cut], expiry[:cut], ok[:cut], run)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if cut < len(t) or run[0] > mark:
+            if cut < len(t):
+                self.waiting.put([(int(a), int(b), int(c), bool(d)) for a, b, c, d in zip(t[cut:], ids[cut:], expiry[cut:], ok[cut:])])
+            else:
+                self.waiting.clear()
+            self.run.update(run)
+            wake = int(t[cut]) if cut < len(t) else run[0]
+            if wake < IN_FLIGHT:
+                self.handle.registerTimer(max(wake, mark) // 1000 + 1)
+        else:
+            self.waiting.clear()
+            self.run.clear()
+        if len(out):
+            out.insert(1, "stream", pd.Series([json.loads(key[0]).get("stream")] * len(out), dtype="Int64"))
+            yield out
 
 
 def stream_dedup_requests(
@@ -24,52 +94,19 @@ def stream_dedup_requests(
     """Leader of every request of a stream, the same as the batch rule gives.
 
     ``requests(request_id, stream BIGINT, query, model, flag, ts, dur, ok)``.
-    Rows may arrive out of order across micro-batches, so a row waits in state
-    until the watermark has passed it; rows are then decided in time order. An
-    event-time timer releases waiting rows and later drops the state of a key
-    whose window has ended.
+    Rows may arrive out of order across micro-batches, so a row waits in a list
+    state until the watermark has passed it; rows are then decided in time order.
+    An event-time timer releases waiting rows and later drops the state of a key
+    whose window has ended. A null ``dur`` is a run still in flight: it never
+    expires, its key keeps one row of state, and the outcome is null for all who
+    join it. State of this kind needs the RocksDB store, which is set for the
+    session, as are the streams started after it.
     """
-    window_us = seconds_to_micros(window_s)
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    window_us, t = seconds_to_micros(window_s), F.unix_micros("ts")
+    expiry = (t + F.col("dur") + F.when(F.col("ok"), F.lit(window_us)).otherwise(F.lit(0))).cast("bigint")
     keyed = requests.withWatermark("ts", lateness).select(
-        "request_id", "stream", F.to_json(F.struct(*request_key())).alias("_key"),
-        F.unix_micros("ts").alias("t"), "dur", "ok", "ts",
-    )
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        waiting, until, leader, leader_ok = [], -(2**62), 0, False
-        if state.exists:
-            t, ids, dur, good, until, leader, leader_ok = state.get
-            waiting = list(zip(t, ids, dur, good))
-        for b in batches:
-            waiting.extend(zip(b["t"].tolist(), b["request_id"].tolist(), b["dur"].tolist(), b["ok"].tolist()))
-        mark_us = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
-        done = []
-        cut = 0
-        for t, rid, dur, ok in waiting:
-            if t >= mark_us:
-                break
-            cut += 1
-            reused = t < until
-            if not reused:
-                leader, leader_ok = rid, bool(ok)
-                until = t + dur + (window_us if ok else 0)
-            done.append((rid, leader, reused, leader_ok))
-        rest = waiting[cut:]
-        if rest or until > mark_us:
-            columns = [list(c) for c in zip(*rest)] if rest else [[], [], [], []]
-            state.update((*columns, until, leader, leader_ok))
-            wake_us = rest[0][0] if rest else until
-            state.setTimeoutTimestamp(max(wake_us // 1000 + 1, mark_us // 1000 + 1))
-        elif state.exists:
-            state.remove()
-        if done:
-            out = pd.DataFrame(done, columns=["request_id", "leader_id", "reused", "ok"])
-            out.insert(1, "stream", json.loads(key[0])["stream"])
-            yield out
-
-    return keyed.groupBy("_key").applyInPandasWithState(
-        step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+        "request_id", F.to_json(F.struct(*request_key())).alias("_key"), t.alias("t"),
+        F.coalesce(expiry, F.lit(IN_FLIGHT)).alias("expiry"), F.coalesce("ok", F.lit(False)).alias("ok"), "ts",
     )
+    return keyed.groupBy("_key").transformWithStateInPandas(SingleRun(), _OUT, "Append", "EventTime")

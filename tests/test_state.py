@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from songloom.operators import dedup, delivery, retention, state
 
 S = 1_000_000
@@ -194,3 +196,51 @@ def test_nan_frames_have_no_voice(spark):
     rows = [(1, 100.0)] * 50 + [(1, float("nan"))] * 60
     got = pitch.voiced_median(spark.createDataFrame(rows, "signal_id long, hz double")).first()
     assert (got.voiced, got.median_hz) == (50, 100.0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dedup_dense_slices(spark, seed):
+    """Windows longer than many slices, equal times, runs that end before or as they start, runs in flight."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(700):
+        ok = rnd.random() < .7
+        dur = rnd.choice([0, 0, -3, 2, 90, 400]) * S
+        rows.append((i, rnd.choice(["one", "one", "two"]), "q", "m", False, rnd.randrange(900) // 5 * 5 * S, dur, ok))
+    got = decided(dedup.dedup_requests(spark.createDataFrame(rows, REQ), window_s=60, partitions=48))
+    want, runs = {}, {}
+    for rid, stream, *_, t, dur, ok in sorted(rows, key=lambda r: (r[5], r[0])):
+        leader, until, good = runs.get(stream, (None, -1 << 62, False))
+        if t < until:
+            want[rid] = (leader, True, good)
+        else:
+            runs[stream] = (rid, t + dur + (60 * S if ok else 0), ok)
+            want[rid] = (rid, False, ok)
+    assert got == want
+
+
+def test_dedup_hand_over_is_spread(spark, monkeypatch):
+    """One key, a window over all slices: no task of the hand-over writes more than a few slices' share of steps."""
+    parts, n = 16, 6000
+    largest = {}
+
+    def watched(df, name):
+        out = dedup_materialized(df, name)
+        sizes = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+        largest[name] = max([largest.get(name, 0), *sizes])
+        return out
+
+    from songloom.operators.dedup import materialized as dedup_materialized
+    monkeypatch.setattr(dedup, "materialized", watched)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, x in settings.items():
+        spark.conf.set(k, x)
+    try:
+        rows = [(i, "one", "q", "m", False, i * S, (i * 7919 % 5000) * S, True) for i in range(n)]
+        got = decided(dedup.dedup_requests(spark.createDataFrame(rows, REQ), window_s=30, partitions=parts))
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert got == brute_dedup(rows, 30 * S)
+    assert largest["jumps"] and max(largest.values()) <= 4 * n / parts, largest

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from registry import streams, views as v
+from registry import state as state_queries, streams, views as v
 from songloom.operators import dedup, delivery, retention, state
 from songloom.session import fresh_path
 from songloom.streaming import dedup as sd, delivery as sv, replay, retention as sr, sessions as ss, upsert as su
@@ -54,6 +54,33 @@ def test_dedup(spark, stream, window_s):
     assert rows(out, *cols) == rows(want, *cols)
 
 
+def test_dedup_in_flight_over_a_restart(spark, parts):
+    """Requests without an end, eight micro-batches, the query stopped and taken up again halfway."""
+    folder, schema = parts
+    # the row that moves the watermark past everything comes last
+    files = [r.path for r in spark.read.schema(schema).parquet(folder).groupBy(F.input_file_name().alias("path")).agg(F.max("ts").alias("t")).orderBy("t").collect()]
+    early, late = files[: len(files) // 2], files[len(files) // 2:]
+    base = fresh_path(spark, "restart")
+    fed = f"{base}/in"
+
+    def run(some):
+        for path in some:
+            spark.read.schema(schema).parquet(path).coalesce(1).write.mode("append").parquet(fed)
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(fed)
+        source = source.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("t", F.unix_micros("ts"))
+        out = sd.stream_dedup_requests(state_queries.unfinished(v.as_requests(source, "ts")), 600, "60 days")
+        query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return out.schema
+
+    run(early)
+    out = spark.read.schema(run(late)).parquet(f"{base}/out")
+    want = dedup.dedup_requests(state_queries.unfinished(v.requests(spark, SMALL)), 600)
+    cols = ["request_id", "leader_id", "reused", "ok"]
+    assert rows(out, *cols) == rows(want, *cols)
+    assert out.where("ok IS NULL").count() > 0
+
+
 def test_delivery(spark, stream):
     sent = stream().select(F.col("event_id").alias("attempt_id"), F.col("ts").alias("sent_ts"))
     back = v.as_results(stream()).select("attempt_id", F.timestamp_micros("returned").alias("returned_ts"), "result")
