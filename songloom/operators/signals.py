@@ -281,18 +281,14 @@ def _mono_blocks(blocks: DataFrame, rate: Column, size: int = BLOCK) -> DataFram
     )
     stop = F.least((F.col("block_no") + 1) * size, F.ceil((F.col("_begin") + F.size("_mono")) * F.col("_rate") / F.col("sr")).cast("bigint"))
 
-    def interpolated(j: Column) -> Column:
-        place = j * F.col("sr")
-        left = ((place - place % F.col("_rate")) / F.col("_rate")).cast("bigint") - F.col("_begin")
-        here = F.get("_mono", left.cast("int"))
-        after = F.coalesce(F.get("_mono", left.cast("int") + 1), here)
-        return here + (after - here) * (place % F.col("_rate") / F.col("_rate"))
-
-    changed = F.transform(F.sequence(F.col("block_no") * size, stop - 1), interpolated)
+    # samples of an unchanged rate are not sent to the function
+    changed = F.col("sr") != F.col("_rate")
+    edge, bounds = F.when(changed, F.element_at("_mono", -1)), [F.when(changed, x).otherwise(0).cast("bigint") for x in (F.col("_begin"), F.col("block_no") * size, stop)]
+    between = F.arrow_udf(_interpolate, SAMPLES)(F.when(changed, F.col("_mono")), edge, *bounds, "sr", "_rate")
     return mono.select(
         "signal_id", F.lit(0).alias("ch"), "block_no",
-        F.when(F.col("sr") == F.col("_rate"), F.col("_begin")).otherwise(F.col("block_no") * size).cast("bigint").alias("start_idx"),
-        F.col("_rate").cast("int").alias("sr"), F.when(F.col("sr") == F.col("_rate"), F.col("_mono")).otherwise(changed).alias("samples"),
+        F.when(changed, F.col("block_no") * size).otherwise(F.col("_begin")).cast("bigint").alias("start_idx"),
+        F.col("_rate").cast("int").alias("sr"), F.when(changed, between).otherwise(F.col("_mono")).alias("samples"),
     )
 
 
@@ -467,6 +463,26 @@ def spectrum_frames(frames: DataFrame) -> DataFrame:
     return frames.withColumn("magnitude", magnitudes(F.col("samples").cast(SAMPLES))).drop("samples")
 
 
+def _interpolate(
+    samples: pa.Array, following: pa.Array, begin: pa.Array, first: pa.Array, stop: pa.Array, sr: pa.Array, to: pa.Array
+) -> pa.Array:
+    """Values between known samples; ``following`` is the sample after them. Null samples give none."""
+    import numpy as np
+
+    edges, values = np.asarray(samples.offsets), np.asarray(samples.values)
+    out = []
+    for row, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        at = np.arange(first[row].as_py(), stop[row].as_py(), dtype=np.int64) * sr[row].as_py()
+        if not len(at):
+            out.append(values[:0])
+            continue
+        known, rate = np.append(values[a:b], following[row].as_py()), to[row].as_py()
+        left = at // rate - begin[row].as_py()
+        out.append(known[left] + (known[left + 1] - known[left]) * (at % rate / rate))
+    sizes = np.cumsum([0] + [len(x) for x in out])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out or [values[:0]])))
+
+
 def resample_linear(blocks: DataFrame, target_sr: int | None) -> DataFrame:
     """Change the sample rate by linear interpolation; None: to the rate in the column ``target_sr``.
 
@@ -483,27 +499,11 @@ def resample_linear(blocks: DataFrame, target_sr: int | None) -> DataFrame:
     first = F.ceil(start * t / s).cast("bigint")
     stop = F.ceil((start + size) * t / s).cast("bigint")
 
-    @F.arrow_udf("array<double>")
-    def interpolate(
-        samples: pa.Array, following: pa.Array, begin: pa.Array, first: pa.Array, stop: pa.Array, sr: pa.Array, to: pa.Array
-    ) -> pa.Array:
-        import numpy as np
-
-        edges, values = np.asarray(samples.offsets), np.asarray(samples.values)
-        out = []
-        for row, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            known, rate = np.append(values[a:b], following[row].as_py()), to[row].as_py()
-            at = np.arange(first[row].as_py(), stop[row].as_py(), dtype=np.int64) * sr[row].as_py()
-            left = at // rate - begin[row].as_py()
-            out.append(known[left] + (known[left + 1] - known[left]) * (at % rate / rate))
-        sizes = np.cumsum([0] + [len(x) for x in out])
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out or [values[:0]])))
-
     joined = typed.join(heads, ["signal_id", "ch", "block_no"], "left")
     after = F.coalesce("_next", F.element_at("samples", -1))
     return (
         joined.withColumn("_first", first).withColumn("_stop", stop).where(F.col("_first") < F.col("_stop"))
-        .withColumn("_out", interpolate("samples", after, start, "_first", "_stop", s, t))
+        .withColumn("_out", F.arrow_udf(_interpolate, SAMPLES)("samples", after, start, "_first", "_stop", s, t))
         .select(
             "signal_id", "ch", "block_no", F.col("_first").alias("start_idx"),
             t.cast("int").alias("sr"), F.col("_out").alias("samples"),
