@@ -7,12 +7,17 @@ window and the item take the same random walk (at each step the word seen
 decides whether to move on), which turns few edits into few differing steps;
 steps sampled over repeated walks select windows that agree in one of them. What
 is selected is verified by the exact edit distance.
+
+Over many words walks part for good, so a long item is looked for by its parts:
+if the whole is within a fifth of its words, some part is within a fifth of its
+own. A part that is found places the whole item, which alone is verified.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +25,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from songloom.llm.arrays import PUNCTUATION, U, mixed, window_hashes, word_hashes, word_spans
 from songloom.llm.shared import whole_text, worker_value
+from songloom.session import materialized
 
 SAMPLES = 2
+# Words of an item that are walked at once; a longer one is cut into even parts.
+PART = 40
+# Items and parts of a class of sizes that the number of walks is tried on, and walks at most.
+TRIED = 4096
+WALKS = 1000
 SEED_WORDS = 4
 CELLS = 1 << 21
 DOCS_AT_ONCE = 1024
@@ -63,11 +74,11 @@ def walk(words: np.ndarray, sizes: np.ndarray, repeat: int) -> np.ndarray:
     return out
 
 
-def agree(windows: np.ndarray, items: np.ndarray, sizes: np.ndarray, repeats: int) -> np.ndarray:
-    """Whether a window and its item show the same symbols in one of the repeated walks."""
+def agree(windows: np.ndarray, items: np.ndarray, sizes: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """Whether a window and its item show the same symbols in one of the walks, ``repeats`` for each."""
     done = np.zeros(len(windows), dtype=bool)
-    for repeat in range(repeats):
-        left = np.flatnonzero(~done)
+    for repeat in range(int(repeats.max(initial=0))):
+        left = np.flatnonzero(~done & (repeat < repeats))
         if not len(left):
             break
         same = walk(windows[left], sizes[left], repeat) == walk(items[left], sizes[left], repeat)
@@ -97,19 +108,45 @@ def best_place(pattern: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """Where an item of ``n`` words is cut: even parts of at most PART words."""
+    cuts = np.linspace(0, n, -(-n // PART) + 1).astype(int).tolist()
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    """Sizes within a factor of about 1.4 share a class, and with it a number of walks."""
+    return (2 * np.log2(np.maximum(sizes, 1))).astype(np.int64)
+
+
+def edited(words: np.ndarray, edits: int, rng) -> np.ndarray:
+    """``words`` with random ones changed, put in or left out."""
+    out = words.tolist()
+    for kind in rng.integers(0, 3, edits).tolist():
+        at = int(rng.integers(0, max(1, len(out))))
+        out[at:at + (kind != 0)] = [] if kind == 2 else [int(rng.integers(1, 1 << 62))]
+    return np.array(out, dtype=U)
+
+
 class Items:
-    """A block of benchmark items with what a worker needs to look for them."""
+    """A block of benchmark items with what a worker needs to look for them.
+
+    ``units`` are the items and the parts of long ones: their item, their offset in it and their words.
+    """
 
-    def __init__(self, ids: list, texts: list[str], similarity: float, recall: float):
+    def __init__(self, ids: list, texts: list[str], similarity: float, walks: dict[int, int] | None = None):
         words = [item_words(t or "") for t in texts]
         held = [k for k, w in enumerate(words) if len(w)]
-        self.ids, self.words = [ids[k] for k in held], [words[k] for k in held]
+        self.ids, self.whole = [ids[k] for k in held], [words[k] for k in held]
+        self.edits = [allowed_edits(len(w), similarity) for w in self.whole]
+        units = [(k, at, w[at:to]) for k, w in enumerate(self.whole) for at, to in parts_of(len(w))]
+        self.item, self.offset, self.words = ([u[j] for u in units] for j in range(3))
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.edits = [allowed_edits(n, similarity) for n in self.sizes.tolist()]
+        self.own_edits = [allowed_edits(n, similarity) for n in self.sizes.tolist()]
         self.seeds = {}
-        lengths = [seed_length(n, e) for n, e in zip(self.sizes.tolist(), self.edits)]
+        lengths = [seed_length(n, e) for n, e in zip(self.sizes.tolist(), self.own_edits)]
         for length in sorted(set(lengths)):
-            grams = [(k, window_hashes(self.words[k], length)) for k in range(len(held)) if lengths[k] == length]
+            grams = [(k, window_hashes(self.words[k], length)) for k in range(len(units)) if lengths[k] == length]
             hashes = np.concatenate([h for _, h in grams])
             item = np.concatenate([np.full(len(h), k) for k, h in grams])
             place = np.concatenate([np.arange(len(h)) for _, h in grams])
@@ -117,32 +154,30 @@ class Items:
             seen = np.zeros(1 << 20, dtype=bool)
             seen[(hashes >> U(44)).astype(np.int64)] = True
             self.seeds[length] = hashes[order], item[order], place[order], seen
-        self.repeats = self._repeats(recall)
-
-    def _repeats(self, recall: float) -> int:
-        """Walks until ``recall`` of items with all edits allowed agree, tried on up to 64 items with fixed random edits."""
-        if not self.ids:
-            return 0
-        rng = np.random.default_rng(0)
-        chosen = np.linspace(0, len(self.ids) - 1, min(64, len(self.ids))).astype(int)
-        items, edited = [], []
-        for k in np.repeat(chosen, 4).tolist():
-            words = self.words[k].tolist()
-            for kind in rng.integers(0, 3, self.edits[k]).tolist():
-                at = int(rng.integers(0, max(1, len(words))))
-                words[at:at + (kind != 0)] = [] if kind == 2 else [int(rng.integers(1, 1 << 62))]
-            items.append(k)
-            edited.append(np.array(words, dtype=U))
-        sizes = self.sizes[items]
-        left, right = self._padded(self.words, items), np.zeros((len(items), int(sizes.max())), dtype=U)
-        for row, w in enumerate(edited):
-            right[row, : min(len(w), sizes[row])] = w[: sizes[row]]
-        done = np.zeros(len(items), dtype=bool)
-        for repeat in range(200):
-            done |= (walk(right, sizes, repeat) == walk(left, sizes, repeat)).all(axis=0)
-            if done.mean() >= recall:
-                return repeat + 1
-        raise ValueError("the recall asked for is out of reach")
+        classes = size_class(self.sizes)
+        self.walks = np.array([(walks or {}).get(c, 1) for c in classes.tolist()], dtype=np.int64)
+
+    def calibrated(self, recall: float) -> dict[int, int]:
+        """For each class of sizes the walks until ``recall`` of its units agree with all edits allowed."""
+        rng, out, classes = np.random.default_rng(0), {}, size_class(self.sizes)
+        for c in np.unique(classes).tolist():
+            own = np.flatnonzero(classes == c)
+            chosen = own[np.linspace(0, len(own) - 1, min(TRIED, len(own))).astype(int)]
+            units = np.repeat(chosen, max(4, -(-256 // len(chosen)))).tolist()
+            sizes = self.sizes[units]
+            left, right = self._padded(self.words, units), np.zeros((len(units), int(sizes.max())), dtype=U)
+            for row, k in enumerate(units):
+                w = edited(self.words[k], self.own_edits[k], rng)
+                right[row, : min(len(w), sizes[row])] = w[: sizes[row]]
+            done, repeat = np.zeros(len(units), dtype=bool), 0
+            while done.mean() < recall:
+                if repeat == WALKS:
+                    raise ValueError("the recall asked for is out of reach")
+                rest = np.flatnonzero(~done)
+                done[rest] = (walk(right[rest], sizes[rest], repeat) == walk(left[rest], sizes[rest], repeat)).all(axis=0)
+                repeat += 1
+            out[c] = max(1, repeat)
+        return out
 
     @staticmethod
     def _padded(words: list[np.ndarray], items: list[int]) -> np.ndarray:
@@ -183,7 +218,7 @@ class Items:
             for row, (d, s, n) in enumerate(zip(doc[own].tolist(), start[own].tolist(), sizes.tolist())):
                 part = docs[d][max(s, 0): s + n]
                 windows[row, max(-s, 0): max(-s, 0) + len(part)] = part
-            out[own] = agree(windows, self._padded(self.words, item[own].tolist()), sizes, self.repeats)
+            out[own] = agree(windows, self._padded(self.words, item[own].tolist()), sizes, self.walks[item[own]])
             at += len(own)
         return out
 
@@ -196,19 +231,20 @@ class Items:
             return out
         item, start = (np.concatenate(x) for x in zip(*proposals))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        searched: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for k in np.flatnonzero(self.agreeing(docs, doc, item, start)).tolist():
-            d, i, s = int(doc[k]), int(item[k]), int(start[k])
-            known = best.get((d, i))
-            if known and known[0] == 0:
+            d, i, s = int(doc[k]), self.item[int(item[k])], int(start[k]) - self.offset[int(item[k])]
+            n, edits = len(self.whole[i]), self.edits[i]
+            if best.get((d, i), (1,))[0] == 0 or any(low <= s - 3 * edits and s + n + 3 * edits <= high for low, high in searched[d, i]):
                 continue
-            n, edits = int(self.sizes[i]), self.edits[i]
-            low = max(0, s - 2 * edits)
-            region, pattern = docs[d][low: s + n + 2 * edits].tolist(), self.words[i].tolist()
+            searched[d, i].append((s - 4 * edits, s + n + 4 * edits))
+            low = max(0, s - 4 * edits)
+            region, pattern = docs[d][low: max(0, s + n + 4 * edits)].tolist(), self.whole[i].tolist()
             distance, end = best_place(pattern, region)
             if distance <= edits:
                 _, back = best_place(pattern[::-1], region[:end][::-1])
                 place = (distance, low + end - back, low + end)
-                best[d, i] = min(place, known or place)
+                best[d, i] = min(place, best.get((d, i), place))
         for (d, i), (distance, first, end) in sorted(best.items()):
             out[d].append({"item_id": self.ids[i], "start": first, "end": end, "distance": distance})
         return out
@@ -231,27 +267,44 @@ def with_leaks(
     """``docs`` with the benchmark items that each whole text holds.
 
     ``leaks`` lists item, stretch (word numbers, end exclusive) and edit distance,
-    the best stretch of each item. Words are lower-cased; ASCII punctuation only
+    the best stretch of each item, in order of item. Words are lower-cased; ASCII punctuation only
     parts them. Null and empty texts hold nothing, items without words are held
     by nothing; repeated items are each reported. A column named ``out`` is
-    replaced. Items are looked for in blocks of about ``block_bytes``, each sent
-    to the workers whole, so their number is not bounded; texts are not moved.
+    replaced. ``recall`` is demanded of items (and parts of long ones) in each
+    class of sizes, with random edits, as many as are allowed.
+
+    Items are looked for in blocks of about ``block_bytes``. A block is held by
+    the driver and by each worker for one pass over the texts, whatever the
+    number of blocks; with several, what is found is written and joined by the
+    text's hash. With one, texts are not moved.
     """
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]))
 
-    def search(block: tuple[list, list]):
+    def search(block: DataFrame):
+        own = block.orderBy("item_id", "text").toArrow()
+        ids, texts = own["item_id"].to_pylist(), own["text"].to_pylist()
+        walks = Items(ids, texts, similarity).calibrated(recall)
+
         @F.arrow_udf(LEAKS)
         def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            known = worker_value(("items", similarity, recall, *map(tuple, block)), lambda: Items(*block, similarity, recall))
-            for texts in batches:
+            known = worker_value(("items", similarity, recall, tuple(ids), tuple(texts)), lambda: Items(ids, texts, similarity, walks))
+            for texts_of in batches:
                 rows = []
-                for at in range(0, len(texts), DOCS_AT_ONCE):
-                    rows += known.found([item_words(t) for t in texts.slice(at, DOCS_AT_ONCE).to_pylist()])
+                for at in range(0, len(texts_of), DOCS_AT_ONCE):
+                    rows += known.found([item_words(t) for t in texts_of.slice(at, DOCS_AT_ONCE).to_pylist()])
                 yield pa.array(rows, kind)
 
         # a deterministic function would be run once more for a filter on its result
         return find.asNondeterministic()(whole_text(docs, text))
 
-    blocks = [b.orderBy("item_id", "text").toArrow() for b in _item_blocks(items, item_id, item_text, block_bytes)]
-    found = [search((b["item_id"].to_pylist(), b["text"].to_pylist())) for b in blocks]
-    return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0])
+    blocks = _item_blocks(items, item_id, item_text, block_bytes)
+    if len(blocks) == 1:
+        return docs.withColumn(out, search(blocks[0]))
+    keys = [F.xxhash64(whole_text(docs, text)), F.xxhash64(F.lit("second"), whole_text(docs, text))]
+    found = []
+    for block in blocks:
+        rows = docs.select(*[k.alias(f"_t{j}") for j, k in enumerate(keys)], search(block).alias("_found")).where(F.size("_found") > 0)
+        found.append(materialized(rows.dropDuplicates(["_t0", "_t1"]), "leaks"))
+    every = reduce(DataFrame.unionByName, found).groupBy("_t0", "_t1").agg(F.array_sort(F.flatten(F.collect_list("_found"))).alias("_found"))
+    joined = docs.drop(out).join(every, (keys[0] == F.col("_t0")) & (keys[1] == F.col("_t1")), "left")
+    return joined.withColumn(out, F.coalesce("_found", F.array().cast(LEAKS))).drop("_t0", "_t1", "_found")

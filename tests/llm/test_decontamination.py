@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from songloom.llm.decontamination import Items, allowed_edits, best_place, item_words, walk, with_leaks
+from songloom.llm.decontamination import PART, Items, allowed_edits, best_place, edited, item_words, parts_of, walk, with_leaks
 from songloom.llm.registered import QUERIES
 from tests.conftest import SMALL
 
@@ -81,7 +81,7 @@ def test_walks_keep_near_windows_near():
     sizes = np.full(200, 40)
     same = lambda a: np.mean([(walk(words, sizes, r) == walk(a, sizes, r)).mean() for r in range(10)])
     assert same(near) > 0.7 and same(far) < 0.05
-    assert Items([], [], 0.8, 0.98).found([words[0]]) == [[]]
+    assert Items([], [], 0.8).found([words[0]]) == [[]]
 
 
 def test_odd_rows(spark):
@@ -96,3 +96,31 @@ def test_odd_rows(spark):
     assert (7, 0, 30) in got[3][1] and (7, 100_000, 100_030) in got[5][1] and got[0][1] == [(None, 1, 2)]
     assert with_leaks(docs, items.limit(0)).where("size(leaks) > 0").count() == 0
     assert with_leaks(docs.limit(0), items).count() == 0
+
+
+def test_recall_in_each_class_of_sizes():
+    """Items of very different length in one block, each with all the edits allowed."""
+    rng = np.random.default_rng(4)
+    sizes, tries = (3, 9, 30, 55, 600, 5000), {3: 60, 9: 60, 30: 60, 55: 60, 600: 40, 5000: 6}
+    words = [rng.integers(0, 1 << 40, n) for n in sizes for _ in range(30 if n < 600 else 3)]
+    texts = [" ".join(f"w{x}" for x in w.tolist()) for w in words]
+    ids = list(range(len(texts)))
+    items = Items(ids, texts, 0.8, Items(ids, texts, 0.8).calibrated(0.98))
+    noise = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    for n in sizes:
+        own = [k for k in ids if len(words[k]) == n]
+        docs = []
+        for j in range(tries[n]):
+            item = item_words(texts[own[j % len(own)]])
+            docs.append(np.concatenate([noise(50), edited(item, allowed_edits(n, 0.8), rng), noise(50)]))
+        found = items.found(docs)
+        hits = [any(x["item_id"] == own[j % len(own)] and x["distance"] <= allowed_edits(n, 0.8) for x in found[j]) for j in range(tries[n])]
+        assert np.mean(hits) >= 0.95, (n, np.mean(hits))
+
+
+def test_parts():
+    for n in (1, PART, PART + 1, 3 * PART, 5000):
+        parts = parts_of(n)
+        assert parts[0][0] == 0 and parts[-1][1] == n and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+        assert all(PART // 2 <= b - a <= PART or n < PART for a, b in parts)
+        assert sum(allowed_edits(b - a, 0.8) for a, b in parts) <= allowed_edits(n, 0.8)
