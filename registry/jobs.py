@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry import pitch, views as v
-from registry.core import query, sql_view
+from registry.core import query, sql_view, table
 from registry.signals import PCM
 from songloom.operators import signals as s
+from songloom.plans.resolve import resolve_requests
 from songloom.plans.cover import cover_report, two_stem_job as cover_job
 from songloom.session import fresh_path
 from songloom.sources import audio
@@ -138,3 +139,69 @@ def two_stem_job_stereo(spark, sf):
         separate, convert, model_keys=pitch.MODEL_KEYS, default_key=pitch.DEFAULT_KEY, lengths=v.sig_len(spark, sf),
     )
     return cover_report(job)
+
+
+def chat(spark, sf):
+    """Each user keeps asking for the part of their number; some messages are other commands or none."""
+    asked = v.events(spark, sf).join(table(spark, sf, "part").select("p_partkey", "p_name"), F.col("user_id") == F.col("p_partkey"), "left")
+    name = F.coalesce("p_name", F.lit("nothing-like-it"))
+    kind = F.col("event_type")
+    text = (
+        F.when(kind == "error", "hello").when(kind == "signup", "/翻唱 ").when((kind == "view") & (F.pmod("user_id", F.lit(2)) == 0), "/音色列表")
+        .otherwise(F.concat(F.lit("/翻唱 -v L.pth "), name))
+    )
+    spelled = F.get(F.array(F.lit(" QQ"), F.lit(None), F.lit("NetEase")), F.pmod("user_id", F.lit(3)).cast("int"))
+    return asked.select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("stream"), text.alias("text"), "t",
+        F.rint(F.col("value") * 20e6).cast("bigint").alias("dur"), (kind != "purchase").alias("ok"), spelled.alias("platform"),
+    )
+
+
+def song_answers(spark, sf):
+    """What providers say about songs: files by quality for one, three sources for the other, often nothing."""
+    number = F.regexp_extract("song_id", "([0-9]+)", 1).cast("int")
+    k, own = F.pmod(number, F.lit(4)), F.coalesce(F.nullif(F.col("media_id"), F.lit("")), F.col("song_id"))
+    file = lambda name, purl: F.struct(name.alias("filename"), purl.alias("purl"))
+    return v.songs(spark, sf).select(
+        "platform", "song_id", "media_id",
+        F.array(
+            file(F.concat(F.lit("C400"), own, F.lit(".m4a")), F.when(k > 0, F.concat("song_id", F.lit(".m4a"))).otherwise("")),
+            file(F.concat(F.lit("M800"), own, F.lit(".mp3")), F.when(k == 2, F.concat(F.lit("https://h.example/"), "song_id")).otherwise(" ")),
+        ).alias("files"),
+        F.array(F.lit("http://s.example/")).alias("servers"), F.when(k == 1, F.concat(F.lit("http://one.example/"), "song_id")).otherwise("").alias("url_1"),
+        F.when(k == 2, F.concat(F.lit("http://two.example/"), "song_id")).alias("url_2"),
+        F.concat(F.lit("http://three.example/"), "song_id", F.when(k == 3, ".mp3").otherwise(".html")).alias("url_3"),
+    )
+
+
+sql_view("chat", """SELECT event_id AS id, user_id AS stream, t, event_type <> 'purchase' AS ok, coalesce(p_name, 'nothing-like-it') AS query,
+  CASE WHEN user_id % 3 = 0 THEN 'qq' ELSE '163' END AS platform,
+  t + CAST(round_even(value * 20e6, 0) AS BIGINT) + CASE WHEN event_type <> 'purchase' THEN 600000000 ELSE 0 END AS expiry,
+  CASE WHEN event_type = 'error' THEN 'no command' WHEN event_type = 'signup' THEN 'no query' WHEN event_type = 'view' AND user_id % 2 = 0 THEN 'other command' END AS why
+  FROM ev LEFT JOIN part ON p_partkey = user_id""", ("ev",))
+sql_view("chat_runs", """SELECT *, row_number() OVER (PARTITION BY stream ORDER BY t, id) AS rn FROM chat WHERE why IS NULL""", ("chat",))
+sql_view("chat_led", """SELECT stream, rn, id, id AS leader_id, expiry, false AS reused FROM chat_runs WHERE rn = 1
+  UNION ALL SELECT r.stream, r.rn, r.id, CASE WHEN r.t < p.expiry THEN p.leader_id ELSE r.id END,
+    CASE WHEN r.t < p.expiry THEN p.expiry ELSE r.expiry END, r.t < p.expiry
+  FROM chat_led p JOIN chat_runs r ON r.stream = p.stream AND r.rn = p.rn + 1""", ("chat_runs",))
+sql_view("chat_hits", """SELECT platform, query, arg_min(song_id, (-n, song_id)) AS song_id FROM (
+    SELECT q.platform, q.query, s.song_id, count(DISTINCT q.w) AS n
+    FROM (SELECT platform, query, unnest(string_split(lower(query), ' ')) AS w FROM (SELECT DISTINCT platform, query FROM chat WHERE why IS NULL)) q
+    JOIN (SELECT platform, song_id, unnest(string_split(lower(name), ' ')) AS w FROM songs) s USING (platform, w) GROUP BY ALL)
+  GROUP BY platform, query""", ("chat", "songs"))
+sql_view("chat_urls", """SELECT platform, song_id, CASE WHEN artists = '' THEN name ELSE name || ' - ' || artists END AS title,
+  CASE WHEN platform = 'qq' THEN CASE k WHEN 0 THEN NULL WHEN 2 THEN 'https://h.example/' || song_id ELSE 'http://s.example/' || song_id || '.m4a' END
+  ELSE CASE k WHEN 1 THEN 'http://one.example/' || song_id WHEN 2 THEN 'http://two.example/' || song_id WHEN 3 THEN 'http://three.example/' || song_id || '.mp3' END END AS url
+  FROM (SELECT *, CAST(regexp_extract(song_id, '([0-9]+)', 1) AS INTEGER) % 4 AS k FROM songs)""", ("songs",))
+
+
+@query("request_pipeline", """SELECT m.id AS request_id,
+  CASE WHEN m.why = 'no query' THEN 'rejected' WHEN m.why IS NOT NULL THEN 'ignored' WHEN l.reused THEN 'reused'
+    WHEN u.url IS NULL THEN 'failed' ELSE 'resolved' END AS outcome,
+  coalesce(m.why, CASE WHEN h.song_id IS NULL THEN 'no song found' WHEN u.url IS NULL THEN 'no playable audio' END) AS reason,
+  l.leader_id, h.song_id, CASE WHEN h.song_id IS NOT NULL THEN m.platform END AS platform, u.title, u.url
+FROM chat m LEFT JOIN chat_led l ON l.id = m.id
+LEFT JOIN chat_hits h ON l.leader_id IS NOT NULL AND h.platform = m.platform AND h.query = m.query
+LEFT JOIN chat_urls u ON u.platform = h.platform AND u.song_id = h.song_id""", ("chat", "chat_led", "chat_hits", "chat_urls"))
+def request_pipeline(spark, sf):
+    return resolve_requests(chat(spark, sf), v.songs(spark, sf), song_answers(spark, sf))

@@ -154,8 +154,11 @@ def kv_cookie(spark, sf):
     return table(spark, sf, "pages").select("page_id", r.kv_value(text, "id").alias("value"))
 
 
-@query("poll_states", """SELECT CASE CAST(value AS BIGINT) % 6 WHEN 0 THEN 'expired' WHEN 1 THEN 'waiting' WHEN 2 THEN 'scanned' WHEN 3 THEN 'success'
-  ELSE 'error' END AS state, count(*) AS n FROM events GROUP BY 1""")
+# codes without a meaning, and no code, are still waiting
+_POLLED = "CASE k WHEN 0 THEN 'expired' WHEN 2 THEN 'scanned' WHEN 3 THEN 'success' ELSE 'waiting' END"
+
+
+@query("poll_states", f"SELECT {_POLLED} AS state, count(*) AS n FROM (SELECT CAST(value AS BIGINT) % 6 AS k FROM events) GROUP BY 1")
 def poll_states(spark, sf):
     """Codes 800 to 803, others and none."""
     k = F.pmod(F.expr("cast(rint(value) as bigint)"), F.lit(6))
@@ -163,6 +166,16 @@ def poll_states(spark, sf):
     return table(spark, sf, "events").select(r.poll_state(code).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("poll_states_login", f"""SELECT event_id, CASE WHEN k = 3 AND event_id % 5 IN (2, 3, 4) THEN 'error' ELSE {_POLLED} END AS state
+FROM (SELECT event_id, event_id % 4 AS k FROM events)""")
+def poll_states_login(spark, sf):
+    """A success needs a login value: in the cookie, in the body, blank, under another key, or not at all."""
+    j = F.pmod("event_id", F.lit(5)).cast("int")
+    cookie = F.when(j == 0, "x1").when(j == 2, "")
+    body = F.get(F.array(F.lit(None), F.lit("a=1; MUSIC_U=x2; b"), F.lit("MUSIC_U=; a=1"), F.lit("xMUSIC_U=5"), F.lit("")), j)
+    return table(spark, sf, "events").select("event_id", r.poll_state(F.pmod("event_id", F.lit(4)) + 800, cookie, body).alias("state"))
+
+
 def configs(spark, sf):
     k = lambda n: F.pmod("c_custkey", F.lit(n))
     return table(spark, sf, "customer").select(

@@ -173,6 +173,21 @@ def upsert_into(spark, sf):
     return state.upsert_into(base, v.sections(spark, sf)).drop("seq")
 
 
+sql_view("written", """SELECT CASE WHEN user_id % 10 > 0 THEN user_id END AS key, arg_max(props, (t, event_id)) AS value, max(t) AS ts FROM ev GROUP BY 1""", ("ev",))
+
+
+@query("upsert_into_null_key", """SELECT * FROM written UNION ALL
+SELECT CASE WHEN c_custkey > 1 THEN c_custkey END, c_name, 0 FROM customer
+WHERE NOT EXISTS (SELECT 1 FROM written w WHERE w.key IS NOT DISTINCT FROM CASE WHEN c_custkey > 1 THEN c_custkey END)""", ("written",))
+def upsert_into_null_key(spark, sf):
+    """The null key is a key: its old row goes when one is written."""
+    base = table(spark, sf, "customer").select(
+        F.when(F.col("c_custkey") > 1, F.col("c_custkey")).alias("key"), F.col("c_name").alias("value"), F.lit(0).cast("bigint").alias("ts"),
+        F.lit(-1).cast("bigint").alias("seq"))
+    writes = v.sections(spark, sf).withColumn("key", F.when(F.pmod("key", F.lit(10)) > 0, F.col("key")))
+    return state.upsert_into(base, writes).drop("seq")
+
+
 @query("hash33_shards", """SELECT h % 16 AS shard, count(*) AS n FROM (
   SELECT list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(url, ''), lambda c: CAST(unicode(c) AS BIGINT))),
     lambda h, c: (h * 33 + c) & 2147483647) AS h FROM pages) GROUP BY 1""")

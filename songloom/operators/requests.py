@@ -29,7 +29,10 @@ PARAM_FLOAT = {"index_rate": 0.75, "rms_mix_rate": 0.25, "protect": 0.33}
 TRUE_WORDS = ("1", "true", "True", "yes")
 NOT_TRIM_WORDS = ("0", "false", "False", "no")
 # Callback codes.
+CALLBACK_NAME = "ptuiCB"
+CALLBACK_CREDENTIALS = ("uin", "ptsigx")
 CALLBACK_STATES = {"0": "success", "65": "expired", "67": "scanned"}
+LOGIN_COOKIE = "MUSIC_U"
 POLL_STATES = {800: "expired", 801: "waiting", 802: "scanned", 803: "success"}
 # Configuration defaults and lower bounds.
 CONFIG_DEFAULTS = {
@@ -150,18 +153,25 @@ def kv_extract(urls: DataFrame) -> DataFrame:
 
 
 def callback_args(line: Column) -> Column:
-    """Quoted arguments of a login callback, in order."""
-    call = F.regexp_extract(F.coalesce(line, F.lit("")), r"ptuiCB\((.*)\)", 1)
-    return F.regexp_extract_all(call, F.lit(r"'((?:\\.|[^'])*)'"), F.lit(1))
+    """Quoted arguments of a login callback, in order.
+
+    The call's text is split at its quotes, those behind an odd number of
+    backslashes left out; every second part stood between two quotes.
+    """
+    called = F.regexp_extract(F.coalesce(line, F.lit("")), rf"{CALLBACK_NAME}\((.*)\)", 1)
+    parts = F.split(called, r"(?<=(?<!\\)(?:\\\\){0,9})'")
+    return F.filter(parts, lambda p, i: (i % 2 == 1) & (i + 1 < F.size(parts)))
 
 
 def callback_state(args: Column) -> Column:
     """State named by the callback's first argument.
 
-    A success must carry its two credentials in the third argument.
+    A success must carry its two credentials in the third argument: a number and a text.
     """
     code, link = F.get(args, 0), F.coalesce(F.get(args, 2), F.lit(""))
-    complete = link.rlike(r"[?&]uin=\d+") & link.rlike(r"[?&]ptsigx=[^&]+")
+    given = F.regexp_extract(link, "[?&](.*)$", 1)
+    number, key = (query_value(given, name) for name in CALLBACK_CREDENTIALS)
+    complete = F.coalesce(number.rlike("^[0-9]"), F.lit(False)) & key.isNotNull()
     named = F.create_map(*[F.lit(v) for kv in CALLBACK_STATES.items() for v in kv])
     return (
         F.when(code.isNull(), "error")
@@ -180,10 +190,23 @@ def callback_state_counts(lines: DataFrame) -> DataFrame:
     )
 
 
-def poll_state(code: Column) -> Column:
-    """State named by the other provider's poll code; ``error`` for any other code."""
+def poll_state(code: Column, cookie: Column | None = None, body: Column | None = None) -> Column:
+    """State named by the other provider's poll code; any other code, also none, is still ``waiting``.
+
+    If ``cookie`` (the value of the login cookie) or ``body`` (a text of ``k=v; k=v``)
+    is given, a success without a login value in either is an ``error``.
+    """
     named = F.create_map(*[F.lit(v) for kv in POLL_STATES.items() for v in kv])
-    return F.coalesce(F.try_element_at(named, code.cast("int")), F.lit("error"))
+    state = F.coalesce(F.try_element_at(named, code.try_cast("int")), F.lit("waiting"))
+    if cookie is None and body is None:
+        return state
+    login = F.lit(False)
+    if cookie is not None:
+        login = login | (F.coalesce(cookie, F.lit("")) != "")
+    if body is not None:
+        pairs = F.split(F.coalesce(body, F.lit("")), ";")
+        login = login | F.exists(pairs, lambda p: (strip(F.substring_index(p, "=", 1)) == LOGIN_COOKIE) & (F.length(F.substring_index(p, "=", -1)) > 0) & p.contains("="))
+    return F.when((state == "success") & ~login, "error").otherwise(state)
 
 
 def config_validate(configs: DataFrame) -> DataFrame:

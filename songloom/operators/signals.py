@@ -410,18 +410,22 @@ def stitch_chunks(chunks: DataFrame) -> DataFrame:
 def frame_signal(chunks: DataFrame, frame: int, trim: int) -> DataFrame:
     """Overlapping frames inside each chunk, with ``trim`` zeros before and after.
 
-    Frames advance by ``frame - 2*trim``. A group is one frame, so its size is
-    bounded by ``frame`` however long the signal is.
+    Frames advance by ``frame - 2*trim``. A frame whose samples lie in one block is
+    cut where the block is; only the pieces of frames over a block's edge move, less
+    than two frames for each block, and are put together, one frame to a group.
     """
     hop = frame - 2 * trim
     if hop <= 0:
         raise ValueError("frame must be longer than twice the trim")
     size = F.size("samples")
     at = F.col("start_idx") - F.col("chunk_lo") + trim
-    n_frames = F.ceil((F.col("chunk_hi") - F.col("chunk_lo")) / hop)
+    n = F.col("chunk_hi") - F.col("chunk_lo")
+    n_frames = F.ceil(n / hop)
     lo_f = F.greatest(F.floor((at - frame) / hop) + 1, F.lit(0))
     hi_f = F.least(F.floor((at + size - 1) / hop), n_frames - 1)
-    pieces = (
+    # where a frame's samples begin and end, without the zeros around the chunk
+    real_lo, real_hi = F.greatest(F.col("_f0"), F.lit(trim)), F.least(F.col("_f0") + frame, n + trim)
+    cut_out = (
         chunks.where(size > 0)
         .withColumn("_at", at.cast("bigint"))
         .withColumn("frame_no", F.explode(F.sequence(lo_f, hi_f)))
@@ -429,23 +433,21 @@ def frame_signal(chunks: DataFrame, frame: int, trim: int) -> DataFrame:
         .withColumn("_lo", F.greatest(F.col("_f0") - F.col("_at"), F.lit(0)).cast("int"))
         .withColumn("_len", (F.least(F.col("_f0") + frame - F.col("_at"), size) - F.col("_lo")).cast("int"))
         .where(F.col("_len") > 0)
-        .select(
-            "signal_id", "ch", "chunk_start", "frame_no", "sr",
-            (F.col("_at") + F.col("_lo") - F.col("_f0")).cast("int").alias("_off"),
-            _cut_array(F.col("samples").cast(SAMPLES), F.col("_lo"), F.col("_len")).alias("_piece"),
-        )
+        .withColumn("_whole", (real_lo >= F.col("_at")) & (real_hi <= F.col("_at") + size))
     )
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
-    return (
-        pieces.groupBy("signal_id", "ch", "chunk_start", "frame_no")
-        .agg(F.max("sr").alias("sr"), F.array_sort(F.collect_list(F.struct("_off", "_piece"))).alias("_p"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    filled = lambda front, body: F.concat(zeros(front), body, zeros(F.lit(frame) - front - F.size(body)))
+    offset = (F.col("_at") + F.col("_lo") - F.col("_f0")).cast("int")
+    body = _cut_array(F.col("samples").cast(SAMPLES), F.col("_lo"), F.col("_len"))
+    place = ["signal_id", "ch", "chunk_start", "frame_no"]
+    in_place = cut_out.where("_whole").select(*place, "sr", filled(offset, body).alias("samples"))
+    glued = (
+        cut_out.where(~F.col("_whole")).select(*place, "sr", offset.alias("_off"), body.alias("_piece"))
+        .groupBy(*place).agg(F.max("sr").alias("sr"), F.array_sort(F.collect_list(F.struct("_off", "_piece"))).alias("_p"))
         .withColumn("_body", F.flatten(F.transform("_p", lambda p: p["_piece"])))
-        .withColumn("_front", F.col("_p")[0]["_off"])
-        .select(
-            "signal_id", "ch", "chunk_start", "frame_no", "sr",
-            F.concat(zeros(F.col("_front")), "_body", zeros(F.lit(frame) - F.col("_front") - F.size("_body"))).alias("samples"),
-        )
+        .select(*place, "sr", filled(F.col("_p")[0]["_off"], F.col("_body")).alias("samples"))
     )
+    return in_place.unionByName(glued)
 
 
 def spectrum_frames(frames: DataFrame) -> DataFrame:
@@ -486,29 +488,43 @@ def _interpolate(
 def resample_linear(blocks: DataFrame, target_sr: int | None) -> DataFrame:
     """Change the sample rate by linear interpolation; None: to the rate in the column ``target_sr``.
 
-    Each block produces the output samples whose left neighbour it holds; the
-    right neighbour may be the head of the next block, fetched by an equi-join
-    that moves one sample per block. Positions are exact integer arithmetic.
+    A block makes what lies between its own samples, in place. What follows its
+    last sample needs the head of the next block: these come from a table of edge
+    samples, two numbers for each block, and form a short block of their own.
+    Output blocks are numbered ``2 * block_no`` and ``2 * block_no + 1``. Positions are exact integer arithmetic.
     """
     typed = blocks.where(F.size("samples") > 0).withColumn("samples", F.col("samples").cast(SAMPLES))
-    heads = typed.select(
-        "signal_id", "ch", (F.col("block_no") - 1).alias("block_no"), F.col("samples")[0].alias("_next")
-    )
     t, s = (F.col("target_sr") if target_sr is None else F.lit(target_sr)).cast("bigint"), F.col("sr").cast("bigint")
     start, size = F.col("start_idx").cast("bigint"), F.size("samples")
-    first = F.ceil(start * t / s).cast("bigint")
-    stop = F.ceil((start + size) * t / s).cast("bigint")
-
-    joined = typed.join(heads, ["signal_id", "ch", "block_no"], "left")
-    after = F.coalesce("_next", F.element_at("samples", -1))
-    return (
-        joined.withColumn("_first", first).withColumn("_stop", stop).where(F.col("_first") < F.col("_stop"))
-        .withColumn("_out", F.arrow_udf(_interpolate, SAMPLES)("samples", after, start, "_first", "_stop", s, t))
+    first, edge, stop = (F.ceil(x * t / s).cast("bigint") for x in (start, start + size - 1, start + size))
+    inner = (
+        typed.withColumn("_first", first).withColumn("_stop", edge).where(F.col("_first") < F.col("_stop"))
+        .withColumn("_out", F.arrow_udf(_interpolate, SAMPLES)("samples", F.element_at("samples", -1), start, "_first", "_stop", s, t))
         .select(
-            "signal_id", "ch", "block_no", F.col("_first").alias("start_idx"),
+            "signal_id", "ch", (2 * F.col("block_no")).alias("block_no"), F.col("_first").alias("start_idx"),
             t.cast("int").alias("sr"), F.col("_out").alias("samples"),
         )
     )
+    none = lambda kind: F.lit(None).cast(kind)
+    ends = typed.select("signal_id", "ch", F.explode(F.array(
+        F.struct(
+            F.col("block_no").cast("bigint").alias("no"), F.element_at("samples", -1).alias("last"), none("double").alias("next"),
+            edge.alias("first"), stop.alias("stop"), s.alias("s"), t.alias("t"),
+        ),
+        F.struct(
+            (F.col("block_no") - 1).cast("bigint").alias("no"), none("double").alias("last"), F.col("samples")[0].alias("next"),
+            none("bigint").alias("first"), none("bigint").alias("stop"), none("bigint").alias("s"), none("bigint").alias("t"),
+        ),
+    )).alias("e")).select("signal_id", "ch", "e.*")
+    met = ends.groupBy("signal_id", "ch", "no").agg(*[F.max(c).alias(c) for c in ("last", "next", "first", "stop", "s", "t")])
+    after = F.coalesce("next", "last")
+    between = F.transform(
+        F.sequence(F.col("first"), F.col("stop") - 1), lambda j: F.col("last") + (after - F.col("last")) * (j * F.col("s") % F.col("t") / F.col("t"))
+    )
+    outer = met.where(F.col("last").isNotNull() & (F.col("first") < F.col("stop"))).select(
+        "signal_id", "ch", (2 * F.col("no") + 1).alias("block_no"), F.col("first").alias("start_idx"), F.col("t").cast("int").alias("sr"), between.alias("samples"),
+    )
+    return inner.unionByName(outer.withColumn("block_no", F.col("block_no").cast(inner.schema["block_no"].dataType)))
 
 
 def frame_rms(blocks: DataFrame, frame: int) -> DataFrame:

@@ -75,9 +75,10 @@ def upsert_latest(writes: DataFrame) -> DataFrame:
 
 
 def upsert_into(snapshot: DataFrame, writes: DataFrame) -> DataFrame:
-    """Snapshot with written keys replaced and all others kept."""
+    """Snapshot with written keys replaced and all others kept; null is a key like any other."""
     fresh = upsert_latest(writes)
-    kept = snapshot.select("key", "value", "ts", "seq").join(fresh.select("key"), "key", "left_anti")
+    written = fresh.select(F.col("key").alias("_key"))
+    kept = snapshot.select("key", "value", "ts", "seq").join(written, F.col("key").eqNullSafe(F.col("_key")), "left_anti")
     return kept.unionByName(fresh)
 
 

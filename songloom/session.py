@@ -78,10 +78,15 @@ def materialized(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder of any file system that Spark reaches; whether there was one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def clear_written(spark: SparkSession) -> int:
     """Remove the folders that :func:`materialized` wrote in this process; DataFrames that read them end with it."""
     removed = 0
     while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        removed += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        removed += delete_path(spark, _WRITTEN.pop())
     return removed

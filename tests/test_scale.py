@@ -1,6 +1,7 @@
 """Plans and paths that only show on large inputs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from songloom.functions.ordering import exact_median
 from songloom.operators import catalog as c, signals as s
@@ -70,3 +71,27 @@ def test_row_local_operators_do_not_shuffle(spark):
 
     for name in ("pcm_to_float", "float_to_pcm16", "best_url_by_quality", "url_fallback_chain", "command_route", "request_params", "config_validate"):
         assert "Exchange" not in plan(entry.queries()[name](spark, SMALL)), name
+
+
+def test_mixing_moves_each_track_once(blocks, monkeypatch):
+    """Rates, layouts and channels that differ: one exchange of samples per track, none to pair them."""
+    written, kept = {}, s.materialized
+    monkeypatch.setattr(s, "materialized", lambda df, name: (written.update({name: plan(df)}), kept(df, name))[1])
+    mixed = s.mix_tracks(blocks({1: [[0.1] * 50, [0.3] * 50]}, block=7), blocks({1: [[0.2] * 90]}, block=11, sr=36))
+    assert mixed.count() == 1
+    assert 1 < written["mixed"].count("Exchange hashpartitioning") <= 3, written["mixed"]
+
+
+def test_frames_and_resampling_move_edges_only(blocks, broadcast_limit):
+    """Frames inside a block and all resampled samples stay where they are, also with nothing broadcast."""
+    broadcast_limit(-1)
+    df = blocks({1: [[float(i) for i in range(4000)]]}, block=500)
+    frames = s.frame_signal(s.chunk_overlap(df, 100_000, 0), frame=20, trim=2)
+    assert frames.count() == 250
+    moved = frames.where(F.floor((F.col("frame_no") * 16 - 2) / 500) != F.floor((F.col("frame_no") * 16 + 17) / 500))
+    assert moved.count() <= 2 * 8  # frames over an edge: all that the aggregation below the union gets
+    # of the two sides of each union the first makes the bulk in place, the second groups
+    bulk, grouped = plan(frames).split("Union")[1].split("ObjectHashAggregate", 1)
+    assert "_whole" in plan(frames) and "Exchange" in grouped
+    slower = plan(s.resample_linear(df, 15))
+    assert "Exchange" not in slower[slower.index("ArrowEvalPython"):].split("HashAggregate")[0], slower
