@@ -1,21 +1,29 @@
 """Exact top-k inner products by branch and bound over ball trees.
 
-Vectors are dealt into shards; each shard's tree is built once and stored.
-Queries travel in blocks. A block is first searched in one shard; the k-th
-scores found there are handed to all other shards, which from the start leave
-out every ball whose upper bound lies below. A ball with center c and radius r
-holds no score above q.c + |q|r.
+Vectors are dealt into shards of near ones, cells around a bounded number of
+pivots; each shard's tree is built once and stored. Queries travel in blocks, dealt the same way. A
+block is first searched in a shard of its own cell. Then it meets the root balls of all shards,
+some hundred to a row: only the shards whose upper bound reaches the k-th scores
+found are joined with it, and leave out from the start every ball below them.
+A ball with center c and radius r holds no score above q.c + |q|r.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from songloom.session import materialized
 
 LEAF = 64
+# Most pivots of the shards: they travel to the driver and to every task.
+PIVOTS = 1024
+# Root balls that a block meets in one row.
+ROOTS = 256
 NONE = -np.inf
 
 
@@ -134,22 +142,78 @@ class Tree:
         return best_ids, best
 
 
-TREE = "dim int, shard int, ids binary, kind string, rows binary, place binary, centers binary, radii binary, least binary"
-BLOCK = "dim int, block int, query_ids binary, queries binary"
+def _nearest(known: dict[int, np.ndarray]):
+    """The cell of each vector: its nearest pivot of the same dimension, 0 where there is none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                cell, dims = np.zeros(part.num_rows, dtype=np.int64), part.column("dim").to_numpy()
+                for dim in np.unique(dims).tolist():
+                    if dim in known:
+                        rows, pivots = np.flatnonzero(dims == dim), known[dim]
+                        points = _matrix(part.column("v").take(pa.array(rows)), dim).astype(np.float64)
+                        # the squared norm of the point is the same for all pivots
+                        cell[rows] = ((pivots**2).sum(axis=1)[None, :] - 2 * points @ pivots.T).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell)], [*part.schema.names, "cell"])
+
+    return run
+
+
+class Cells:
+    """Cells around pivots, which are chosen by the hash of their id among all vectors."""
+
+    def __init__(self, vectors: DataFrame, most: int):
+        chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "dim").limit(max(0, most)).toArrow() if most > 1 else None
+        self.pivots: dict[int, np.ndarray] = {}
+        for dim in set(chosen["dim"].to_pylist()) - {0} if chosen is not None else ():
+            own = chosen.filter(pc.equal(chosen["dim"], dim))
+            self.pivots[dim] = np.unique(_matrix(own["v"], dim), axis=0).astype(np.float64)
+
+    def dealt(self, rows: DataFrame, size: int, out: str) -> DataFrame:
+        """``(vec_id, dim, v)`` with a number in ``out``: the cell, and below it parts of about ``size`` rows."""
+        plain = rows.select("vec_id", "dim", "v")
+        placed = materialized(plain.mapInArrow(_nearest(self.pivots), "vec_id long, dim int, v array<long>, cell long"), "cells")
+        # a row per cell and dimension
+        counts = placed.groupBy(F.col("dim").alias("_dim"), F.col("cell").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
+        own = placed.join(materialized(counts, "cell-sizes"), (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell")))
+        number = F.shiftleft("cell", 32) + F.pmod(F.xxhash64("vec_id"), F.col("_parts"))
+        return own.select("vec_id", "dim", "v", number.alias(out))
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shards of a row whose root ball may hold one of the best of some query in the block."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            dim, shards = row["dim"], row["shards"]
+            queries = np.frombuffer(row["queries"], "<i8").reshape(len(row["query_ids"]) // 8, dim).astype(np.float64)
+            known = np.full(len(queries), NONE) if row["known"] is None else np.frombuffer(row["known"])
+            centers, radii = np.frombuffer(b"".join(row["centers"])).reshape(len(shards), dim), np.frombuffer(b"".join(row["radii"]))
+            norms = np.sqrt((queries**2).sum(axis=1))
+            slack = 1e-9 * (norms * (np.abs(centers).max(initial=0) + radii.max(initial=0)) * max(1, dim) + 1)
+            bound = np.floor(queries @ centers.T + norms[:, None] * radii[None, :] + slack[:, None])
+            rows += [(dim, row["block"], shards[j]) for j in np.flatnonzero((bound >= known[:, None]).any(axis=0)).tolist()]
+        columns = zip(*rows) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()))], ["dim", "block", "shard"])
+
+
+TREE = "dim int, shard long, ids binary, kind string, rows binary, place binary, centers binary, radii binary, least binary"
+BLOCK = "dim int, block long, query_ids binary, queries binary"
 
 
 def _build(table: pa.Table) -> pa.Table:
     dim = table["dim"][0].as_py()
     tree = Tree(table["vec_id"].to_numpy(), _matrix(table["v"], dim))
     row = {"dim": dim, "shard": table["shard"][0].as_py(), **tree.packed()}
-    kinds = {"dim": pa.int32(), "shard": pa.int32(), "kind": pa.string()}
+    kinds = {"dim": pa.int32(), "shard": pa.int64(), "kind": pa.string()}
     return pa.table({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
 
 
 def _block(table: pa.Table) -> pa.Table:
     dim = table["dim"][0].as_py()
     return pa.table({
-        "dim": pa.array([dim], pa.int32()), "block": pa.array([table["block"][0].as_py()], pa.int32()),
+        "dim": pa.array([dim], pa.int32()), "block": pa.array([table["block"][0].as_py()], pa.int64()),
         "query_ids": pa.array([table["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()),
         "queries": pa.array([_matrix(table["v"], dim).astype("<i8").tobytes()], pa.binary()),
     })
@@ -166,7 +230,7 @@ def _searched(k: int, only_kth: bool):
         ids, scores = tree.search(query_ids, np.frombuffer(row["queries"], "<i8").reshape(len(query_ids), dim), k, known)
         if only_kth:
             return pa.table({
-                "dim": pa.array([dim], pa.int32()), "block": pa.array([row["block"]], pa.int32()),
+                "dim": pa.array([dim], pa.int32()), "block": pa.array([row["block"]], pa.int64()),
                 "known": pa.array([scores[:, -1].tobytes()], pa.binary()),
             })
         at, rank = np.nonzero(scores > NONE)
@@ -190,24 +254,36 @@ def nearest_by_inner_product(
     limits = vectors.select(F.count(F.lit(1)), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))), F.max("dim")).first()
     if limits[1] and limits[1] ** 2 * max(1, limits[2]) >= 2**53:
         raise ValueError("components are too large for exact scores")
-    shards, blocks = -(-limits[0] // shard_rows) or 1, -(-queries.count() // block_rows) or 1
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    cells = Cells(vectors, min(PIVOTS, -(-limits[0] // shard_rows)))
     index = materialized(
-        vectors.withColumn("shard", place(shards)).groupBy("dim", "shard").applyInArrow(_build, TREE), "ball-trees"
+        cells.dealt(vectors, shard_rows, "shard").groupBy("dim", "shard").applyInArrow(_build, TREE), "ball-trees"
     )
     asked = materialized(
-        queries.withColumn("block", place(blocks)).groupBy("dim", "block").applyInArrow(_block, BLOCK), "query-blocks"
+        cells.dealt(queries, block_rows, "block").groupBy("dim", "block").applyInArrow(_block, BLOCK), "query-blocks"
     )
-    first = (
-        asked.withColumn("shard", F.pmod(F.col("block"), F.lit(shards))).join(index, ["dim", "shard"])
-        .groupBy("dim", "shard", "block").applyInArrow(_searched(k, True), "dim int, block int, known binary")
+    # numbers of shards and blocks begin with the cell; every dimension has a least shard in some cell
+    cell = lambda c: F.shiftright(c, 32)
+    own = index.groupBy("dim", cell(F.col("shard")).alias("_cell")).agg(F.min("shard").alias("_own"))
+    any_ = index.groupBy(F.col("dim").alias("_dim")).agg(F.min("shard").alias("_any"))
+    start = (
+        asked.withColumn("_cell", cell(F.col("block"))).join(own, ["dim", "_cell"], "left").join(any_, F.col("dim") == F.col("_dim"), "left")
+        .withColumn("shard", F.coalesce("_own", "_any")).drop("_cell", "_own", "_dim", "_any")
     )
-    known = asked.join(first, ["dim", "block"], "left").withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    first = start.join(index, ["dim", "shard"]).groupBy("dim", "shard", "block").applyInArrow(
+        _searched(k, True), "dim int, block long, known binary"
     )
-    found = known.join(index, ["dim", "shard"]).groupBy("dim", "shard", "block").applyInArrow(
-        _searched(k, False), "query_id long, vec_id long, score long"
+    known = materialized(asked.join(first, ["dim", "block"], "left"), "known-blocks")
+    size = F.col("dim") * 8
+    roots = index.select("dim", "shard", F.substring("centers", F.lit(1), size).alias("center"), F.substring("radii", 1, 8).alias("radius"))
+    packed = materialized(roots.groupBy("dim", F.pmod(F.xxhash64("shard"), F.lit(-(-limits[0] // (shard_rows * ROOTS)) or 1)).alias("pack")).agg(
+        F.collect_list("shard").alias("shards"), F.collect_list("center").alias("centers"), F.collect_list("radius").alias("radii")
+    ), "root-balls")
+    reached = known.join(packed, "dim").select("dim", "block", "query_ids", "queries", "known", "shards", "centers", "radii").mapInArrow(
+        _reached, "dim int, block long, shard long"
     )
+    reached = materialized(reached, "reached-shards")
+    met = known.join(reached, ["dim", "block"]).join(index, ["dim", "shard"])
+    found = met.groupBy("dim", "shard", "block").applyInArrow(_searched(k, False), "query_id long, vec_id long, score long")
     ranked = found.withColumn(
         "rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     )

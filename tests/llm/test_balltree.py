@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from songloom.llm import balltree
 from songloom.llm.balltree import integer_vectors, nearest_by_inner_product
 from songloom.llm.registered import QUERIES, SQL
 from tests.conftest import SMALL
@@ -50,3 +51,25 @@ def test_odd_rows(spark):
     assert found(spark, rows[:1], "true", 5) == []
     with pytest.raises(ValueError):
         found(spark, [(1, [1e12]), (2, [1e12])], "true", 5)
+
+
+def test_empty_table_and_clashing_columns(spark):
+    empty = integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    assert nearest_by_inner_product(empty, empty, 5).count() == 0
+    rows = [(i, [i / 8, 1.0], i, "x", 0) for i in range(9)]
+    vectors = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score long, query_id string, rank int"))
+    got = sorted(tuple(r) for r in nearest_by_inner_product(vectors, vectors.where("vec_id = 3"), 2).collect())
+    assert [g[:3] for g in got] == [(3, 1, 8), (3, 2, 7)]
+
+
+def test_clustered_vectors_skip_shards(spark, monkeypatch):
+    """Shards and blocks of near vectors: most pairs of them are dropped by their root balls."""
+    rng = random.Random(2)
+    centers = [[rng.choice([-6, 0, 6]) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [c + rng.uniform(-0.1, 0.1) for c in rng.choice(centers)]) for i in range(2_400)]
+    tables, kept = {}, balltree.materialized
+    monkeypatch.setattr(balltree, "materialized", lambda df, name: tables.setdefault(name, kept(df, name)) if name != "cells" else kept(df, name))
+    got = found(spark, rows, "vec_id % 5 = 0", 3, shard_rows=50, block_rows=16)
+    assert got == plain(rows, lambda q: q % 5 == 0, 3)
+    pairs = tables["ball-trees"].count() * tables["query-blocks"].count()
+    assert tables["reached-shards"].count() < 0.5 * pairs, (tables["reached-shards"].count(), pairs)
