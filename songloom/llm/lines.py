@@ -26,16 +26,16 @@ def line_key(line: bytes, min_chars: int = 1) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
-def _keys(min_chars: int, batches: int):
+def _keys(min_chars: int):
     def keys(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            ids, texts, found = [], [], []
-            for doc_id, text_hash, text in zip(*(c.to_pylist() for c in table.columns)):
+            ids, texts, found, batch = [], [], [], []
+            for doc_id, text_hash, number, text in zip(*(c.to_pylist() for c in table.columns)):
                 own = {line_key(line, min_chars) for line in text.encode().split(b"\n")} - {None}
                 ids += [doc_id] * len(own)
                 texts += [text_hash] * len(own)
+                batch += [number] * len(own)
                 found += own
-            batch = [h % batches for h in texts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch, pa.int32()), pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(found, pa.binary())],
                 ["batch", "_id", "_hash", "key"],
@@ -65,24 +65,33 @@ def drop_shared_lines(
 
     A line's key is the line without blanks at its ends, A-Z in lower case. Keys
     of ``min_chars`` or more characters that ``min_docs`` or more documents hold
-    lose all their lines, everywhere. Each row is a document, also a repeated
-    one. Null and empty texts have one empty line; a document may end with no
+    lose all their lines, everywhere. Rows of one id are one document, rows
+    without an id are each their own. Null and empty texts have one empty line; a document may end with no
     line, then ``kept`` is empty. A column ``lines`` of the input is replaced.
 
     Lines are hashed once; the batches of hashes then pass through
     :class:`SortedRuns`. Texts move once, to meet the keys that they lose.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(whole_text(docs, text)).alias("_hash"), whole_text(docs, text).alias("_text"))
+    key, text_hash = F.col(doc_id).cast("long"), F.xxhash64(whole_text(docs, text))
+    # all rows of an id are in one batch
+    number = F.pmod(F.when(key.isNull(), text_hash).otherwise(F.xxhash64(key)), F.lit(batches)).cast("int")
+    own = docs.select(key.alias("_id"), text_hash.alias("_hash"), number.alias("_batch"), whole_text(docs, text).alias("_text"))
+    again = own.where("_id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    again = materialized(again.select(F.col("_id").alias("_again")), "repeated-ids")
     path = fresh_path(spark, "line-keys")
-    hashed = own.mapInArrow(_keys(min_chars, batches), "batch int, _id long, _hash long, key binary")
+    hashed = own.mapInArrow(_keys(min_chars), "batch int, _id long, _hash long, key binary")
     hashed.write.partitionBy("batch").parquet(path)
     keyed = spark.read.schema("_id long, _hash long, key binary, batch int").parquet(path)
     runs = SortedRuns(spark, min_docs, fanout)
-    for batch in range(batches):
-        runs.add(keyed.where(F.col("batch") == batch).select("key"))
-    frequent = materialized(runs.frequent(), "frequent-lines")
-    runs.close()
+    try:
+        for batch in range(batches):
+            rows, repeated = keyed.where(F.col("batch") == batch), F.col("_id") == F.col("_again")
+            once = rows.join(again, repeated, "left_anti").select("key")
+            runs.add(once.union(rows.join(again, repeated, "left_semi").select("_id", "key").distinct().select("key")))
+        frequent = materialized(runs.frequent(), "frequent-lines")
+    finally:
+        runs.close()
     lost = (
         keyed.join(frequent.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"))
         .groupBy("_id", "_hash").agg(F.collect_set("key").alias("_lost"))

@@ -38,3 +38,13 @@ def test_odd_rows(spark):
     longer = drop_shared_lines(docs, min_docs=2, min_chars=5).where("doc_id = 7").first()["lines"]
     assert (longer["kept"], longer["n_dropped"]) == ("same\nrow", 0)
     assert drop_shared_lines(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """Twelve rows of an id don't make its line a shared one; rows without an id are documents of their own."""
+    docs = spark.createDataFrame(
+        [(1, "mine\nboth")] * 12 + [(i, "both") for i in range(2, 4)] + [(None, "none\nboth")] * 3, "doc_id long, text string"
+    )
+    kept = {(r["doc_id"], r["lines"]["kept"]) for r in drop_shared_lines(docs, min_docs=3).collect()}
+    assert kept == {(1, "mine"), (2, ""), (3, ""), (None, "")}
+    assert {r["lines"]["kept"] for r in drop_shared_lines(docs.where("doc_id = 1"), min_docs=2).collect()} == {"mine\nboth"}
