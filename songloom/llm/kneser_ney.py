@@ -241,15 +241,20 @@ def discounts(levels: list[int]) -> list[float]:
 
 
 class Mapped:
-    """The model's arrays, mapped from the shared folder when first asked for."""
+    """The model's arrays, mapped from the shared folder when first asked for.
 
-    def __init__(self, folder: str, buckets: int):
-        self.folder, self.buckets, self.open = folder, buckets, {}
+    ``files`` lists the arrays there are: one that a machine cannot find is an
+    error, while an array that was never written has no n-grams.
+    """
+
+    def __init__(self, folder: str, buckets: int, files: frozenset[str]):
+        self.folder, self.buckets, self.files, self.open = folder, buckets, files, {}
 
     def _array(self, name: str) -> np.ndarray | None:
+        if name not in self.files:
+            return None
         if name not in self.open:
-            path = f"{self.folder}/{name}.npy"
-            self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            self.open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
         return self.open[name]
 
     def find(self, kind: str, bucket: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
@@ -272,7 +277,11 @@ class Model:
 
     def __init__(self, folder: str, buckets: int, totals: dict, order: int):
         self.folder, self.buckets, self.order = folder, buckets, order
+        # the manifest: names of all arrays
+        self.files = frozenset(name.removesuffix(".npy") for name in os.listdir(folder) if name.endswith(".npy"))
         self.words, self.tokens, self.before = (int(totals[c] or 0) for c in ("words", "tokens", "before"))
+        if self.tokens and not any(name.startswith("word-") for name in self.files):
+            raise FileNotFoundError(f"the workers' arrays don't appear in {folder}, which all machines must share")
         self.found = totals["found"]
         self.discounts = [discounts(levels) for levels in self.found]
         w = self.found[0]
@@ -358,7 +367,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.arrow_udf(SCORE)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        mapped = worker_value(("kneser-ney", model.folder), lambda: Mapped(model.folder, model.buckets))
+        mapped = worker_value(("kneser-ney", model.folder), lambda: Mapped(model.folder, model.buckets, model.files))
         for texts in batches:
             parts = []
             for _, some in _chunks(texts):

@@ -143,7 +143,7 @@ FROM scored QUALIFY rank <= 5
 @query
 def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    held_out = part_of(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(part_of(F.col("doc_id"), 4) == 2, F.lit(False))  # a row without an id is learned from
     model = fit_languages(docs.where(~held_out))
     return identified(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous"
@@ -153,7 +153,7 @@ def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    held_out = part_of(F.col("doc_id"), 7) == 2
+    held_out = F.coalesce(part_of(F.col("doc_id"), 7) == 2, F.lit(False))  # a row without an id is learned from
     model = fit_ngrams(docs.where(~held_out))
     return scored(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
@@ -166,7 +166,9 @@ def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, BASE), sha(written(base)).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *map(count, BASE), sha(written(base)).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 @query

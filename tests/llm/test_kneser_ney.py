@@ -10,6 +10,7 @@ import pytest
 from songloom.llm.kneser_ney import Mapped, discounts, fit_bigrams, pair_hash, scored, token_arrays
 from songloom.llm.registered import QUERIES
 from tests.conftest import SMALL
+from tests.llm import test_ngrams as ngrams
 
 
 class Plain:
@@ -78,20 +79,33 @@ def test_small_texts_and_odd_rows(spark):
 
 
 def test_query(spark):
+    """Columns that don't depend on the order, for every text; scores of order 3 are held in test_ngrams."""
     rows = {r["doc_id"]: r for r in QUERIES["op6_kneser_ney"](spark, SMALL).collect()}
     texts = dict(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     plain = Plain([t for i, t in texts.items() if not held[i]])
+    three = ngrams.Plain([t for i, t in texts.items() if not held[i]], 3)
     assert rows.keys() == texts.keys()
-    plain.single = {w: Plain.single(plain, w) for w in {x for t in texts.values() for x in plain.tokens(t)}}.__getitem__
     for i, t in texts.items():
-        same(rows[i], plain.score(t))
+        words = plain.tokens(t)
+        assert (rows[i]["n_tokens"], rows[i]["n_known"]) == (len(words), sum(plain.n[w] > 0 for w in words))
+        base = sum(math.log10((plain.n[w] + 1) / (plain.total + len(plain.n) + 1)) for w in words)
+        assert rows[i]["base_score"] == pytest.approx(base, rel=1e-9)
         assert rows[i]["held_out"] == held[i] and rows[i]["train_tokens"] == plain.total
+        if len(words) < 400:
+            assert rows[i]["score"] == pytest.approx(three.score(t), rel=1e-9)
+
+
+def test_a_missing_array_is_an_error(spark):
+    model = fit_bigrams(spark.createDataFrame([("a b c a b",)], "text string"))
+    with pytest.raises(FileNotFoundError):
+        Mapped("/nowhere", model.buckets, model.files)._array(next(iter(model.files)))
+    assert Mapped(model.folder, model.buckets, model.files)._array("pair-99-hash") is None
 
 
 def test_arrays_are_sorted_and_mapped(spark):
     model = fit_bigrams(spark.createDataFrame([("a b c a b",)], "text string"))
-    mapped = Mapped(model.folder, model.buckets)
+    mapped = Mapped(model.folder, model.buckets, model.files)
     found = [mapped._array(f"pair-{k}-hash") for k in range(model.buckets)]
     found = [x for x in found if x is not None]
     assert sum(map(len, found)) == 5 and all((np.diff(x) > 0).all() for x in found)

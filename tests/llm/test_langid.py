@@ -1,6 +1,10 @@
 """Language identification: held-out accuracy, codewords and odd rows."""
 
+import math
+import zlib
+
 import numpy as np
+import pytest
 
 from songloom.llm.langid import codewords, fit_languages, identified
 from songloom.llm.registered import QUERIES
@@ -50,3 +54,46 @@ def test_odd_rows(spark):
     none = fit_languages(docs.withColumn("lang", docs["lang_pred"]).where("doc_id = 4"))
     assert {r["lang_pred"] for r in identified(docs, none).collect()} == {"und"}
     assert identified(docs.limit(0), one).count() == 0
+
+
+def plain_counts(text):
+    """Hashed trigrams of a text, letter by letter."""
+    words = "".join(c if c.isalpha() and c.isascii() or ord(c) > 127 else " " for c in text.lower()).split()
+    raw, out = (" " + " ".join(words) + " ").encode() if words else b"", {}
+    for i in range(len(raw) - 2):
+        place = ((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % (1 << 32)) >> 18
+        out[place] = out.get(place, 0) + 1
+    return out
+
+
+def test_predictions_equal_a_plain_version(spark):
+    """The whole query: counts, bits, trust and decoding in plain loops."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r["doc_id"]: r for r in QUERIES["op8_language_codes"](spark, SMALL).collect()}
+    counts = {r["doc_id"]: plain_counts(r["text"] or "") for r in rows}
+    learned = [r for r in rows if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    langs = sorted({r["lang"] for r in learned})
+    code = codewords(len(langs))
+    share = np.full((len(langs), 1 << 14), 0.5)
+    for r in learned:
+        for place, n in counts[r["doc_id"]].items():
+            share[langs.index(r["lang"]), place] += n
+    share /= share.sum(axis=1, keepdims=True)
+    weights = [np.log(share[code[:, b] > 0].mean(axis=0)) - np.log(share[code[:, b] < 0].mean(axis=0)) for b in range(code.shape[1])]
+    bit = lambda own, w: math.tanh(3.0 * sum(n * w[p] for p, n in own.items()) / max(1, sum(own.values())))
+    bits = {i: [bit(own, w) for w in weights] for i, own in counts.items()}
+    trust = np.zeros_like(code)
+    for k, lang in enumerate(langs):
+        own = [r["doc_id"] for r in learned if r["lang"] == lang]
+        for b in range(code.shape[1]):
+            trust[k, b] = (sum(bits[i][b] * code[k, b] > 0 for i in own) + 1) / (len(own) + 2)
+    trust /= trust.sum(axis=1, keepdims=True)
+    assert len(got) == len(rows)
+    for r in rows:
+        row = got[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        far = [sum(trust[k, b] * math.exp(-code[k, b] * bits[r["doc_id"]][b]) for b in range(code.shape[1])) for k in range(len(langs))]
+        assert row["score"] == pytest.approx(1 / sum(math.exp(6.0 * (min(far) - x)) for x in far), rel=1e-9)
+        assert row["lang_pred"] == langs[far.index(min(far))]
