@@ -12,17 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def worker_value(key: tuple, build: Callable):
     """A value kept for the life of a Python worker, which outlives the functions it is sent.
 
-    At most two values are kept, so a long-lived worker stays bounded.
+    One value is kept, so a long-lived worker holds no more than its last stage needs.
     """
     store = sys.modules.setdefault("songloom_worker_values", types.ModuleType("songloom_worker_values")).__dict__
     kept = store.setdefault("kept", {})
     if key not in kept:
-        while len(kept) >= 2:
+        while kept:
             kept.pop(next(iter(kept)))
         kept[key] = build()
     return kept[key]
 
 
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Let rows of whole texts go to Python in batches of a few megabytes instead of tens."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

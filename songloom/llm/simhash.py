@@ -26,8 +26,6 @@ from songloom.session import materialized
 BITS = 3
 SEGMENTS = 8
 SHINGLE = 3
-# Views that the near-copy stage once linked by, which tests still name: shingle length and number of fingerprints.
-VIEWS = ((3, 1), (5, 4))
 # Fingerprints that a task compares at once; a larger bucket is dealt out as pairs of parts.
 BUCKET = 2_000
 # The most bits that the first 1, 2, .. segments of a chain may differ in.

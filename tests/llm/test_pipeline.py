@@ -8,7 +8,6 @@ import numpy as np
 import __spark_entry__ as entry
 import corpus_pipeline
 from songloom.llm.decontamination import allowed_edits, best_place, item_words
-from songloom.llm.simhash import VIEWS, fingerprint
 from tests.conftest import SMALL
 from tests.llm.test_bpe import library  # noqa: F401  (a fixture)
 
@@ -20,10 +19,13 @@ def plain_stages(docs, items, library):
     held = Counter(k for ls in lines.values() for k in {key(x) for x in ls} if k)
     docs = {i: "\n".join(x for x in ls if held[key(x)] < 10) for i, ls in lines.items()}
     yield docs
+    # exact similarity of five-word shingles, over all pairs
     ids = sorted(docs)
-    fps = np.array([[f for s, n in VIEWS for f in fingerprint(docs[i], s, n)] for i in ids], dtype=np.uint64)
+    words = [docs[i].encode().lower().split() for i in ids]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    same = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    near = [np.array([j for j, other in enumerate(sets) if same(own, other)]) for own in sets]
     comp, moved = np.arange(len(ids)), True
-    near = [np.flatnonzero((np.bitwise_count(fps ^ fps[k]) <= 3).any(axis=1)) for k in range(len(ids))]
     while moved:
         low = np.array([comp[n].min() for n in near])
         moved, comp = not (low == comp).all(), low
