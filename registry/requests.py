@@ -182,7 +182,8 @@ def configs(spark, sf):
         F.col("c_custkey").alias("config_id"),
         F.when(k(5) != 0, k(7) - 1).alias("auto_key_max"), (F.col("c_nationkey").cast("bigint") - 3).alias("voice_cache_retention_days"),
         F.when(k(2) == 0, k(3) * 0.25).alias("index_rate"), F.when(k(4) == 0, "qq").alias("default_platform"),
-        F.when(k(6) == 0, True).alias("auto_key"),
+        F.when(k(6) == 0, True).alias("auto_key"), F.when(k(3) == 1, F.create_map(F.lit("m.pth"), k(7).cast("int"))).alias("model_keys"),
+        F.when(k(8) == 0, "ref.wav").alias("reference_audio"),
     )
 
 
@@ -195,6 +196,9 @@ def configs(spark, sf):
   {'field': 'sample_audio', 'value': '', 'violation': NULL},
   {'field': 'voice_cache_dir', 'value': '', 'violation': NULL},
   {'field': 'voice_mode', 'value': 'preset', 'violation': NULL},
+  {'field': 'preset_voice', 'value': 'mimo_default', 'violation': NULL},
+  {'field': 'reference_audio', 'value': CASE WHEN c_custkey % 8 = 0 THEN 'ref.wav' ELSE '' END, 'violation': NULL},
+  {'field': 'model_keys', 'value': CASE WHEN c_custkey % 3 = 1 THEN '{"m.pth":' || c_custkey % 7 || '}' ELSE '{}' END, 'violation': NULL},
   {'field': 'rvc_after_tts', 'value': 'true', 'violation': NULL},
   {'field': 'command_enabled', 'value': 'true', 'violation': NULL},
   {'field': 'tool_enabled', 'value': 'true', 'violation': NULL},

@@ -90,6 +90,16 @@ def delivery_outcome(spark, sf):
     return delivery.delivery_outcome(v.sends(spark, sf), v.results(spark, sf))
 
 
+@query("delivery_outcome_repeated", f"SELECT attempt_id, {_OUTCOME} AS outcome, {_NOTICE} AS notice FROM attempts", ("attempts",))
+def delivery_outcome_repeated(spark, sf):
+    """Every result comes back three times, later ones with other contents: the first one counts."""
+    again = v.results(spark, sf).withColumn("_k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
+        "attempt_id", (F.col("returned") + F.col("_k") * 7_000_000).alias("returned"), F.when(F.col("_k") == 0, F.col("result")).otherwise("true").alias("result"))
+    sends = v.sends(spark, sf)
+    outcomes, notices = delivery.delivery_outcome(sends, again), delivery.late_confirm(sends, again)
+    return outcomes.join(notices, "attempt_id", "left").select("attempt_id", "outcome", "notice")
+
+
 @query("late_confirm", f"SELECT attempt_id, {_NOTICE} AS notice FROM attempts WHERE {_NOTICE} IS NOT NULL", ("attempts",))
 def late_confirm(spark, sf):
     return delivery.late_confirm(v.sends(spark, sf), v.results(spark, sf))

@@ -35,15 +35,15 @@ def notice_of(
 
 
 def _latencies(sends: DataFrame, results: DataFrame) -> DataFrame:
-    joined = sends.select("attempt_id", "sent").join(
-        results.select("attempt_id", "returned", "result"), "attempt_id", "left"
-    )
+    """Attempts with the first result of each; further results of an attempt say nothing new."""
+    first = results.where(F.col("returned").isNotNull()).groupBy("attempt_id").agg(F.min(F.struct("returned", "result")).alias("_r"))
+    joined = sends.select("attempt_id", "sent").join(first.select("attempt_id", "_r.returned", "_r.result"), "attempt_id", "left")
     return joined.withColumn("_lat", F.col("returned") - F.col("sent"))
 
 
 def delivery_outcome(sends: DataFrame, results: DataFrame, deadline_s: float = SEND_DEADLINE_S) -> DataFrame:
     """Outcome per attempt. ``sends(attempt_id, sent)``, ``results(attempt_id,
-    returned, result)``, times in microseconds; no result means unknown."""
+    returned, result)``, times in microseconds; the first result counts, none means unknown."""
     return _latencies(sends, results).select(
         "attempt_id", outcome_of(F.col("_lat"), F.col("result"), deadline_s).alias("outcome")
     )

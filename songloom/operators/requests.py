@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.functions.columns import strip
@@ -37,7 +39,8 @@ POLL_STATES = {800: "expired", 801: "waiting", 802: "scanned", 803: "success"}
 # Configuration defaults and lower bounds.
 CONFIG_DEFAULTS = {
     "port": 7898, "auto_start": True, "default_model": "", "uvr_model": "HP2_all_vocals", "uvr_weights_dir": "",
-    "sample_audio": "", "voice_cache_dir": "", "voice_mode": "preset", "rvc_after_tts": True, "command_enabled": True,
+    "sample_audio": "", "voice_cache_dir": "", "voice_mode": "preset", "preset_voice": "mimo_default", "reference_audio": "",
+    "model_keys": {}, "rvc_after_tts": True, "command_enabled": True,
     "tool_enabled": True,
     "f0_method": "rmvpe", "f0_up_key": 0, "index_rate": 0.5, "filter_radius": 3, "resample_sr": 0,
     "rms_mix_rate": 0.25, "protect": 0.4, "uvr_agg": 10, "auto_key": False, "auto_key_offset": 0,
@@ -212,10 +215,15 @@ def poll_state(code: Column, cookie: Column | None = None, body: Column | None =
 def config_validate(configs: DataFrame) -> DataFrame:
     """Effective value of every setting per config, and whether it breaks a bound.
 
-    ``configs(config_id, ...)`` may leave any column out or null.
+    ``configs(config_id, ...)`` may leave any column out or null. A map is
+    shown as JSON.
     """
     def setting(name: str, default) -> Column:
-        c = F.coalesce(F.col(name), F.lit(default)) if name in configs.columns else F.lit(default)
+        given = name in configs.columns
+        if isinstance(default, dict):
+            c = F.coalesce(F.to_json(F.col(name)) if given else F.lit(None).cast("string"), F.lit(json.dumps(default)))
+        else:
+            c = F.coalesce(F.col(name), F.lit(default)) if given else F.lit(default)
         low = CONFIG_MINIMUM.get(name)
         broken = F.when(c < low, F.lit(f"must be >= {low}")) if low is not None else F.lit(None).cast("string")
         return F.struct(F.lit(name).alias("field"), c.cast("string").alias("value"), broken.alias("violation"))
