@@ -196,8 +196,12 @@ def as_sections(ev: DataFrame) -> DataFrame:
 # ---- provider payloads: ten parts make one answer, with gaps and oddities
 
 def _payload_rows(spark, sf) -> DataFrame:
-    part, sup = table(spark, sf, "part"), table(spark, sf, "supplier")
-    return part.join(sup, F.pmod("p_partkey", F.lit(10)) == sup.s_suppkey, "left").withColumn("payload_id", F.expr("p_partkey div 10"))
+    """Parts with a supplier that sold them, the one of the least key."""
+    part, sup = table(spark, sf, "part"), table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    sold = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    named = sold.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", "s_name")
+    joined = part.join(named, F.col("p_partkey") == F.col("l_partkey"), "left").withColumn("s_name", F.coalesce("s_name", F.lit("")))
+    return joined.withColumn("payload_id", F.expr("p_partkey div 10"))
 
 
 def _json(*pieces) -> Column:
@@ -252,7 +256,7 @@ def songs(spark, sf) -> DataFrame:
 
 sql_view("songs_163", """SELECT CAST(p_partkey AS VARCHAR) AS song_id, p_name AS name, concat_ws(', ', s_name, p_brand) AS artists,
   CASE WHEN p_partkey % 7 IN (0, 1) THEN '' ELSE p_type END AS album, '163' AS platform
-  FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10
+  FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS k FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = k
   WHERE (p_partkey // 10) % 9 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 11 <> 0""")
 sql_view("songs_qq", """SELECT 'q' || p_partkey AS song_id, p_name AS name, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE p_brand END AS artists,
   CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_type END AS album, 'qq' AS platform,
