@@ -261,7 +261,7 @@ def _item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) ->
 
 
 def with_leaks(
-    docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.98, text: str = "text",
+    docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.998, text: str = "text",
     item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16_000_000, out: str = "leaks",
 ) -> DataFrame:
     """``docs`` with the benchmark items that each whole text holds.
