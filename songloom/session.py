@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +32,10 @@ def build_session(app: str = "songloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# folders that go when their results are no longer needed
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -54,15 +60,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/songloom/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """As :func:`fresh_path`, and removed with what :func:`materialized` writes."""
+    _WRITTEN.append(fresh_path(spark, name))
+    return _WRITTEN[-1]
+
+
 def checkpointed(df):
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-_WRITTEN: list[str] = []
-
-
 def materialized(df, name: str):
     """Write ``df`` once as a Parquet table in the shared folder and read that.
 
@@ -72,8 +81,7 @@ def materialized(df, name: str):
     then knows their true size, and the large side is not read for them twice.
     :func:`clear_written` removes the folders when their results are no longer needed.
     """
-    path = fresh_path(df.sparkSession, name)
-    _WRITTEN.append(path)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -84,6 +92,18 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def written(spark: SparkSession) -> Iterator[None]:
+    """Remove at its end what was written within, and nothing that another caller of the process still reads."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _WRITTEN if p not in before]:
+            _WRITTEN.remove(path)
+            delete_path(spark, path)
+
+
 def clear_written(spark: SparkSession) -> int:
     """Remove the folders that :func:`materialized` wrote in this process; DataFrames that read them end with it."""
     removed = 0

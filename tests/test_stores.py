@@ -5,7 +5,7 @@ import os
 import pytest
 
 from songloom.plans.profiles import profile_folder
-from songloom.session import fresh_path
+from songloom.session import fresh_path, materialized, written
 from songloom.streaming import upsert as up
 
 WRITES = "key long, value string, ts long, seq long"
@@ -99,3 +99,12 @@ def test_profiles_of_a_folder(spark, tmp_path, decoded):
     assert sorted(names) == ["b.wav", "d.wav"]
     (folder / "a.wav").unlink()
     assert run() == {"b.wav": (60.0, False), "d.wav": (2.0, False)} and names == []
+
+
+def test_written_folders_go_with_their_scope(spark):
+    kept = materialized(spark.range(3), "kept")
+    with written(spark):
+        inner = materialized(spark.range(4), "inner")
+        assert inner.count() == 4
+        gone = inner.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].lstrip("/")
+    assert not os.path.exists(f"/{gone}") and kept.count() == 3
