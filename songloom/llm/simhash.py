@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from songloom.llm.arrays import U, mixed
 from songloom.llm.components import components
-from songloom.llm.minhash import near_links
+from songloom.llm.pigeonring import ring_links
 from songloom.llm.shared import whole_text
 from songloom.session import materialized
 
@@ -201,10 +201,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """``(node, component)``: ids of documents that are near copies of others, and the least id of each component.
 
     Two documents are linked if their five-word shingles have a Jaccard similarity
-    of 0.8 or more (see :mod:`songloom.llm.minhash`): the distance of fingerprints
+    of 0.8 or more. Candidates are met by the pigeonring filter on wider fingerprints
+    of those shingles (see :mod:`songloom.llm.pigeonring`), as the distance of 64 bits
     scatters too much for that. Null ids take no part.
     """
-    return components(near_links(docs))
+    return components(ring_links(docs))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
