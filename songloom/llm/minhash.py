@@ -97,10 +97,12 @@ def _bucket_links(table: pa.Table) -> pa.Table:
     fps, place = np.unique(table["fp"].to_numpy(), return_index=True)
     texts = table["text"]
     sets = [shingles(texts[i].as_py()) for i in place.tolist()]
-    sizes = np.array([len(s) for s in sets])
+    # a text without words may share a bucket with short ones, but its empty set is similar to no other
+    held = np.array([len(s) > 0 for s in sets])
+    fps, place, sets = fps[held], place[held], [s for s in sets if len(s)]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
-    # texts without words are one set, so only a bucket of its own can hold an empty one
-    values, of = np.unique(np.concatenate(sets), return_inverse=True)
+    values, of = np.unique(np.concatenate([*sets, np.empty(0, U)]), return_inverse=True)
     tree = np.unique(table["component"].to_numpy()[place], return_inverse=True)[1]
     seen, out = np.zeros(len(values), dtype=np.int64), []
     for i in range(len(fps) - 1):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from songloom.llm import pigeonring as p
 from songloom.llm.arrays import U, mixed
@@ -67,3 +68,28 @@ def test_a_large_group_gives_links_not_pairs(spark):
     links = p.ring_links(frame(spark, texts))
     assert links.count() < 20 * len(texts)
     assert {c for _, c in near_copies(frame(spark, texts)).collect()} == {0}
+
+
+def test_an_empty_set_in_a_bucket_is_near_to_no_other():
+    """A fingerprint of two shingles has about a fourth of its bits, within the budget of that without any."""
+    short, other, copy = "one two three four five six", "other words stand in this place", "Other WORDS stand in this place "
+    fp = lambda text: p.set_digest(p.shingles(text))
+    rng = random.Random(8)
+    for texts in ([short, ""], [" ", other], ["", short, other], [""], ["a b", "", "c d"]):
+        for _ in range(3):
+            rng.shuffle(texts)
+            # the empty set stands first, between and last by these names
+            for names in (list(range(len(texts))), list(range(len(texts)))[::-1]):
+                table = pa.table({"fp": pa.array(names, pa.int64()), "component": pa.array(names, pa.int64()), "text": texts})
+                assert p._bucket_links(table).num_rows == 0
+    assert fp(other) == fp(copy)
+    long = " ".join(f"w{i}" for i in range(40))
+    table = pa.table({"fp": [1, 2, 3], "component": [1, 2, 3], "text": [long, "", long + " end"]})
+    assert p._bucket_links(table).to_pylist() == [{"fp_a": 1, "fp_b": 3}]
+
+
+def test_texts_without_words_beside_short_ones(spark):
+    """Many texts of two shingles reach the bucket of the empty text; only true copies are linked."""
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(6)) for i in range(1_500)} | {1_500: "", 1_501: " \n", 1_502: "W7X0 w7x1 w7x2 w7x3 w7x4 w7x5"}
+    found = dict(near_copies(frame(spark, texts)).collect())
+    assert found == {7: 7, 1_502: 7, 1_500: 1_500, 1_501: 1_500}
