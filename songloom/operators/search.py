@@ -23,34 +23,42 @@ SONG = ("song_id", "platform", "media_id")
 
 
 def tokens(c: Column) -> Column:
-    """Distinct lower-case words of a text, sorted."""
-    words = F.split(F.lower(text(c)), r"(?U)\s+")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
+    """Distinct lower-case words of a text, and an empty one."""
+    return F.array_union(F.split(F.lower(text(c)), r"(?U)\s+"), F.array(F.lit("")))
 
 
 class WordIndex:
-    """Songs by their sets of words, reduced to those words that some query holds.
+    """Songs by their sets of words, reduced to those of ``vocabulary(_text, _word)``, which numbers the words of queries.
 
     ``sets(_sid, _set, _songs)``: songs of one reduced set score alike for every
     query, so a set keeps its ``limit`` least songs. ``postings(_word, _sid)``
-    says which sets hold a word, ``frequency(_word, _n)`` how many.
+    says which sets hold a word, ``frequency(_word, _n)`` how many. Only numbers
+    of words move, and none that no query holds.
     """
 
     def __init__(self, songs: DataFrame, vocabulary: DataFrame, limit: int):
         known = lambda c: F.coalesce(F.col(c), F.lit("")) if c in songs.columns else F.lit("")
+        # a title is told from others of its song by 128 bits of its name
         titled = songs.select(
-            "song_id", known("platform").alias("platform"), known("media_id").alias("media_id"), tokens(F.col("name")).alias("_s")
-        ).groupBy("song_id", "platform", "_s").agg(F.min("media_id").alias("media_id"))
-        least = F.min("media_id").over(W.partitionBy("song_id", "platform"))
-        # a title is told from others of its song by 128 bits of its words, which need not travel with each word
-        titled = titled.withColumn("media_id", least).select(
-            F.struct(*SONG).alias("song"), F.xxhash64("_s").alias("_t1"), F.xxhash64(F.lit("second"), "_s").alias("_t2"), F.explode("_s").alias("_word")
+            "song_id", known("platform").alias("platform"), known("media_id").alias("media_id"),
+            F.xxhash64("name").alias("_t1"), F.xxhash64(F.lit("second"), "name").alias("_t2"), F.explode(tokens(F.col("name"))).alias("_text"),
         )
-        reduced = titled.join(vocabulary, "_word", "left_semi").groupBy("song", "_t1", "_t2").agg(
-            F.array_sort(F.collect_list("_word")).alias("_set")
-        ).select("song", "_set").distinct()
-        smallest = F.row_number().over(W.partitionBy("_set").orderBy("song"))
-        sets = reduced.withColumn("_n", smallest).where(F.col("_n") <= limit).groupBy("_set").agg(F.collect_list("song").alias("_songs"))
+        # the empty word has no number, but keeps titles whose song's media id counts
+        blank = songs.sparkSession.range(1).select(F.lit("").alias("_text"), F.lit(None).cast("long").alias("_word"))
+        reduced = titled.join(vocabulary.unionByName(blank), "_text").groupBy("song_id", "platform", "_t1", "_t2").agg(
+            F.min("media_id").alias("media_id"), F.array_sort(F.collect_set("_word")).alias("_set")
+        )
+        if "media_id" in songs.columns:
+            reduced = reduced.withColumn("media_id", F.min("media_id").over(W.partitionBy("song_id", "platform")))
+        # equal sets have equal 128 bits
+        keyed = reduced.where(F.size("_set") > 0).select(
+            F.struct(*SONG).alias("song"), "_set", F.xxhash64("_set").alias("_s1"), F.xxhash64(F.lit("second"), "_set").alias("_s2")
+        )
+        # titles of one song with one set are one place
+        smallest = F.dense_rank().over(W.partitionBy("_s1", "_s2").orderBy("song"))
+        sets = keyed.withColumn("_n", smallest).where(F.col("_n") <= limit).groupBy("_s1", "_s2").agg(
+            F.first("_set").alias("_set"), F.collect_set("song").alias("_songs")
+        ).select("_set", "_songs")
         self.sets = materialized(sets.withColumn("_sid", F.monotonically_increasing_id()), "word-sets")
         self.postings = self.sets.select("_sid", F.explode("_set").alias("_word"))
         self.frequency = materialized(self.postings.groupBy("_word").agg(F.count(F.lit(1)).alias("_n")), "word-frequency")
@@ -69,16 +77,17 @@ class WordIndex:
         return listed.where(F.col("_place") <= limit).select(key, "_sid").distinct()
 
 
-def _scored(pairs: DataFrame, index: WordIndex) -> DataFrame:
-    """``(_w, song, score)`` of pairs ``(_w, _sid)``."""
-    met = pairs.select("_w", F.col("_sid").alias("_id")).join(index.sets, F.col("_id") == F.col("_sid"))
-    return met.select("_w", F.size(F.array_intersect("_w", "_set")).alias("score"), F.explode("_songs").alias("song"))
+def _scored(pairs: DataFrame, queries: DataFrame, index: WordIndex) -> DataFrame:
+    """``(_qid, song, score)`` of pairs ``(_qid, _sid)``."""
+    met = pairs.select("_qid", F.col("_sid").alias("_id")).join(index.sets, F.col("_id") == F.col("_sid"))
+    met = met.join(queries.select(F.col("_qid").alias("_q"), "_w"), F.col("_qid") == F.col("_q"))
+    return met.select("_qid", F.size(F.array_intersect("_set", "_w")).alias("score"), F.explode("_songs").alias("song"))
 
 
 def _best(scored: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best songs of each query; a song with several titles counts by its best one."""
-    songs = scored.groupBy("_w", "song").agg(F.max("score").alias("score"))
-    order = W.partitionBy("_w").orderBy(F.desc("score"), F.asc("song.song_id"), F.asc("song.platform"))
+    songs = scored.groupBy("_qid", "song").agg(F.max("score").alias("score"))
+    order = W.partitionBy("_qid").orderBy(F.desc("score"), F.asc("song.song_id"), F.asc("song.platform"))
     return songs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
@@ -103,37 +112,39 @@ def keyword_topk(queries: DataFrame, songs: DataFrame, limit: int = SEARCH_LIMIT
     frequency of words. ``seen`` is told how many
     pairs each join makes, which counts them in jobs of their own.
     """
-    asked = queries.select("query").distinct().withColumn("_q", tokens(F.col("query")))
-    words = asked.select("query", F.explode("_q").alias("_word"))
-    index = WordIndex(songs, materialized(words.select("_word").distinct(), "query-words"), limit)
+    asked = queries.select("query").distinct().select("query", F.explode(tokens(F.col("query"))).alias("_text")).where("_text <> ''")
+    vocabulary = materialized(asked.select("_text").distinct().withColumn("_word", F.monotonically_increasing_id()), "query-words")
+    words = asked.join(vocabulary, "_text").select("query", "_word")
+    index = WordIndex(songs, vocabulary, limit)
     # words that no song holds cannot match
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_word"))), lambda x: x["_word"])
     known = materialized(words.join(index.frequency, "_word").groupBy("query").agg(ordered.alias("_w")), "queries")
-    every = known.select("_w").distinct()
+    # queries of the same words are one, and only its number travels with the songs
+    every = materialized(known.select("_w").distinct().withColumn("_qid", F.monotonically_increasing_id()), "word-lists")
     active, best, before, t = every.where(F.size("_w") > 1), None, 0, 1
     while not active.isEmpty():
         low, high = _last_of_rarest(before), _last_of_rarest(t)
         due = active.where(high > low) if before else active  # others wait for the single words
-        asking = due.select("_w", F.explode(F.slice("_w", low + 1, high - low)).alias("_word"))
-        posted = _counted(asking.join(index.postings, "_word"), seen).select("_w", "_sid")
-        others = due.select("_w", F.slice("_w", high + 1, F.size("_w") - high).alias("_rest"))
+        asking = due.select("_qid", F.explode(F.slice("_w", low + 1, high - low)).alias("_word"))
+        posted = _counted(asking.join(index.postings, "_word"), seen).select("_qid", "_sid")
+        others = due.select("_qid", F.slice("_w", high + 1, F.size("_w") - high).alias("_rest"))
         anchors = others.select("_rest", F.col("_rest")[0].alias("_word")).distinct()
-        listed = _counted(others.join(index.least(anchors, "_rest", limit, True), "_rest"), seen).select("_w", "_sid")
-        found = _scored(posted.unionByName(listed).distinct(), index)
-        best = materialized(_best(found if best is None else found.unionByName(best.select("_w", "score", "song")), limit), "best-songs")
+        listed = _counted(others.join(index.least(anchors, "_rest", limit, True), "_rest"), seen).select("_qid", "_sid")
+        found = _scored(posted.unionByName(listed).distinct(), every, index)
+        best = materialized(_best(found if best is None else found.unionByName(best.select("_qid", "score", "song")), limit), "best-songs")
         # sure of the limit at this level, or down to the last one
         level = F.size("_w") - high
-        sure = best.where(F.col("rank") == limit).select(F.col("_w").alias("_done"), F.col("score").alias("_score"))
-        left = active.join(sure, (F.col("_w") == F.col("_done")) & (F.col("_score") >= level), "left_anti")
+        sure = best.where(F.col("rank") == limit).select(F.col("_qid").alias("_done"), F.col("score").alias("_score"))
+        left = active.join(sure, (F.col("_qid") == F.col("_done")) & (F.col("_score") >= level), "left_anti")
         active = materialized(left, "open-queries")
         before, t = t, 2 * t
         if active.where(_last_of_rarest(before) < F.size("_w") - 2).isEmpty():
             break
     # single words: of what no round has made sure, and of queries of one word
     single = active.unionByName(every.where(F.size("_w") == 1))
-    asking = single.select("_w", F.explode("_w").alias("_word"))
+    asking = single.select("_qid", F.explode("_w").alias("_word"))
     lists = index.least(asking.select(F.col("_word").alias("_one"), "_word").distinct(), "_one", limit, False)
-    listed = _counted(asking.join(lists, F.col("_word") == F.col("_one")), seen).select("_w", "_sid")
-    found = _scored(listed.distinct(), index)
-    final = _best(found if best is None else found.unionByName(best.select("_w", "score", "song")), limit)
-    return known.join(final, "_w").select("query", "rank", *[F.col(f"song.{c}").alias(c) for c in SONG], "score")
+    listed = _counted(asking.join(lists, F.col("_word") == F.col("_one")), seen).select("_qid", "_sid")
+    found = _scored(listed.distinct(), every, index)
+    final = _best(found if best is None else found.unionByName(best.select("_qid", "score", "song")), limit)
+    return known.join(every, "_w").join(final, "_qid").select("query", "rank", *[F.col(f"song.{c}").alias(c) for c in SONG], "score")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from songloom.operators import search
 from songloom.operators.search import keyword_topk
 
 
@@ -71,3 +72,26 @@ def test_empty_tables(spark):
     assert keyword_topk(asked.limit(0), catalog).count() == 0
     assert keyword_topk(asked, catalog.limit(0)).count() == 0
     assert keyword_topk(asked, catalog.select("song_id", "name")).collect()[0][:3] == ("a b c", 1, "s")
+
+
+def test_titles_are_reduced_before_anything_moves(spark, monkeypatch):
+    """Titles meet the words of queries where they are read: what is shuffled are numbers of words that some query holds."""
+    plans, write = {}, search.materialized
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(search, "materialized", written)
+    songs = [(f"s{i}", f"common w{i} other words\x1c" + " long" * 50) for i in range(40)]
+    asked, catalog = frames(spark, ["common w3", "Common\tW3 absent"], [(a, None, None, b) for a, b in songs])
+    rows = keyword_topk(asked, catalog.select("song_id", "name"), 2).collect()
+    assert {(r.query, r.rank, r.song_id, r.score) for r in rows} == {(q, k, s, n) for q in ("common w3", "Common\tW3 absent") for k, s, n in ((1, "s3", 2), (2, "s0", 1))}
+    above, below = plans["word-sets"].split("BroadcastHashJoin", 1)
+    assert "hashpartitioning" in above and "hashpartitioning" not in below
+
+
+def test_media_of_titles_without_asked_words(spark):
+    """The least media id of a song counts, whichever of its titles has it."""
+    asked, catalog = frames(spark, ["a"], [("s", "qq", "m2", "a b"), ("s", "qq", "m1", "c"), ("s", "qq", "m0", None), ("s", "163", "m9", "A a")])
+    assert {tuple(r) for r in keyword_topk(asked, catalog, 5).collect()} == {("a", 1, "s", "163", "m9", 1), ("a", 2, "s", "qq", "m0", 1)}
