@@ -1,6 +1,8 @@
 """The language model of order 3 and 4 against one counted in dictionaries."""
 
 import math
+import os
+import random
 from collections import Counter
 
 import pytest
@@ -71,3 +73,25 @@ def test_query_has_two_words_of_context(spark):
     for r in rows:
         if len(texts[r["doc_id"]] or "") < 5_000:
             assert r["score"] == pytest.approx(plain.score(texts[r["doc_id"]]), rel=1e-9)
+
+
+@pytest.mark.parametrize("order", (2, 3, 4))
+def test_frequent_words_and_many_followers(spark, order):
+    """Counts over a byte, contexts with more followers than are summed on the way, and more pairs than a block."""
+    draw = random.Random(order)
+    train = ["a b " + " ".join(f"w{draw.randrange(40)}" for _ in range(30)) for _ in range(300)] + ["a b c " * 400, "a b " * 300]
+    model = fit_ngrams(spark.createDataFrame([(t,) for t in train], "text string"), order)
+    plain = Plain(train, order)
+    texts = [*train[:20], *train[-2:], "a b w1 w2 w3 zz w4", "b a w1", "w1 w2 a b c a b zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scored(docs, model).collect():
+        assert r["score"] == pytest.approx(plain.score(texts[r["doc_id"]]), rel=1e-9)
+
+
+def test_arrays_take_few_bytes_an_ngram(spark):
+    """Where most n-grams are there once: 64-bit hashes of triples, and all sums kept by pair, took more."""
+    draw = random.Random(1)
+    texts = [" ".join(f"w{draw.randrange(3000)}" for _ in range(500)) for _ in range(200)]
+    model = fit_ngrams(spark.createDataFrame([(t,) for t in texts], "text string"), 3)
+    written = sum(os.path.getsize(f"{model.folder}/{name}") - 128 for name in os.listdir(model.folder))
+    assert written < 18 * model.tokens
