@@ -10,7 +10,7 @@ from registry.signals import PCM
 from songloom.operators import signals as s
 from songloom.plans.resolve import resolve_requests
 from songloom.plans.cover import cover_report, two_stem_job as cover_job
-from songloom.session import fresh_path
+from songloom.session import fresh_path, materialized
 from songloom.sources import audio
 
 
@@ -157,12 +157,12 @@ def chat(spark, sf):
     )
 
 
-def song_answers(spark, sf):
+def song_answers(songs):
     """What providers say about songs: files by quality for one, three sources for the other, often nothing."""
     number = F.regexp_extract("song_id", "([0-9]+)", 1).cast("int")
     k, own = F.pmod(number, F.lit(4)), F.coalesce(F.nullif(F.col("media_id"), F.lit("")), F.col("song_id"))
     file = lambda name, purl: F.struct(name.alias("filename"), purl.alias("purl"))
-    return v.songs(spark, sf).select(
+    return songs.select(
         "platform", "song_id", "media_id",
         F.array(
             file(F.concat(F.lit("C400"), own, F.lit(".m4a")), F.when(k > 0, F.concat("song_id", F.lit(".m4a"))).otherwise("")),
@@ -204,4 +204,6 @@ FROM chat m LEFT JOIN chat_led l ON l.id = m.id
 LEFT JOIN chat_hits h ON l.leader_id IS NOT NULL AND h.platform = m.platform AND h.query = m.query
 LEFT JOIN chat_urls u ON u.platform = h.platform AND u.song_id = h.song_id""", ("chat", "chat_led", "chat_hits", "chat_urls"))
 def request_pipeline(spark, sf):
-    return resolve_requests(chat(spark, sf), v.songs(spark, sf), song_answers(spark, sf))
+    # the search of each platform, the titles and the answers read the catalog
+    songs = materialized(v.songs(spark, sf), "catalog")
+    return resolve_requests(chat(spark, sf), songs, song_answers(songs))

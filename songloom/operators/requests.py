@@ -68,7 +68,8 @@ def command_route(messages: DataFrame, compat: bool = False) -> DataFrame:
     msg = F.coalesce("text", F.lit(""))
     command = F.lit(None).cast("string")
     for name, pattern in reversed(COMMAND_PATTERNS.items()):
-        command = F.when(msg.rlike(_jvm(pattern)), F.lit(name)).otherwise(command)
+        # every pattern is one character and the name first: most messages need no pattern
+        command = F.when((F.substring(msg, 2, len(name)) == name) & msg.rlike(_jvm(pattern)), F.lit(name)).otherwise(command)
 
     if compat:
         model = F.regexp_extract(msg, _jvm(COVER_PATTERN), 2)

@@ -32,6 +32,7 @@ def resolve_requests(
     ``outcome`` is ``resolved``, ``reused`` (then the other columns are those of
     the run that was joined), ``failed``, ``rejected`` (no query) or ``ignored``;
     ``reason`` says why where it is not resolved. Every distinct search and song is looked up once.
+    ``songs`` is read for the search of each platform and for the titles, so it should be a table and not a computation.
     """
     kept = F.struct("request_id", "stream", "t", "dur", "ok", platform_of(F.col("platform"), default_platform).alias("platform"))
     routed = command_route(messages.select(kept.alias("conv_id"), F.lit(0).alias("turn"), "text"))
@@ -53,7 +54,7 @@ def resolve_requests(
     known = songs.join(chosen, ["platform", "song_id"], "left_semi").groupBy("platform", "song_id").agg(
         F.min(F.struct("name", "artists")).alias("_s")
     ).select(F.col("platform").alias("_p"), F.col("song_id").alias("_i"), display_title(F.col("_s.name"), F.col("_s.artists")).alias("title"))
-    said = answers.join(chosen, ["platform", "song_id"], "left_semi")
+    said = materialized(answers.join(chosen, ["platform", "song_id"], "left_semi"), "said")
     by_provider = {"qq": best_url_by_quality, "163": url_fallback_chain}
     urls = reduce(DataFrame.unionByName, [
         pick(said.where(F.col("platform") == p)).select(F.lit(p).alias("_up"), F.col("song_id").alias("_us"), "url") for p, pick in by_provider.items()

@@ -1,8 +1,10 @@
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from songloom.operators import requests as r
+from tests.conftest import SMALL
 
 
 def routed(spark, texts, **options):
@@ -31,6 +33,29 @@ def test_literal_patterns_agree_with_python(spark):
             assert query == m["query"].strip(), text
 
 
+def test_any_one_character_may_stand_before_a_command(spark):
+    texts = ["\U0001f600翻唱 晴天", "é说 x", "翻翻唱 晴天", "ab翻唱 晴天", "\u3000翻唱 晴天", "/163cookie a", "/163cookiea", "//翻唱 x"]
+    want = [next((n for n, p in r.COMMAND_PATTERNS.items() if re.match(p, t)), None) for t in texts]
+    assert [x[0] for x in routed(spark, texts)] == want == ["翻唱", "说", "翻唱", None, None, "163cookie", None, None]
+
+
+def test_the_catalog_is_made_once(spark, tmp_path, monkeypatch):
+    """Searches of both platforms, titles and answers read what was written, instead of parsing all payloads again."""
+    from registry import jobs
+
+    songs = jobs.v.songs(spark, SMALL)
+
+    def seen(batches):
+        for batch in batches:
+            with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(batch.num_rows))
+            yield batch
+
+    monkeypatch.setattr(jobs.v, "songs", lambda spark, sf: songs.mapInArrow(seen, songs.schema))
+    assert jobs.request_pipeline(spark, SMALL).where("outcome = 'resolved'").count() > 0
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == songs.count()
+
+
 def test_params(spark):
     urls = {
         1: "http://h/c?sid=&sid=a&agg=x&trim=no&auto_key_max=-4", 2: "http://h/c?sid=%zz&with_instrumental=True&protect=.1",
