@@ -24,26 +24,63 @@ BIT_SCALE = 3.0
 SCORE_SCALE = 6.0
 AMBIGUOUS = 0.55
 PIECE = 1 << 20
+# Characters of short texts that are counted at once.
+AT_ONCE = 1 << 15
 
 _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
-
-
-def trigrams(text: str) -> Iterator[np.ndarray]:
-    """Hashed byte trigrams of a text's words in lower case; anything but letters parts words."""
-    for at in range(0, len(text), PIECE):
-        raw = _LETTER[np.frombuffer(f" {text[at:at + PIECE].lower()} ".encode(), np.uint8)]
-        raw = raw[np.append(True, (raw[1:] != 32) | (raw[:-1] != 32))].astype(np.uint32)
-        if len(raw) > 2:
-            packed = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
-            yield (packed * np.uint32(2654435761)) >> np.uint32(32 - 14)
-
-
-def counted(text: str) -> np.ndarray:
+_LETTER = _LETTER.tobytes()
+_LOWER = bytes(ord(chr(b).lower()) for b in range(256))
+
+
+def _lowered(text: str) -> bytes:
+    try:
+        return text.encode("latin-1").translate(_LOWER).decode("latin-1").encode()
+    except UnicodeEncodeError:
+        return text.lower().encode()
+
+
+def _grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raws = [_lowered(p) for p in pieces]
+    raw = np.frombuffer(b" ".join([b"", *raws, b""]).translate(_LETTER), np.uint8)
+    kept = np.flatnonzero(np.append(True, (raw[1:] != 32) | (raw[:-1] != 32)))
+    # the blanks before and behind each piece
+    edges = np.searchsorted(kept, np.cumsum([0, *(len(r) + 1 for r in raws)]), "right") - 1
+    raw = raw[kept].astype(np.uint32)
+    packed = raw[:-2] << 16
+    packed |= raw[1:-1] << 8
+    packed |= raw[2:]
+    packed *= np.uint32(2654435761)
+    packed >>= np.uint32(32 - 14)
+    places = packed.astype(np.int64)
+    places[edges[(edges > 0) & (edges <= len(places))] - 1] = PLACES
+    return places, edges
+
+
+def trigrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Hashed byte trigrams of the words in lower case, for pieces of texts at a time; anything but letters parts words.
+
+    The trigrams of piece k are those from ``edges[k]`` to before ``edges[k + 1]``. The last of them goes over
+    to the next piece; it has no hash but PLACES, and does not count. Behind them comes the text that each piece is of.
+    """
+    of, pieces, size = [], [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, len(text), PIECE):
+            of.append(k)
+            pieces.append(text[at:at + PIECE])
+            size += len(pieces[-1])
+            if size >= AT_ONCE:
+                yield *_grams(pieces), of
+                of, pieces, size = [], [], 0
+    if pieces:
+        yield *_grams(pieces), of
+
+
+def counted(texts: list[str]) -> np.ndarray:
     out = np.zeros(PLACES)
-    for grams in trigrams(text):
-        out += np.bincount(grams, minlength=PLACES)
+    for grams, _, _ in trigrams(texts):
+        out += np.bincount(grams, minlength=PLACES + 1)[:PLACES]
     return out
 
 
@@ -72,8 +109,11 @@ def _language_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
+            texts: dict[str, list[str]] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                sums[lang] = sums.get(lang, 0) + counted(text)
+                texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                sums[lang] = sums.get(lang, 0) + counted(own)
     for lang, sum_ in sums.items():
         place = np.flatnonzero(sum_)
         yield pa.RecordBatch.from_arrays(
@@ -90,22 +130,39 @@ class Model:
         share = (counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * PLACES) if languages else counts
         ones, zeros = np.maximum(self.code, 0), np.maximum(-self.code, 0)
         # each side is the mean of its languages, whatever their number of texts
-        self.weights = np.log((share.T @ ones) / ones.sum(axis=0)) - np.log((share.T @ zeros) / zeros.sum(axis=0))
+        weights = np.log((share.T @ ones) / ones.sum(axis=0)) - np.log((share.T @ zeros) / zeros.sum(axis=0))
+        # a row for each bit, and nothing for what has no place
+        self.weights = np.append(weights.T, np.zeros((weights.shape[1], 1)), axis=1)
         self.trust = np.ones_like(self.code) / max(1, self.code.shape[1])
 
+    def all_bits(self, texts: list[str]) -> np.ndarray:
+        """For each text a value in (-1, 1) for each bit; zero without a trigram."""
+        sums, n = np.zeros((len(self.weights), len(texts))), np.zeros(len(texts))
+        for grams, edges, of in trigrams(texts):
+            held = np.flatnonzero(np.diff(edges))
+            of, starts, sizes = np.array(of)[held], edges[held], np.diff(edges)[held] - 1
+            if len(held):
+                np.add.at(n, of, sizes)
+                for own, weights in zip(sums, self.weights):
+                    np.add.at(own, of, np.add.reduceat(weights.take(grams), starts))
+        return np.tanh(BIT_SCALE * (sums / np.maximum(1.0, n)).T)
+
     def bits(self, text: str) -> np.ndarray:
-        """A value in (-1, 1) for each bit; zero without a trigram."""
-        sums = counted(text)
-        return np.tanh(BIT_SCALE * (sums @ self.weights) / max(1.0, sums.sum()))
+        return self.all_bits([text])[0]
 
-    def decode(self, bits: np.ndarray) -> tuple[str, float, bool]:
-        """Language, score and whether a second language is about as near."""
+    def decoded(self, bits: np.ndarray) -> list[tuple[str, float, bool]]:
+        """For each row of bits the language, a score and whether a second language is about as near."""
         if len(self.languages) == 1:
-            return self.languages[0], 1.0, False
-        distance = (self.trust * np.exp(-self.code * bits)).sum(axis=1)
-        near = np.exp(SCORE_SCALE * (distance.min() - distance))
-        best, runner_up = int(distance.argmin()), np.sort(distance)[1] - distance.min()
-        return self.languages[best], float(1 / near.sum()), bool(1 / (1 + np.exp(-SCORE_SCALE * runner_up)) < AMBIGUOUS)
+            return [(self.languages[0], 1.0, False)] * len(bits)
+        distance = (self.trust * np.exp(-self.code * bits[:, None, :])).sum(axis=2)
+        least = distance.min(axis=1)
+        score = 1 / np.exp(SCORE_SCALE * (least[:, None] - distance)).sum(axis=1)
+        runner_up = np.sort(distance, axis=1)[:, 1] - least
+        ambiguous = 1 / (1 + np.exp(-SCORE_SCALE * runner_up)) < AMBIGUOUS
+        return [(self.languages[k], x, y) for k, x, y in zip(distance.argmin(axis=1).tolist(), score.tolist(), ambiguous.tolist())]
+
+    def decode(self, bits: np.ndarray) -> tuple[str, float, bool]:
+        return self.decoded(bits[None])[0]
 
 
 def _bit_hits(model: Model):
@@ -115,10 +172,9 @@ def _bit_hits(model: Model):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    k = row_of[lang]
-                    right[k] += model.bits(text) * model.code[k] > 0
-                    seen[k] += 1
+                own = np.array([row_of[lang] for lang in part.column(0).to_pylist()], dtype=np.int64)
+                np.add.at(right, own, model.all_bits(part.column(1).to_pylist()) * model.code[own] > 0)
+                np.add.at(seen, own, 1)
         lang, bit = np.meshgrid(np.arange(len(row_of)), np.arange(model.code.shape[1]), indexing="ij")
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang.ravel(), pa.int32()), pa.array(bit.ravel(), pa.int32()), pa.array(right.ravel()), pa.array(seen[lang.ravel()])],
@@ -161,11 +217,11 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = []
-            for at in range(0, len(texts), 256):
-                for t in texts.slice(at, 256).to_pylist():
-                    known = model.languages and any(map(str.isalpha, t))
-                    rows.append(model.decode(model.bits(t)) if known else ("und", 0.0, False))
+            rows = [("und", 0.0, False)] * len(texts)
+            for at in range(0, len(texts) if model.languages else 0, 256):
+                own = [(k, t) for k, t in enumerate(texts.slice(at, 256).to_pylist(), at) if any(map(str.isalpha, t))]
+                for (k, _), found in zip(own, model.decoded(model.all_bits([t for _, t in own]))):
+                    rows[k] = found
             yield pa.array([dict(zip(("lang_pred", "score", "ambiguous"), r)) for r in rows], kind)
 
     marked = docs.drop("lang_pred", "score", "ambiguous").withColumn("_found", predict(whole_text(docs, text)))

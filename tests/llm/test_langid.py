@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from songloom.llm import langid
 from songloom.llm.langid import codewords, fit_languages, identified
 from songloom.llm.registered import QUERIES
 from tests.conftest import SMALL
@@ -97,3 +98,23 @@ def test_predictions_equal_a_plain_version(spark):
         far = [sum(trust[k, b] * math.exp(-code[k, b] * bits[r["doc_id"]][b]) for b in range(code.shape[1])) for k in range(len(langs))]
         assert row["score"] == pytest.approx(1 / sum(math.exp(6.0 * (min(far) - x)) for x in far), rel=1e-9)
         assert row["lang_pred"] == langs[far.index(min(far))]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 15])
+def test_texts_are_counted_together(monkeypatch, at_once):
+    """Many texts at once give what each gives on its own; no trigram goes over from one to the next."""
+    monkeypatch.setattr(langid, "AT_ONCE", at_once)
+    texts = ["", "ab", "a", " ", "Été à Paris 12", "12", "##", "ΑΣ", "Σ İ", "日本 x", "ab cd", "", "z"]
+    want, alone = np.zeros(1 << 14), []
+    for t in texts:
+        alone.append(np.zeros(1 << 14))
+        for place, n in plain_counts(t).items():
+            alone[-1][place] += n
+        want += alone[-1]
+    assert (langid.counted(texts) == want).all()
+    model = langid.Model(["x", "y", "z"], np.random.default_rng(0).random((3, 1 << 14)))
+    bits = model.all_bits(texts)
+    for own, got in zip(alone, bits):
+        assert got == pytest.approx(np.tanh(3.0 * (model.weights[:, :-1] @ own) / max(1, own.sum())), abs=1e-12)
+    assert model.decoded(bits) == [model.decode(b) for b in bits]
+    assert model.all_bits([]).shape == (0, 3) and model.decoded(model.all_bits([])) == []
