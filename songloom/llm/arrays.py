@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
@@ -10,12 +12,15 @@ BYTE_STEP = 0x9E3779B97F4A7C15
 WORD_STEP = 0xD6E8FEB86659FD93
 # Bytes of a text that are hashed at once.
 PIECE = 1 << 18
+# Bytes of short texts that are taken together.
+TOGETHER = 1 << 16
 LONG_WORD = 256
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 # everything of ASCII but letters and digits
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_LOWER = bytes(ord(chr(b).lower()) for b in range(256))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -35,10 +40,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def lowered(text: str) -> bytes:
+    """UTF-8 of the text in lower case."""
+    try:
+        return text.encode("latin-1").translate(_LOWER).decode("latin-1").encode()
+    except UnicodeEncodeError:
+        return text.lower().encode()
+
+
+def together(raws: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in lists of a few, so that arrays over a list are neither many nor large."""
+    at, size = 0, 0
+    for k, raw in enumerate(raws, 1):
+        size += len(raw) + 1
+        if size >= TOGETHER or k == len(raws):
+            yield raws[at:k]
+            at, size = k, 0
+
+
 def word_spans(raw: bytes, blanks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs without ASCII blanks, or without other bytes that count as blank."""
     blank = np.ones(len(raw) + 2, dtype=bool)
-    blank[1:-1] = blanks[np.frombuffer(raw, np.uint8)]
+    blank[1:-1] = np.frombuffer(raw.translate(blanks.tobytes()), bool)
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     return edges[::2], edges[1::2]
 
@@ -51,7 +74,10 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         to = max(at + 1, int(np.searchsorted(ends, low + PIECE, "right")))
         high = min(int(ends[to - 1]), low + PIECE)
         sums = np.zeros(high - low + 1, dtype=U)
-        np.cumsum((data[low:high].astype(U) + U(1)) * _UP[: high - low], out=sums[1:])
+        sums[1:] = data[low:high]
+        sums[1:] += U(1)
+        sums[1:] *= _UP[: high - low]
+        np.cumsum(sums, out=sums)
         first, last = starts[at:to] - low, np.minimum(ends[at:to] - low, high - low)
         out[at:to] = (sums[last] - sums[first]) * _DOWN[first]
         at = to
@@ -63,6 +89,14 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mixed(out + lengths.astype(U) * U(WORD_STEP))
 
 
+def words_of(raws: list[bytes], blanks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and the number of the first of each text, with their whole number behind."""
+    raw = b" ".join(raws)
+    starts, ends = word_spans(raw, blanks)
+    first = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+    return word_hashes(raw, starts, ends), first
+
+
 def window_hashes(words: np.ndarray, length: int, step: int = WORD_STEP) -> np.ndarray:
     """A hash of every window of ``length`` consecutive values, built by doubling."""
     n = len(words) - length + 1

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from songloom.llm.arrays import PUNCTUATION, U, mixed, window_hashes, word_hashes, word_spans
+from songloom.llm.arrays import PUNCTUATION, U, lowered, mixed, together, window_hashes, words_of
 from songloom.llm.shared import whole_text, worker_value
 from songloom.session import materialized
 
@@ -35,13 +35,24 @@ TRIED = 4096
 WALKS = 1000
 SEED_WORDS = 4
 CELLS = 1 << 21
+# Windows times walks that are walked at once, and words of documents that are looked up at once.
+WALKED = 1 << 12
+LOOKED_UP = 1 << 16
 DOCS_AT_ONCE = 1024
 
 
 def item_words(text: str) -> np.ndarray:
     """Hashes of the words in lower case; ASCII punctuation only parts words."""
-    raw = text.lower().encode()
-    return word_hashes(raw, *word_spans(raw, PUNCTUATION))
+    return words_of([lowered(text)], PUNCTUATION)[0]
+
+
+def words_of_texts(texts: list[str]) -> list[np.ndarray]:
+    """As :func:`item_words`, for each of many texts."""
+    out = []
+    for raws in together([lowered(t) for t in texts]):
+        words, first = words_of(raws, PUNCTUATION)
+        out += [words[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+    return out
 
 
 def allowed_edits(words: int, similarity: float) -> int:
@@ -53,36 +64,40 @@ def seed_length(words: int, edits: int) -> int:
     return max(1, min(SEED_WORDS, words, -(-(words - edits) // (edits + 1))))
 
 
-def sampled_steps(sizes: np.ndarray, repeat: int) -> np.ndarray:
-    """The steps of one walk that are compared, for windows of the given sizes: below twice the size."""
-    share = mixed(np.arange(repeat * SAMPLES, (repeat + 1) * SAMPLES, dtype=U) + U(77)).astype(np.float64) / 2.0**64
-    return (share[:, None] * (2 * sizes)).astype(np.int64)
+def sampled_steps(sizes: np.ndarray, repeats: range) -> np.ndarray:
+    """The steps of each walk that are compared, for windows of the given sizes: below twice the size."""
+    share = mixed(np.arange(repeats.start * SAMPLES, repeats.stop * SAMPLES, dtype=U) + U(77)).astype(np.float64) / 2.0**64
+    return (share.reshape(-1, SAMPLES).T[:, :, None] * (2 * sizes)).astype(np.int64)
 
 
-def walk(words: np.ndarray, sizes: np.ndarray, repeat: int) -> np.ndarray:
-    """The symbols that one walk shows at its sampled steps; ``words`` holds a window per row, padded."""
-    at, rows = np.zeros(len(words), dtype=np.int64), np.arange(len(words))
-    steps = sampled_steps(sizes, repeat)
-    out = np.zeros((SAMPLES, len(words)), dtype=U)
+def walks(words: np.ndarray, sizes: np.ndarray, repeats: range) -> np.ndarray:
+    """The symbols that each of several walks shows at its sampled steps; ``words`` holds a window per row, padded."""
+    at, rows = np.zeros((len(repeats), len(words)), dtype=np.int64), np.arange(len(words))
+    steps = sampled_steps(sizes, repeats)
+    out = np.zeros((SAMPLES, len(repeats), len(words)), dtype=U)
     last = int(steps.max(initial=0))
-    odd = mixed(np.arange(last + 1, dtype=U) + U(repeat << 32)) | U(1)
+    odd = mixed(np.arange(last + 1, dtype=U)[:, None] + (np.array(repeats, dtype=U) << U(32))) | U(1)
     for j in range(last + 1):
         seen = np.where(at < sizes, words[rows, np.minimum(at, words.shape[1] - 1)], U(0))
         for k in range(SAMPLES):
             np.copyto(out[k], seen, where=steps[k] == j)
-        at += ((seen * odd[j]) >> U(63)).astype(np.int64)
+        at += ((seen * odd[j][:, None]) >> U(63)).astype(np.int64)
     return out
 
 
+def walk(words: np.ndarray, sizes: np.ndarray, repeat: int) -> np.ndarray:
+    return walks(words, sizes, range(repeat, repeat + 1))[:, 0]
+
+
 def agree(windows: np.ndarray, items: np.ndarray, sizes: np.ndarray, repeats: np.ndarray) -> np.ndarray:
     """Whether a window and its item show the same symbols in one of the walks, ``repeats`` for each."""
-    done = np.zeros(len(windows), dtype=bool)
-    for repeat in range(int(repeats.max(initial=0))):
-        left = np.flatnonzero(~done & (repeat < repeats))
-        if not len(left):
-            break
-        same = walk(windows[left], sizes[left], repeat) == walk(items[left], sizes[left], repeat)
-        done[left] = same.all(axis=0)
+    done, first, most = np.zeros(len(windows), dtype=bool), 0, int(repeats.max(initial=0))
+    while len(left := np.flatnonzero(~done & (first < repeats))):
+        # of few windows many walks at once: a step takes its time, however few they are
+        own = range(first, min(most, first + max(1, WALKED // len(left))))
+        same = walks(windows[left], sizes[left], own) == walks(items[left], sizes[left], own)
+        done[left] = (same.all(axis=0) & (np.array(own)[:, None] < repeats[left])).any(axis=0)
+        first = own.stop
     return done
 
 
@@ -186,22 +201,26 @@ class Items:
             out[row, : len(words[k])] = words[k]
         return out
 
-    def proposed(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and places of their windows, from runs of words that a document shares with them."""
-        item, start = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for length, (hashes, of, place, seen) in self.seeds.items():
-            own = window_hashes(words, length)
-            spots = np.flatnonzero(seen[(own >> U(44)).astype(np.int64)])
-            low, high = np.searchsorted(hashes, own[spots], "left"), np.searchsorted(hashes, own[spots], "right")
-            n = high - low
-            which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            item.append(of[which])
-            start.append(np.repeat(spots, n) - place[which])
-        item, start = np.concatenate(item), np.concatenate(start)
-        if not len(item):
-            return item, start
-        pairs = np.unique(np.stack([item, start]), axis=1)
-        return pairs[0], pairs[1]
+    def proposed(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, items and places of their windows, from runs of words that they share."""
+        found, sizes, at = [np.empty((3, 0), np.int64)], [len(d) for d in docs], 0
+        while at < len(docs):
+            to, size = at + 1, sizes[at]
+            while to < len(docs) and size + sizes[to] <= LOOKED_UP:
+                size += sizes[to]
+                to += 1
+            words, first = np.concatenate(docs[at:to]), np.cumsum([0, *sizes[at:to]])
+            for length, (hashes, of, place, seen) in self.seeds.items():
+                own = window_hashes(words, length)
+                spots = np.flatnonzero(seen[(own >> U(44)).astype(np.int64)])
+                low, high = np.searchsorted(hashes, own[spots], "left"), np.searchsorted(hashes, own[spots], "right")
+                doc = np.searchsorted(first, spots, "right") - 1
+                n = np.where(spots + length <= first[doc + 1], high - low, 0)  # no run goes over to the next document
+                which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append(np.stack([np.repeat(at + doc, n), of[which], np.repeat(spots - first[doc], n) - place[which]]))
+            at = to
+        doc, item, start = np.unique(np.concatenate(found, axis=1), axis=1)
+        return doc, item, start
 
     def agreeing(self, docs: list[np.ndarray], doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Which proposals agree with their item in some walk."""
@@ -225,11 +244,7 @@ class Items:
     def found(self, docs: list[np.ndarray]) -> list[list[dict]]:
         """For each document its items with the best stretch of each."""
         out: list[list[dict]] = [[] for _ in docs]
-        proposals = [self.proposed(words) for words in docs]
-        doc = np.repeat(np.arange(len(docs)), [len(p[0]) for p in proposals])
-        if not len(doc):
-            return out
-        item, start = (np.concatenate(x) for x in zip(*proposals))
+        doc, item, start = self.proposed(docs)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         searched: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for k in np.flatnonzero(self.agreeing(docs, doc, item, start)).tolist():
@@ -291,7 +306,7 @@ def with_leaks(
             for texts_of in batches:
                 rows = []
                 for at in range(0, len(texts_of), DOCS_AT_ONCE):
-                    rows += known.found([item_words(t) for t in texts_of.slice(at, DOCS_AT_ONCE).to_pylist()])
+                    rows += known.found(words_of_texts(texts_of.slice(at, DOCS_AT_ONCE).to_pylist()))
                 yield pa.array(rows, kind)
 
         # a deterministic function would be run once more for a filter on its result

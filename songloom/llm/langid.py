@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from songloom.llm.arrays import lowered
 from songloom.llm.shared import whole_text
 
 PLACES = 1 << 14
@@ -31,18 +32,10 @@ _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 _LETTER = _LETTER.tobytes()
-_LOWER = bytes(ord(chr(b).lower()) for b in range(256))
-
-
-def _lowered(text: str) -> bytes:
-    try:
-        return text.encode("latin-1").translate(_LOWER).decode("latin-1").encode()
-    except UnicodeEncodeError:
-        return text.lower().encode()
 
 
 def _grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raws = [_lowered(p) for p in pieces]
+    raws = [lowered(p) for p in pieces]
     raw = np.frombuffer(b" ".join([b"", *raws, b""]).translate(_LETTER), np.uint8)
     kept = np.flatnonzero(np.append(True, (raw[1:] != 32) | (raw[:-1] != 32)))
     # the blanks before and behind each piece

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from songloom.llm.arrays import U, mixed, window_hashes, word_hashes, word_spans
+from songloom.llm.arrays import U, mixed, together, window_hashes, words_of
 from songloom.llm.components import components
 from songloom.llm.shared import whole_text
 from songloom.session import materialized
@@ -35,9 +35,20 @@ _TIMES = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U) << U(32))[:, None] | U(1)
 
 def shingles(text: str) -> np.ndarray:
     """Sorted hashes of a text's different word shingles, A-Z lowered; a shorter text is one shingle."""
-    raw = text.encode().lower()
-    words = word_hashes(raw, *word_spans(raw))
-    return np.unique(window_hashes(words, min(SHINGLE, len(words)))) if len(words) else words
+    return shingles_of([text])[0]
+
+
+def shingles_of(texts: list[str]) -> list[np.ndarray]:
+    """As :func:`shingles`, for each of many texts."""
+    out = []
+    for raws in together([t.encode().lower() for t in texts]):
+        words, first = words_of(raws)
+        windows = window_hashes(words, SHINGLE)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            own = windows[a:b + 1 - SHINGLE] if b - a >= SHINGLE else window_hashes(words[a:b], b - a) if b > a else words[:0]
+            own = np.sort(own)
+            out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) else own)
+    return out
 
 
 def set_digest(hashes: np.ndarray) -> int:
@@ -64,7 +75,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):  # few texts at a time are taken out of Arrow
             part = batch.slice(at, 256)
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
+            sets = shingles_of(part.column(1).to_pylist())
             keys = np.concatenate([band_keys(s) for s in sets])
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([set_digest(s) for s in sets], pa.int64()),
@@ -77,8 +88,8 @@ def _same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            fps = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
-            yield part.filter(pa.array([set_digest(shingles(t)) == fp for fp, t in fps], pa.bool_()))
+            fps = zip(part.column(0).to_pylist(), shingles_of(part.column(1).to_pylist()))
+            yield part.filter(pa.array([set_digest(s) == fp for fp, s in fps], pa.bool_()))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +97,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             found = []
-            for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                a, b = shingles(a), shingles(b)
+            for a, b in zip(*(shingles_of(part.column(k).to_pylist()) for k in (2, 3))):
                 found.append(bool(alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
             yield part.select(["fp_a", "fp_b"]).filter(pa.array(found, pa.bool_()))
 
@@ -96,7 +106,7 @@ def _bucket_links(table: pa.Table) -> pa.Table:
     """Links between texts of different components in one bucket, at most one less than those; all pairs are compared."""
     fps, place = np.unique(table["fp"].to_numpy(), return_index=True)
     texts = table["text"]
-    sets = [shingles(texts[i].as_py()) for i in place.tolist()]
+    sets = [s for at in range(0, len(place), 64) for s in shingles_of([texts[i].as_py() for i in place[at:at + 64].tolist()])]
     # a text without words may share a bucket with short ones, but its empty set is similar to no other
     held = np.array([len(s) > 0 for s in sets])
     fps, place, sets = fps[held], place[held], [s for s in sets if len(s)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from songloom.llm.arrays import U, mixed
 from songloom.llm.components import components
-from songloom.llm.minhash import BUCKET, LINK, _bucket_links, _same_set, _similar, set_digest, shingles
+from songloom.llm.minhash import BUCKET, LINK, _bucket_links, _same_set, _similar, set_digest, shingles, shingles_of  # noqa: F401
 from songloom.llm.shared import whole_text
 from songloom.session import materialized
 
@@ -35,18 +35,63 @@ CHAIN = 10
 BUDGET = [k * BITS // SEGMENTS for k in range(1, CHAIN + 2)]
 # Fingerprints of a cell, on average, and the rows of a bucket from which on one meets all others at a time.
 CELL, LONG = 100_000, 512
+# Hashes that are added up bit by bit before their bits are counted, and groups of them at once.
+GROUP, GROUPS = 15, 255
 
 _KINDS = mixed(np.arange(1, SEGMENTS * WIDTH // 64 + 1, dtype=U) << U(40))
 _PLACES = (1 << np.arange(WIDTH)).astype(np.uint16)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
+def _added(bits: list[np.ndarray]) -> list[np.ndarray]:
+    """Bitwise sums of 2^k - 1 words, binary digits from the least: pairs of sums, and a word carried into each."""
+    if len(bits) == 1:
+        return bits
+    half = len(bits) // 2
+    a, b, digit, out = _added(bits[:half]), _added(bits[half:-1]), bits[-1], []
+    for x, y in zip(a, b):
+        odd = x ^ y
+        out.append(odd ^ digit)
+        digit = x & y | odd & digit
+    return [*out, digit]
+
+
+def _counts(hashes: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The number of remixed hashes that each bit is set in, for groups of GROUP hashes (a column each), in binary digits."""
+    own = hashes[:, :, None] + _KINDS
+    spare = own >> U(30)
+    own ^= spare
+    own *= U(0xBF58476D1CE4E5B9)
+    np.right_shift(own, U(27), out=spare)
+    own ^= spare
+    own *= U(0x94D049BB133111EB)
+    np.right_shift(own, U(31), out=spare)
+    own ^= spare
+    own[~kept] = 0
+    return np.stack(_added(list(own)))
+
+
+def wide_fingerprints(sets: list[np.ndarray]) -> list[bytes]:
     """A bit is 1 if set in over half of the remixed hashes of a set; none are set without hashes."""
-    counts = np.zeros(SEGMENTS * WIDTH, dtype=np.int64)
-    for at in range(0, len(hashes), 255):  # as many as a byte counts
-        own = mixed(hashes[at:at + 255, None] + _KINDS)
-        counts += np.unpackbits(own.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+    groups = [-(-len(s) // GROUP) for s in sets]
+    counts = np.zeros((len(sets), SEGMENTS * WIDTH), dtype=np.int64)
+    first = np.cumsum([0, *groups])
+    hashes, kept = np.zeros((first[-1], GROUP), dtype=U), np.zeros((first[-1], GROUP), dtype=bool)
+    for s, a, b in zip(sets, first[:-1].tolist(), first[1:].tolist()):
+        hashes[a:b].reshape(-1)[:len(s)] = s
+        kept[a:b].reshape(-1)[:len(s)] = True
+    weights, of = 1 << np.arange(GROUP.bit_length()), np.repeat(np.arange(len(sets)), groups)
+    for at in range(0, len(hashes), GROUPS):
+        digits = _counts(np.ascontiguousarray(hashes[at:at + GROUPS].T), np.ascontiguousarray(kept[at:at + GROUPS].T)).astype("<u8", copy=False)
+        starts = np.flatnonzero(np.append(True, np.diff(of[at:at + GROUPS])))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), digits.shape[1]]):
+            bits = np.unpackbits(np.ascontiguousarray(digits[:, a:b]).view(np.uint8), axis=2, bitorder="little")
+            counts[of[at + a]] += weights @ bits.sum(axis=1, dtype=np.uint8)  # GROUPS fits a byte
+    sizes = np.array([len(s) for s in sets]).reshape(-1, 1)
+    return [row.tobytes() for row in np.packbits(counts * 2 > sizes, axis=1, bitorder="little")]
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    return wide_fingerprints([hashes])[0]
 
 
 def segments(bits: list[bytes]) -> np.ndarray:
@@ -82,9 +127,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):  # few texts at a time are taken out of Arrow
             part = batch.slice(at, 256)
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
+            sets = shingles_of(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s) for s in sets], pa.binary()),
+                part.column(0), pa.array([set_digest(s) for s in sets], pa.int64()), pa.array(wide_fingerprints(sets), pa.binary()),
             ], ["doc_id", "fp", "bits"])
 
 

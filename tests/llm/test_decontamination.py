@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from songloom.llm import decontamination
 from songloom.llm.decontamination import PART, Items, allowed_edits, best_place, edited, item_words, parts_of, walk, with_leaks
 from songloom.llm.registered import QUERIES
 from tests.conftest import SMALL
@@ -124,3 +125,39 @@ def test_parts():
         assert parts[0][0] == 0 and parts[-1][1] == n and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
         assert all(PART // 2 <= b - a <= PART or n < PART for a, b in parts)
         assert sum(allowed_edits(b - a, 0.8) for a, b in parts) <= allowed_edits(n, 0.8)
+
+
+def test_documents_are_looked_up_together(monkeypatch):
+    """Many documents at once give what each gives alone, in a few passes; no item lies over the edge of two."""
+    rng, calls = np.random.default_rng(3), []
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n)) for n in (1, 3, 12, 30, 30, 90)]
+    ids = list(range(len(texts)))
+    items = Items(ids, texts, 0.8, Items(ids, texts, 0.8).calibrated(0.998))
+    docs, half = [], texts[4].split()
+    for k in range(900):
+        words = [f"n{x}" for x in rng.integers(0, 1 << 40, k % 40)]
+        docs.append(" ".join(words + (texts[k % 6].split() if k % 7 == 0 else []) + words))
+    docs[10:12] = [" ".join(half[:15]), " ".join(half[15:])]
+    words = decontamination.words_of_texts(docs)
+    assert all((a == item_words(t)).all() and len(a) == len(item_words(t)) for a, t in zip(words, docs))
+    alone = [items.found([w])[0] for w in words]
+    assert sum(map(len, alone)) >= 128 and not alone[10] and not alone[11]
+    hashes = decontamination.window_hashes
+    monkeypatch.setattr(decontamination, "window_hashes", lambda *a: calls.append(1) or hashes(*a))
+    assert items.found(words) == alone and len(calls) < 20
+    monkeypatch.setattr(decontamination, "LOOKED_UP", 50)
+    assert items.found(words) == alone
+
+
+def test_many_walks_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, 1 << 62, (50, 30)).astype(np.uint64)
+    near, sizes, repeats = words.copy(), rng.integers(1, 31, 50), rng.integers(1, 40, 50)
+    near[rng.random(near.shape) < 0.3] += np.uint64(1)
+    together = decontamination.walks(words, sizes, range(3, 9))
+    assert all((together[:, k - 3] == walk(words, sizes, k)).all() for k in range(3, 9))
+    want = [any((walk(words[i:i + 1], sizes[i:i + 1], r) == walk(near[i:i + 1], sizes[i:i + 1], r)).all() for r in range(repeats[i])) for i in range(50)]
+    for most in (1, 60, 1 << 12):
+        monkeypatch.setattr(decontamination, "WALKED", most)
+        assert decontamination.agree(words, near, sizes, repeats).tolist() == want
+    assert 5 < sum(want) < 50

@@ -93,3 +93,13 @@ def test_texts_without_words_beside_short_ones(spark):
     texts = {i: " ".join(f"w{i}x{j}" for j in range(6)) for i in range(1_500)} | {1_500: "", 1_501: " \n", 1_502: "W7X0 w7x1 w7x2 w7x3 w7x4 w7x5"}
     found = dict(near_copies(frame(spark, texts)).collect())
     assert found == {7: 7, 1_502: 7, 1_500: 1_500, 1_501: 1_500}
+
+
+def test_fingerprints_of_many_sets():
+    """Sets of any size, counted together, get the bits that most of their remixed hashes have."""
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 1 << 63, n).astype(U) for n in (0, 1, 2, 14, 15, 16, 0, 31, 300, 5000, 0)]
+    for own, got in zip(sets, p.wide_fingerprints(sets)):
+        bits = [np.unpackbits(mixed(own + k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for k in p._KINDS]
+        assert got == np.packbits(np.concatenate([b.sum(axis=0) * 2 > len(own) for b in bits]), bitorder="little").tobytes()
+    assert p.wide_fingerprints([]) == []
