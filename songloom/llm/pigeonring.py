@@ -8,7 +8,8 @@ one equal segment; from there every chain of up to eleven segments must stay
 within its share of the budget, then the whole ring is compared, then the texts.
 
 Only components matter. First each fingerprint is compared with the least that it
-passes a chain with. Of those that passed any, pairs of different components are
+passes a chain with. Sets whose sizes differ by more than a fifth are no near copies, so
+a bucket lies by size and a row meets those of like size only. Of those that passed any, pairs of different components are
 compared in the first bucket that they share: its texts come to a task, which
 gives links and never pairs, so a large group of near copies stays linear.
 """
@@ -16,6 +17,7 @@ gives links and never pairs, so a large group of near copies stays linear.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from songloom.llm.arrays import U, mixed
 from songloom.llm.components import components
-from songloom.llm.minhash import BUCKET, LINK, _bucket_links, _same_set, _similar, set_digest, shingles, shingles_of  # noqa: F401
+from songloom.llm.minhash import BUCKET, LEAST, LINK, _bucket_links, _same_set, _similar, set_digest, shingles, shingles_of  # noqa: F401
 from songloom.llm.shared import whole_text
 from songloom.session import materialized
 
@@ -35,6 +37,8 @@ CHAIN = 10
 BUDGET = [k * BITS // SEGMENTS for k in range(1, CHAIN + 2)]
 # Fingerprints of a cell, on average, and the rows of a bucket from which on one meets all others at a time.
 CELL, LONG = 100_000, 512
+# Long buckets of which more than one in so many neighbours may pass the chain hold a group of near copies.
+DENSE, NEIGHBOURS = 16, 8
 # Hashes that are added up bit by bit before their bits are counted, and groups of them at once.
 GROUP, GROUPS = 15, 255
 
@@ -130,18 +134,19 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingles_of(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([set_digest(s) for s in sets], pa.int64()), pa.array(wide_fingerprints(sets), pa.binary()),
-            ], ["doc_id", "fp", "bits"])
+                pa.array([len(s) for s in sets], pa.int64()),
+            ], ["doc_id", "fp", "bits", "size"])
 
 
-CELLS = "cell int, fp binary, key binary, chain binary, tree binary"
+CELLS = "cell int, fp binary, key binary, chain binary, tree binary, size binary"
 
 
 def _dealt(slices: int, whole: bool):
-    """Fingerprints ``(fp, bits, tree)`` in cells: a segment and a range of its values, many to a row, with their chains or as a ``whole``."""
+    """Fingerprints ``(fp, bits, tree, size)`` in cells: a segment and a range of its values, many to a row, with their chains or as a ``whole``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cells() -> pa.RecordBatch:
-            ring, (fp, tree) = np.concatenate(rings), (np.concatenate(c) for c in zip(*names))
+            ring, (fp, tree, number) = np.concatenate(rings), (np.concatenate(c) for c in zip(*names))
             rows = []
             for s in range(SEGMENTS):
                 key, chain = ring[:, s], ring if whole else chains(ring, s)
@@ -150,16 +155,16 @@ def _dealt(slices: int, whole: bool):
                 cuts = np.searchsorted(at, np.arange(slices + 1))
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     own = order[cuts[k]:cuts[k + 1]]
-                    rows.append((s * slices + k, *(x[own].tobytes() for x in (fp, key, chain, tree))))
-            kinds = [pa.int32(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["cell", "fp", "key", "chain", "tree"])
+                    rows.append((s * slices + k, *(x[own].tobytes() for x in (fp, key, chain, tree, number))))
+            kinds = [pa.int32(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["cell", "fp", "key", "chain", "tree", "size"])
 
         rings, names, size = [], [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             rings.append(segments(batch.column(1).to_pylist()))
-            names.append((batch.column(0).to_numpy(), batch.column(2).to_numpy()))
+            names.append((batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()))
             size += batch.num_rows
             if size >= (512 if whole else 4_096):
                 yield cells()
@@ -171,39 +176,77 @@ def _dealt(slices: int, whole: bool):
 
 
 def _cell(table: pa.Table, kind) -> tuple:
-    """The columns of a cell by keys and trees, and where each key starts and stops."""
-    fp, tree = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("fp", "tree"))
+    """The columns of a cell."""
+    fp, tree, size = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("fp", "tree", "size"))
     key = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint16)
-    chain = np.frombuffer(b"".join(table["chain"].to_pylist()), kind).reshape(len(key), -1)
-    order = np.lexsort((fp, tree, key))
-    key = key[order]
+    return fp, tree, size, key, np.frombuffer(b"".join(table["chain"].to_pylist()), kind).reshape(len(key), -1)
+
+
+def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each bucket starts and stops in sorted keys, and the bucket of each row."""
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return fp[order], tree[order], key, chain[order], starts, np.append(starts[1:], len(key))
+    stops = np.append(starts[1:], len(key))
+    return starts, stops, np.repeat(np.arange(len(starts)), stops - starts)
+
+
+def _steps(size: np.ndarray, bucket: np.ndarray, among: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in each bucket of ``among``, whose rows lie by size, but those whose sets differ too much in size to be similar.
+
+    All rows at once: every row meets the one 1, 2, .. places further.
+    """
+    own = among[bucket]
+    place = bucket << 40 | np.where(own, size, 0)
+    reach = np.searchsorted(place, bucket << 40 | size * LEAST[1] // LEAST[0], "right") - np.arange(len(size)) - 1
+    row = np.flatnonzero(own & (reach > 0))
+    # the rows that reach furthest come first, so those left are always the first ones
+    row = row[np.argsort(-reach[row], kind="stable")]
+    left = np.cumsum(np.bincount(reach[row])[::-1])[::-1]
+    for d in range(1, len(left)):
+        a = row[:left[d]]
+        yield a, a + d
 
 
 def _least(long: int):
-    """For each fingerprint of a cell a pair with the least one of its bucket that it passes the chain with."""
+    """For each fingerprint of a cell a pair with the least one of its bucket and its size that it passes the chain with."""
 
     def run(table: pa.Table) -> pa.Table:
-        fp, _, key, chain, starts, stops = _cell(table, U)
-        sizes = stops - starts
-        least = np.arange(len(fp))
-        # short buckets all at once: every row meets the one 1, 2, .. places further
-        stop, d = np.repeat(stops, sizes), 1
-        row = np.flatnonzero(np.repeat(sizes, sizes) <= long)
-        while len(row := row[stop[row] > row + d]):
-            good = row[holds(chain[row], chain[row + d])]
-            least[good + d] = np.minimum(least[good + d], good)
-            d += 1
-        for k in np.flatnonzero(sizes > long).tolist():
-            others = np.arange(starts[k], stops[k])
-            while len(others) > 1:
-                i, others = others[0], others[1:]
-                good = holds(chain[i:i + 1], chain[others])
-                least[others[good]] = i
-                others = others[~good]
-        b = np.flatnonzero(least != np.arange(len(fp)))
-        return pa.table({"fp_a": fp[least[b]], "fp_b": fp[b]})
+        fp, _, size, key, chain = _cell(table, U)
+        order = np.argsort(key.astype(np.int64) << 40 | size)
+        fp, size, key, chain = fp[order], size[order], key[order], chain[order]
+        starts, stops, bucket = _buckets(key)
+        least, half = fp.copy(), np.ascontiguousarray(chain[:, 0])
+
+        def may(a, b) -> np.ndarray:
+            """Those that the first half of the chain leaves, few if no near copies."""
+            return np.flatnonzero(np.bitwise_count(half[a] ^ half[b]) <= BUDGET[CHAIN // 2])
+
+        large, met, left = stops - starts > long, np.zeros(len(starts)), np.zeros(len(starts))
+        for a, b in islice(_steps(size, bucket, large), NEIGHBOURS):
+            met += np.bincount(bucket[a], minlength=len(met))
+            left += np.bincount(bucket[a[may(a, b)]], minlength=len(met))
+        dense = large & (left * DENSE > met)
+        for a, b in _steps(size, bucket, ~dense):
+            if len(near := may(a, b)):
+                low, high = np.where(fp[a[near]] < fp[b[near]], (a[near], b[near]), (b[near], a[near]))
+                less = fp[low] < least[high]  # the others would change nothing
+                low, high = low[less], high[less]
+                good = holds(chain[low], chain[high])
+                np.minimum.at(least, high[good], fp[low[good]])
+        for k in np.flatnonzero(dense).tolist():
+            at, to = int(starts[k]), int(stops[k])
+            lows = at + np.searchsorted(size[at:to], -(-size[at:to] * LEAST[0] // LEAST[1]))
+            highs = at + np.searchsorted(size[at:to], size[at:to] * LEAST[1] // LEAST[0], "right")
+            alone = np.ones(len(fp), dtype=bool)
+            for i in (at + np.argsort(fp[at:to])).tolist():
+                if alone[i]:
+                    low, high = lows[i - at], highs[i - at]
+                    others = low + may(slice(low, high), i)
+                    others = others[alone[others] & (fp[others] > fp[i])]
+                    others = others[holds(chain[i:i + 1], chain[others])]
+                    least[others] = fp[i]
+                    alone[others] = False
+        b = np.flatnonzero(least != fp)
+        return pa.table({"fp_a": least[b], "fp_b": fp[b]})
 
     return run
 
@@ -212,9 +255,13 @@ def _open(slices: int, long: int):
     """``(key, fp)`` of fingerprints that are within the budget of one of another tree and share no bucket with it before this one."""
 
     def run(table: pa.Table) -> pa.Table:
-        fp, tree, key, ring, starts, stops = _cell(table, np.uint16)
+        fp, tree, size, key, ring = _cell(table, np.uint16)
         s = int(table["cell"][0].as_py()) // slices
-        sizes, asked = stops - starts, np.zeros(len(fp), dtype=bool)
+        # short buckets lie by size, long ones by tree
+        order = np.lexsort((fp, np.where(np.bincount(key)[key] > long, tree, size), key))
+        fp, tree, size, key, ring = fp[order], tree[order], size[order], key[order], ring[order]
+        starts, stops, bucket = _buckets(key)
+        asked = np.zeros(len(fp), dtype=bool)
 
         def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             fine = np.bitwise_count(a.view(U) ^ b.view(U)).sum(axis=1, dtype=np.int64) <= BITS
@@ -222,16 +269,14 @@ def _open(slices: int, long: int):
             fine[alive] &= ~(a[alive if len(a) > 1 else np.zeros(len(alive), int), :s] == b[alive, :s]).any(axis=1)
             return fine
 
-        stop, d = np.repeat(stops, sizes), 1
-        row = np.flatnonzero(np.repeat(sizes, sizes) <= long)
-        while len(row := row[stop[row] > row + d]):
-            asking = row[tree[row] != tree[row + d]]
-            good = asking[near(ring[asking], ring[asking + d])]
-            asked[good] = asked[good + d] = True
-            d += 1
-        for k in np.flatnonzero(sizes > long).tolist():
+        for a, b in _steps(size, bucket, stops - starts <= long):
+            asking = tree[a] != tree[b]
+            a, b = a[asking], b[asking]
+            good = near(ring[a], ring[b])
+            asked[a[good]] = asked[b[good]] = True
+        for k in np.flatnonzero(stops - starts > long).tolist():
             own = tree[starts[k]:stops[k]]
-            # rows lie by trees: each meets those of the trees behind its own
+            # each row meets those of the trees behind its own
             for i, behind in enumerate(np.searchsorted(own, own, side="right").tolist(), starts[k]):
                 at = starts[k] + behind
                 if at < stops[k]:
@@ -249,8 +294,8 @@ def ring_links(docs: DataFrame, cell: int = CELL, long: int = LONG, bucket: int
     ``cell``, ``long`` and ``bucket`` only say how the work is cut.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
-    marked = materialized(rows.mapInArrow(_signed, "doc_id long, fp long, bits binary"), "wide-fingerprints")
-    first = materialized(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("bits").alias("bits")), "first-of-sets")
+    marked = materialized(rows.mapInArrow(_signed, "doc_id long, fp long, bits binary, size long"), "wide-fingerprints")
+    first = materialized(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("bits").alias("bits"), F.first("size").alias("size")), "first-of-sets")
     named = first.select("fp", "first_id")
     equal = marked.select("doc_id", "fp").join(named, "fp").where(F.col("doc_id") != F.col("first_id"))
     slices = min(1 << WIDTH, 1 << (first.count() // cell).bit_length())
@@ -260,7 +305,7 @@ def ring_links(docs: DataFrame, cell: int = CELL, long: int = LONG, bucket: int
         some = rows.join(needed, F.col("doc_id") == F.col("_id")).select(F.col("_fp").alias("fp"), "text")
         return materialized(some.mapInArrow(_same_set, "fp long, text string").dropDuplicates(["fp"]), "met-texts")
 
-    cells = first.select("fp", "bits", F.col("fp").alias("tree")).mapInArrow(_dealt(slices, False), CELLS)
+    cells = first.select("fp", "bits", F.col("fp").alias("tree"), "size").mapInArrow(_dealt(slices, False), CELLS)
     passed = materialized(cells.groupBy("cell").applyInArrow(_least(long), LINK), "passed")
     stars = passed.groupBy("fp_b").agg(F.min("fp_a").alias("fp_a"))
     met = materialized(passed.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct(), "met")
@@ -269,9 +314,9 @@ def ring_links(docs: DataFrame, cell: int = CELL, long: int = LONG, bucket: int
     both = stars.join(side("a"), "fp_a").join(side("b"), "fp_b").select("fp_a", "fp_b", "text_a", "text_b")
     linked = materialized(both.mapInArrow(_similar, LINK), "star-links")
     member = components(linked.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))).select(F.col("node").alias("_node"), "component")
-    placed = first.join(met, "fp").join(member, F.col("fp") == F.col("_node"), "left").select("fp", "bits", F.coalesce("component", "fp").alias("component"))
+    placed = first.join(met, "fp").join(member, F.col("fp") == F.col("_node"), "left").select("fp", "bits", F.coalesce("component", "fp").alias("component"), "size")
     placed = materialized(placed, "placed")
-    cells = placed.select("fp", "bits", F.col("component").alias("tree")).mapInArrow(_dealt(slices, True), CELLS)
+    cells = placed.select("fp", "bits", F.col("component").alias("tree"), "size").mapInArrow(_dealt(slices, True), CELLS)
     open_ = materialized(cells.groupBy("cell").applyInArrow(_open(slices, long), "key long, fp long"), "open")
     sizes = open_.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     parts = F.ceil(F.col("_n") / bucket).cast("int")

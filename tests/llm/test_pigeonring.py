@@ -103,3 +103,40 @@ def test_fingerprints_of_many_sets():
         bits = [np.unpackbits(mixed(own + k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for k in p._KINDS]
         assert got == np.packbits(np.concatenate([b.sum(axis=0) * 2 > len(own) for b in bits]), bitorder="little").tobytes()
     assert p.wide_fingerprints([]) == []
+
+
+def plain_least(fp, size, key, chain):
+    """For each fingerprint the least of its bucket and its size that it passes the chain with, over all pairs."""
+    out = {}
+    for j in range(len(fp)):
+        near = [i for i in range(len(fp)) if key[i] == key[j] and fp[i] < fp[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])]
+        near = [i for i in near if p.holds(chain[i:i + 1], chain[j:j + 1])[0]]
+        if near:
+            out[int(fp[j])] = int(min(fp[near]))
+    return out
+
+
+def test_chains_are_compared_among_like_sizes(monkeypatch):
+    """Rows of a bucket that are far apart cost no whole comparison, and sets of unlike sizes do not meet."""
+    rng, n = np.random.default_rng(1), 600
+    fp = rng.permutation(10 * n)[:n].astype(np.int64) - 5 * n
+    size, key = rng.integers(0, 40, n), rng.integers(0, 3, n).astype(np.uint16)
+    chain = rng.integers(0, 1 << 60, (n, 2)).astype(U)
+    for i in range(0, n, 2):  # copies that differ in a few bits, and in the number of shingles
+        chain[i + 1] = chain[i] ^ U(1 << rng.integers(0, 60)) if i % 8 else chain[i]
+        key[i + 1], size[i + 1] = key[i], size[i] + rng.integers(0, 12)
+    chain[:60:3], key[:60] = chain[0], 1
+    table = pa.table({c: [v.tobytes()] for c, v in (("fp", fp), ("tree", fp), ("size", size), ("key", key), ("chain", chain))})
+    asked, holds = [], p.holds
+    monkeypatch.setattr(p, "holds", lambda a, b: asked.append(max(len(a), len(b))) or holds(a, b))
+    got = p._least(4096)(table)
+    assert sum(asked) < 2 * n  # some 60,000 pairs share a bucket
+    monkeypatch.setattr(p, "holds", holds)
+    want = plain_least(fp, size, key, chain)
+    assert dict(zip(got["fp_b"].to_pylist(), got["fp_a"].to_pylist())) == want and len(want) > 100
+    got = p._least(2)(table)  # long buckets without a large group are no different
+    assert dict(zip(got["fp_b"].to_pylist(), got["fp_a"].to_pylist())) == want
+    # in one with a large group a row that has met a lesser one leaves: the links are fewer, and of those pairs
+    monkeypatch.setattr(p, "DENSE", 1 << 40)
+    few = p._least(2)(table).to_pylist()
+    assert 0.9 * len(want) < len(few) <= len(want) and all(r["fp_a"] >= want[r["fp_b"]] for r in few)
