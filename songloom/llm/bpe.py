@@ -25,9 +25,9 @@ from songloom.llm.shared import worker_value
 # A pre-token of more bytes is encoded each time and not remembered.
 REMEMBERED_BYTES = 48
 # Pre-tokens in each half of what is remembered.
-REMEMBERED = 150_000
+REMEMBERED = 75_000
 # Rows and bytes of text that are encoded at once.
-ROWS, BYTES = 1024, 4 << 20
+ROWS, BYTES = 256, 1 << 20
 # The pattern whose matches are found over whole batches; others are run on each text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK, LETTER, NUMBER, OTHER = range(4)

@@ -134,15 +134,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingles_of(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([set_digest(s) for s in sets], pa.int64()), pa.array(wide_fingerprints(sets), pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int32()),
             ], ["doc_id", "fp", "bits", "size"])
 
 
-CELLS = "cell int, fp binary, key binary, chain binary, tree binary, size binary"
+CELLS = "cell int, fp binary, key binary, chain binary, size binary, tree binary"
 
 
 def _dealt(slices: int, whole: bool):
-    """Fingerprints ``(fp, bits, tree, size)`` in cells: a segment and a range of its values, many to a row, with their chains or as a ``whole``."""
+    """Fingerprints ``(fp, bits, tree, size)`` in cells: a segment and a range of its values, many to a row, with their chains or as a ``whole``.
+
+    Trees are needed with the whole only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cells() -> pa.RecordBatch:
@@ -155,9 +158,10 @@ def _dealt(slices: int, whole: bool):
                 cuts = np.searchsorted(at, np.arange(slices + 1))
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     own = order[cuts[k]:cuts[k + 1]]
-                    rows.append((s * slices + k, *(x[own].tobytes() for x in (fp, key, chain, tree, number))))
+                    columns = [x[own].tobytes() for x in (fp, key, chain, number)]
+                    rows.append((s * slices + k, *columns, tree[own].tobytes() if whole else b""))
             kinds = [pa.int32(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["cell", "fp", "key", "chain", "tree", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["cell", "fp", "key", "chain", "size", "tree"])
 
         rings, names, size = [], [], 0
         for batch in batches:
@@ -177,9 +181,9 @@ def _dealt(slices: int, whole: bool):
 
 def _cell(table: pa.Table, kind) -> tuple:
     """The columns of a cell."""
-    fp, tree, size = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("fp", "tree", "size"))
-    key = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint16)
-    return fp, tree, size, key, np.frombuffer(b"".join(table["chain"].to_pylist()), kind).reshape(len(key), -1)
+    kinds = (("fp", np.int64), ("tree", np.int64), ("size", np.int32), ("key", np.uint16), ("chain", kind))
+    fp, tree, size, key, chain = (np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in kinds)
+    return fp, tree, size.astype(np.int64), key, chain.reshape(len(key), -1)
 
 
 def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,7 +298,7 @@ def ring_links(docs: DataFrame, cell: int = CELL, long: int = LONG, bucket: int
     ``cell``, ``long`` and ``bucket`` only say how the work is cut.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
-    marked = materialized(rows.mapInArrow(_signed, "doc_id long, fp long, bits binary, size long"), "wide-fingerprints")
+    marked = materialized(rows.mapInArrow(_signed, "doc_id long, fp long, bits binary, size int"), "wide-fingerprints")
     first = materialized(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("bits").alias("bits"), F.first("size").alias("size")), "first-of-sets")
     named = first.select("fp", "first_id")
     equal = marked.select("doc_id", "fp").join(named, "fp").where(F.col("doc_id") != F.col("first_id"))

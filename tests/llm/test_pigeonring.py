@@ -126,7 +126,7 @@ def test_chains_are_compared_among_like_sizes(monkeypatch):
         chain[i + 1] = chain[i] ^ U(1 << rng.integers(0, 60)) if i % 8 else chain[i]
         key[i + 1], size[i + 1] = key[i], size[i] + rng.integers(0, 12)
     chain[:60:3], key[:60] = chain[0], 1
-    table = pa.table({c: [v.tobytes()] for c, v in (("fp", fp), ("tree", fp), ("size", size), ("key", key), ("chain", chain))})
+    table = pa.table({c: [v.tobytes()] for c, v in (("fp", fp), ("tree", fp), ("size", size.astype(np.int32)), ("key", key), ("chain", chain))})
     asked, holds = [], p.holds
     monkeypatch.setattr(p, "holds", lambda a, b: asked.append(max(len(a), len(b))) or holds(a, b))
     got = p._least(4096)(table)
